@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import exact, lines
+from fieldloom.llm import bpe, exact, lines, quality
 
-_MODULES = (exact, lines)
+_MODULES = (bpe, exact, lines, quality)
 
 
 def queries() -> dict:
