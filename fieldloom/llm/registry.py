@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import bpe, exact, lines, quality
+from fieldloom.llm import bpe, exact, langid, lines, quality, warc
 
-_MODULES = (bpe, exact, lines, quality)
+_MODULES = (bpe, exact, lines, warc, quality, langid)
 
 
 def queries() -> dict:
