@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import bpe, exact, langid, lines, packing, quality, warc
+from fieldloom.llm import bpe, exact, html, langid, lines, packing, quality, warc
 
-_MODULES = (bpe, exact, packing, lines, warc, quality, langid)
+_MODULES = (bpe, exact, packing, lines, html, warc, quality, langid)
 
 
 def queries() -> dict:
