@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import bpe, exact, html, langid, lines, minhash, packing, quality, warc
+from fieldloom.llm import bpe, exact, html, langid, lines, minhash, packing, quality, suffix, warc
 
-_MODULES = (bpe, minhash, exact, packing, lines, html, warc, quality, langid)
+_MODULES = (bpe, minhash, suffix, exact, packing, lines, html, warc, quality, langid)
 
 
 def queries() -> dict:
