@@ -19,8 +19,8 @@ doc_id, or in the same document at a smaller offset).
 
 A null text is empty; texts shorter than ``length`` bytes lose nothing.  doc_id identifies a
 document; rows without one keep all they have.  Matches never cross documents.  Bytes are
-removed wherever they are marked, so a kept text may end within a character; ``kept_text``
-replaces what is no longer UTF-8.  Extra columns are ignored, or kept by ``remove_repeats``.
+removed wherever they are marked, which may leave part of a character: ``kept_sha256`` counts
+it, ``kept_text`` leaves it out.  Extra columns are ignored, or kept by ``remove_repeats``.
 """
 
 from __future__ import annotations
@@ -305,7 +305,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, **sizes) -> DataFrame:
                             at = y
                         kept = b"".join([*cuts, raw[at:]])
                         gone, n_spans = len(raw) - len(kept), len(a)
-                    rows.append((kept.decode("utf-8", "replace") if gone else text, len(raw), gone, n_spans, hashlib.sha256(kept).hexdigest()))
+                    rows.append((kept.decode("utf-8", "ignore") if gone else text, len(raw), gone, n_spans, hashlib.sha256(kept).hexdigest()))
                 types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], [*columns, *own])
 
