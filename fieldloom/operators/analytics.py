@@ -50,13 +50,18 @@ def scatterplot(voxels: DataFrame, f_range: tuple[float, float], g_range: tuple[
 TETRAHEDRA = ((0, 1, 3, 4), (1, 2, 3, 6), (1, 4, 5, 6), (3, 4, 6, 7), (1, 3, 4, 6))
 
 
-def _fill(image: np.ndarray, x: np.ndarray, y: np.ndarray, mass: float) -> None:
-    """Adds to each pixel whose middle a triangle covers the mass per area of that triangle, for all triangles at once."""
-    area = ((x[:, 1] - x[:, 0]) * (y[:, 2] - y[:, 0]) - (x[:, 2] - x[:, 0]) * (y[:, 1] - y[:, 0])) / 2
+def _areas(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Signed areas of triangles."""
+    return ((x[:, 1] - x[:, 0]) * (y[:, 2] - y[:, 0]) - (x[:, 2] - x[:, 0]) * (y[:, 1] - y[:, 0])) / 2
+
+
+def _fill(image: np.ndarray, x: np.ndarray, y: np.ndarray, density: np.ndarray) -> None:
+    """Adds a triangle's density to each pixel whose middle it covers, for all triangles at once."""
+    area = _areas(x, y)
     x0, y0 = (np.maximum(0, np.ceil(z.min(1) - 0.5)).astype(int) for z in (x, y))
     x1, y1 = (np.minimum(len(image) - 1, np.floor(z.max(1) - 0.5)).astype(int) for z in (x, y))
     left = (np.abs(area) > 1e-12) & (x1 >= x0) & (y1 >= y0)
-    x, y, area, x0, y0, x1, y1 = (z[left] for z in (x, y, area, x0, y0, x1, y1))
+    x, y, area, density, x0, y0, x1, y1 = (z[left] for z in (x, y, area, density, x0, y0, x1, y1))
     for dx in range(int((x1 - x0).max(initial=-1)) + 1):
         for dy in range(int((y1 - y0)[x0 + dx <= x1].max(initial=-1)) + 1):
             on = np.flatnonzero((x0 + dx <= x1) & (y0 + dy <= y1))
@@ -64,13 +69,13 @@ def _fill(image: np.ndarray, x: np.ndarray, y: np.ndarray, mass: float) -> None:
             inside = np.ones(len(on), bool)
             for j, k in ((0, 1), (1, 2), (2, 0)):
                 inside &= ((x[on, k] - x[on, j]) * (v - y[on, j]) - (y[on, k] - y[on, j]) * (u - x[on, j])) * sign >= 0
-            np.add.at(image, (x0[on][inside] + dx, y0[on][inside] + dy), mass / np.abs(area[on][inside]))
+            np.add.at(image, (x0[on][inside] + dx, y0[on][inside] + dy), density[on][inside])
 
 
 def scatterplot_by_tetrahedra(voxels: DataFrame, f_range: tuple[float, float], g_range: tuple[float, float], resolution: int = 64) -> DataFrame:
     """(bin_f, bin_g, density): each cell's tetrahedra, mapped to (f, g) where both vary linearly, fill the bins whose middle they cover.
 
-    A tetrahedron's volume spreads evenly over the area of its image's four triangles.
+    A tetrahedron's volume spreads evenly over its image, which its four faces cover twice.
     """
     (f0, f1), (g0, g1) = f_range, g_range
 
@@ -80,9 +85,10 @@ def scatterplot_by_tetrahedra(voxels: DataFrame, f_range: tuple[float, float], g
             g = (pdf[[f"g{k}" for k in range(8)]].to_numpy() - g0) / (g1 - g0) * resolution
             image = np.zeros((resolution, resolution))
             for tet, share in zip(TETRAHEDRA, (1 / 6, 1 / 6, 1 / 6, 1 / 6, 1 / 3)):
-                for skip in range(4):
-                    face = [tet[i] for i in range(4) if i != skip]
-                    _fill(image, f[:, face], g[:, face], share / 2)
+                faces = [[tet[i] for i in range(4) if i != skip] for skip in range(4)]
+                total = np.sum([np.abs(_areas(f[:, t], g[:, t])) for t in faces], 0)
+                for t in faces:
+                    _fill(image, f[:, t], g[:, t], share / np.maximum(total, 1e-12))
             at = np.nonzero(image)
             yield pd.DataFrame({"bin_f": at[0], "bin_g": at[1], "density": image[at]})
 

@@ -532,7 +532,9 @@ def csp_indexed(spark, sf_dir):
 
 @register("csp_tetrahedra")
 def csp_tetrahedra(spark, sf_dir):
-    return analytics.scatterplot_by_tetrahedra(_events(spark, sf_dir)[0], (0.0, 600.0), (0.0, 1000.0), 32)
+    voxels = _events(spark, sf_dir)[0]
+    f0, f1, g0, g1 = voxels.agg(F.min("f"), F.max("f"), F.min("g"), F.max("g")).first()
+    return analytics.scatterplot_by_tetrahedra(voxels, (f0, f1), (g0, g1), 32)
 
 
 # surfaces
