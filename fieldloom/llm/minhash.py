@@ -9,9 +9,11 @@ emitted.  Equal sets become one representative first.  Then, round by round:
 
 1. every member of a bucket is compared with the bucket's smallest member;
 2. in buckets that still span several groups, every member outside the bucket's largest group
-   is compared, by signatures and within tasks of bounded size, with the members of other
-   groups; the likeliest of each group is confirmed;
-3. the same, with all pairs that signatures don't rule out, so no link is lost for a cap.
+   is compared by signatures, in blocks of bounded size, with the members of other groups, and
+   its likeliest partner is confirmed;
+3. in buckets that span several groups even then, all pairs across groups that signatures
+   don't rule out are compared on full sets, block by block; what leaves a block is one link
+   for each member and group that it links, so no link between groups is lost for a cap.
 
 Signatures rule a pair out only far below the threshold (``SLACK``).  A pair at the threshold
 shares no bucket with probability (1 - 0.8^5)^40, about 1e-7.
@@ -41,7 +43,7 @@ PERMUTATIONS = BANDS * ROWS // 2
 #: expectation at the threshold less about six standard deviations.
 SLACK = 34
 #: Members of a bucket that one task compares others with.
-BLOCK = 2000
+BLOCK = 1000
 #: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
 
@@ -154,12 +156,17 @@ def _likely(pairs: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, same long")
 
 
+def _wanted_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(id, items) of the documents of ``ids``."""
+    ids = stored(ids, "ids")
+    wanted = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    return stored(_sets(wanted, size).dropDuplicates(["id"]), "sets")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(a, b, linked) of each pair, on full sets; only documents of pairs are read again for their sets."""
     pairs = stored(pairs.select("a", "b").distinct(), "pairs")
-    ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-    wanted = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    sets = stored(_sets(wanted, size), "sets")
+    sets = _wanted_sets(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), size)
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("ib")), "b").join(sets.select(F.col("id").alias("a"), F.col("items").alias("ia")), "a")
 
     def run(batches):
@@ -174,47 +181,19 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
     return stored(both.select("a", "b", "ia", "ib").mapInArrow(run, "a long, b long, linked boolean"), "confirmed")
 
 
-def _across(bands: DataFrame, sigs: DataFrame, labels: DataFrame, least: int, every: bool) -> DataFrame:
-    """(a, b) of likely pairs in different groups of a bucket: all, or the likeliest for each document and group."""
-    rows = bands.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    groups = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = groups.groupBy("key").agg(F.count(F.lit(1)).alias("groups"), F.max_by("label", F.struct("n", "label")).alias("top"), F.sum("n").alias("members")).where("groups > 1")
-    rows = rows.join(mixed, "key").select("key", "id", "label", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"), (F.col("label") != F.col("top")).alias("minor"))
-    rows = rows.withColumn("home", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    # members of the largest group stand in one block, the others are taken to all blocks
-    rows = rows.withColumn("block", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("home"))))
-    rows = rows.select("key", "block", "id", "label", "minor", (F.col("home") == F.col("block")).alias("at_home")).join(sigs, "id")
+def _grouped(rows: DataFrame, compare, schema: str) -> DataFrame:
+    """``compare`` (a table of one bucket's block -> a record batch or None) over the rows of each (key, block), streamed in order."""
     dealt = rows.repartition("key", "block").sortWithinPartitions("key", "block")
 
-    def compare(part: pa.Table):
-        ids, labels_ = part.column("id").to_numpy(), part.column("label").to_numpy()
-        minor, home = part.column("minor").to_numpy(zero_copy_only=False), part.column("at_home").to_numpy(zero_copy_only=False)
-        sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
-        others = np.flatnonzero(home)
-        for i in np.flatnonzero(minor).tolist():
-            there = others[labels_[others] != labels_[i]]
-            same = (sig[there] == sig[i]).sum(1)
-            near = same >= least
-            there, same = there[near], same[near]
-            if len(there) and not every:
-                order = np.lexsort((ids[there], -same, labels_[there]))
-                there = there[order][np.append(True, np.diff(labels_[there][order]) != 0)]
-            for j in there.tolist():
-                yield (ids[i], ids[j]) if ids[i] < ids[j] else (ids[j], ids[i])
-
     def run(batches):
         left = None
 
         def done(table):
-            pairs = set()
             key, block = table.column("key").to_numpy(), table.column("block").to_numpy()
             cuts = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1, [len(key)]])
             for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                if hi - lo > 1:
-                    pairs.update(compare(table.slice(lo, hi - lo)))
-            if pairs:
-                a, b = zip(*pairs)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                if hi - lo > 1 and (out := compare(table.slice(lo, hi - lo))) is not None:
+                    yield out
 
         for b in batches:
             if not b.num_rows:
@@ -231,7 +210,95 @@ def _across(bands: DataFrame, sigs: DataFrame, labels: DataFrame, least: int, ev
         if left is not None:
             yield from done(left.combine_chunks())
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, schema)
+
+
+def _columns(part: pa.Table):
+    return (part.column(c).to_numpy(zero_copy_only=False) for c in ("id", "label", "minor", "at_home"))
+
+
+def _mixed(bands: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, block, id, label, minor, at_home) of the members of buckets that span several groups.
+
+    Members of a bucket's largest group stand in one block; the others, which are minor, are
+    taken to all blocks of their bucket, and are at home in one.
+    """
+    rows = bands.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    groups = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = groups.groupBy("key").agg(F.count(F.lit(1)).alias("groups"), F.max_by("label", F.struct("n", "label")).alias("top"), F.sum("n").alias("members")).where("groups > 1")
+    rows = rows.join(mixed, "key").select("key", "id", "label", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"), (F.col("label") != F.col("top")).alias("minor"))
+    rows = rows.withColumn("home", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    rows = rows.withColumn("block", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("home"))))
+    return rows.select("key", "block", "id", "label", "minor", (F.col("home") == F.col("block")).alias("at_home"))
+
+
+def _likeliest(mixed: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
+    """(a, b): for each minor member of a bucket the likeliest member of another group."""
+
+    def compare(part):
+        ids, labels, minor, home = _columns(part)
+        sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
+        others, out = np.flatnonzero(home), []
+        for i in np.flatnonzero(minor).tolist():
+            there = others[labels[others] != labels[i]]
+            same = (sig[there] == sig[i]).sum(1)
+            if len(same) and same.max() >= least:
+                j = there[same == same.max()]
+                out.append(sorted((ids[i], ids[j].min())))
+        if out:
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out]), pa.array([x[1] for x in out])], ["a", "b"])
+
+    return _grouped(mixed.join(sigs, "id"), compare, "a long, b long").distinct()
+
+
+def _possible(mixed: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
+    """The rows of ``mixed`` that signatures don't rule out: those with a likely partner in another group of their block."""
+
+    def compare(part):
+        ids, labels, minor, home = _columns(part)
+        sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
+        found = np.zeros(len(ids), bool)
+        for i in np.flatnonzero(minor).tolist():
+            there = np.flatnonzero(home & (labels != labels[i]))
+            near = there[(sig[there] == sig[i]).sum(1) >= least]
+            found[near] = True
+            found[i] |= len(near) > 0
+        if found.any():
+            return part.filter(pa.array(found)).drop_columns(["sig"]).select(["key", "block", "id", "label", "minor", "at_home"]).to_batches()[0]
+
+    return _grouped(mixed.join(sigs, "id"), compare, "key long, block int, id long, label long, minor boolean, at_home boolean")
+
+
+def _links_across(possible: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b, linked): for each minor member and each other group of its block, its most similar member if that is a link.
+
+    Every pair of a block that spans two groups is compared here on full sets; the rows that
+    leave the task are links alone.
+    """
+    possible = stored(possible, "possible")
+    sets = _wanted_sets(docs, possible.select(F.col("id").alias("doc_id")).distinct(), size)
+
+    def compare(part):
+        ids, labels, minor, home = _columns(part)
+        items = [np.frombuffer(x.as_py(), np.uint64) for x in part.column("items")]
+        n = np.array([len(x) for x in items])
+        heads = np.concatenate([[0], np.cumsum(n)])
+        _, dense = np.unique(np.concatenate(items), return_inverse=True)
+        out = set()
+        for i in np.flatnonzero(minor).tolist():
+            mark = np.zeros(int(dense.max()) + 1, np.int64)
+            mark[dense[heads[i] : heads[i + 1]]] = 1
+            common = np.add.reduceat(mark[dense], heads[:-1])
+            union = n + n[i] - common
+            there = np.flatnonzero(home & (labels != labels[i]) & (100 * common >= percent * union))
+            for label in np.unique(labels[there]):
+                own = there[labels[there] == label]
+                out.add(tuple(sorted((int(ids[i]), int(ids[own[np.argmax(common[own] / union[own])]])))))
+        if out:
+            a, b = zip(*sorted(out))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array([True] * len(a))], ["a", "b", "linked"])
+
+    return stored(_grouped(possible.join(sets, "id"), compare, "a long, b long, linked boolean"), "across")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -249,10 +316,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = PERC
     likely = _likely(stars, sigs, least)
     best = likely.groupBy("b").agg(F.max_by("a", F.struct("same", -F.col("a"))).alias("a"))
     links = _confirmed(best, docs, shingle_words, percent)
-    for every in (False, True):
-        labels = components(links.where("linked"))
-        pairs = _across(bands, sigs, labels, least, every).join(links.select("a", "b"), ["a", "b"], "left_anti")
-        links = stored(links.union(_confirmed(pairs, docs, shingle_words, percent)), "links")
+    mixed = _mixed(bands, components(links.where("linked")))
+    links = links.union(_confirmed(_likeliest(mixed, sigs, least), docs, shingle_words, percent))
+    mixed = stored(_mixed(bands, components(links.where("linked"))), "mixed")
+    links = links.union(_links_across(_possible(mixed, sigs, least), docs, shingle_words, percent))
     labels = components(links.where("linked"))
     own = sketches.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2"], "left")
     own = own.join(labels, "id", "left")
