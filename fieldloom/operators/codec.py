@@ -39,6 +39,11 @@ def decoded(code_: Column, predicted: Column, bound: float | Column, outlier: Co
     return F.when(code_ == 0, outlier).otherwise(predicted + 2 * bound * (code_ - MIDDLE))
 
 
+def uniform_code(x: Column, bound: float) -> Column:
+    """The nearest multiple of twice the bound, as a whole number: fixed-accuracy coding without a prediction."""
+    return F.floor(x / (2 * bound) + 0.5).cast("long")
+
+
 def chain_codes(values: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
     """Codes of a chain and its reconstruction."""
     codes, out = np.zeros(len(values), np.int32), np.array(values, np.float64)

@@ -273,6 +273,27 @@ def level_positions(spark, sf_dir):
     return zonemap.level_positions(_zone(spark, sf_dir)[0])
 
 
+@register("overlap_by_depth", _VOX, _ZU, "r AS (SELECT *, row_number() OVER (PARTITION BY step ORDER BY lo, block_id) AS rank FROM zu)", select=f"SELECT step, CAST(floor(log2(rank)) AS INTEGER) AS depth, count(*) AS n FROM r WHERE lo <= {HI} AND hi >= {LO} GROUP BY ALL")
+def overlap_by_depth(spark, sf_dir):
+    zones = _zone(spark, sf_dir)[0]
+    hits = zones.where(query.overlaps(LO, HI)).select("step", "block_id")
+    return zonemap.level_positions(zones).join(hits, ["step", "block_id"], "left_semi").groupBy("step", "depth").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("skipped_overlap", _VOX, _ZU, "k AS (SELECT *, CASE WHEN lo = 0 THEN 'zero_low' WHEN row_number() OVER (PARTITION BY step, lo ORDER BY block_id) > 1 THEN 'duplicate_low' END AS skip_reason FROM zu)", select=f"SELECT coalesce(skip_reason, 'none') AS reason, count(*) AS n FROM k WHERE lo - {ERROR} <= {HI} AND hi + {ERROR} >= {LO} GROUP BY ALL")
+def skipped_overlap(spark, sf_dir):
+    listed = zonemap.with_skip_reason(_zone(spark, sf_dir)[0]).where(query.overlaps(LO, HI, ERROR))
+    return listed.groupBy(F.coalesce("skip_reason", F.lit("none")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("ragged_core", _LINES, "z AS (SELECT step, d0 // 4 AS b0, d1 // 4 AS b1, d2 // 4 AS b2, min(f) AS lo, max(f) AS hi FROM vox GROUP BY ALL)", "t AS (SELECT step, CASE WHEN d0 < 2 THEN 0 ELSE 1 + (d0 - 2) // 4 END AS s0, CASE WHEN d1 < 2 THEN 0 ELSE 1 + (d1 - 2) // 4 END AS s1, CASE WHEN d2 < 2 THEN 0 ELSE 1 + (d2 - 2) // 4 END AS s2, min(f) AS lo, max(f) AS hi FROM vox GROUP BY ALL)",
+    "u AS (SELECT DISTINCT step, b0, b1, b2 FROM z WHERE lo <= 21000 AND hi >= 20000 UNION SELECT DISTINCT t.step, x.b0, y.b1, w.b2 FROM t, (SELECT unnest(range(0, 13)) AS b0) x, (SELECT unnest(range(0, 3)) AS b1) y, (SELECT unnest(range(0, 3)) AS b2) w WHERE lo <= 21000 AND hi >= 20000 AND x.b0 IN (s0 - 1, s0) AND y.b1 IN (s1 - 1, s1) AND w.b2 IN (s2 - 1, s2) AND (s0 > 0 OR x.b0 = 0) AND (s1 > 0 OR y.b1 = 0) AND (s2 > 0 OR w.b2 = 0) AND x.b0 * 4 <= 49 AND NOT (x.b0 = s0 AND s0 * 4 > 49) AND NOT (y.b1 = s1 AND s1 * 4 > 10) AND NOT (w.b2 = s2 AND s2 * 4 > 8))",
+    select="SELECT step, CAST(b0 AS INTEGER) AS b0, CAST(b1 AS INTEGER) AS b1, CAST(b2 AS INTEGER) AS b2, CAST(b0 + b1 * 13 + b2 * 39 AS BIGINT) AS block_id FROM u")
+def ragged_core(spark, sf_dir):
+    voxels, grid = fields.line_field(spark, sf_dir)
+    return query.RangeQuery(voxels, grid, 20000.0, 21000.0).core()
+
+
 @register("interval_sort_by_max", _VOX, _ZU, select="SELECT step, block_id, lo, hi FROM zu ORDER BY hi")
 def interval_sort_by_max(spark, sf_dir):
     return _zone(spark, sf_dir)[0].select("step", "block_id", "lo", "hi").orderBy("hi")
@@ -443,6 +464,19 @@ def index_code_entropy(spark, sf_dir):
     return codec.entropy_bits(codec.compress_highs(_zone(spark, sf_dir)[0], 0.5, BINS))
 
 
+@register("uniform_quantize", _VOX, select="SELECT step, d0, d1, d2, CAST(floor(f / CAST(0.1 AS DOUBLE) + 0.5) AS BIGINT) AS code FROM vox")
+def uniform_quantize(spark, sf_dir):
+    return _events(spark, sf_dir)[0].select("step", *G.DIMS, codec.uniform_code(F.col("f"), 0.05).alias("code"))
+
+
+@register("stagger_prediction_slice", _VOX, _ZU, _ZS, select="SELECT zs.step, zs.block_id, round(any_value(zs.hi) - avg(zu.hi), 9) AS diff FROM s, zs LEFT JOIN zu ON zu.step = zs.step AND zu.b0 BETWEEN zs.b0 - 1 AND zs.b0 AND zu.b1 BETWEEN zs.b1 - 1 AND zs.b1 AND zu.b2 BETWEEN zs.b2 - 1 AND zs.b2 WHERE zs.b1 = c // 2 GROUP BY zs.step, zs.block_id")
+def stagger_prediction_slice(spark, sf_dir):
+    voxels, grid = _events(spark, sf_dir)
+    shifted = zonemap.zone_map(voxels, grid, "stagger").where(F.col("b1") == grid.counts[1] // 2)
+    out = codec.stagger_prediction(shifted, zonemap.zone_map(voxels, grid), G.related_uniform(shifted, grid))
+    return out.select("step", "block_id", F.round(F.col("hi") - F.col("predicted"), 9).alias("diff"))
+
+
 @register("index_huffman")
 def index_huffman(spark, sf_dir):
     return codec.huffman_bits(codec.compress_highs(_zone(spark, sf_dir)[0], 0.5, BINS))
