@@ -57,15 +57,15 @@ def merged_index_of(d: int, block: int) -> int:
     return 0 if d < half + block else (d - half) // block
 
 
-def div(a: Column, b) -> Column:
-    """Whole-number quotient of numbers that aren't negative."""
-    return F.floor(a / b) if not isinstance(b, int) or b & (b - 1) else F.shiftright(a, b.bit_length() - 1)
+def quotient(a: Column, b: int) -> Column:
+    """Whole-number quotient, in whole numbers throughout, so large positions stay exact."""
+    return F.call_function("div", a, F.lit(b))
 
 
 def coordinates(p: Column, shape) -> list[Column]:
     """Coordinates of a position, last dimension fastest."""
     _, n1, n2 = shape
-    return [F.floor(p / (n1 * n2)).cast("int").alias("d0"), (F.floor(p / n2) % n1).cast("int").alias("d1"), (p % n2).cast("int").alias("d2")]
+    return [quotient(p, n1 * n2).cast("int").alias("d0"), (quotient(p, n2) % n1).cast("int").alias("d1"), (p % n2).cast("int").alias("d2")]
 
 
 def position(shape, d=None) -> Column:
@@ -75,18 +75,18 @@ def position(shape, d=None) -> Column:
 
 def coordinates_first_fastest(p: Column, shape) -> list[Column]:
     n0, n1, _ = shape
-    return [(p % n0).cast("int").alias("d0"), (F.floor(p / n0) % n1).cast("int").alias("d1"), F.floor(p / (n0 * n1)).cast("int").alias("d2")]
+    return [(p % n0).cast("int").alias("d0"), (quotient(p, n0) % n1).cast("int").alias("d1"), quotient(p, n0 * n1).cast("int").alias("d2")]
 
 
 def block_index(d: Column, block: int, tiling: str = "uniform") -> Column:
     """The block of a coordinate under a tiling."""
     if tiling == "uniform":
-        return F.floor(d / block).cast("int")
+        return quotient(d, block).cast("int")
     half = block // 2
     if tiling == "stagger":
-        return F.when(d < half, 0).otherwise(1 + F.floor((d - half) / block)).cast("int")
+        return F.when(d < half, 0).otherwise(1 + quotient(d - half, block)).cast("int")
     if tiling == "stagger_merged":
-        return F.when(d < half + block, 0).otherwise(F.floor((d - half) / block)).cast("int")
+        return F.when(d < half + block, 0).otherwise(quotient(d - half, block)).cast("int")
     raise ValueError(tiling)
 
 
@@ -98,7 +98,7 @@ def block_id(counts, b=None) -> Column:
 
 def block_coordinates(i: Column, counts) -> list[Column]:
     c0, c1, _ = counts
-    return [(i % c0).cast("int").alias("b0"), (F.floor(i / c0) % c1).cast("int").alias("b1"), F.floor(i / (c0 * c1)).cast("int").alias("b2")]
+    return [(i % c0).cast("int").alias("b0"), (quotient(i, c0) % c1).cast("int").alias("b1"), quotient(i, c0 * c1).cast("int").alias("b2")]
 
 
 def offset_in_block(block) -> Column:
@@ -133,8 +133,8 @@ def covered_uniform(b: Column, block: int, count: int, size: int, tiling: str =
     else:
         low = F.when(b == 0, 0).otherwise(b * block + half)
         high = F.when(b == 0, half + block - 1).otherwise((b + 1) * block + half - 1)
-    last = F.least(F.floor(F.least(high, F.lit(size - 1)) / block), F.lit(count - 1))
-    return F.sequence(F.floor(low / block).cast("int"), last.cast("int"))
+    last = F.least(quotient(F.least(high, F.lit(size - 1)), block), F.lit(count - 1))
+    return F.sequence(quotient(low, block).cast("int"), last.cast("int"))
 
 
 def stagger_to_uniform(blocks: DataFrame, grid: Grid, tiling: str = "stagger") -> DataFrame:

@@ -7,7 +7,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.functions.grid import BLOCKS, DIMS, Grid, block_id, near, offset_in_block, with_blocks
+from fieldloom.functions.grid import BLOCKS, DIMS, Grid, block_id, near, offset_in_block, quotient, with_blocks
 
 
 def to_blocks(voxels: DataFrame, grid: Grid, value: str = "f") -> DataFrame:
@@ -22,8 +22,8 @@ def from_blocks(blocks: DataFrame, grid: Grid) -> DataFrame:
     cells = blocks.select("step", "block_id", F.explode(F.arrays_zip("offsets", "values")).alias("cell")).select("step", "block_id", "cell.offsets", "cell.values")
     c0, c1, _ = grid.counts
     n0, n1, n2 = grid.block
-    at = [F.col("block_id") % c0, F.floor(F.col("block_id") / c0) % c1, F.floor(F.col("block_id") / (c0 * c1))]
-    inner = [F.floor(F.col("offsets") / (n1 * n2)), F.floor(F.col("offsets") / n2) % n1, F.col("offsets") % n2]
+    at = [F.col("block_id") % c0, quotient(F.col("block_id"), c0) % c1, quotient(F.col("block_id"), c0 * c1)]
+    inner = [quotient(F.col("offsets"), n1 * n2), quotient(F.col("offsets"), n2) % n1, F.col("offsets") % n2]
     return cells.select("step", *((b * n + o).cast("int").alias(d) for b, n, o, d in zip(at, (n0, n1, n2), inner, DIMS)), F.col("values").alias("f"))
 
 

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.functions.grid import quotient
+
 #: The middle code and how many error bounds a prediction may be off: fixed values of the coding.
 MIDDLE, REACH = 8192, 16383
 #: Values of a chain's segment.
@@ -61,7 +63,7 @@ def chain_codes(values: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarra
 
 def quantize_chain(rows: DataFrame, keys: list[str], order: str, value: str, bound: float, segment: int = SEGMENT) -> DataFrame:
     """(keys, segment, place, code, outlier) of ``value`` along ``order``, a whole number from 0 within ``keys``."""
-    placed = rows.select(*keys, F.floor(F.col(order) / segment).cast("long").alias("segment"), (F.col(order) % segment).cast("int").alias("place"), F.col(value).alias("value"))
+    placed = rows.select(*keys, quotient(F.col(order), segment).cast("long").alias("segment"), (F.col(order) % segment).cast("int").alias("place"), F.col(value).alias("value"))
     types = dict(rows.dtypes)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.functions.grid import BLOCKS, DIMS, Grid, morton, with_blocks
+from fieldloom.functions.grid import BLOCKS, DIMS, Grid, morton, quotient, with_blocks
 
 KEYS = ["step", "block_id", *BLOCKS]
 
@@ -26,7 +26,7 @@ def dual_zone_map(voxels: DataFrame, grid: Grid, value: str = "f") -> DataFrame:
 
 def two_level(zones: DataFrame, blocks_per_side: int) -> DataFrame:
     """Intervals of large blocks from those of small ones."""
-    big = [F.floor(F.col(b) / blocks_per_side).cast("int").alias(b) for b in BLOCKS]
+    big = [quotient(F.col(b), blocks_per_side).cast("int").alias(b) for b in BLOCKS]
     return zones.select("step", *big, "lo", "hi", "n").groupBy("step", *BLOCKS).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
 
 
@@ -49,7 +49,7 @@ def gap_intervals(voxels: DataFrame, grid: Grid, value: str = "f") -> DataFrame:
     """
     out = voxels
     for i, (d, n, count) in enumerate(zip(DIMS, grid.block, grid.counts)):
-        own, local = F.floor(F.col(d) / n).cast("int"), F.col(d) % n
+        own, local = quotient(F.col(d), n).cast("int"), F.col(d) % n
         place = F.array(
             F.struct(own.alias("b"), F.lit(0).alias("m")),
             F.when((local == n - 1) & (own + 1 < count), F.struct(own.alias("b"), F.lit(1 << i).alias("m"))),

@@ -204,7 +204,7 @@ def zonemap_embeddings(spark, sf_dir):
 @register("zonemap_balances", select="SELECT c_custkey // 64 AS block_id, min(c_acctbal) AS lo, max(c_acctbal) AS hi, count(*) AS n FROM customer GROUP BY 1")
 def zonemap_balances(spark, sf_dir):
     customers = fields.table(spark, sf_dir, "customer")
-    return customers.groupBy(F.floor(F.col("c_custkey") / 64).alias("block_id")).agg(F.min("c_acctbal").alias("lo"), F.max("c_acctbal").alias("hi"), F.count(F.lit(1)).alias("n"))
+    return customers.groupBy(G.quotient(F.col("c_custkey"), 64).alias("block_id")).agg(F.min("c_acctbal").alias("lo"), F.max("c_acctbal").alias("hi"), F.count(F.lit(1)).alias("n"))
 
 
 @register("step_stats", _VOX, select="SELECT step, min(f) AS lo, max(f) AS hi, count(f) AS n FROM vox GROUP BY step")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.functions.grid import Grid, coordinates
+from fieldloom.functions.grid import Grid, coordinates, quotient
 
 #: Side of a step by the number of events.
 SIDES = ((65536, 32), (8192, 16), (0, 8))
@@ -27,7 +27,7 @@ def event_field(spark: SparkSession, sf_dir: str, grid: Grid | None = None) -> t
     """All events as voxels, numbered by event_id; f is their value, g the number of their user.  The last step may be incomplete."""
     grid = grid or event_grid(spark, sf_dir)
     events = table(spark, sf_dir, "events").select("event_id", "value", F.col("user_id").cast("double").alias("g"))
-    step = F.floor(F.col("event_id") / grid.volume).cast("long").alias("step")
+    step = quotient(F.col("event_id"), grid.volume).cast("long").alias("step")
     return events.select(step, *coordinates(F.col("event_id") % grid.volume, grid.shape), F.col("value").alias("f"), "g"), grid
 
 
