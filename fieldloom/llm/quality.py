@@ -128,4 +128,26 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_quality_rules": op9_quality_rules}
-ORACLE_SQL: dict[str, str] = {}
+_SPACE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+ORACLE_SQL = {
+    "op9_quality_rules": rf"""
+        WITH d AS (SELECT doc_id, source, text, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+        i AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM w),
+        k AS (SELECT doc_id, i, x, lead(x) OVER p AS y, lead(x, 2) OVER p AS z FROM i WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+        r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x, y, z) AS n FROM k WHERE z IS NOT NULL),
+        again AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM r, (SELECT unnest([0, 1, 2]) AS o) WHERE n > 1 GROUP BY doc_id),
+        l AS (SELECT doc_id, source, text, unnest(string_split(t, chr(10))) AS line FROM d),
+        lw AS (SELECT *, translate(trim(line, {_SPACE_SQL}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n
+            FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+        dup AS (SELECT doc_id, sum(n - 1) AS n FROM (SELECT doc_id, line, count(*) AS n FROM lw GROUP BY doc_id, line) GROUP BY doc_id),
+        hosts AS (SELECT source, count(*) AS docs FROM d GROUP BY source),
+        shared AS (SELECT lw.source, key, min(doc_id) AS first FROM lw JOIN hosts ON hosts.source IS NOT DISTINCT FROM lw.source GROUP BY lw.source, key, docs HAVING count(DISTINCT text) > {LINE_DOCS} AND count(DISTINCT text) * 1000 > docs * {LINE_PER_MILLE}),
+        gone AS (SELECT doc_id, sum(n) AS n FROM lw JOIN shared ON shared.source IS NOT DISTINCT FROM lw.source AND shared.key = lw.key WHERE doc_id <> first GROUP BY doc_id),
+        m AS (SELECT w.doc_id, len(w.w) AS n_words, CAST(coalesce(list_sum(list_transform(w.w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+            CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_shared_words
+            FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN again USING (doc_id) LEFT JOIN gone USING (doc_id)),
+        v AS (SELECT *, n_words < {MIN_WORDS} OR n_repeat_words * 100 > n_words * {MAX_REPEAT_PERCENT} AS base_failed FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (n_words - n_shared_words) * 100 >= n_words * {LEFT_PERCENT} AS kept, n_shared_words FROM v
+    """
+}
