@@ -39,6 +39,7 @@ _BLOCKS = "#text body div section article main p h1 h2 h3 h4 h5 h6 ul ol li dl d
 _KIND = {t: i for i, t in enumerate(_BLOCKS)}
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _RAW = frozenset("script style noscript template iframe textarea title select option svg math object canvas head button".split())
+_TO_THE_END = frozenset("script style noscript template iframe textarea title".split())
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in _RAW}
 _VOID = frozenset("br img input hr meta link area base col embed source track wbr param".split())
 _CLOSED_BY = {"p": frozenset(_BLOCKS) - {"#text", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
@@ -80,7 +81,8 @@ class Page:
     node: characters, characters in links, words, full stops and commas, inline elements.
     """
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, marked: bool = False):
+        self._marked = marked  # whether ``data-label`` tells the labels, as in generated pages alone
         self.tags, self.parent, self.end, self.depth = ["body"], [-1], [0], [0]
         self.mask, self.above, self.label = [0], [0], [None]
         self.own: list[list[int]] = [[0, 0, 0, 0, 0]]
@@ -116,7 +118,6 @@ class Page:
 
     def _parse(self, source: str) -> None:
         self._stack, self._run, self._linked, self._inline, link, at = [0], [], 0, 0, 0, 0
-        add = self._run
         size = len(source)
         find = _TOKEN.search
         while at < size:
@@ -136,11 +137,10 @@ class Page:
             tag = tag.lower()
             if m[1]:
                 if tag in _KIND:
-                    if tag in (open_tags := [self.tags[i] for i in self._stack]) and tag != "body":
+                    if tag != "body" and tag in [self.tags[i] for i in self._stack]:
                         while self.tags[self._stack[-1]] != tag:
                             self._close()
                         self._close()
-                    del open_tags
                 elif tag == "a" and link:
                     link -= 1
                 continue
@@ -149,7 +149,8 @@ class Page:
                     # what may stand in a head is raw itself; a head without an end is no reason to lose the page
                     continue
                 e = _RAW_END[tag].search(source, at)
-                at = e.end() if e else size
+                # without an end, the parser's own raw elements take the rest of the page, the others nothing
+                at = e.end() if e else size if tag in _TO_THE_END else at
                 continue
             if tag in _KIND and tag != "#text":
                 if tag == "body":
@@ -162,6 +163,7 @@ class Page:
                 if tag == "hr":
                     continue
                 mask, label = _mask_of(m[3])
+                label = label if self._marked else None
                 self._stack.append(self._open(tag, mask | _TAG_MASK.get(tag, 0), label))
             elif tag == "br":
                 self._run.append(" ")
@@ -169,7 +171,6 @@ class Page:
                 self._inline += 1
                 if tag == "a":
                     link += 1
-        del add
         while self._stack:
             self._close()
 
@@ -343,14 +344,13 @@ def generated_pages(n: int, seed: int = 7) -> list[str]:
 
 def fit(pages: DataFrame | None, sample: int = SAMPLE_PAGES, generated: int = GENERATED_PAGES) -> BoostedTrees:
     """Trees fitted on generated pages and on at most ``sample`` of ``pages`` (by a hash of their page_id)."""
-    sources = generated_pages(generated)
+    found = [Page(source, marked=True) for source in generated_pages(generated)]
     if pages is not None and sample and (total := pages.count()):
         share = min(1.0, sample / total)
         part = pages.where(F.pmod(F.xxhash64(F.lit("sample"), "page_id"), F.lit(1_000_000)) < F.lit(share * 1_000_000)).where("html is not null")
-        sources += [r["html"] for r in part.select("html").orderBy(F.octet_length("html")).limit(sample).collect()]
+        found += [Page(r["html"]) for r in part.select("html").orderBy(F.octet_length("html")).limit(sample).collect()]
     xs, ys = [], []
-    for source in sources:
-        page = Page(source)
+    for page in found:
         y = _labels(page)
         if y is not None and len(y) > 1:
             xs.append(features(page)[1:])

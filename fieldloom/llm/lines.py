@@ -142,19 +142,19 @@ _RESULT = "text string, n_lines long, n_dropped long, kept_sha256 string"
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, **sizes) -> DataFrame:
     """``docs`` with its repeated lines dropped from ``text``, and n_lines, n_dropped and kept_sha256."""
-    marks = dropped_lines(docs, min_chars, min_docs, **sizes).select(F.col("doc_id").alias("_id"), F.col("hashes").alias("_hashes"))
-    marked = docs.join(marks, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    marks = dropped_lines(docs, min_chars, min_docs, **sizes).select(F.col("doc_id").alias("_fl_id"), F.col("hashes").alias("_fl_hashes"))
+    marked = docs.join(marks, F.col("doc_id") == F.col("_fl_id"), "left").drop("_fl_id")
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     # which lines go is told by their hashes: only marked documents hash theirs again
-    gone = F.when(F.col("_hashes").isNotNull(), F.transform(F.split(F.col("text"), "\n", -1), lambda x: F.xxhash64(line_key(x)))).alias("_lines")
-    second = F.when(F.col("_hashes").isNotNull(), F.transform(F.split(F.col("text"), "\n", -1), lambda x: F.xxhash64(F.lit("line"), line_key(x)))).alias("_seconds")
+    gone = F.when(F.col("_fl_hashes").isNotNull(), F.transform(F.split(F.col("text"), "\n", -1), lambda x: F.xxhash64(line_key(x)))).alias("_fl_lines")
+    second = F.when(F.col("_fl_hashes").isNotNull(), F.transform(F.split(F.col("text"), "\n", -1), lambda x: F.xxhash64(F.lit("line"), line_key(x)))).alias("_fl_seconds")
     marked = marked.select("*", gone, second, F.size(lines).cast("long").alias("n_lines"))
     columns = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped", "kept_sha256")]
 
     def rebuild(batches):
         for b in batches:
             texts, dropped, digests = [], [], []
-            for text, hashes, l1, l2 in zip(*(b.column(c).to_pylist() for c in ("text", "_hashes", "_lines", "_seconds"))):
+            for text, hashes, l1, l2 in zip(*(b.column(c).to_pylist() for c in ("text", "_fl_hashes", "_fl_lines", "_fl_seconds"))):
                 text, n = text or "", 0
                 if hashes:
                     gone = set(zip(hashes[::2], hashes[1::2]))
