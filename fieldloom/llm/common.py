@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one NumPy step works on; a longer document is a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 #: The white space of every word and line rule here.
 SPACE = " \t\n\x0b\x0c\r"
 
