@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from fieldloom.llm.common import stored
 
 SEQUENCE, END = 4096, 2
-#: Words that a worker remembers; pieces that one task ranks.
-MEMO, RANK_ROWS = 500_000, 100_000
+#: Words that a worker remembers during a task; pieces that one task ranks.
+MEMO, RANK_ROWS = 400_000, 100_000
 #: Characters that Python, but not the tokenizer, takes for white space.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _SPACES = re.compile(r"[ \t\n\x0b\x0c\r]+")
@@ -42,6 +42,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.memo: dict[str, bytes] = {}
 
     @classmethod
@@ -57,12 +60,29 @@ class WordTokenizer:
             base, tail = (w[:-1], w[-1]) if w[-1] in ",." and len(w) > 1 else (w, "")
             plain[w] = (base.lower(), tail) if base.isascii() and base.isalpha() else (base, tail) if base.isalpha() else (w, "")
         need = [x for x in {y for pair in plain.values() for y in pair if y} if x not in self.memo]
-        for x, e in zip(need, self.tokenizer.encode_batch_fast(need, add_special_tokens=False)):
-            self.memo[x] = np.array(e.ids, "<u4").tobytes()
+        letters = [x for x in need if x.isalpha()]
+        for lo in range(0, len(letters), 2048):
+            self._learn_letters(letters[lo : lo + 2048])
+        self._learn_each([x for x in need if not x.isalpha()])
         for w, (base, tail) in plain.items():
             if w != base:
                 self.memo[w] = self.memo[base] + (self.memo[tail] if tail else b"")
 
+    def _learn_each(self, words: list[str]) -> None:
+        for x, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
+            self.memo[x] = np.array(e.ids, "<u4").tobytes()
+
+    def _learn_letters(self, words: list[str]) -> None:
+        """Words of letters alone, which are one pre-token each, in one call; a word's last id is marked as such in the vocabulary."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(cuts) != len(words):  # a word came apart in normalising
+            return self._learn_each(words)
+        raw, at = ids.tobytes(), 0
+        for x, cut in zip(words, cuts.tolist()):
+            self.memo[x] = raw[at:cut]
+            at = cut
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, as little-endian 32-bit integers."""
         split = [[] if not t else [w for w in _SPACES.split(t) if w] if _SEPARATORS.search(t) else t.split() for t in texts]
@@ -93,6 +113,7 @@ def pieces(docs: DataFrame, path: str, size: int = SEQUENCE, end: int = END, ids
                         part = raw[at : at + 4 * size]
                         rows.append((doc_id, at // 4, len(part) // 4, zlib.crc32(part), len(raw) // 4) + ((np.frombuffer(part, "<i4"),) if ids else ()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+        tokenizer.memo.clear()
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
