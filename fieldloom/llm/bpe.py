@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from fieldloom.llm.common import prefix_hashes, span_hashes
 from fieldloom.llm.mph import PerfectHash
 
-#: Pre-tokens that a worker remembers.
+#: Pre-tokens that a worker remembers; ``round_trip`` forgets them with each task.
 MEMO = 600_000
 _LOADED: dict[tuple[str, str], "BytePairCodec"] = {}
 
@@ -158,6 +158,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 digests = [hashlib.sha256(x).hexdigest() for x in ids]
                 decoded = [hashlib.sha256(codec.decode(x)).hexdigest() for x in ids]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(digests), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        codec.memo.clear()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
