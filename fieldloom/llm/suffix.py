@@ -10,10 +10,13 @@ doc_id, or in the same document at a smaller offset).
    stands for all, and the others are repeated throughout.
 3. Where a key has pieces that differ, their distinct texts are divided into shards.  Each
    shard's suffixes are sorted to the depth ``length`` and give its Burrows-Wheeler transform.
-   The transforms are merged by refining their interleave: round k stably sorts the current
-   interleave by the merged transform's symbols, which orders all suffixes by their first k
-   symbols without comparing them again.  A boundary that first shows in round k is a common
-   prefix of k - 1; the blocks left after ``length`` rounds are the repeated intervals.
+   The transforms are merged by refining their interleave: each round stably sorts the current
+   interleave by the merged transform's symbols, two at a time, which orders all suffixes by
+   two more of their first symbols without comparing them again.  The round in which a
+   boundary first shows tells a common prefix; the blocks left when ``length`` symbols are
+   sorted are the repeated intervals.
+   A key of very many differing texts, as of a line that a third of all documents hold, doesn't
+   become one group: each of its windows is dealt by its own text.
 4. The earliest window of each block stays, the others are marked, and marks meet the
    documents by doc_id.
 
@@ -37,43 +40,52 @@ from pyspark.sql import functions as F
 from fieldloom.llm.common import mix, powers, prefix_hashes, span_hashes, steps, stored, utf8
 
 LENGTH, GRAM = 100, 32
-#: Pieces that one task matches, and bytes of differing pieces whose transforms one task merges.
-TASK_PIECES, TASK_BYTES = 600_000, 1 << 20
-SHARDS = 4
+#: Pieces that one task matches, and bytes of differing pieces whose transforms are merged as one: few enough
+#: for a processor's cache, in which the merge's stable sorts take half the time.
+TASK_PIECES, GROUP_BYTES = 300_000, 24 << 10
+SHARDS = 2
+#: Busy keys (8 bytes each) that may be broadcast; more are joined by a shuffle.
+BROADCAST_KEYS = 1 << 20
+#: Differing pieces of one key that are merged as one group; of more, each window is a piece of its own, dealt by its text.
+GROUP_PIECES = 50_000
 _MOST = np.uint64((1 << 64) - 1)
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
     """row, start in the row, windows, key, content hash and whether its key stands in it twice, of each piece."""
     n, span = len(data), length - gram + 1
-    prefix = prefix_hashes(data)
+    nothing = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, bool),)
     if n < length:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, bool),)
+        return nothing
+    prefix = prefix_hashes(data)
     grams = mix((prefix[gram:] - prefix[:-gram]) * powers(n + 1)[1][: n - gram + 1])
     m = len(grams)
-    blocks = np.concatenate([grams, np.full(-m % span, _MOST)]).reshape(-1, span)
+    # the upper bits of a hash above its place: the least is the leftmost of equal hashes
+    bits = np.uint64(m.bit_length())
+    ranked = np.full(-(-m // span) * span, _MOST)
+    np.bitwise_or(grams >> bits << bits, np.arange(m, dtype=np.uint64), out=ranked[:m])
+    blocks = ranked.reshape(-1, span)
     ahead = np.minimum.accumulate(blocks, 1).ravel()
     behind = np.minimum.accumulate(blocks[:, ::-1], 1)[:, ::-1].ravel()
     least = np.minimum(behind[: m - span + 1], ahead[span - 1 : m])  # of the window at each byte
-    at = np.arange(len(least))
-    row = np.searchsorted(offsets, at, "right") - 1
-    inside = at + length <= offsets[row + 1]
-    at, row, least = at[inside], row[inside], least[inside]
+    sizes = np.diff(offsets)
+    at = np.flatnonzero(np.arange(len(least)) + length <= np.repeat(offsets[1:], sizes)[: len(least)])
     if not len(at):
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, bool),)
-    heads = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (row[1:] != row[:-1])]))
+        return nothing
+    least = least[at]
+    # runs of one place, then pieces of one key and text
+    turns = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1)]))
+    keys = grams[(least[turns] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)]
+    rows = np.searchsorted(offsets, at[turns], "right") - 1
+    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])])
+    first = np.flatnonzero(new)
+    heads = turns[first]
     windows = np.diff(np.append(heads, len(at)))
-    begin, key = at[heads], least[heads]
+    begin, key, row = at[heads], keys[first], rows[first]
     content = span_hashes(prefix, begin, begin + windows + length - 1)
-    # a key that stands twice in its piece: two windows within the piece may be equal
-    last = np.zeros(n + 1, np.int64)
-    hits = np.concatenate([[0], np.cumsum(np.isin(grams, key))]) if len(key) else last
-    ends = np.minimum(begin + windows + length - gram, m)
-    many = np.flatnonzero(hits[ends] - hits[begin] > 1)
-    twice = np.zeros(len(key), bool)
-    for i in many.tolist():
-        twice[i] = (grams[begin[i] : ends[i]] == key[i]).sum() > 1
-    return row[heads], begin - offsets[row[heads]], windows, key, content, twice
+    # equal windows of a piece have their least hash at different places
+    twice = np.diff(np.append(first, len(turns))) > 1
+    return row, begin - offsets[row], windows, key, content, twice
 
 
 _COLUMNS = [("key", np.uint64), ("content", np.uint64), ("doc", np.int64), ("start", np.int64), ("windows", np.int32), ("twice", np.int8)]
@@ -102,7 +114,7 @@ def _dealt(docs: DataFrame, parts: int, length: int) -> DataFrame:
                 if len(row):
                     held.append((key, content, ids[lo + row], start, windows, twice))
                     size += len(row)
-                if size > 400_000:
+                if size > 200_000:
                     yield flush(held)
                     held, size = [], 0
         if held:
@@ -139,7 +151,7 @@ def _met(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 class Shard:
-    """Texts, their suffixes in order (to a depth), and the symbol before each suffix.
+    """Texts, their suffixes in order (to a depth), and the two symbols before each suffix, the nearer first.
 
     Symbols are bytes plus one; 0 ends a text.  The suffix at a text's start has 0 before it.
     """
@@ -155,7 +167,11 @@ class Shard:
         self.order = self._sorted(depth)
         before = np.concatenate([[0], self.symbols[:-1]])
         before[self.starts] = 0
-        self.transform = before[self.order]
+        # the symbol before that: a text's start is preceded by its end
+        further = np.concatenate([[0, 0], self.symbols[:-2]])[: len(before)]
+        further[self.starts] = self.symbols[np.maximum(self.ends - 1, self.starts)]
+        further[np.minimum(self.starts + 1, self.ends)] = np.where(self.ends > self.starts, 0, further[self.ends])
+        self.transform = np.stack([before, further], 1)[self.order]
 
     def _sorted(self, depth: int) -> np.ndarray:
         n = len(self.symbols)
@@ -184,30 +200,38 @@ class Shard:
 
 
 def interleave(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The merge of sorted shards: for each place the shard, and its common prefix with the place before (``depth`` at most).
+    """The merge of sorted shards: for each place the shard, and its common prefix with the place before.
 
+    A round sorts by two symbols at once, so a common prefix below ``depth`` is told in twos
+    (the last symbol of an odd one isn't counted); an odd ``depth`` begins with a round of one.
     The i-th place of a shard is the shard's i-th suffix.
     """
-    symbols = np.concatenate(transforms)
-    kinds, symbols = np.unique(symbols, return_inverse=True)
-    symbols = symbols.astype(np.uint8 if len(kinds) <= 256 else np.uint16)
-    n = len(symbols)
+    both = np.concatenate(transforms)
+    kinds, dense = np.unique(both, return_inverse=True)
+    near, further = dense.reshape(both.shape).T.astype(np.uint32)
+    pairs = further * np.uint32(len(kinds)) + near
+    if len(kinds) <= 256:  # numbers of two bytes, which stable sorts go through by radix
+        near, pairs = near.astype(np.uint16), pairs.astype(np.uint16)
+    n = len(both)
     shard = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t) for t in transforms])
     source = np.arange(n)  # place in the shards' transforms, end to end
-    block = np.zeros(n, np.int32)
-    common = np.full(n, depth, np.int16)
-    ordinal = np.arange(n)
-    for k in range(1, depth + 1):
-        c = symbols[source]
+    block, ordinal = np.zeros(n, np.int32), np.arange(n)
+    common, fresh = np.zeros(n, np.int16), np.ones(n, bool)
+    for step in [1] * (depth % 2) + [2] * (depth // 2):
+        c = (pairs if step == 2 else near)[source]
         move = np.argsort(c, kind="stable")
         shard, moved, c = shard[move], block[move], c[move]
-        fresh = np.concatenate([[True], (c[1:] != c[:-1]) | (moved[1:] != moved[:-1])])
-        common[fresh & (common == depth)] = k - 1
+        np.not_equal(c[1:], c[:-1], out=fresh[1:])
+        fresh[1:] |= moved[1:] != moved[:-1]
+        common += step * ~fresh
         block = np.cumsum(fresh, dtype=np.int32)
-        by_shard = np.argsort(shard, kind="stable")
-        source[by_shard] = ordinal
         if block[-1] == n:
             break
+        if len(transforms) == 2:
+            second = np.cumsum(shard, dtype=np.int64)
+            source = np.where(shard, second + (len(transforms[0]) - 1), ordinal - second)
+        else:
+            source[np.argsort(shard, kind="stable")] = ordinal
     return shard, common
 
 
@@ -235,20 +259,22 @@ def repeated_windows(doc: np.ndarray, start: np.ndarray, texts: list[bytes], len
     return docs_[later], offs[later]
 
 
-def marks(docs: DataFrame, length: int = LENGTH, task_pieces: int = TASK_PIECES, task_bytes: int = TASK_BYTES) -> DataFrame:
+def marks(docs: DataFrame, length: int = LENGTH, task_pieces: int = TASK_PIECES, group_bytes: int = GROUP_BYTES, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """(doc_id, start, windows): runs of windows that are equal to earlier ones."""
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, math.ceil(size / ((length - GRAM) / 2) / task_pieces))
     met = _dealt(docs, parts, length).groupBy("part").applyInPandas(_met, "first boolean, doc_id long, start long, windows long, key long")
     met = stored(met, "met")
-    first = met.where("first")
-    total = first.agg(F.coalesce(F.sum(F.col("windows") + length - 1), F.lit(0))).first()[0]
+    # keys of very many differing texts, fewer than one for each ``group_pieces`` pieces
+    busy = stored(met.where("first").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_pieces).select("key", F.lit(True).alias("busy")), "busy")
+    first = met.where("first").join(F.broadcast(busy) if busy.count() <= BROADCAST_KEYS else busy, "key", "left").withColumn("busy", F.coalesce("busy", F.lit(False)))
+    total = first.agg(F.coalesce(F.sum(F.when(F.col("busy"), F.col("windows") * length).otherwise(F.col("windows") + length - 1)), F.lit(0))).first()[0]
     covered = met.where("not first").select("doc_id", "start", "windows")
     if not total:
         return covered
-    tasks = max(1, math.ceil(total / task_bytes))
-    asked = first.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "key")).alias("asked"))
+    tasks = max(1, math.ceil(total / group_bytes))
+    asked = first.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "key", "busy")).alias("asked"))
 
     def cut(batches):
         for batch in batches:
@@ -257,7 +283,13 @@ def marks(docs: DataFrame, length: int = LENGTH, task_pieces: int = TASK_PIECES,
                 rows = []
                 for doc_id, text, wanted in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("asked").to_pylist()):
                     raw = text.encode()
-                    rows += [(w["key"], doc_id, w["start"], raw[w["start"] : w["start"] + w["windows"] + length - 1]) for w in wanted]
+                    for w in wanted:
+                        at, key = w["start"], w["key"]
+                        if w["busy"]:
+                            texts = [raw[i : i + length] for i in range(at, at + w["windows"])]
+                            rows += [(int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little", signed=True), doc_id, at + i, t) for i, t in enumerate(texts)]
+                        else:
+                            rows.append((key, doc_id, at, raw[at : at + w["windows"] + length - 1]))
                 keys, ids, starts, texts = zip(*rows)
                 task = (mix(np.array(keys, np.int64).view(np.uint64) ^ np.uint64(0x5DEECE66D)) % np.uint64(tasks)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(task), pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(texts, pa.binary())], ["task", "doc_id", "start", "piece"])
@@ -286,15 +318,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, **sizes) -> DataFrame:
     """``docs`` with kept_text, n_bytes, n_removed, n_spans and kept_sha256."""
     own = ["kept_text", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     columns = [c for c in docs.columns if c not in own]
-    found = stored(marks(docs, length, **sizes), "marks").groupBy(F.col("doc_id").alias("_marked_id")).agg(F.collect_list("start").alias("_starts"), F.collect_list(F.col("start") + F.col("windows") + length - 1).alias("_ends"))
-    joined = docs.select(*columns).join(found, F.col("doc_id") == F.col("_marked_id"), "left")
+    found = stored(marks(docs, length, **sizes), "marks").groupBy(F.col("doc_id").alias("_fl_marked_id")).agg(F.collect_list("start").alias("_fl_starts"), F.collect_list(F.col("start") + F.col("windows") + length - 1).alias("_fl_ends"))
+    joined = docs.select(*columns).join(found, F.col("doc_id") == F.col("_fl_marked_id"), "left")
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 b = batch.slice(lo, 256)
                 rows = []
-                for text, starts, ends in zip(b.column("text").to_pylist(), b.column("_starts"), b.column("_ends")):
+                for text, starts, ends in zip(b.column("text").to_pylist(), b.column("_fl_starts"), b.column("_fl_ends")):
                     raw, gone, n_spans = (text or "").encode(), 0, 0
                     kept = raw
                     if starts.is_valid:
