@@ -1,4 +1,4 @@
-"""Connected components of a large graph by label propagation with pointer jumping."""
+"""Connected components of a large graph by contraction, with pointer jumping."""
 
 from __future__ import annotations
 
@@ -8,24 +8,31 @@ from pyspark.sql import functions as F
 from fieldloom.llm.common import stored
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, label) for every end of (a, b): label is the smallest id of its component.
 
-    Each round takes the smallest label among neighbours, then the label of that label, so a
-    path shrinks by more than half; rounds stop when nothing changes.  Tables between rounds
-    are written to the shared folder.
+    In each round every vertex that still has neighbours takes the smallest of them as its
+    parent.  Such choices meet in pairs alone (the smallest vertex of a cycle and its parent
+    choose each other), and of a pair the smaller becomes a root.  Pointers are doubled until
+    all lead to roots, and edges between roots are the next round's graph.  Each root has taken
+    up another vertex at least, so a round halves the vertices that have neighbours, in whatever
+    order their ids are, and a round doubles its pointers at most log2 of its longest path
+    times: no limit of rounds is needed.  Tables between rounds are written to the shared folder.
     """
-    both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stored(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).select(F.col("a").alias("id"), "label"), "labels")
-    for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("id").alias("b"), F.col("label").alias("l")), "b").groupBy("a").agg(F.min("l").alias("l"))
-        merged = labels.join(near.withColumnRenamed("a", "id"), "id", "left").select("id", F.col("label").alias("old"), F.least("label", F.coalesce("l", "label")).alias("label"))
-        # the new label's own label, which is never larger
-        jump = labels.select(F.col("id").alias("label"), F.col("label").alias("l"))
-        labels = stored(merged.join(jump, "label", "left").select("id", "old", F.least("label", F.coalesce("l", "label")).alias("label")), "labels")
-        if labels.where("label <> old").isEmpty():
-            break
-        labels = labels.drop("old")
-    else:
-        raise RuntimeError("labels haven't settled")
-    return labels.select("id", "label")
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = stored(both.select(F.col("a").alias("id"), F.col("a").alias("root")).distinct(), "labels")
+    both = stored(both.where("a <> b").distinct(), "edges")
+    while not both.isEmpty():
+        chosen = stored(both.groupBy("a").agg(F.min("b").alias("p")), "chosen")
+        back = chosen.select(F.col("a").alias("p"), F.col("p").alias("up"))
+        parents = stored(chosen.join(back, "p").select("a", F.when((F.col("up") == F.col("a")) & (F.col("a") < F.col("p")), F.col("a")).otherwise(F.col("p")).alias("p")), "parents")
+        while True:
+            up = parents.select(F.col("a").alias("p"), F.col("p").alias("up"))
+            parents = stored(parents.join(up, "p").select("a", F.col("p").alias("old"), F.col("up").alias("p")), "parents")
+            if parents.where("p <> old").isEmpty():
+                break
+        parents = parents.select("a", "p")
+        labels = stored(labels.join(parents.select(F.col("a").alias("root"), "p"), "root", "left").select("id", F.coalesce("p", "root").alias("root")), "labels")
+        ends = both.join(parents, "a").select("b", F.col("p").alias("pa")).join(parents.select(F.col("a").alias("b"), F.col("p").alias("pb")), "b")
+        both = stored(ends.where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(), "edges")
+    return labels.join(labels.groupBy("root").agg(F.min("id").alias("label")), "root").select("id", "label")

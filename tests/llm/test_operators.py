@@ -60,6 +60,17 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_numbered_chains(spark):
+    """Long chains numbered in order, at random, and with the smallest id at the end of a rise; versions linked with the next four."""
+    n, rng = 3000, np.random.default_rng(11)
+    parts = [np.arange(n), rng.permutation(n), np.append(np.arange(1, n), 0), rng.permutation(n)]
+    edges = [(10_000 * k + int(p[i]), 10_000 * k + int(p[i + d])) for k, p in enumerate(parts) for d in ((1, 2, 3, 4) if k == 3 else (1,)) for i in range(n - d)]
+    got = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {(r["id"], r["label"]) for r in got} == {(10_000 * k + i, 10_000 * k) for k in range(4) for i in range(n)} and len(got) == 4 * n
+    loop = components.components(spark.createDataFrame([(5, 5), (7, 6), (6, 7)], "a long, b long")).collect()
+    assert {r["id"]: r["label"] for r in loop} == {5: 5, 6: 6, 7: 6}
+
+
 # 1
 
 
