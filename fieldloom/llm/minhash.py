@@ -9,12 +9,15 @@ emitted.  Equal sets become one representative first.  Then, round by round:
 
 1. every member of a bucket is compared with the bucket's smallest member;
 2. in buckets that still span several groups, every member outside the bucket's largest group
-   is compared by signatures, in blocks of bounded size, with the members of other groups, and
-   its likeliest partner is confirmed;
+   is compared by signatures, in tiles of two blocks of about ``BLOCK`` members, with the members
+   of other groups, and its likeliest partner of each tile is confirmed;
 3. in buckets that span several groups even then, all pairs across groups that signatures
-   don't rule out are compared on full sets, block by block; what leaves a block is one link
+   don't rule out are compared on full sets, tile by tile; what leaves a tile is one link
    for each member and group that it links, so no link between groups is lost for a cap.
 
+A tile is the most that a task holds, however large the bucket.  Members that link to nothing
+are all compared with each other, so m of them in a bucket make about m * m / BLOCK rows.
+
 Signatures rule a pair out only far below the threshold (``SLACK``).  A pair at the threshold
 shares no bucket with probability (1 - 0.8^5)^40, about 1e-7.
 
@@ -42,7 +45,7 @@ PERMUTATIONS = BANDS * ROWS // 2
 #: Signature similarity, in values of the signature, below which a pair isn't confirmed: the
 #: expectation at the threshold less about six standard deviations.
 SLACK = 34
-#: Members of a bucket that one task compares others with.
+#: Members of a block, about: blocks are dealt by hash, and a task compares two of them at a time.
 BLOCK = 1000
 #: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
@@ -182,7 +185,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
 
 
 def _grouped(rows: DataFrame, compare, schema: str) -> DataFrame:
-    """``compare`` (a table of one bucket's block -> a record batch or None) over the rows of each (key, block), streamed in order."""
+    """``compare`` (a table of one bucket's tile -> a record batch or None) over the rows of each (key, block), streamed in order."""
     dealt = rows.repartition("key", "block").sortWithinPartitions("key", "block")
 
     def run(batches):
@@ -200,7 +203,7 @@ def _grouped(rows: DataFrame, compare, schema: str) -> DataFrame:
                 continue
             table = pa.Table.from_batches([b])
             table = pa.concat_tables([left, table]) if left is not None else table
-            # all but the last bucket's block is complete
+            # all but the last bucket's tile is complete
             key, block = table.column("key").to_numpy(), table.column("block").to_numpy()
             last = np.flatnonzero((key != key[-1]) | (block != block[-1]))
             cut = int(last[-1]) + 1 if len(last) else 0
@@ -213,38 +216,61 @@ def _grouped(rows: DataFrame, compare, schema: str) -> DataFrame:
     return dealt.mapInArrow(run, schema)
 
 
+_TILED = ["key", "block", "id", "label", "minor", "asks", "asked"]
+
+
 def _columns(part: pa.Table):
-    return (part.column(c).to_numpy(zero_copy_only=False) for c in ("id", "label", "minor", "at_home"))
+    return (part.column(c).to_numpy(zero_copy_only=False) for c in ("id", "label", "minor", "asks", "asked"))
 
 
 def _mixed(bands: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, block, id, label, minor, at_home) of the members of buckets that span several groups.
+    """(key, block, id, label, minor, asks, asked) of the members of buckets that span several groups.
 
-    Members of a bucket's largest group stand in one block; the others, which are minor, are
-    taken to all blocks of their bucket, and are at home in one.
+    Members of a bucket's largest group and the others, which are minor, are dealt to blocks
+    each.  ``block`` is a tile: a block of minor members, which ask, and one of the largest
+    group or another one of minor members, who are asked.  In its tile with the largest group's
+    first block, a minor block is asked too, so every pair across groups that has a minor member
+    meets in one tile, and a tile has two blocks at most.
     """
     rows = bands.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     groups = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = groups.groupBy("key").agg(F.count(F.lit(1)).alias("groups"), F.max_by("label", F.struct("n", "label")).alias("top"), F.sum("n").alias("members")).where("groups > 1")
-    rows = rows.join(mixed, "key").select("key", "id", "label", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"), (F.col("label") != F.col("top")).alias("minor"))
-    rows = rows.withColumn("home", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    rows = rows.withColumn("block", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("home"))))
-    return rows.select("key", "block", "id", "label", "minor", (F.col("home") == F.col("block")).alias("at_home"))
+    mixed = groups.groupBy("key").agg(F.count(F.lit(1)).alias("groups"), F.max_by("label", F.struct("n", "label")).alias("top"), F.max("n").alias("most"), F.sum("n").alias("members")).where("groups > 1")
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("long")
+    rows = rows.join(mixed, "key").select("key", "id", "label", (F.col("label") != F.col("top")).alias("minor"), blocks(F.col("most")).alias("tops"), blocks(F.col("members") - F.col("most")).alias("minors"))
+    rows = rows.withColumn("home", F.pmod(F.xxhash64("id"), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("tops"))))
+    # a tile is the asking block's number times the count of all blocks, and the asked block's number, the largest group's first
+    tile = lambda asking, asked: asking * (F.col("tops") + F.col("minors")) + asked
+    item = lambda block, asks, asked: F.struct(block.alias("block"), asks.alias("asks"), asked.alias("asked"))
+    home, yes, no = F.col("home"), F.lit(True), F.lit(False)
+    to_tops = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tops") - 1), lambda j: item(tile(home, j), yes, j == 0))
+    later = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("minors") - 1), lambda j: j > home), lambda j: item(tile(home, F.col("tops") + j), yes, no))
+    earlier = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("minors") - 1), lambda j: j < home), lambda j: item(tile(j, F.col("tops") + home), no, yes))
+    of_top = F.transform(F.sequence(F.lit(0).cast("long"), F.col("minors") - 1), lambda i: item(tile(i, home), no, yes))
+    rows = rows.withColumn("at", F.explode(F.when(F.col("minor"), F.concat(to_tops, later, earlier)).otherwise(of_top)))
+    return rows.select("key", "at.block", "id", "label", "minor", "at.asks", "at.asked")
 
 
 def _likeliest(mixed: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
-    """(a, b): for each minor member of a bucket the likeliest member of another group."""
+    """(a, b): for each minor member of a tile the likeliest member of another group."""
 
     def compare(part):
-        ids, labels, minor, home = _columns(part)
+        ids, labels, minor, asks, asked = _columns(part)
         sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
-        others, out = np.flatnonzero(home), []
-        for i in np.flatnonzero(minor).tolist():
+        others = np.flatnonzero(asked)
+        most, best = np.zeros(len(ids), np.int64), np.full(len(ids), np.iinfo(np.int64).max)
+        for i in np.flatnonzero(asks).tolist():
             there = others[labels[others] != labels[i]]
             same = (sig[there] == sig[i]).sum(1)
-            if len(same) and same.max() >= least:
-                j = there[same == same.max()]
-                out.append(sorted((ids[i], ids[j].min())))
+            near = same >= least
+            there, same = there[near], same[near]
+            if not len(there):
+                continue
+            first = ids[there[same == same.max()]].min()
+            if (same.max(), -first) > (most[i], -best[i]):
+                most[i], best[i] = same.max(), first
+            better = (same > most[there]) | ((same == most[there]) & (ids[i] < best[there]))
+            most[there[better]], best[there[better]] = same[better], ids[i]
+        out = [sorted((ids[i], best[i])) for i in np.flatnonzero(minor & (most > 0)).tolist()]
         if out:
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out]), pa.array([x[1] for x in out])], ["a", "b"])
 
@@ -252,45 +278,45 @@ def _likeliest(mixed: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
 
 
 def _possible(mixed: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
-    """The rows of ``mixed`` that signatures don't rule out: those with a likely partner in another group of their block."""
+    """The rows of ``mixed`` that signatures don't rule out: those with a likely partner in another group of their tile."""
 
     def compare(part):
-        ids, labels, minor, home = _columns(part)
+        ids, labels, _, asks, asked = _columns(part)
         sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
         found = np.zeros(len(ids), bool)
-        for i in np.flatnonzero(minor).tolist():
-            there = np.flatnonzero(home & (labels != labels[i]))
+        for i in np.flatnonzero(asks).tolist():
+            there = np.flatnonzero(asked & (labels != labels[i]))
             near = there[(sig[there] == sig[i]).sum(1) >= least]
             found[near] = True
             found[i] |= len(near) > 0
         if found.any():
-            return part.filter(pa.array(found)).drop_columns(["sig"]).select(["key", "block", "id", "label", "minor", "at_home"]).to_batches()[0]
+            return part.filter(pa.array(found)).select(_TILED).to_batches()[0]
 
-    return _grouped(mixed.join(sigs, "id"), compare, "key long, block int, id long, label long, minor boolean, at_home boolean")
+    return _grouped(mixed.join(sigs, "id"), compare, "key long, block long, id long, label long, minor boolean, asks boolean, asked boolean")
 
 
 def _links_across(possible: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b, linked): for each minor member and each other group of its block, its most similar member if that is a link.
+    """(a, b, linked): for each asking member and each other group of its tile, its most similar member if that is a link.
 
-    Every pair of a block that spans two groups is compared here on full sets; the rows that
+    Every pair of a tile that spans two groups is compared here on full sets; the rows that
     leave the task are links alone.
     """
     possible = stored(possible, "possible")
     sets = _wanted_sets(docs, possible.select(F.col("id").alias("doc_id")).distinct(), size)
 
     def compare(part):
-        ids, labels, minor, home = _columns(part)
+        ids, labels, _, asks, asked = _columns(part)
         items = [np.frombuffer(x.as_py(), np.uint64) for x in part.column("items")]
         n = np.array([len(x) for x in items])
         heads = np.concatenate([[0], np.cumsum(n)])
         _, dense = np.unique(np.concatenate(items), return_inverse=True)
         out = set()
-        for i in np.flatnonzero(minor).tolist():
+        for i in np.flatnonzero(asks).tolist():
             mark = np.zeros(int(dense.max()) + 1, np.int64)
             mark[dense[heads[i] : heads[i + 1]]] = 1
             common = np.add.reduceat(mark[dense], heads[:-1])
             union = n + n[i] - common
-            there = np.flatnonzero(home & (labels != labels[i]) & (100 * common >= percent * union))
+            there = np.flatnonzero(asked & (labels != labels[i]) & (100 * common >= percent * union))
             for label in np.unique(labels[there]):
                 own = there[labels[there] == label]
                 out.add(tuple(sorted((int(ids[i]), int(ids[own[np.argmax(common[own] / union[own])]])))))

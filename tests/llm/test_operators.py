@@ -122,6 +122,26 @@ def test_near_duplicates_spread_group(spark):
     assert minhash.near_duplicates(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_tiles_of_a_bucket_of_unlinked_members(spark):
+    """No task holds more than two blocks of a bucket, and every pair across groups meets in one tile."""
+    n, block = 600, 50
+    bands = spark.range(n).select(F.lit(7).cast("long").alias("key"), "id")
+    labels = spark.range(n).where("id < 150 or id >= 590").select("id", F.when(F.col("id") < 150, F.lit(0)).otherwise(F.lit(590)).cast("long").alias("label"))
+    old, minhash.BLOCK = minhash.BLOCK, block
+    try:
+        rows = minhash._mixed(bands, labels).collect()
+    finally:
+        minhash.BLOCK = old
+    tiles, met = collections.defaultdict(list), collections.Counter()
+    for r in rows:
+        tiles[r["key"], r["block"]].append(r)
+    assert max(map(len, tiles.values())) < 3 * block
+    for t in tiles.values():
+        met.update({tuple(sorted((x["id"], y["id"]))) for x in t if x["asks"] for y in t if y["asked"] and x["label"] != y["label"]})
+    label = {r["id"]: r["label"] for r in rows}
+    assert met == {(a, b): 1 for a in range(n) for b in range(a + 1, n) if label[a] != label[b]}
+
+
 # 3
 
 
