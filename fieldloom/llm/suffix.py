@@ -7,7 +7,10 @@ doc_id, or in the same document at a smaller offset).
    so equal windows have equal keys.  Neighbouring windows of one key form a piece; a document
    has about one piece for each thirty-five bytes.
 2. Pieces meet by key.  A key met once has no repeated window.  Of equal pieces the earliest
-   stands for all, and the others are repeated throughout.
+   stands for all, and the others are repeated throughout.  This is done first within every
+   ``FLUSH_PIECES`` pieces of a task, so of a text that very many documents hold few pieces
+   meet.  A key that has over ``WIDE_TEXTS`` texts among those is wide: its pieces meet by
+   their text, all of them count as differing, and a row without a document tells the others.
 3. Where a key has pieces that differ, their distinct texts are divided into shards.  Each
    shard's suffixes are sorted to the depth ``length`` and give its Burrows-Wheeler transform.
    The transforms are merged by refining their interleave: each round stably sorts the current
@@ -48,6 +51,8 @@ SHARDS = 2
 BROADCAST_KEYS = 1 << 20
 #: Differing pieces of one key that are merged as one group; of more, each window is a piece of its own, dealt by its text.
 GROUP_PIECES = 50_000
+#: Pieces that a task reduces before they are dealt, and the most texts of one key among them that are dealt by their key.
+FLUSH_PIECES, WIDE_TEXTS = 200_000, 16
 _MOST = np.uint64((1 << 64) - 1)
 
 
@@ -88,15 +93,40 @@ def pieces(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: in
     return row, begin - offsets[row], windows, key, content, twice
 
 
-_COLUMNS = [("key", np.uint64), ("content", np.uint64), ("doc", np.int64), ("start", np.int64), ("windows", np.int32), ("twice", np.int8)]
+#: kind: bits for a key that stands twice, a piece that an earlier one covers, a wide key's piece, and a row that tells of one.
+_COLUMNS = [("key", np.uint64), ("content", np.uint64), ("doc", np.int64), ("start", np.int64), ("windows", np.int32), ("kind", np.int8)]
+_TWICE, _COVERED, _WIDE, _TELLS = 1, 2, 4, 8
 
 
-def _dealt(docs: DataFrame, parts: int, length: int) -> DataFrame:
-    """(part, blob): pieces by a hash of their key, many to a row."""
+def _ordered(key, content, doc, start, windows, kind):
+    """The columns by key, content and place, and where a key and a text begin."""
+    order = np.lexsort((start, doc, content, key))
+    columns = [c[order] for c in (key, content, doc, start, windows, kind)]
+    key, content = columns[:2]
+    new_key = np.concatenate([[True], key[1:] != key[:-1]])
+    return columns, new_key, new_key | np.concatenate([[True], content[1:] != content[:-1]])
+
+
+def _reduced(columns: list[np.ndarray], wide_texts: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """What the pieces are dealt by, and the pieces: all but the first of equal ones are covered, and wide keys are told of."""
+    (key, content, doc, start, windows, kind), new_key, new_text = _ordered(*columns)
+    kind = kind | np.where(new_text, 0, _COVERED).astype(np.int8)
+    group = np.cumsum(new_key) - 1
+    wide = np.bincount(group, new_text) > wide_texts
+    kind |= np.where(wide[group] & new_text, _WIDE, 0).astype(np.int8)
+    told = key[new_key][wide]
+    by = np.where(kind & _COVERED, mix(doc.view(np.uint64) ^ mix(start.view(np.uint64))), np.where(kind & _WIDE, mix(key ^ mix(content)), key))
+    nothing = np.zeros(len(told), np.int64)
+    rows = (told, nothing.view(np.uint64), nothing, nothing, nothing.astype(np.int32), np.full(len(told), _TELLS, np.int8))
+    return np.concatenate([by, told]), [np.concatenate(c) for c in zip((key, content, doc, start, windows, kind), rows)]
+
+
+def _dealt(docs: DataFrame, parts: int, length: int, flush_pieces: int, wide_texts: int) -> DataFrame:
+    """(part, blob): pieces by a hash of their key, many to a row; covered ones by their place, a wide key's by their text."""
 
     def flush(held):
-        columns = [np.concatenate(c) for c in zip(*held)]
-        part = (mix(columns[0]) % np.uint64(parts)).astype(np.int64)
+        by, columns = _reduced([np.concatenate(c) for c in zip(*held)], wide_texts)
+        part = (mix(by) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         part, columns = part[order], [c[order] for c in columns]
         cuts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]]).tolist()
@@ -112,9 +142,9 @@ def _dealt(docs: DataFrame, parts: int, length: int) -> DataFrame:
             for lo, hi in steps(offsets):
                 row, start, windows, key, content, twice = pieces(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], length)
                 if len(row):
-                    held.append((key, content, ids[lo + row], start, windows, twice))
+                    held.append((key, content, ids[lo + row], start, windows, twice.astype(np.int8)))
                     size += len(row)
-                if size > 200_000:
+                if size > flush_pieces:
                     yield flush(held)
                     held, size = [], 0
         if held:
@@ -135,16 +165,19 @@ def _unpacked(blobs) -> list[np.ndarray]:
 
 def _met(pdf: pd.DataFrame) -> pd.DataFrame:
     """Repeated pieces of a part: those that an earlier equal piece covers, and the first of each text where texts differ."""
-    key, content, doc, start, windows, twice = _unpacked(pdf["blob"])
-    order = np.lexsort((start, doc, content, key))
-    key, content, doc, start, windows, twice = (c[order] for c in (key, content, doc, start, windows, twice))
-    new_key = np.concatenate([[True], key[1:] != key[:-1]])
-    new_text = new_key | np.concatenate([[True], content[1:] != content[:-1]])
-    group = np.cumsum(new_key) - 1
-    texts, odd = np.bincount(group, new_text), np.bincount(group, twice)
+    columns = _unpacked(pdf["blob"])
+    covered = columns[5] & _COVERED > 0
+    _, _, *gone, _ = (c[covered] for c in columns)
+    (key, content, doc, start, windows, kind), new_key, new_text = _ordered(*(c[~covered] for c in columns))
+    if not len(key):
+        new_key = new_text = np.zeros(0, bool)
+    group, tells = np.cumsum(new_key) - 1, kind & _TELLS > 0
+    texts, odd = np.bincount(group, new_text), np.bincount(group, kind & (_TWICE | _WIDE | _TELLS) > 0)
     differ = new_text & ((texts[group] > 1) | (odd[group] > 0))
-    out = ~new_text | differ
-    return pd.DataFrame({"first": differ[out], "doc_id": doc[out], "start": start[out], "windows": windows[out].astype(np.int64), "key": key[out].view(np.int64)})
+    out = (~new_text | differ) & ~tells
+    places = [np.concatenate([c[out], g]).astype(np.int64) for c, g in zip((doc, start, windows), gone)]
+    none = np.zeros(len(gone[0]), np.int64)
+    return pd.DataFrame({"first": np.concatenate([differ[out], none > 0]), "doc_id": places[0], "start": places[1], "windows": places[2], "key": np.concatenate([key[out].view(np.int64), none])})
 
 
 # transforms
@@ -259,12 +292,12 @@ def repeated_windows(doc: np.ndarray, start: np.ndarray, texts: list[bytes], len
     return docs_[later], offs[later]
 
 
-def marks(docs: DataFrame, length: int = LENGTH, task_pieces: int = TASK_PIECES, group_bytes: int = GROUP_BYTES, group_pieces: int = GROUP_PIECES) -> DataFrame:
+def marks(docs: DataFrame, length: int = LENGTH, task_pieces: int = TASK_PIECES, group_bytes: int = GROUP_BYTES, group_pieces: int = GROUP_PIECES, flush_pieces: int = FLUSH_PIECES, wide_texts: int = WIDE_TEXTS) -> DataFrame:
     """(doc_id, start, windows): runs of windows that are equal to earlier ones."""
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, math.ceil(size / ((length - GRAM) / 2) / task_pieces))
-    met = _dealt(docs, parts, length).groupBy("part").applyInPandas(_met, "first boolean, doc_id long, start long, windows long, key long")
+    met = _dealt(docs, parts, length, flush_pieces, wide_texts).groupBy("part").applyInPandas(_met, "first boolean, doc_id long, start long, windows long, key long")
     met = stored(met, "met")
     # keys of very many differing texts, fewer than one for each ``group_pieces`` pieces
     busy = stored(met.where("first").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_pieces).select("key", F.lit(True).alias("busy")), "busy")

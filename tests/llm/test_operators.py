@@ -165,6 +165,28 @@ def test_passages_of_odd_texts(spark):
     assert suffix.remove_repeats(docs_of(spark, texts).limit(0)).count() == 0
 
 
+@pytest.fixture(scope="session")
+def spread_passage():
+    """A passage in differing contexts, a text that many documents hold whole, and what is left of them."""
+    rng = np.random.default_rng(9)
+    word = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    passage, whole = word(180), word(300)
+    texts = [whole if i % 3 == 0 else word(60) + passage + word(60) for i in range(240)] + [passage, whole[:120]]
+    return texts, {i: (*x[:3], brute.sha(x[3])) for i, x in brute.passages(list(enumerate(texts))).items()}
+
+
+def test_passages_of_busy_keys_are_reduced_and_dealt(spark, spread_passage):
+    texts, expected = spread_passage
+    df = docs_of(spark, texts)
+    for sizes in ({"flush_pieces": 300, "wide_texts": 4}, {"flush_pieces": 1, "wide_texts": 1}, {"flush_pieces": 300, "wide_texts": 4, "task_pieces": 50, "group_pieces": 10}):
+        assert _passages(df, **sizes) == expected
+    # the texts that many hold and the texts of one key don't meet in one part
+    dealt = suffix._dealt(df.coalesce(1), 64, suffix.LENGTH, 1 << 20, 4).groupBy("part").agg(F.collect_list("blob").alias("blob")).collect()
+    held = [suffix._unpacked(r["blob"]) for r in dealt]
+    apart = [np.bincount(np.unique(k[x & suffix._COVERED == 0], return_inverse=True)[1]).max(initial=0) for k, *_, x in held]
+    assert max(apart) < 20 and sum(len(k) for k, *_ in held) > 1000
+
+
 def test_interleave_sorts_all_suffixes():
     rng = np.random.default_rng(1)
     texts = [bytes(rng.integers(97, 99, int(n)).astype(np.uint8)) for n in rng.integers(0, 40, 30)]
