@@ -19,7 +19,8 @@ doc_id, or in the same document at a smaller offset).
    boundary first shows tells a common prefix; the blocks left when ``length`` symbols are
    sorted are the repeated intervals.
    A key of very many differing texts, as of a line that a third of all documents hold, doesn't
-   become one group: each of its windows is dealt by its own text.
+   become one group: each of its windows is dealt by its own text.  Of equal ones among
+   ``HELD_WINDOWS`` differing windows a task deals the earliest alone and marks the others.
 4. The earliest window of each block stays, the others are marked, and marks meet the
    documents by doc_id.
 
@@ -53,6 +54,8 @@ BROADCAST_KEYS = 1 << 20
 GROUP_PIECES = 50_000
 #: Pieces that a task reduces before they are dealt, and the most texts of one key among them that are dealt by their key.
 FLUSH_PIECES, WIDE_TEXTS = 200_000, 16
+#: Differing windows of busy keys (100 bytes each) that a task holds to reduce equal ones.
+HELD_WINDOWS = 100_000
 _MOST = np.uint64((1 << 64) - 1)
 
 
@@ -292,7 +295,52 @@ def repeated_windows(doc: np.ndarray, start: np.ndarray, texts: list[bytes], len
     return docs_[later], offs[later]
 
 
-def marks(docs: DataFrame, length: int = LENGTH, task_pieces: int = TASK_PIECES, group_bytes: int = GROUP_BYTES, group_pieces: int = GROUP_PIECES, flush_pieces: int = FLUSH_PIECES, wide_texts: int = WIDE_TEXTS) -> DataFrame:
+def _cutter(length: int, tasks: int, held_windows: int):
+    """Batches of (doc_id, text, asked) -> (task, doc_id, start, piece): texts of pieces and of windows of busy keys, and marked windows without a text."""
+
+    def cut(batches):
+        held = {}  # of busy keys, window -> its earliest place so far
+
+        def dealt(rows):
+            keys, ids, starts, texts = zip(*rows)
+            task = (mix(np.array(keys, np.int64).view(np.uint64) ^ np.uint64(0x5DEECE66D)) % np.uint64(tasks)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(task), pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(texts, pa.binary())], ["task", "doc_id", "start", "piece"])
+
+        def let_go():
+            items = list(held.items())
+            held.clear()
+            for lo in range(0, len(items), 20_000):
+                yield dealt([(int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little", signed=True), *place, t) for t, place in items[lo : lo + 20_000]])
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                b = batch.slice(lo, 256)
+                rows = []
+                for doc_id, text, wanted in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("asked").to_pylist()):
+                    raw = text.encode()
+                    for w in wanted:
+                        at, key = w["start"], w["key"]
+                        if w["busy"]:
+                            for i in range(at, at + w["windows"]):
+                                window, place = raw[i : i + length], (doc_id, i)
+                                first = held.setdefault(window, place)
+                                if first != place:
+                                    # the later one is marked: a row without a piece
+                                    held[window], later = min(first, place), max(first, place)
+                                    rows.append((later[0], *later, None))
+                            if len(held) >= held_windows:
+                                yield from let_go()
+                        else:
+                            rows.append((key, doc_id, at, raw[at : at + w["windows"] + length - 1]))
+                if rows:
+                    yield dealt(rows)
+        if held:
+            yield from let_go()
+
+    return cut
+
+
+def marks(docs: DataFrame, length: int = LENGTH, task_pieces: int = TASK_PIECES, group_bytes: int = GROUP_BYTES, group_pieces: int = GROUP_PIECES, flush_pieces: int = FLUSH_PIECES, wide_texts: int = WIDE_TEXTS, held_windows: int = HELD_WINDOWS) -> DataFrame:
     """(doc_id, start, windows): runs of windows that are equal to earlier ones."""
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -309,32 +357,20 @@ def marks(docs: DataFrame, length: int = LENGTH, task_pieces: int = TASK_PIECES,
     tasks = max(1, math.ceil(total / group_bytes))
     asked = first.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "key", "busy")).alias("asked"))
 
-    def cut(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                b = batch.slice(lo, 256)
-                rows = []
-                for doc_id, text, wanted in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("asked").to_pylist()):
-                    raw = text.encode()
-                    for w in wanted:
-                        at, key = w["start"], w["key"]
-                        if w["busy"]:
-                            texts = [raw[i : i + length] for i in range(at, at + w["windows"])]
-                            rows += [(int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little", signed=True), doc_id, at + i, t) for i, t in enumerate(texts)]
-                        else:
-                            rows.append((key, doc_id, at, raw[at : at + w["windows"] + length - 1]))
-                keys, ids, starts, texts = zip(*rows)
-                task = (mix(np.array(keys, np.int64).view(np.uint64) ^ np.uint64(0x5DEECE66D)) % np.uint64(tasks)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(task), pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(texts, pa.binary())], ["task", "doc_id", "start", "piece"])
-
     def merged(pdf: pd.DataFrame) -> pd.DataFrame:
-        doc, at = repeated_windows(pdf["doc_id"].to_numpy(), pdf["start"].to_numpy(), list(pdf["piece"]), length)
+        doc, at = pdf["doc_id"].to_numpy(), pdf["start"].to_numpy()
+        given = pdf["piece"].notna().to_numpy()
+        marked = doc[~given], at[~given]
+        if given.any():
+            found = repeated_windows(doc[given], at[given], list(pdf["piece"][given]), length)
+            marked = [np.concatenate(c) for c in zip(marked, found)]
+        doc, at = marked
         order = np.lexsort((at, doc))
         doc, at = doc[order], at[order]
         heads = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)])) if len(doc) else np.zeros(0, np.int64)
         return pd.DataFrame({"doc_id": doc[heads], "start": at[heads], "windows": np.diff(np.append(heads, len(doc)))})
 
-    cuts = docs.join(asked, "doc_id").mapInArrow(cut, "task long, doc_id long, start long, piece binary")
+    cuts = docs.join(asked, "doc_id").mapInArrow(_cutter(length, tasks, held_windows), "task long, doc_id long, start long, piece binary")
     found = cuts.groupBy("task").applyInPandas(merged, "doc_id long, start long, windows long")
     return covered.unionByName(found)
 

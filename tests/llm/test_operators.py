@@ -187,6 +187,19 @@ def test_passages_of_busy_keys_are_reduced_and_dealt(spark, spread_passage):
     assert max(apart) < 20 and sum(len(k) for k, *_ in held) > 1000
 
 
+def test_windows_of_busy_keys_are_reduced(spark, spread_passage):
+    texts, expected = spread_passage
+    for held in (1 << 20, 100):
+        assert _passages(docs_of(spark, texts), group_pieces=3, held_windows=held) == expected
+    # a task deals one copy of a window that all its documents hold, in any order of theirs
+    ids = [5, 3, 9, 1]
+    asked = [[{"start": 2, "windows": 30, "key": 4, "busy": True}]] * len(ids)
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array([texts[1]] * len(ids)), pa.array(asked)], ["doc_id", "text", "asked"])
+    rows = [r for b in suffix._cutter(100, 7, 1 << 20)([batch]) for r in b.to_pylist()]
+    assert sorted((r["doc_id"], r["start"]) for r in rows if r["piece"]) == [(1, i) for i in range(2, 32)]
+    assert sorted((r["doc_id"], r["start"]) for r in rows if not r["piece"]) == [(d, i) for d in (3, 5, 9) for i in range(2, 32)]
+
+
 def test_interleave_sorts_all_suffixes():
     rng = np.random.default_rng(1)
     texts = [bytes(rng.integers(97, 99, int(n)).astype(np.uint8)) for n in rng.integers(0, 40, 30)]
