@@ -240,7 +240,7 @@ def read_archives(archives: DataFrame, column: str = "archive") -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = stored(read_archives(stored(write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet")), "archives")), "records")
     responses = records.where("record_type = 'response'").join(records.where("record_type = 'revisit'").select(F.col("refers_to_id").alias("record_id")), "record_id", "left_semi")
-    responses = responses.select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"))
+    responses = responses.select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to")).distinct()
     return records.join(responses, "refers_to_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

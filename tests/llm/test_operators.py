@@ -404,6 +404,13 @@ def test_archives(spark):
     assert warc.read_archives(warc.write_archives(df.limit(0))).count() == 0
 
 
+def test_revisit_of_a_repeated_page_is_one_row(spark, tmp_path):
+    pages = [(7, "http://a", "x"), (7, "http://a", "x"), (3, "http://b", "x"), (4, "http://c", "y")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = [(r["page_id"], r["record_type"], r["refers_to"]) for r in warc.op8_warc(spark, str(tmp_path)).collect()]
+    assert collections.Counter(got) == {(7, "response", None): 2, (3, "revisit", 7): 1, (4, "response", None): 1}
+
+
 # 9
 
 
