@@ -250,9 +250,47 @@ def test_tokens_equal_library(table):
 
     path = P.path("word_bpe_49k.json")
     library, own = Tokenizer.from_file(path), packing.WordTokenizer.load(path)
-    texts = [t for _, t, _ in table[1]] + ODD + ["İstanbul ΣΑΣ. ΣΑΣ, ÉCOLE, <|endoftext|> a<|endoftext|>b, <|ENDOFTEXT|>", "é . , .., a., a.b", "naïve NAÏVE. Naïve,"]
-    for t, ids in zip(texts, own.encode(texts)):
-        assert np.frombuffer(ids, "<u4").tolist() == library.encode(t or "", add_special_tokens=False).ids
+    odd = ["İstanbul ΣΑΣ. ΣΑΣ, ÉCOLE, <|endoftext|> a<|endoftext|>b, <|ENDOFTEXT|>", "é . , .., a., a.b", "naïve NAÏVE. Naïve,", "e\u0301tude \u0301x ß ẞ ÿ Ÿ ª µ", "x\u00a0y\u3000z a\x85b", "\t  lead and trail \n", "don't we'LL 12,5 word,. ,word Word,"]
+    texts = [t for _, t, _ in table[1]] + ODD + odd
+    expected = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert own.by_word and _ids_of(own, texts) == expected
+    own.by_word = False  # as under other rules
+    try:
+        assert _ids_of(own, texts) == expected
+    finally:
+        own.by_word = True
+
+
+def _ids_of(tokenizer, texts):
+    found, offsets = tokenizer.encode(pa.array(texts, pa.string()))
+    return [found[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])]
+
+
+def test_other_rules_are_told_by_the_file(tmp_path):
+    """A file that doesn't lower-case isn't tokenised by words."""
+    import json
+
+    rules = json.load(open(P.path("word_bpe_49k.json")))
+    rules["normalizer"]["normalizers"].pop()
+    (tmp_path / "cased.json").write_text(json.dumps(rules))
+    own = packing.WordTokenizer.load(str(tmp_path / "cased.json"))
+    assert not own.by_word and _ids_of(own, ["A b"]) == [own.tokenizer.encode("A b", add_special_tokens=False).ids]
+
+
+def test_long_texts_are_tokenised_in_parts(spark):
+    """A text over the size of a group, and groups of several texts."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join("".join(rng.choice(list("abcdé,. "), 6)) for _ in range(n)) for n in (3, 30_000, 5, 0, 900)] + [None, "y" * 40_000, ""]
+    path = P.path("word_bpe_49k.json")
+    own = packing.WordTokenizer.load(path)
+    ids = _ids_of(own, texts)
+    assert sum(map(len, ids)) > 60_000
+    for r in packing.pieces(docs_of(spark, texts).coalesce(1), path, ids=True, group_bytes=20_000).collect():
+        assert r["ids"] == (ids[r["doc_id"]] + [2])[r["start"] : r["start"] + r["length"]] and r["doc_tokens"] == len(ids[r["doc_id"]]) + 1
+    parts, row = packing._chunks(pa.array(texts), 1000)
+    assert row.tolist() == sorted(row.tolist()) and len(parts) > 100
+    whole = [sum((x for x, i in zip(_ids_of(own, parts.to_pylist()), row) if i == k), []) for k in range(len(texts))]
+    assert whole == ids
 
 
 def test_histogram_packing():
@@ -281,7 +319,7 @@ def test_packed_sequences(spark, table, rank_rows):
     own = packing.WordTokenizer.load(path)
     for doc_id, text in df.collect():
         parts = sorted(by_doc[doc_id], key=lambda r: r["start"])
-        ids = np.frombuffer(own.encode([text])[0], "<u4").tolist() + [2]
+        ids = _ids_of(own, [text])[0] + [2]
         assert [i for r in parts for i in r["ids"]] == ids and parts[0]["doc_tokens"] == len(ids)
         assert [r["start"] for r in parts] == np.cumsum([0] + [r["length"] for r in parts])[:-1].tolist()
     for s in by_sequence.values():
@@ -292,6 +330,36 @@ def test_packed_sequences(spark, table, rank_rows):
     assert len(by_sequence) <= total / 512 * 1.02 + 1
 
 
+def _plain_packs(lengths, size):
+    """How many packs there are when each piece, longest first, goes to the shortest pack that has room."""
+    packs = []
+    for x in sorted(lengths, reverse=True):
+        i = int(np.argmin(packs)) if packs else None
+        if packs and packs[i] + x <= size:
+            packs[i] += x
+        else:
+            packs.append(x)
+    return len(packs)
+
+
+def test_registered_packing_against_a_plain_packer(spark, sf_dir, table):
+    """The registered query, at its own size, against packing the pieces one by one."""
+    rows = packing.op5_packing(spark, sf_dir).collect()
+    own = packing.WordTokenizer.load(P.path("word_bpe_49k.json"))
+    ids = {i: x + [2] for (i, _, _), x in zip(table[1], _ids_of(own, [t for _, t, _ in table[1]]))}
+    by_sequence, covered = collections.defaultdict(list), collections.Counter()
+    for r in rows:
+        part = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert len(part) == r["length"] and zlib.crc32(np.array(part, "<u4").tobytes()) == r["ids_crc32"] and r["doc_tokens"] == len(ids[r["doc_id"]])
+        by_sequence[r["sequence_id"]].append((r["offset"], r["length"]))
+        covered[r["doc_id"]] += r["length"]
+    assert covered == {i: len(x) for i, x in ids.items()}
+    for s in by_sequence.values():
+        s.sort()
+        assert [a for a, _ in s] == np.cumsum([0] + [n for _, n in s])[:-1].tolist() and sum(s[-1]) <= 4096
+    assert len(by_sequence) <= _plain_packs([r["length"] for r in rows], 4096) * 1.02 + 1
+
+
 def test_packing_nothing(spark):
     parts = common.stored(packing.pieces(docs_of(spark, ODD).limit(0), P.path("word_bpe_49k.json")))
     assert packing.pack(parts).count() == 0
