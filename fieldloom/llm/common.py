@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Text bytes that one NumPy step works on; a longer document is a step of its own.
 STEP_BYTES = 1 << 20
@@ -22,11 +24,32 @@ _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``.  A temporary one takes its place only where it is unset and everything runs in one process, as in tests."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoints-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    given = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if given is None:
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        given = tempfile.mkdtemp(prefix="spark-checkpoints-")
+        sc.setCheckpointDir(given)
+    return given
+
+
+def own_columns(docs: DataFrame, results: list[str]) -> list[str]:
+    """The columns of ``docs`` that an operator's results (in any case) don't replace."""
+    names = {x.lower() for x in results}
+    return [c for c in docs.columns if c.lower() not in names]
+
+
+def schema_of(docs: DataFrame, columns: list[str], results: str) -> StructType:
+    """These columns of ``docs`` and those of ``results``."""
+    return StructType([StructField(c, docs.schema[c].dataType) for c in columns] + StructType.fromDDL(results).fields)
+
+
+def set_aside(docs: DataFrame) -> DataFrame:
+    """``docs`` as doc_id, text and a struct ``_fl_row`` of all other columns, so no result of an operator meets a column's name."""
+    others = own_columns(docs, ["doc_id", "text"])
+    return docs.select("doc_id", "text", F.struct(F.lit(None).cast("int").alias("_fl_none"), *(F.col(f"`{c}`") for c in others)).alias("_fl_row"))
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:

@@ -5,10 +5,16 @@ the largest of them.  Keys held by enough documents form shards: a minimal perfe
 their first hashes over compact arrays of second hashes (fingerprints), counts and last
 documents.  Pass two streams the documents' line hashes through their shard's arrays; the
 marks return to the documents by doc_id.  A busy shard is copied for several tasks, in
-proportion to its load, so no line, however common, goes to one task.
-
-A null or empty text is one empty line.  doc_id identifies a document.  Extra columns are
-ignored by ``dropped_lines`` and kept by ``drop_repeated_lines``.
+proportion to its load, so no line, however common, goes to one task.  The number of shards
+grows with the lines, so a shard's arrays have a size of their own.
+
+A null or empty text is one empty line; what loses nothing keeps its text, a null too.  Rows
+of one doc_id are one document: repeated rows count once, and lose the same lines.  Rows
+without a doc_id keep all lines and don't count.  Of documents that hold a line, the largest
+doc_id keeps it, in every row and at every place where it stands.  A long text is hashed as a
+row of its own lines and rebuilt by one task.  Extra columns are ignored by ``dropped_lines`` and
+kept by ``drop_repeated_lines``, but for those named as its results, which are replaced.  An
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -22,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import SPACE, stored
+from fieldloom.llm.common import SPACE, own_columns, schema_of, stored
 from fieldloom.llm.mph import PerfectHash
 
 #: Distinct lines of a shard, on average; lines that one task probes.
 SHARD_LINES, TASK_LINES = 100_000, 200_000
-#: The most shards there are.
-MAX_SHARDS = 8192
+#: Shards (12 bytes each) whose loads may be broadcast; more are joined by a shuffle.
+BROADCAST_SHARDS = 1 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -40,8 +46,11 @@ def line_key(line: Column) -> Column:
 def _hashes(docs: DataFrame, min_chars: int) -> DataFrame:
     """(doc_id, h1, h2) once for each distinct long enough key of a document."""
     keys = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), line_key), lambda k: F.char_length(k) >= min_chars)
-    keys = docs.where("doc_id is not null").select("doc_id", F.explode(F.array_distinct(keys)).alias("k"))
-    return keys.select("doc_id", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit("line"), "k").alias("h2"))
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = docs.select("doc_id", F.explode(F.array_distinct(keys)).alias("k")).select("doc_id", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit("line"), "k").alias("h2"))
+    # only rows that share a doc_id can bring a key twice
+    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return found if repeated.isEmpty() else found.distinct()
 
 
 def _shard(shards: int) -> Column:
@@ -101,20 +110,19 @@ def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, shard
     """(doc_id, hashes): the first and second hashes, in pairs, of the line keys that a document loses."""
     hashes = stored(_hashes(docs, min_chars), "lines")
     total = hashes.count()
-    shards = min(MAX_SHARDS, max(8, math.ceil(total / shard_lines)))
+    shards = max(8, math.ceil(total / shard_lines))
     arrays = stored(line_shards(hashes, min_docs, shards), "shards")
-    # a count for each shard, at most MAX_SHARDS; shards without repeated lines aren't probed
+    # shards without repeated lines aren't probed; the others are copied in proportion to their lines
     loads = hashes.groupBy(_shard(shards).alias("shard")).count().join(arrays.select("shard"), "shard", "left_semi")
-    copies = {r["shard"]: max(1, math.ceil(r["count"] / task_lines)) for r in loads.collect()}
-    if not copies:
+    loads = stored(loads.select("shard", F.ceil(F.col("count") / task_lines).cast("int").alias("copies")), "loads")
+    n = loads.agg(F.sum("copies")).first()[0]
+    if not n:
         return docs.sparkSession.createDataFrame([], "doc_id long, hashes array<long>")
-    copies_of = F.element_at(F.create_map(*[F.lit(x) for kv in copies.items() for x in kv]), F.col("shard")) if len(copies) <= 64 else None
-    if copies_of is None:
-        table = F.array(*[F.lit(copies.get(s, 0)) for s in range(shards)])
-        copies_of = F.element_at(table, F.col("shard") + 1)
-    probes = hashes.withColumn("shard", _shard(shards)).withColumn("copies", copies_of).where("copies > 0")
-    probes = probes.select("shard", F.pmod(F.xxhash64("doc_id"), "copies").cast("int").alias("copy"), F.lit(1).alias("kind"), "doc_id", "h1", "h2", F.lit(None).cast("binary").alias("arrays"))
-    blobs = arrays.withColumn("copy", F.explode(F.sequence(F.lit(0), copies_of - 1))).select("shard", F.col("copy").cast("int").alias("copy"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("h1"), F.lit(None).cast("long").alias("h2"), "arrays")
+    loads = F.broadcast(loads) if shards <= BROADCAST_SHARDS else loads
+    none = lambda kind: F.lit(None).cast(kind)
+    probes = hashes.withColumn("shard", _shard(shards)).join(loads, "shard")
+    probes = probes.select("shard", F.pmod(F.xxhash64("doc_id"), "copies").cast("int").alias("copy"), F.lit(1).alias("kind"), "doc_id", "h1", "h2", none("binary").alias("arrays"))
+    blobs = arrays.join(loads, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("kind"), none("long").alias("doc_id"), none("long").alias("h1"), none("long").alias("h2"), "arrays")
 
     def probe(batches):
         shard = None
@@ -131,17 +139,17 @@ def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, shard
                 if drop.any():
                     yield pa.RecordBatch.from_arrays([pa.array(ids[drop]), pa.array(h1[drop]), pa.array(h2[drop])], ["doc_id", "h1", "h2"])
 
-    n = max(1, sum(copies.values()))
     dealt = blobs.unionByName(probes).repartition(n, "shard", "copy").sortWithinPartitions("shard", "copy", "kind")
     marks = dealt.mapInArrow(probe, "doc_id long, h1 long, h2 long")
     return marks.groupBy("doc_id").agg(F.flatten(F.collect_list(F.array("h1", "h2"))).alias("hashes"))
 
 
-_RESULT = "text string, n_lines long, n_dropped long, kept_sha256 string"
+RESULTS = ["n_lines", "n_dropped", "kept_sha256"]
 
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, **sizes) -> DataFrame:
     """``docs`` with its repeated lines dropped from ``text``, and n_lines, n_dropped and kept_sha256."""
+    docs = docs.select(*own_columns(docs, RESULTS))
     marks = dropped_lines(docs, min_chars, min_docs, **sizes).select(F.col("doc_id").alias("_fl_id"), F.col("hashes").alias("_fl_hashes"))
     marked = docs.join(marks, F.col("doc_id") == F.col("_fl_id"), "left").drop("_fl_id")
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
@@ -149,25 +157,24 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3,
     gone = F.when(F.col("_fl_hashes").isNotNull(), F.transform(F.split(F.col("text"), "\n", -1), lambda x: F.xxhash64(line_key(x)))).alias("_fl_lines")
     second = F.when(F.col("_fl_hashes").isNotNull(), F.transform(F.split(F.col("text"), "\n", -1), lambda x: F.xxhash64(F.lit("line"), line_key(x)))).alias("_fl_seconds")
     marked = marked.select("*", gone, second, F.size(lines).cast("long").alias("n_lines"))
-    columns = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped", "kept_sha256")]
+    columns = [c for c in docs.columns if c.lower() != "text"]
 
     def rebuild(batches):
         for b in batches:
             texts, dropped, digests = [], [], []
             for text, hashes, l1, l2 in zip(*(b.column(c).to_pylist() for c in ("text", "_fl_hashes", "_fl_lines", "_fl_seconds"))):
-                text, n = text or "", 0
-                if hashes:
+                n = 0
+                if hashes and text:
                     gone = set(zip(hashes[::2], hashes[1::2]))
                     all_lines = text.split("\n")
                     kept = [x for x, a, c in zip(all_lines, l1, l2) if (a, c) not in gone]
                     n, text = len(all_lines) - len(kept), "\n".join(kept)
                 texts.append(text)
                 dropped.append(n)
-                digests.append(hashlib.sha256(text.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(texts, pa.string()), b.column("n_lines"), pa.array(dropped, pa.int64()), pa.array(digests, pa.string())], [*columns, "text", "n_lines", "n_dropped", "kept_sha256"])
+                digests.append(hashlib.sha256((text or "").encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(texts, pa.string()), b.column("n_lines"), pa.array(dropped, pa.int64()), pa.array(digests, pa.string())], [*columns, "text", *RESULTS])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in columns)
-    return marked.mapInArrow(rebuild, f"{kept}, {_RESULT}")
+    return marked.mapInArrow(rebuild, schema_of(docs, columns, "text string, n_lines long, n_dropped long, kept_sha256 string"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
