@@ -1,26 +1,30 @@
 """Quality rules: repetition measures of a text, and lines that many documents of a host share.
 
 Lines are normalised (white space stripped at both ends, A-Z lower-cased) and hashed.  For each
-host, a line's documents of different text are counted, so copies of a page don't make its own
-lines look like a template.  Lines above the limit are removed; a document that this depletes
-is rejected, as is one that fails the base rules.
-
-Null texts have no words and fail the base rules.  A null host is a host of its own.  The
-document with a line's smallest doc_id in a host keeps that line, so the last copy of a passage
-is never lost.  Rows without a doc_id are judged by the base rules alone.
+host, the distinct documents that hold a line are counted, at every size of the host by the same
+limit.  Lines above it are removed; a document that this depletes is rejected, as is one that
+fails the base rules.  The document with a line's smallest doc_id in a host keeps that line, so
+the last copy of a passage is never lost; of many copies of a document the first is left whole.
+
+Null and empty texts have no words and fail the base rules.  A null host is a host of its own.
+Rows of one doc_id are one document in the count, and each is judged by its own text and host;
+repeated rows are judged alike, and equal lines of a text all go.  Rows without a doc_id are
+judged by the base rules alone.  A long text is measured whole by one task.  Extra columns are
+ignored by ``quality_rules``; ``cleaned`` keeps them, but for those named as its results, which
+are replaced.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import mix, prefix_hashes, span_hashes, steps, stored, utf8, words
+from fieldloom.llm.common import mix, own_columns, prefix_hashes, schema_of, span_hashes, steps, stored, utf8, words
 
-#: A line is shared when more documents of its host hold it, and at least so many of a thousand of them.
-LINE_DOCS, LINE_PER_MILLE = 20, 2
+#: A line is shared when more documents of its host hold it.
+LINE_DOCS = 20
 #: A document is depleted when less than this percentage of its words is left.
 LEFT_PERCENT = 20
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -30,6 +34,7 @@ _SYMBOL[list(b"#*$%&|<>")] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+RESULTS = [*COUNTS, "base_failed", "kept", "n_shared_words"]
 
 
 def _per_row(marks: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -55,23 +60,30 @@ def measures(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarra
     np.add.at(covered, again, 1)
     np.add.at(covered, again + 3, -1)
     out["n_repeat_words"] = _per_row(np.cumsum(covered)[:n] > 0, first)
-    # lines
-    breaks = np.flatnonzero(data == 10)
-    line_starts = np.concatenate([offsets[:-1], breaks + 1])
-    row = np.concatenate([np.arange(rows), np.searchsorted(offsets, breaks, "right") - 1])
-    order = np.lexsort((line_starts, row))
-    line_starts, row = line_starts[order], row[order]
-    last = np.append(row[1:] != row[:-1], True) if len(row) else np.zeros(0, bool)
-    line_ends = np.where(last, offsets[row + 1], np.append(line_starts[1:], 0) - 1)
-    a, b = np.searchsorted(starts, line_starts), np.searchsorted(starts, line_ends)
-    full = b > a
-    line_starts, line_ends, row, a, b = (x[full] for x in (line_starts, line_ends, row, a, b))
-    own = mix(span_hashes(raw, line_starts, line_ends) ^ mix(row.astype(np.uint64)))
+    lines = _Lines(data, low, offsets, starts, ends)
+    own = mix(span_hashes(raw, lines.starts, lines.ends) ^ mix(lines.row.astype(np.uint64)))
     order = np.argsort(own, kind="stable")
     later = np.zeros(len(own), bool)
     later[order[1:]] = own[order[1:]] == own[order[:-1]]
-    out["n_dup_lines"] = np.bincount(row[later], minlength=rows)
-    return out, row, span_hashes(low, starts[a], ends[b - 1]), b - a
+    out["n_dup_lines"] = np.bincount(lines.row[later], minlength=rows)
+    return out, lines.row, lines.key, lines.words
+
+
+class _Lines:
+    """The lines that have a word: their row, bytes, number of words and the hash of their key."""
+
+    def __init__(self, data: np.ndarray, low: np.ndarray, offsets: np.ndarray, word_starts: np.ndarray, word_ends: np.ndarray):
+        breaks = np.flatnonzero(data == 10)
+        starts = np.concatenate([offsets[:-1], breaks + 1])
+        row = np.concatenate([np.arange(len(offsets) - 1), np.searchsorted(offsets, breaks, "right") - 1])
+        order = np.lexsort((starts, row))
+        starts, row = starts[order], row[order]
+        last = np.append(row[1:] != row[:-1], True) if len(row) else np.zeros(0, bool)
+        ends = np.where(last, offsets[row + 1], np.append(starts[1:], 0) - 1)
+        a, b = np.searchsorted(word_starts, starts), np.searchsorted(word_starts, ends)
+        full = b > a
+        self.starts, self.ends, self.row, a, b = (x[full] for x in (starts, ends, row, a, b))
+        self.words, self.key = b - a, span_hashes(low, word_starts[a], word_ends[b - 1])
 
 
 def _repeated(keys: np.ndarray) -> np.ndarray:
@@ -83,8 +95,13 @@ def _repeated(keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def _content(text, host) -> Column:
+    """What tells rows of one doc_id apart."""
+    return F.xxhash64(text, F.coalesce(F.concat(F.lit("="), host), F.lit("")))
+
+
 def measured(docs: DataFrame, host: str = "source") -> DataFrame:
-    """doc_id, host, a hash of the text, the counts, and the lines with their words (equal lines of a document as one)."""
+    """doc_id, host, a hash of text and host, the counts, and the lines with their words (equal lines of a row as one)."""
     lines = pa.list_(pa.struct([("h", pa.int64()), ("w", pa.int64())]))
 
     def run(batches):
@@ -103,24 +120,69 @@ def measured(docs: DataFrame, host: str = "source") -> DataFrame:
                 arrays = [b.column("doc_id"), b.column("host"), b.column("content"), *(pa.array(counts[c].astype(np.int64)) for c in COUNTS), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), items)]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "host", "content", *COUNTS, "lines"])
 
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.xxhash64("text").alias("content"), "text")
+    host_ = F.col(host).cast("string")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), host_.alias("host"), _content(F.col("text"), host_).alias("content"), "text")
     return given.mapInArrow(run, "doc_id long, host string, content long, " + ", ".join(f"{c} long" for c in COUNTS) + ", lines array<struct<h: bigint, w: bigint>>")
 
 
-def quality_rules(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, per_mille: int = LINE_PER_MILLE, left_percent: int = LEFT_PERCENT) -> DataFrame:
-    """Per document: doc_id, the counts, base_failed, kept, and n_shared_words (words of the lines removed)."""
-    m = stored(measured(docs, host), "measures")
+def _judged(docs: DataFrame, host: str, line_docs: int, left_percent: int) -> DataFrame:
+    """doc_id, content, the counts, base_failed, kept, n_shared_words, and ``gone``, the hashes of the lines removed, of every row."""
+    m = stored(measured(docs, host).withColumn("row", F.monotonically_increasing_id()), "measures")
     key = F.coalesce(F.concat(F.lit("="), "host"), F.lit(""))
-    lines = m.where("doc_id is not null").select("doc_id", key.alias("host"), "content", F.explode("lines").alias("line")).select("doc_id", "host", "content", "line.h", "line.w")
-    sizes = m.groupBy(key.alias("host")).agg(F.count(F.lit(1)).alias("docs"))
-    counted = lines.groupBy("host", "h", "content").agg(F.min("doc_id").alias("first")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"))
-    shared = counted.where(F.col("n") > line_docs).join(sizes, "host").where(F.col("n") * 1000 > F.col("docs") * per_mille).select("host", "h", "first")
-    removed = lines.join(shared, ["host", "h"]).where("doc_id <> first").groupBy("doc_id").agg(F.sum("w").alias("n_shared_words"))
-    out = m.drop("lines", "content", "host").join(removed, "doc_id", "left").withColumn("n_shared_words", F.coalesce("n_shared_words", F.lit(0)).cast("long"))
+    lines = m.where("doc_id is not null").select("row", "doc_id", key.alias("host"), F.explode("lines").alias("line")).select("row", "doc_id", "host", "line.h", "line.w")
+    # documents, not rows: a doc_id counts once for a line of a host
+    holders = lines.groupBy("host", "h", "doc_id").agg(F.lit(1).alias("one"))
+    shared = holders.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where(F.col("n") > line_docs).select("host", "h", "first")
+    removed = lines.join(shared, ["host", "h"]).where("doc_id <> first").groupBy("row").agg(F.sum("w").alias("n_shared_words"), F.collect_list("h").alias("gone"))
+    out = m.drop("lines", "host").join(removed, "row", "left").withColumn("n_shared_words", F.coalesce("n_shared_words", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     out = out.withColumn("base_failed", failed)
     depleted = (F.col("n_words") - F.col("n_shared_words")) * 100 < F.col("n_words") * left_percent
-    return out.withColumn("kept", ~F.col("base_failed") & ~depleted).select("doc_id", *COUNTS, "base_failed", "kept", "n_shared_words")
+    return out.withColumn("kept", ~F.col("base_failed") & ~depleted).select("doc_id", "content", *RESULTS, "gone")
+
+
+def quality_rules(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, left_percent: int = LEFT_PERCENT) -> DataFrame:
+    """Per row: doc_id, the counts, base_failed, kept, and n_shared_words (words of the lines removed)."""
+    return _judged(docs, host, line_docs, left_percent).select("doc_id", *RESULTS)
+
+
+def cleaned(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, left_percent: int = LEFT_PERCENT) -> DataFrame:
+    """``docs`` with the lines above the limit removed from ``text``, and the columns of ``quality_rules``.
+
+    Verdicts meet their rows by doc_id and a hash of text and host: rows that are equal in these are judged alike.
+    """
+    docs = docs.select(*own_columns(docs, RESULTS))
+    verdicts = _judged(docs, host, line_docs, left_percent).dropDuplicates(["doc_id", "content"])
+    verdicts = verdicts.select(F.col("doc_id").alias("_fl_id"), F.col("content").alias("_fl_content"), *(F.col(c).alias(f"_fl_{c}") for c in RESULTS), F.col("gone").alias("_fl_gone"))
+    given = docs.withColumn("_fl_own", _content(F.col("text"), F.col(host).cast("string")))
+    joined = given.join(verdicts, F.col("doc_id").cast("long").eqNullSafe(F.col("_fl_id")) & (F.col("_fl_own") == F.col("_fl_content")))
+    columns = [c for c in docs.columns if c.lower() != "text"]
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                b = batch.slice(lo, 256)
+                gone = b.column("_fl_gone")
+                texts = [without_lines(t, set(g)) if g and t else t for t, g in zip(b.column("text").to_pylist(), gone.to_pylist())]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(texts, pa.string()), *(b.column(f"_fl_{c}") for c in RESULTS)], [*columns, "text", *RESULTS])
+
+    types = dict(verdicts.dtypes)
+    return joined.mapInArrow(run, schema_of(docs, columns, "text string, " + ", ".join(f"{c} {types[f'_fl_{c}']}" for c in RESULTS)))
+
+
+def without_lines(text: str, gone: set[int]) -> str:
+    """``text`` without the lines whose key has one of these hashes."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    low, offsets = _LOWER[data], np.array([0, len(data)])
+    starts, ends, _ = words(data, offsets)
+    lines = _Lines(data, prefix_hashes(low), offsets, starts, ends)
+    drop = set(lines.starts[np.isin(lines.key.view(np.int64), np.fromiter(gone, np.int64, len(gone)))].tolist())
+    kept, at = [], 0
+    for line in data.tobytes().split(b"\n"):
+        if at not in drop:
+            kept.append(line)
+        at += len(line) + 1
+    return b"\n".join(kept).decode()
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,8 +203,7 @@ ORACLE_SQL = {
         lw AS (SELECT *, translate(trim(line, {_SPACE_SQL}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n
             FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
         dup AS (SELECT doc_id, sum(n - 1) AS n FROM (SELECT doc_id, line, count(*) AS n FROM lw GROUP BY doc_id, line) GROUP BY doc_id),
-        hosts AS (SELECT source, count(*) AS docs FROM d GROUP BY source),
-        shared AS (SELECT lw.source, key, min(doc_id) AS first FROM lw JOIN hosts ON hosts.source IS NOT DISTINCT FROM lw.source GROUP BY lw.source, key, docs HAVING count(DISTINCT text) > {LINE_DOCS} AND count(DISTINCT text) * 1000 > docs * {LINE_PER_MILLE}),
+        shared AS (SELECT lw.source, key, min(doc_id) AS first FROM lw GROUP BY lw.source, key HAVING count(DISTINCT doc_id) > {LINE_DOCS}),
         gone AS (SELECT doc_id, sum(n) AS n FROM lw JOIN shared ON shared.source IS NOT DISTINCT FROM lw.source AND shared.key = lw.key WHERE doc_id <> first GROUP BY doc_id),
         m AS (SELECT w.doc_id, len(w.w) AS n_words, CAST(coalesce(list_sum(list_transform(w.w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
             CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_shared_words

@@ -83,23 +83,24 @@ def measures(text):
     return {"n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": sum(c in "#*$%&|<>" for c in x), "n_dup_lines": dup, "n_repeat_words": len(again)}
 
 
-def quality(rows, line_docs=20, per_mille=2, left_percent=20):
-    """doc_id -> (base_failed, kept) of rows (doc_id, text, host)"""
-    hosts, first, sizes = collections.defaultdict(set), {}, collections.Counter(h for _, _, h in rows)
+def quality(rows, line_docs=20, left_percent=20):
+    """For each of the rows (doc_id, text, host): base_failed, kept, words of removed lines, text without them."""
+    holders = collections.defaultdict(set)
     key = lambda x: x.strip(SPACE).translate(LOWER)
     for i, t, h in rows:
         for x in (t or "").split("\n"):
-            if WORD.search(x):
-                hosts[h, key(x)].add(t)
-                first[h, key(x)] = min(i, first.get((h, key(x)), i))
-    out = {}
+            if WORD.search(x) and i is not None:
+                holders[h, key(x)].add(i)
+    out = []
     for i, t, h in rows:
         m = measures(t)
         failed = m["n_words"] < 50 or m["n_repeat_words"] * 100 > m["n_words"] * 50
-        gone = 0
+        kept, gone = [], 0
         for x in (t or "").split("\n"):
-            n = len(hosts.get((h, key(x)), ()))
-            if WORD.search(x) and n > line_docs and n * 1000 > sizes[h] * per_mille and first[h, key(x)] != i:
+            ids = holders.get((h, key(x)), ())
+            if i is not None and WORD.search(x) and len(ids) > line_docs and min(ids) != i:
                 gone += len(WORD.findall(x))
-        out[i] = (failed, not failed and (m["n_words"] - gone) * 100 >= m["n_words"] * left_percent)
+            else:
+                kept.append(x)
+        out.append((failed, not failed and (m["n_words"] - gone) * 100 >= m["n_words"] * left_percent, gone, "\n".join(kept)))
     return out

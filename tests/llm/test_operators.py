@@ -485,13 +485,26 @@ def test_revisit_of_a_repeated_page_is_one_row(spark, tmp_path):
 def test_quality(spark, table):
     rows = table[1] + [(10_000 + i, t, None) for i, t in enumerate(ODD)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    for limits in ({}, {"line_docs": 1, "per_mille": 0, "left_percent": 60}):
-        got = {r["doc_id"]: r for r in quality.quality_rules(df, **limits).collect()}
-        expected = brute.quality(rows, **limits)
-        for i, t, _ in rows:
+    for limits in ({}, {"line_docs": 1, "left_percent": 60}):
+        got = {r["doc_id"]: r for r in quality.cleaned(df, **limits).collect()}
+        assert len(got) == len(rows)
+        for (i, t, _), (failed, kept, gone, text) in zip(rows, brute.quality(rows, **limits)):
             assert {k: got[i][k] for k in quality.COUNTS} == brute.measures(t)
-            assert (got[i]["base_failed"], got[i]["kept"]) == expected[i]
-    assert quality.quality_rules(df.limit(0)).count() == 0
+            assert (got[i]["base_failed"], got[i]["kept"], got[i]["n_shared_words"], got[i]["text"] or "") == (failed, kept, gone, text)
+    assert quality.quality_rules(df.limit(0)).count() == 0 and quality.cleaned(df.limit(0)).count() == 0
+
+
+def test_quality_of_repeated_and_unnamed_rows(spark):
+    """Rows of one doc_id count once and are judged by their own text; rows without one by the base rules."""
+    line, words = "a line of seven words for all", " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"{line}\n{words} {i}", "h") for i in range(4)] + [(3, f"{line}\n{words} 3", "h"), (3, "other", "h"), (3, f"{line}\n{words} 3", None), (None, f"{line}\n{words}", "h"), (None, "few", None), (2, f"{line}\n" * 2, "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"kept": F.lit(77), "n_words": F.lit("x"), "row": F.lit(1)})
+    for line_docs in (3, 4):
+        expected = sorted((str(r[0]), r[1], *x) for r, x in zip(rows, brute.quality(rows, line_docs)))
+        got = quality.cleaned(df, line_docs=line_docs).withColumn("was", F.lit(0)).collect()
+        assert sorted((str(r["doc_id"]), r["base_failed"], r["kept"], r["n_shared_words"], r["text"]) for r in got) == sorted((x[0], *x[2:]) for x in expected)
+        plain = quality.quality_rules(df, line_docs=line_docs).collect()
+        assert sorted((str(r["doc_id"]), r["kept"], r["n_shared_words"]) for r in plain) == sorted((x[0], x[3], x[4]) for x in expected)
 
 
 # 10

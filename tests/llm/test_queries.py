@@ -18,8 +18,8 @@ def test_pipeline(spark, sf_dir):
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
-    verdict = brute.quality(rows, quality.LINE_DOCS, quality.LINE_PER_MILLE, quality.LEFT_PERCENT)
-    texts = [(i, t) for i, t, _ in rows if verdict[i][1]]
+    verdict = brute.quality(rows, quality.LINE_DOCS, quality.LEFT_PERCENT)
+    texts = [(i, v[3]) for (i, _, _), v in zip(rows, verdict) if v[1]]
     texts = [(i, x[2]) for i, x in brute.lines(texts).items()]
     groups = brute.near(texts, 5)
     texts = [(i, t) for i, t in texts if groups[i][1] == i]
