@@ -24,10 +24,15 @@ doc_id, or in the same document at a smaller offset).
 4. The earliest window of each block stays, the others are marked, and marks meet the
    documents by doc_id.
 
-A null text is empty; texts shorter than ``length`` bytes lose nothing.  doc_id identifies a
-document; rows without one keep all they have.  Matches never cross documents.  Bytes are
-removed wherever they are marked, which may leave part of a character: ``kept_sha256`` counts
-it, ``kept_text`` leaves it out.  Extra columns are ignored, or kept by ``remove_repeats``.
+A null or empty text has no bytes; texts shorter than ``length`` bytes lose nothing.  Repeated
+rows (of one doc_id and text) are one document: each loses what that document loses.  Rows of
+one doc_id whose texts differ are documents of their own, in the order of a hash of their texts.
+Rows without a doc_id keep all they have.  Of equal places the smallest doc_id's stays, within a
+document the first.  Matches never cross documents.  Bytes are removed wherever they are marked,
+which may leave part of a character: ``kept_sha256`` counts it, ``kept_text`` leaves it out.  A
+long text is worked on whole by one task, in arrays of some ten times its size.  Extra columns
+are ignored, or kept by ``remove_repeats`` but for those named as its results, which are
+replaced.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -38,10 +43,10 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import mix, powers, prefix_hashes, span_hashes, steps, stored, utf8
+from fieldloom.llm.common import mix, own_columns, powers, prefix_hashes, schema_of, span_hashes, steps, stored, utf8
 
 LENGTH, GRAM = 100, 32
 #: Pieces that one task matches, and bytes of differing pieces whose transforms are merged as one: few enough
@@ -51,7 +56,7 @@ SHARDS = 2
 #: Busy keys (8 bytes each) that may be broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 1 << 20
 #: Differing pieces of one key that are merged as one group; of more, each window is a piece of its own, dealt by its text.
-GROUP_PIECES = 50_000
+GROUP_PIECES = 8_000
 #: Pieces that a task reduces before they are dealt, and the most texts of one key among them that are dealt by their key.
 FLUSH_PIECES, WIDE_TEXTS = 200_000, 16
 #: Differing windows of busy keys (100 bytes each) that a task holds to reduce equal ones.
@@ -140,12 +145,12 @@ def _dealt(docs: DataFrame, parts: int, length: int, flush_pieces: int, wide_tex
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
+            ids, base = batch.column("doc_id").to_numpy(), batch.column("base").to_numpy()
             data, offsets = utf8(batch.column("text"))
             for lo, hi in steps(offsets):
                 row, start, windows, key, content, twice = pieces(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], length)
                 if len(row):
-                    held.append((key, content, ids[lo + row], start, windows, twice.astype(np.int8)))
+                    held.append((key, content, ids[lo + row], start + base[lo + row], windows, twice.astype(np.int8)))
                     size += len(row)
                 if size > flush_pieces:
                     yield flush(held)
@@ -296,7 +301,7 @@ def repeated_windows(doc: np.ndarray, start: np.ndarray, texts: list[bytes], len
 
 
 def _cutter(length: int, tasks: int, held_windows: int):
-    """Batches of (doc_id, text, asked) -> (task, doc_id, start, piece): texts of pieces and of windows of busy keys, and marked windows without a text."""
+    """Batches of (doc_id, base, text, asked) -> (task, doc_id, start, piece): texts of pieces and of windows of busy keys, and marked windows without a text."""
 
     def cut(batches):
         held = {}  # of busy keys, window -> its earliest place so far
@@ -316,13 +321,13 @@ def _cutter(length: int, tasks: int, held_windows: int):
             for lo in range(0, batch.num_rows, 256):
                 b = batch.slice(lo, 256)
                 rows = []
-                for doc_id, text, wanted in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("asked").to_pylist()):
+                for doc_id, base, text, wanted in zip(*(b.column(c).to_pylist() for c in ("doc_id", "base", "text", "asked"))):
                     raw = text.encode()
                     for w in wanted:
-                        at, key = w["start"], w["key"]
+                        at, key = w["start"] - base, w["key"]
                         if w["busy"]:
                             for i in range(at, at + w["windows"]):
-                                window, place = raw[i : i + length], (doc_id, i)
+                                window, place = raw[i : i + length], (doc_id, base + i)
                                 first = held.setdefault(window, place)
                                 if first != place:
                                     # the later one is marked: a row without a piece
@@ -331,7 +336,7 @@ def _cutter(length: int, tasks: int, held_windows: int):
                             if len(held) >= held_windows:
                                 yield from let_go()
                         else:
-                            rows.append((key, doc_id, at, raw[at : at + w["windows"] + length - 1]))
+                            rows.append((key, doc_id, base + at, raw[at : at + w["windows"] + length - 1]))
                 if rows:
                     yield dealt(rows)
         if held:
@@ -340,10 +345,31 @@ def _cutter(length: int, tasks: int, held_windows: int):
     return cut
 
 
-def marks(docs: DataFrame, length: int = LENGTH, task_pieces: int = TASK_PIECES, group_bytes: int = GROUP_BYTES, group_pieces: int = GROUP_PIECES, flush_pieces: int = FLUSH_PIECES, wide_texts: int = WIDE_TEXTS, held_windows: int = HELD_WINDOWS) -> DataFrame:
-    """(doc_id, start, windows): runs of windows that are equal to earlier ones."""
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+#: A place is a byte's offset plus its text's number among the texts of its doc_id times this.
+_TEXT = 1 << 32
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """``docs`` with ``_fl_base``, what the places of its row begin at; (doc_id, base, text) of each document once; and their bytes.
+
+    Nearly always a doc_id has one row, and the base is zero: then ``docs`` isn't shuffled.
+    """
+    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
+    rows = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), (F.min("hash") < F.max("hash")).alias("differ"), F.sum(F.octet_length("text")).alias("bytes"))
+    size, repeated, differ = rows.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.bool_or(F.col("n") > 1), F.lit(False)), F.coalesce(F.bool_or("differ"), F.lit(False))).first()
+    based = docs.withColumn("_fl_base", F.lit(0).cast("long"))
+    if differ:
+        texts = named.join(rows.where("differ").select("doc_id"), "doc_id", "left_semi").select("doc_id", "hash").distinct()
+        number = F.row_number().over(Window.partitionBy("doc_id").orderBy("hash")) - 1
+        texts = stored(texts.select(F.col("doc_id").alias("_fl_id"), F.col("hash").alias("_fl_hash"), number.cast("long").alias("_fl_number")), "texts")
+        based = docs.join(texts, (F.col("doc_id").cast("long") == F.col("_fl_id")) & (F.xxhash64("text") == F.col("_fl_hash")), "left")
+        based = based.select(*docs.columns, (F.coalesce("_fl_number", F.lit(0)) * _TEXT).alias("_fl_base"))
+    once = based.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_fl_base").alias("base"), "text")
+    return based, once.dropDuplicates(["doc_id", "base"]) if repeated else once, size
+
+
+def marks(docs: DataFrame, size: int, length: int = LENGTH, task_pieces: int = TASK_PIECES, group_bytes: int = GROUP_BYTES, group_pieces: int = GROUP_PIECES, flush_pieces: int = FLUSH_PIECES, wide_texts: int = WIDE_TEXTS, held_windows: int = HELD_WINDOWS) -> DataFrame:
+    """(doc_id, start, windows): runs of windows that are equal to earlier ones, of documents (doc_id, base, text) of ``size`` bytes."""
     parts = max(1, math.ceil(size / ((length - GRAM) / 2) / task_pieces))
     met = _dealt(docs, parts, length, flush_pieces, wide_texts).groupBy("part").applyInPandas(_met, "first boolean, doc_id long, start long, windows long, key long")
     met = stored(met, "met")
@@ -355,7 +381,8 @@ def marks(docs: DataFrame, length: int = LENGTH, task_pieces: int = TASK_PIECES,
     if not total:
         return covered
     tasks = max(1, math.ceil(total / group_bytes))
-    asked = first.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "key", "busy")).alias("asked"))
+    base = F.shiftleft(F.shiftright("start", 32), 32).alias("base")
+    asked = first.groupBy("doc_id", base).agg(F.collect_list(F.struct("start", "windows", "key", "busy")).alias("asked"))
 
     def merged(pdf: pd.DataFrame) -> pd.DataFrame:
         doc, at = pdf["doc_id"].to_numpy(), pdf["start"].to_numpy()
@@ -370,7 +397,7 @@ def marks(docs: DataFrame, length: int = LENGTH, task_pieces: int = TASK_PIECES,
         heads = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)])) if len(doc) else np.zeros(0, np.int64)
         return pd.DataFrame({"doc_id": doc[heads], "start": at[heads], "windows": np.diff(np.append(heads, len(doc)))})
 
-    cuts = docs.join(asked, "doc_id").mapInArrow(_cutter(length, tasks, held_windows), "task long, doc_id long, start long, piece binary")
+    cuts = docs.join(asked, ["doc_id", "base"]).mapInArrow(_cutter(length, tasks, held_windows), "task long, doc_id long, start long, piece binary")
     found = cuts.groupBy("task").applyInPandas(merged, "doc_id long, start long, windows long")
     return covered.unionByName(found)
 
@@ -383,12 +410,17 @@ def spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return starts[heads], ends[np.append(heads[1:], len(starts)) - 1]
 
 
+RESULTS = ["kept_text", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, **sizes) -> DataFrame:
     """``docs`` with kept_text, n_bytes, n_removed, n_spans and kept_sha256."""
-    own = ["kept_text", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    columns = [c for c in docs.columns if c not in own]
-    found = stored(marks(docs, length, **sizes), "marks").groupBy(F.col("doc_id").alias("_fl_marked_id")).agg(F.collect_list("start").alias("_fl_starts"), F.collect_list(F.col("start") + F.col("windows") + length - 1).alias("_fl_ends"))
-    joined = docs.select(*columns).join(found, F.col("doc_id") == F.col("_fl_marked_id"), "left")
+    columns = own_columns(docs, RESULTS)
+    based, once, size = _numbered(docs.select(*columns))
+    start = F.col("start").bitwiseAND(F.lit(_TEXT - 1))
+    found = stored(marks(once, size, length, **sizes), "marks").groupBy(F.col("doc_id").alias("_fl_marked_id"), F.shiftleft(F.shiftright("start", 32), 32).alias("_fl_marked_base"))
+    found = found.agg(F.collect_list(start).alias("_fl_starts"), F.collect_list(start + F.col("windows") + length - 1).alias("_fl_ends"))
+    joined = based.join(found, (F.col("doc_id") == F.col("_fl_marked_id")) & (F.col("_fl_base") == F.col("_fl_marked_base")), "left")
 
     def run(batches):
         for batch in batches:
@@ -408,10 +440,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, **sizes) -> DataFrame:
                         gone, n_spans = len(raw) - len(kept), len(a)
                     rows.append((kept.decode("utf-8", "ignore") if gone else text, len(raw), gone, n_spans, hashlib.sha256(kept).hexdigest()))
                 types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], [*columns, *own])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], [*columns, *RESULTS])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in columns)
-    return joined.mapInArrow(run, f"{kept}, kept_text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(run, schema_of(docs, columns, "kept_text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

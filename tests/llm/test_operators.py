@@ -181,7 +181,7 @@ def test_passages_of_busy_keys_are_reduced_and_dealt(spark, spread_passage):
     for sizes in ({"flush_pieces": 300, "wide_texts": 4}, {"flush_pieces": 1, "wide_texts": 1}, {"flush_pieces": 300, "wide_texts": 4, "task_pieces": 50, "group_pieces": 10}):
         assert _passages(df, **sizes) == expected
     # the texts that many hold and the texts of one key don't meet in one part
-    dealt = suffix._dealt(df.coalesce(1), 64, suffix.LENGTH, 1 << 20, 4).groupBy("part").agg(F.collect_list("blob").alias("blob")).collect()
+    dealt = suffix._dealt(df.coalesce(1).withColumn("base", F.lit(0).cast("long")), 64, suffix.LENGTH, 1 << 20, 4).groupBy("part").agg(F.collect_list("blob").alias("blob")).collect()
     held = [suffix._unpacked(r["blob"]) for r in dealt]
     apart = [np.bincount(np.unique(k[x & suffix._COVERED == 0], return_inverse=True)[1]).max(initial=0) for k, *_, x in held]
     assert max(apart) < 20 and sum(len(k) for k, *_ in held) > 1000
@@ -194,7 +194,7 @@ def test_windows_of_busy_keys_are_reduced(spark, spread_passage):
     # a task deals one copy of a window that all its documents hold, in any order of theirs
     ids = [5, 3, 9, 1]
     asked = [[{"start": 2, "windows": 30, "key": 4, "busy": True}]] * len(ids)
-    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array([texts[1]] * len(ids)), pa.array(asked)], ["doc_id", "text", "asked"])
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array([0] * len(ids)), pa.array([texts[1]] * len(ids)), pa.array(asked)], ["doc_id", "base", "text", "asked"])
     rows = [r for b in suffix._cutter(100, 7, 1 << 20)([batch]) for r in b.to_pylist()]
     assert sorted((r["doc_id"], r["start"]) for r in rows if r["piece"]) == [(1, i) for i in range(2, 32)]
     assert sorted((r["doc_id"], r["start"]) for r in rows if not r["piece"]) == [(d, i) for d in (3, 5, 9) for i in range(2, 32)]
