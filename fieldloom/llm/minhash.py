@@ -21,9 +21,15 @@ are all compared with each other, so m of them in a bucket make about m * m / BL
 Signatures rule a pair out only far below the threshold (``SLACK``).  A pair at the threshold
 shares no bucket with probability (1 - 0.8^5)^40, about 1e-7.
 
+Sets are of 64-bit hashes of shingles, and equal sets are told by a 128-bit digest: two different
+shingles are taken for one with probability 2^-64.
+
 Null and empty texts and texts without words have no shingles and are alone.  Fewer words than
-a shingle has make one shingle.  Rows without doc_id are left out; a repeated doc_id makes one
-document's rows equal in group.  Extra columns are ignored.
+a shingle has make one shingle.  A row comes out for each row with a doc_id; rows without are left
+out.  Rows of one doc_id are of one group, whose links are those of all its texts; each has the
+size of its own set.  Of a group the smallest doc_id stays.  A long text is hashed whole by one
+task, in arrays of some twenty times its size.  Extra columns of any name are ignored.  An empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -163,7 +169,7 @@ def _wanted_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """(id, items) of the documents of ``ids``."""
     ids = stored(ids, "ids")
     wanted = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    return stored(_sets(wanted, size).dropDuplicates(["id"]), "sets")
+    return stored(_sets(wanted, size).dropDuplicates(["id", "items"]), "sets")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -327,13 +333,20 @@ def _links_across(possible: DataFrame, docs: DataFrame, size: int, percent: int)
     return stored(_grouped(possible.join(sets, "id"), compare, "a long, b long, linked boolean"), "across")
 
 
+def _of_one_document(sketches: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b, linked): the classes of doc_ids whose rows have different sets, linked through the doc_id."""
+    several = sketches.groupBy("doc_id").agg((F.min(F.struct("s1", "s2")) < F.max(F.struct("s1", "s2"))).alias("several")).where("several").select("doc_id")
+    own = sketches.where("n_shingles > 0").select("doc_id", "s1", "s2").join(several, "doc_id", "left_semi").distinct()
+    return own.join(classes, ["s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("id").alias("b"), F.lit(True).alias("linked"))
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = stored(_sketches(docs, shingle_words), "sketches")
     least = 2 * PERMUTATIONS * percent // 100 - SLACK
     classes = sketches.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("id"))
-    reps = stored(sketches.where("n_shingles > 0").join(classes.select("s1", "s2", F.col("id").alias("doc_id")), ["s1", "s2", "doc_id"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "sig", "bands"), "representatives")
+    reps = stored(sketches.where("n_shingles > 0").join(classes.select("s1", "s2", F.col("id").alias("doc_id")), ["s1", "s2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "s1", "s2"]).select(F.col("doc_id").alias("id"), "sig", "bands"), "representatives")
     sigs = reps.select("id", "sig")
     rows = reps.select("id", F.explode("bands").alias("key"))
     buckets = rows.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first")
@@ -341,7 +354,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = PERC
     stars = bands.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     likely = _likely(stars, sigs, least)
     best = likely.groupBy("b").agg(F.max_by("a", F.struct("same", -F.col("a"))).alias("a"))
-    links = _confirmed(best, docs, shingle_words, percent)
+    links = _confirmed(best, docs, shingle_words, percent).union(_of_one_document(sketches, classes))
     mixed = _mixed(bands, components(links.where("linked")))
     links = links.union(_confirmed(_likeliest(mixed, sigs, least), docs, shingle_words, percent))
     mixed = stored(_mixed(bands, components(links.where("linked"))), "mixed")
