@@ -1,13 +1,22 @@
-"""Web archives: a converter of legacy ARC records, and WARC records written and read.
+"""Web archives: a converter of legacy ARC archives, and WARC archives written and read.
 
 ARC files state their version and field names in a first ``filedesc://`` record; every other
 record is a line of those fields, the last of which is the declared length of what follows.
 The converter synthesises WARC records of the same contents: identifiers from the records
 themselves, dates from the 14-digit stamps, types from the contents, SHA-1 digests.
 
-Archives are rows of a binary column, each some hundred gzip members, one member a record; a
-file of ``spark.read.format("binaryFile")`` reads the same way.  Null payloads are empty, a null
-page_id stays null, null addresses are written as ``-``.  Repeated rows are records of their own.
+Archives are rows of a binary column: files that ``spark.read.format("binaryFile")`` reads
+(``read_files``), or parts of ``ARCHIVE_BYTES`` that a task wrote.  ARC archives may be plain or of
+gzip members; WARC archives are of gzip members, one a record.  ``convert`` reads the archives
+twice: once for the digests alone, of which the repeated ones meet by digest, and once to write;
+payloads are shuffled only where more than ``BROADCAST_IDS`` records are revisits, and then by
+record, so no payload, however common, is a key of its own.
+
+Payloads are equal when their SHA-1 and size are, which is what a revisit by digest says.  Null
+payloads are empty, null addresses are written as ``-``, a null page_id stays null and its record
+is a response.  Repeated rows are records of their own; those with the largest page_id of their
+payload are responses all.  A long payload is worked on by one task.  Extra columns of any name
+are ignored.  An empty table gives an empty table.  A broken archive raises ValueError.
 """
 
 from __future__ import annotations
@@ -15,20 +24,24 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import json
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import stored
 
-#: Bytes of compressed records in one row of archives.
-ARCHIVE_BYTES = 2 << 20
+#: Bytes of compressed records in one row of archives, and of records in one batch.
+ARCHIVE_BYTES, BATCH_BYTES = 2 << 20, 4 << 20
+#: Revisits (about 50 bytes each) that may be broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1 << 19
 #: The names of the ARC fields, in order: fixed values of the format.
 ARC_FIELDS = {
     1: ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"],
@@ -87,40 +100,42 @@ def arc_record(version: int, fields: dict[str, str], block: bytes) -> bytes:
 
 
 def parse_arc(raw: bytes) -> Iterator[ArcRecord]:
-    """Records of an ARC file, the version block first.
+    """Records of an ARC archive, plain or of gzip members, the version block first.
 
     Field names are those that the version block declares, or those of its version where it
-    declares none.  A length that isn't a number or goes beyond the file raises ValueError.
+    declares none.  A length that isn't a number or goes beyond the archive raises ValueError.
     """
-    at, names, version = 0, None, 1
-    while at < len(raw):
-        if raw[at : at + 1] in (b"\n", b"\r"):
-            at += 1
-            continue
-        end = raw.find(b"\n", at)
-        if end < 0:
-            raise ValueError(f"no header line at byte {at}")
-        parts = raw[at:end].decode("utf-8", "replace").rstrip("\r").split(" ")
-        first = names is None
-        if first:
-            # the version block itself has the five fields of version 1, or the ten of version 2
-            names = ARC_FIELDS[2] if len(parts) == len(ARC_FIELDS[2]) else ARC_FIELDS[1]
-        if len(parts) < len(names):
-            raise ValueError(f"{len(parts)} fields at byte {at}; {len(names)} are declared")
-        # an address may hold spaces: what is left over belongs to the first field
-        extra = len(parts) - len(names)
-        fields = dict(zip(names, [" ".join(parts[: extra + 1]), *parts[extra + 1 :]]))
-        if not fields["Archive-length"].isdigit() or end + 1 + (size := int(fields["Archive-length"])) > len(raw):
-            raise ValueError(f"length {fields['Archive-length']!r} at byte {at}")
-        block = raw[end + 1 : end + 1 + size]
-        if first:
-            about, _, rest = block.partition(b"\n")
-            if m := re.match(rb"(\d+)\s", about):
-                version = int(m[1])
-            declared = rest.split(b"\n", 1)[0].decode("utf-8", "replace").split()
-            names = declared if declared and declared[-1] == "Archive-length" else ARC_FIELDS.get(version, ARC_FIELDS[1])
-        yield ArcRecord(fields, block, version)
-        at = end + 1 + size
+    names, version = None, 1
+    for part in members(raw) if raw[:2] == b"\x1f\x8b" else (raw,):
+        at = 0
+        while at < len(part):
+            if part[at : at + 1] in (b"\n", b"\r"):
+                at += 1
+                continue
+            end = part.find(b"\n", at)
+            if end < 0:
+                raise ValueError(f"no header line at byte {at}")
+            words = part[at:end].decode("utf-8", "replace").rstrip("\r").split(" ")
+            first = names is None
+            if first:
+                # the version block itself has the five fields of version 1, or the ten of version 2
+                names = ARC_FIELDS[2] if len(words) == len(ARC_FIELDS[2]) else ARC_FIELDS[1]
+            if len(words) < len(names):
+                raise ValueError(f"{len(words)} fields at byte {at}; {len(names)} are declared")
+            # an address may hold spaces: what is left over belongs to the first field
+            extra = len(words) - len(names)
+            fields = dict(zip(names, [" ".join(words[: extra + 1]), *words[extra + 1 :]]))
+            if not fields["Archive-length"].isdigit() or end + 1 + (size := int(fields["Archive-length"])) > len(part):
+                raise ValueError(f"length {fields['Archive-length']!r} at byte {at}")
+            block = part[end + 1 : end + 1 + size]
+            if first:
+                about, _, rest = block.partition(b"\n")
+                if m := re.match(rb"(\d+)\s", about):
+                    version = int(m[1])
+                declared = rest.split(b"\n", 1)[0].decode("utf-8", "replace").split()
+                names = declared if declared and declared[-1] == "Archive-length" else ARC_FIELDS.get(version, ARC_FIELDS[1])
+            yield ArcRecord(fields, block, version)
+            at = end + 1 + size
 
 
 def to_warc(arc: ArcRecord) -> WarcRecord:
@@ -178,41 +193,109 @@ def parse_warc(raw: bytes) -> Iterator[WarcRecord]:
         at = end + 4 + size + 4
 
 
-def with_originals(pages: DataFrame, payload: Column, min_bytes: int = 0) -> DataFrame:
-    """``pages`` with refers_to: the largest page_id of its payload where that is another row's, or null."""
-    keyed = pages.withColumns({"_sha1": F.sha1(payload.cast("binary")), "_size": F.octet_length(payload)})
-    repeated = keyed.groupBy("_sha1", "_size").agg(F.max("page_id").alias("_last"), F.count(F.lit(1)).alias("_n")).where((F.col("_n") > 1) & (F.col("_size") >= min_bytes)).drop("_n")
-    out = keyed.join(repeated, ["_sha1", "_size"], "left")
-    return out.withColumn("refers_to", F.when(F.col("_last") != F.col("page_id"), F.col("_last"))).drop("_sha1", "_size", "_last")
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """(archive) of the ARC or WARC files of a folder, in any store that Spark reads; a file is a row."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("content").alias("archive"))
+
+
+def _archives(members_: Iterator[bytes], head: bytes = b"") -> Iterator[pa.RecordBatch]:
+    """Gzip members gathered to archives, each of which begins with ``head``."""
+    rows, size = [], 0
+    for member in members_:
+        rows.append(member)
+        size += len(member)
+        if size >= ARCHIVE_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array([head + b"".join(rows)], pa.binary())], ["archive"])
+            rows, size = [], 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array([head + b"".join(rows)], pa.binary())], ["archive"])
+
+
+def write_arc(pages: DataFrame, date: str = "20240101000000", version: int | None = None) -> DataFrame:
+    """(archive): pages laid down as ARC archives of this version; by default of version 1 in every other partition, of 2 in the rest."""
+    given = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), (F.spark_partition_id() % 2 + 1 if version is None else F.lit(version)).alias("version"))
+
+    def run(batches):
+        first = next(batches, None)
+        if first is None or not first.num_rows:
+            return
+        own = first.column("version")[0].as_py()
+
+        def records():
+            for b in chain([first], batches):
+                for page_id, url, html in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html"))):
+                    payload = (html or "").encode()
+                    head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n" % len(payload)
+                    if page_id is not None:
+                        head += _PAGE + b": %d\r\n" % page_id
+                    address = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "-")
+                    fields = {"URL": address, "Archive-date": date, "Content-type": "text/html", "Result-code": "200", "Checksum": "-"}
+                    yield gzip.compress(arc_record(own, fields, head + b"\r\n" + payload), 1, mtime=0)
+
+        yield from _archives(records(), gzip.compress(arc_version_block(own, "pages.arc", date), 1, mtime=0))
+
+    return given.mapInArrow(run, "archive binary")
+
 
+def _converted(raw: bytes) -> Iterator[tuple[WarcRecord, int | None, int, str]]:
+    """Records of an ARC archive as WARC, but for its version block: with page_id, size and digest of the payload."""
+    for arc in parse_arc(raw):
+        record = to_warc(arc)
+        if record.headers["WARC-Type"] != "warcinfo":
+            _, http, payload = split_http(record.block)
+            yield record, int(http[_PAGE]) if _PAGE in http else None, len(payload), record.headers["WARC-Payload-Digest"]
 
-def write_archives(pages: DataFrame, min_bytes: int = 0, date: str = "20240101000000", arc_version: int = 2) -> DataFrame:
-    """(archive): every page laid down as an ARC record, converted, and written as a gzip member of WARC."""
-    given = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+
+def revisit_table(archives: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """(page_id, digest, refers_to): records whose payload a record with a larger page_id has.  Payloads stay in their task."""
 
     def run(batches):
-        rows, size = [], 0
         for b in batches:
-            for page_id, url, html, last in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to"))):
-                payload = html.encode()
-                head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n" % len(payload)
-                if page_id is not None:
-                    head += _PAGE + b": %d\r\n" % page_id
-                address = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "-")
-                fields = {"URL": address, "Archive-date": date, "Content-type": "text/html", "Result-code": "200", "Checksum": "-"}
-                arc = arc_version_block(arc_version, "pages.arc", date) + arc_record(arc_version, fields, head + b"\r\n" + payload)
-                _, record = map(to_warc, parse_arc(arc))
-                if last is not None:
-                    record = as_revisit(record, record_id(f"page:{last}"))
-                rows.append(gzip.compress(record.to_bytes(), 1, mtime=0))
-                size += len(rows[-1])
-                if size >= ARCHIVE_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(rows)], pa.binary())], ["archive"])
-                    rows, size = [], 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([b"".join(rows)], pa.binary())], ["archive"])
-
-    return with_originals(given, F.col("html"), min_bytes).mapInArrow(run, "archive binary")
+            for raw in b.column("archive"):
+                rows = [(page, size, d) for _, page, size, d in _converted(raw.as_py())]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string()))], ["page_id", "size", "digest"])
+
+    keys = stored(archives.mapInArrow(run, "page_id long, size long, digest string").where(F.col("page_id").isNotNull() & (F.col("size") >= min_bytes)).distinct(), "digests")
+    last = keys.groupBy("digest", "size").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return keys.join(last, ["digest", "size"]).where("page_id <> refers_to").select("page_id", "digest", "refers_to")
+
+
+def convert(archives: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """(archive): ARC archives as WARC archives, repeated payloads as revisits."""
+    refers = stored(revisit_table(archives, min_bytes), "revisits")
+
+    def rows(batches):
+        """The records, some megabytes to a batch."""
+        names = ["page_id", "digest", "head", "block"]
+        held, size = [], 0
+        for b in batches:
+            for raw in b.column("archive"):
+                for record, page, _, d in _converted(raw.as_py()):
+                    held.append((page, d, json.dumps(record.headers), record.block))
+                    size += len(record.block)
+                    if size >= BATCH_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names)
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names)
+
+    types = (pa.int64(), pa.string(), pa.string(), pa.binary())
+
+    def write(batches):
+        def records():
+            for b in batches:
+                for head, block, last in zip(*(b.column(c) for c in ("head", "block", "refers_to"))):
+                    record = WarcRecord(json.loads(head.as_py()), block.as_py())
+                    if last.is_valid:
+                        record = as_revisit(record, record_id(f"page:{last.as_py()}"))
+                    yield gzip.compress(record.to_bytes(), 1, mtime=0)
+
+        yield from _archives(records())
+
+    found = archives.mapInArrow(rows, "page_id long, digest string, head string, block binary")
+    joined = found.join(F.broadcast(refers) if refers.count() <= BROADCAST_IDS else refers, ["page_id", "digest"], "left")
+    return joined.select("head", "block", "refers_to").mapInArrow(write, "archive binary")
 
 
 def read_archives(archives: DataFrame, column: str = "archive") -> DataFrame:
@@ -237,13 +320,19 @@ def read_archives(archives: DataFrame, column: str = "archive") -> DataFrame:
     return archives.select(column).mapInArrow(run, schema)
 
 
-def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = stored(read_archives(stored(write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet")), "archives")), "records")
+def revisits(pages: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of pages, by way of ARC archives and their conversion."""
+    archives = stored(convert(stored(write_arc(pages), "arc")), "warc")
+    records = stored(read_archives(archives), "records")
     responses = records.where("record_type = 'response'").join(records.where("record_type = 'revisit'").select(F.col("refers_to_id").alias("record_id")), "record_id", "left_semi")
     responses = responses.select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to")).distinct()
     return records.join(responses, "refers_to_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return revisits(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES = {"op8_warc": op8_warc}
 ORACLE_SQL = {
     "op8_warc": """

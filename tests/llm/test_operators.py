@@ -461,22 +461,45 @@ def test_arc_round_trip(version):
 
 
 def test_archives(spark):
-    df = spark.createDataFrame(PAGES, "page_id long, url string, html string").withColumn("_sha1", F.lit(1))
+    df = spark.createDataFrame(PAGES, "page_id long, url string, html string").withColumn("digest", F.lit(1)).repartition(3)
     for minimum, revisits in ((0, {0: 5, 1: 5, 2: 3}), (1, {0: 5, 1: 5})):
-        got = warc.read_archives(common.stored(warc.write_archives(df.drop("_sha1"), minimum))).collect()
-        ids = {r["record_id"]: r["page_id"] for r in got if r["record_type"] == "response"}
-        assert {r["page_id"]: ids[r["refers_to_id"]] for r in got if r["record_type"] == "revisit"} == revisits
-        for r in got:
-            payload = (dict((p, h) for p, _, h in PAGES)[r["page_id"]] or "").encode()
-            assert r["payload_bytes"] == len(payload) and r["payload_digest"] == base64.b32encode(hashlib.sha1(payload).digest()).decode()
-    assert warc.read_archives(warc.write_archives(df.limit(0))).count() == 0
-
-
-def test_revisit_of_a_repeated_page_is_one_row(spark, tmp_path):
-    pages = [(7, "http://a", "x"), (7, "http://a", "x"), (3, "http://b", "x"), (4, "http://c", "y")]
-    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    got = [(r["page_id"], r["record_type"], r["refers_to"]) for r in warc.op8_warc(spark, str(tmp_path)).collect()]
-    assert collections.Counter(got) == {(7, "response", None): 2, (3, "revisit", 7): 1, (4, "response", None): 1}
+        for version in (1, 2, None):
+            got = warc.read_archives(common.stored(warc.convert(common.stored(warc.write_arc(df, version=version)), minimum))).collect()
+            ids = {r["record_id"]: r["page_id"] for r in got if r["record_type"] == "response"}
+            assert {r["page_id"]: ids[r["refers_to_id"]] for r in got if r["record_type"] == "revisit"} == revisits
+            assert len(got) == len(PAGES)
+            for r in got:
+                payload = (dict((p, h) for p, _, h in PAGES)[r["page_id"]] or "").encode()
+                assert r["payload_bytes"] == len(payload) and r["payload_digest"] == base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                assert r["target_uri"] == (dict((p, u) for p, u, _ in PAGES)[r["page_id"]] or "-").replace(" ", "%20") and r["date"] == "2024-01-01T00:00:00Z"
+
+
+def test_archives_of_many_revisits(spark, monkeypatch):
+    """Beyond the bound of a broadcast the same rows come out of a shuffle."""
+    df = spark.createDataFrame([(i, f"u{i}", f"page {i % 7}") for i in range(60)], "page_id long, url string, html string")
+    broadcast = sorted(map(str, warc.revisits(df).collect()))
+    monkeypatch.setattr(warc, "BROADCAST_IDS", 0)
+    assert sorted(map(str, warc.revisits(df).collect())) == broadcast and sum("revisit" in r for r in broadcast) == 53
+
+
+def test_arc_files(spark, tmp_path):
+    """Files of both versions, plain and compressed, with records of other kinds, through the converter and back."""
+    import gzip
+
+    html = b"HTTP/1.0 200 OK\r\nContent-Type: text/html\r\n\r\n<p>page</p>"
+    expected = {}
+    for version in (1, 2):
+        for packed in (False, True):
+            out, date = [warc.arc_version_block(version, "crawl.arc", "19970101000000")], f"1998010203040{version}"
+            for k, block in enumerate((html, b"plain text\n", b"", b"\n\nhttp://looks.like/a 0.0.0.0 19990101000000 text/plain 3\nabc")):
+                url = f"http://site{version}{packed}/{k} with space"
+                out.append(warc.arc_record(version, {"URL": url, "IP-address": "10.0.0.1", "Archive-date": date, "Content-type": "text/plain", "Result-code": "200"}, block))
+                payload = warc.split_http(block)[2]
+                expected[url] = ("response" if k == 0 else "resource", f"1998-01-02T03:04:0{version}Z", len(payload), warc.digest(payload))
+            (tmp_path / f"a{version}{packed}.arc{'.gz' * packed}").write_bytes(b"".join(map(gzip.compress, out)) if packed else b"".join(out))
+    records = warc.read_archives(common.stored(warc.convert(warc.read_files(spark, f"file://{tmp_path}")))).collect()
+    assert {r["target_uri"]: (r["record_type"], r["date"], r["payload_bytes"], r["payload_digest"]) for r in records} == expected and len(records) == len(expected)
+    assert len({r["record_id"] for r in records}) == len(expected)
 
 
 # 9
