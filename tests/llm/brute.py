@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -104,3 +105,27 @@ def quality(rows, line_docs=20, left_percent=20):
                 kept.append(x)
         out.append((failed, not failed and (m["n_words"] - gone) * 100 >= m["n_words"] * left_percent, gone, "\n".join(kept)))
     return out
+
+
+def code_length(texts, text, order=3):
+    """Bits of a text by prediction by partial matching, method C, frozen after ``texts``: bytes one by one, with dictionaries."""
+    counts = collections.defaultdict(collections.Counter)
+    for t in texts:
+        raw = b"\n" * order + t.encode()
+        for i in range(order, len(raw)):
+            for k in range(order + 1):
+                counts[raw[i - k : i]][raw[i]] += 1
+    total, raw = 0.0, b"\n" * order + text.encode()
+    for i in range(order, len(raw)):
+        p = 1.0
+        for k in range(order, -1, -1):
+            seen = counts.get(raw[i - k : i])
+            if seen and raw[i] in seen:
+                p *= seen[raw[i]] / (sum(seen.values()) + len(seen))
+                break
+            if seen:
+                p *= len(seen) / (sum(seen.values()) + len(seen))
+        else:
+            p /= 256
+        total -= math.log2(p)
+    return total

@@ -533,13 +533,34 @@ def test_quality_of_repeated_and_unnamed_rows(spark):
 # 10
 
 
+def test_code_lengths_equal_a_plain_coder(spark, table):
+    """Exact bits under each language, from trees that one task each has made, for learned, foreign and odd texts."""
+    learned = {"x": ["the cat sat on the mat", "", "a dog\nand a cat"], "y": ["der Hund und die Katze über all", "ü"], "z": [t for _, t, _ in table[1][:3]]}
+    df = spark.createDataFrame([(k, t, lang) for k, (lang, t) in enumerate((lang, t) for lang, v in learned.items() for t in v)], "doc_id long, text string, lang string")
+    m = langid.train(df)
+    texts = ["the hat", "Katze", "x", "", "日本", "ü" * 9, *(t for _, t, _ in table[1][2:6])]
+    data, offsets = common.utf8(pa.array(texts))
+    assert m.langs == ["x", "y", "z"]
+    got = m.code_lengths(data, offsets)
+    assert np.allclose(got, [[brute.code_length([t for t in learned[lang] if t], x) for lang in m.langs] for x in texts], rtol=1e-12, atol=1e-9)
+    again = langid.ContextTree.from_bytes(m.trees[1].to_bytes())
+    grams = np.unique(langid._grams(data, offsets))
+    assert (again.bits(grams) == m.trees[1].bits(grams)).all()
+
+
 def test_code_lengths_are_probabilities():
-    """In every context, the bytes' probabilities sum to one at most, and to nearly one."""
+    """In every context that occurs, the probabilities of all 256 bytes sum to one at most."""
     data, offsets = common.utf8(pa.array(["the cat sat on the mat", "der Hund"]))
     grams, n = np.unique(langid._grams(data, offsets), return_counts=True)
-    m = langid.PartialMatching.train(np.array(["x"] * len(grams)), grams.astype(np.int64), n.astype(float))
-    p = np.exp2(-m.bits[:, :-1, 0].astype(float)).sum(1) + np.exp2(-m.bits[:, -1, 0].astype(float)) * (256 - m.bits.shape[1] + 1)
-    assert (p < 1.02).all() and (p > 0.9).all()
+    tree = langid.ContextTree.train(grams, n.astype(float))
+    for context in np.unique(grams >> np.uint32(8)):
+        assert 0.5 < np.exp2(-tree.bits((context << np.uint32(8)) + np.arange(256, dtype=np.uint32))).sum() <= 1 + 1e-12
+
+
+def test_samples_bound_what_is_learned(spark):
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.sha2(F.col("id").cast("string"), 256)).alias("text"), F.lit("en").alias("lang"))
+    n = [len(langid.train(df, **x).trees[0].strings[3]) for x in ({}, {"docs_per_language": 40}, {"bytes_per_language": 2000})]
+    assert n[0] > 5 * n[1] > 0 and n[0] > 5 * n[2] > 0
 
 
 def test_language(spark, table):
@@ -550,5 +571,5 @@ def test_language(spark, table):
     known = {r["doc_id"]: r["lang"] for r in df.where(langid.held_out(F.col("doc_id"))).collect()}
     assert sum(got[i]["lang_pred"] == x for i, x in known.items()) / len(known) > 0.95
     assert [got[90_000 + i]["lang_pred"] == "und" for i in range(5)] == [True] * 5 and got[90_009]["lang_pred"] == "und"
-    assert all(0 <= r["score"] <= 1 for r in got.values())
+    assert all(0 <= r["score"] <= 1 for r in got.values()) and len({round(r["score"], 3) for r in got.values()}) > 20
     assert {i for i in known} == {i for i, _, _ in table[1] if zlib.crc32(str(i).encode()) % 4 == 2}
