@@ -2,16 +2,23 @@
 
 A page becomes a tree of block elements; text between blocks is a node of its own.  Features of
 a node are its subtree's text and link densities, its tag and attribute tokens and those of
-its ancestors, its depth, and its place and share among its siblings.  Decoding picks the best
-labelling in which nothing below a dropped node is kept, so contradictory choices of
-ancestors and descendants can't occur.
+its ancestors, its depth, and its place and share among its siblings.  Tokens count in two ways:
+by groups of words that pages use, and by what the fitted pages tell of them: each token is
+hashed to one of ``BUCKETS`` log odds, learned from other pages than those that the trees are
+fitted on with it; unseen tokens tell nothing.  Decoding picks the best labelling in which nothing
+below a dropped node is kept, so contradictory choices of ancestors and descendants can't occur.
 
 The trees are fitted on generated layouts with known labels, and on a bounded sample of the
-pages themselves whose semantic elements (``article``, ``main``) tell their labels.
-
-A null or empty page has no text.  Scripts, styles, comments, form controls and the head never
-count as text.  White space is ``[\\x20\\x09-\\x0D]``.  Broken markup is read as far as it
-goes: open elements end with the page.  Repeated rows are extracted each.
+pages themselves whose semantic elements (``article``, ``main``) tell their labels.  The sample
+is of the smallest hashes of page_id among pages of at most ``SAMPLE_CHARS``.
+
+A null or empty page has no text.  Scripts, styles, templates, comments, form controls and the
+head never count as text; whatever else stands in a kept block does, formulas, drawings and what
+stands in for objects too.  White space is ``[\\x20\\x09-\\x0D]``.  Broken markup is read as far
+as it goes: open elements end with the page.  Of labellings that are equally good the one with
+less text is taken.  Repeated rows are extracted each, as are those without a page_id.  A long
+page is parsed by one task, at some hundred times its size a node.  Extra columns of any name are
+ignored.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -19,6 +26,8 @@ from __future__ import annotations
 import html as _html
 import random
 import re
+import zlib
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -30,16 +39,20 @@ from fieldloom.llm.boost import BoostedTrees
 
 #: The most pages, and generated pages, that the trees are fitted on.
 SAMPLE_PAGES, GENERATED_PAGES = 300, 400
+#: The longest page that is fitted on, and the number of learned log odds of tokens.
+SAMPLE_CHARS, BUCKETS = 1 << 17, 1 << 16
+#: Pages that a token must stand on to be learned.
+TOKEN_PAGES = 5
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|data-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACES = re.compile(r"[\x20\x09-\x0D]+")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-_BLOCKS = "#text body div section article main p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary fieldset form nav header footer aside center hr".split()
+_BLOCKS = "#text body div section article main p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary fieldset form nav header footer aside center hr noscript".split()
 _KIND = {t: i for i, t in enumerate(_BLOCKS)}
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
-_RAW = frozenset("script style noscript template iframe textarea title select option svg math object canvas head button".split())
-_TO_THE_END = frozenset("script style noscript template iframe textarea title".split())
+_RAW = frozenset("script style template textarea title select option head button".split())
+_TO_THE_END = frozenset("script style template textarea title".split())
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in _RAW}
 _VOID = frozenset("br img input hr meta link area base col embed source track wbr param".split())
 _CLOSED_BY = {"p": frozenset(_BLOCKS) - {"#text", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
@@ -66,6 +79,11 @@ _N_GROUPS = len(_GROUPS)
 _NEGATIVE = (1 << _N_GROUPS - 1) - 1
 
 
+@lru_cache(65536)
+def _buckets(value: str) -> tuple[int, ...]:
+    return tuple(zlib.crc32(part.lower().encode()) % BUCKETS for part in _PART.findall(value) if not part.isdigit())
+
+
 @lru_cache(65536)
 def _mask(value: str) -> int:
     out = 0
@@ -85,17 +103,19 @@ class Page:
         self._marked = marked  # whether ``data-label`` tells the labels, as in generated pages alone
         self.tags, self.parent, self.end, self.depth = ["body"], [-1], [0], [0]
         self.mask, self.above, self.label = [0], [0], [None]
+        self.tokens: list[tuple[int, ...]] = [()]
         self.own: list[list[int]] = [[0, 0, 0, 0, 0]]
         self.texts: dict[int, str] = {}
         self._parse(source)
 
-    def _open(self, tag: str, mask: int, label) -> int:
+    def _open(self, tag: str, mask: int, label, tokens: tuple[int, ...] = ()) -> int:
         p = self._stack[-1]
         self.tags.append(tag)
         self.parent.append(p)
         self.end.append(0)
         self.depth.append(self.depth[p] + 1)
         self.mask.append(mask)
+        self.tokens.append(tokens)
         self.above.append(self.above[p] | self.mask[p])
         self.label.append(label if label is not None else self.label[p])
         self.own.append([0, 0, 0, 0, 0])
@@ -162,9 +182,9 @@ class Page:
                 link = 0
                 if tag == "hr":
                     continue
-                mask, label = _mask_of(m[3])
+                mask, label, tokens = _mask_of(m[3])
                 label = label if self._marked else None
-                self._stack.append(self._open(tag, mask | _TAG_MASK.get(tag, 0), label))
+                self._stack.append(self._open(tag, mask | _TAG_MASK.get(tag, 0), label, (zlib.crc32(tag.encode()) % BUCKETS, *tokens)))
             elif tag == "br":
                 self._run.append(" ")
             else:
@@ -175,8 +195,8 @@ class Page:
             self._close()
 
 
-def _mask_of(attributes: str) -> tuple[int, str | None]:
-    mask, label = 0, None
+def _mask_of(attributes: str) -> tuple[int, str | None, tuple[int, ...]]:
+    mask, label, tokens = 0, None, ()
     if "=" in attributes:
         for m in _ATTRIBUTE.finditer(attributes):
             value = m[2] or m[3] or m[4] or ""
@@ -184,10 +204,52 @@ def _mask_of(attributes: str) -> tuple[int, str | None]:
                 label = value
             else:
                 mask |= _mask(value)
-    return mask, label
+                tokens += _buckets(value)
+    return mask, label, tokens
+
+
+def token_odds(pages: list["Page"], labels: list[np.ndarray]) -> np.ndarray:
+    """The log odds, against those of all nodes, that a node with a token holds main text, by the token's bucket."""
+    main, total, on = (np.zeros(BUCKETS) for _ in range(3))
+    for page, y in zip(pages, labels):
+        there = set()
+        for i, tokens in enumerate(page.tokens):
+            for t in set(tokens):
+                total[t] += 1
+                main[t] += y[i]
+                there.add(t)
+        on[list(there)] += 1
+    share = (main.sum() + 1) / (total.sum() + 2)
+    odds = np.log((main + share * 10) / (total - main + (1 - share) * 10)) - np.log(share / (1 - share))
+    return np.where(on >= TOKEN_PAGES, odds, 0.0).astype(np.float32)
+
+
+def _token_features(page: "Page", odds: np.ndarray) -> np.ndarray:
+    """A node's least and largest log odds of a token, and the least of the nodes above it."""
+    out = np.zeros((len(page.tags), 3))
+    for i, tokens in enumerate(page.tokens):
+        if tokens:
+            own = odds[list(tokens)]
+            out[i, 0], out[i, 1] = min(0.0, own.min()), max(0.0, own.max())
+        if i:
+            p = page.parent[i]
+            out[i, 2] = min(out[p, 2], out[p, 0])
+    return out
+
+
+@dataclass
+class Model:
+    """Fitted trees, and the log odds of tokens."""
+
+    trees: BoostedTrees
+    odds: np.ndarray
+
+    def margin(self, pages: list["Page"]) -> np.ndarray:
+        """Log odds of all nodes of the pages, end to end."""
+        return self.trees.margin(np.concatenate([features(p, self.odds) for p in pages]))
 
 
-def features(page: Page) -> np.ndarray:
+def features(page: Page, odds: np.ndarray) -> np.ndarray:
     """A row for each node."""
     n = len(page.tags)
     parent, end = np.maximum(np.array(page.parent), 0), np.array(page.end)
@@ -212,7 +274,7 @@ def features(page: Page) -> np.ndarray:
         np.array(page.depth), np.log1p(siblings), first / np.maximum(siblings, 1), chars / np.maximum(up, 1), np.log1p(mean), chars / max(1.0, chars[0]), sums[:-1, 0] / max(1.0, chars[0]),
         sub[:, 5] / nodes, sub[:, 6] / nodes, sub[:, 7] / nodes, tags, np.log1p(nodes), np.log1p(chars[parent]), sub[parent, 1] / np.maximum(up, 1), tags[parent],
     ]
-    return np.concatenate([np.stack(dense, 1), mask[:, None] >> bits & 1, above[:, None] >> bits & 1], 1)
+    return np.concatenate([np.stack(dense, 1), mask[:, None] >> bits & 1, above[:, None] >> bits & 1, _token_features(page, odds)], 1)
 
 
 def decode(page: Page, margin: np.ndarray) -> np.ndarray:
@@ -233,13 +295,11 @@ def decode(page: Page, margin: np.ndarray) -> np.ndarray:
     return keep
 
 
-def extract(pages: list[str | None], model: BoostedTrees) -> list[str]:
+def extract(pages: list[str | None], model: Model) -> list[str]:
     """The main text of each page."""
     trees = [Page(p) if p else None for p in pages]
-    rows = [features(t) for t in trees if t is not None]
-    if not rows:
-        return [""] * len(pages)
-    margin, at, out = model.margin(np.concatenate(rows)), 0, []
+    parsed = [t for t in trees if t is not None]
+    margin, at, out = model.margin(parsed) if parsed else None, 0, []
     for t in trees:
         if t is None:
             out.append("")
@@ -275,6 +335,7 @@ def _labels(page: Page) -> np.ndarray | None:
 def generated_pages(n: int, seed: int = 7) -> list[str]:
     """Pages of invented words in many layouts; ``data-label`` marks their main text."""
     r = random.Random(seed)
+    plain = False  # a page without semantic elements and names
     syllables = "ka re ti mo sun la per vi ost en dra qui bel nor".split()
 
     def words(lo: int, hi: int) -> str:
@@ -285,18 +346,19 @@ def generated_pages(n: int, seed: int = 7) -> list[str]:
         return " ".join(out).capitalize() + r.choice([".", "", "."])
 
     def attr(group: str | None) -> str:
-        if not group or r.random() < 0.35:
-            return r.choice(["", f' class="{r.choice(["box", "row", "col", "wrap", "c1", "inner"])}"'])
+        if not group or plain or r.random() < 0.35:
+            # names that tell nothing: common ones, and ones that stand nowhere else
+            return r.choice(["", f' class="{r.choice(["box", "row", "col", "wrap", "c1", "inner"])}"', f' class="{"".join(r.choices("bcdfgklmz", k=5))}"'])
         token = r.choice(_GROUPS[group])
         return f' {r.choice(["class", "id", "class"])}="{r.choice(["", "site-", "block-", "the_"])}{token}{r.choice(["", "-inner", " box", "-1"])}"'
 
     def block(group: str | None, inner: str, tags=("div", "section")) -> str:
-        tag = r.choice(tags)
+        tag = r.choice(("div", "div", "section", "div", "center") if plain else tags)
         return f"<{tag}{attr(group)}>{inner}</{tag}>"
 
     def links(lo: int, hi: int) -> str:
         items = [f'<a href="/{i}">{words(1, 4)}</a>' for i in range(r.randint(lo, hi))]
-        return r.choice([lambda: "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>", lambda: " | ".join(items), lambda: "".join(f"<div>{x}</div>" for x in items)])()
+        return r.choice([lambda: "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>", lambda: " | ".join(items), lambda: " ".join(items), lambda: "<br>".join(items), lambda: "".join(f"<div>{x}</div>" for x in items)])()
 
     def paragraphs(lo: int, hi: int, low=8, high=120) -> str:
         out = []
@@ -310,7 +372,8 @@ def generated_pages(n: int, seed: int = 7) -> list[str]:
         return "".join(out)
 
     def boiler() -> str:
-        kind = r.choice(["menu", "header", "footer", "side", "notice", "advert", "form", "comment", "share"])
+        # where nothing is named, what only its name tells from an article isn't there
+        kind = r.choice(["menu", "footer", "side", "form"] if plain else ["menu", "header", "footer", "side", "notice", "advert", "form", "comment", "share"])
         if kind == "menu":
             return block(kind, links(2, 10), ("nav", "div", "nav"))
         if kind == "header":
@@ -318,7 +381,7 @@ def generated_pages(n: int, seed: int = 7) -> list[str]:
         if kind == "footer":
             return block(kind, f"&copy; {words(1, 12)}" + r.choice(["", links(1, 5), f"<p>{words(3, 20)}</p>"]), ("footer", "div", "footer"))
         if kind == "side":
-            return block(kind, f"<h3>{words(1, 3)}</h3>" + r.choice([links(2, 8), f"<p>{words(4, 25)}</p>" + links(1, 3)]), ("aside", "div"))
+            return block(kind, f"<h3>{words(1, 3)}</h3>" + (links(3, 8) if plain else r.choice([links(2, 8), f"<p>{words(4, 25)}</p>" + links(1, 3)])), ("aside", "div"))
         if kind == "form":
             return f"<form{attr(kind)}><label>{words(1, 4)}</label><input name=q><p>{words(2, 12)}</p><button>{words(1, 2)}</button></form>"
         if kind == "comment":
@@ -327,13 +390,16 @@ def generated_pages(n: int, seed: int = 7) -> list[str]:
 
     pages = []
     for _ in range(n):
-        tag, title = r.choice(["article", "article", "main", "div", "div", "section"]), words(2, 9)
+        plain = r.random() < 0.4
+        tag, title = r.choice(["div", "div", "section", "td"] if plain else ["article", "article", "main", "div", "div", "section"]), words(2, 9)
         main = f"{r.choice([f'<h1>{title}</h1>', f'<h2>{title}</h2>', ''])}{paragraphs(1, 12)}"
         if r.random() < 0.25:
             cut = main.find("<p>", len(main) // 3)
             if cut > 0:
-                main = main[:cut] + boiler().replace("<", "<", 1).replace(">", ' data-label="no">', 1) + main[cut:]
+                main = main[:cut] + boiler().replace(">", ' data-label="no">', 1) + main[cut:]
         main = f'<{tag}{attr("content")} data-label="main">{main}</{tag}>'
+        if tag == "td":
+            main = f"<table><tr>{f'<td>{links(2, 8)}</td>' if r.random() < 0.5 else ''}{main}</tr></table>"
         for _ in range(r.randint(0, 2)):
             main = f"<div{attr(r.choice([None, 'content']))}>{boiler() if r.random() < 0.3 else ''}{main}</div>"
         before, after = "".join(boiler() for _ in range(r.randint(0, 4))), "".join(boiler() for _ in range(r.randint(0, 5)))
@@ -342,23 +408,21 @@ def generated_pages(n: int, seed: int = 7) -> list[str]:
     return pages
 
 
-def fit(pages: DataFrame | None, sample: int = SAMPLE_PAGES, generated: int = GENERATED_PAGES) -> BoostedTrees:
-    """Trees fitted on generated pages and on at most ``sample`` of ``pages`` (by a hash of their page_id)."""
+def fit(pages: DataFrame | None, sample: int = SAMPLE_PAGES, generated: int = GENERATED_PAGES) -> Model:
+    """A model of generated pages and of at most ``sample`` of ``pages`` (those of the smallest hashes of their page_id)."""
     found = [Page(source, marked=True) for source in generated_pages(generated)]
-    if pages is not None and sample and (total := pages.count()):
-        share = min(1.0, sample / total)
-        part = pages.where(F.pmod(F.xxhash64(F.lit("sample"), "page_id"), F.lit(1_000_000)) < F.lit(share * 1_000_000)).where("html is not null")
-        found += [Page(r["html"]) for r in part.select("html").orderBy(F.octet_length("html")).limit(sample).collect()]
-    xs, ys = [], []
-    for page in found:
-        y = _labels(page)
-        if y is not None and len(y) > 1:
-            xs.append(features(page)[1:])
-            ys.append(y[1:])
-    return BoostedTrees.fit(np.concatenate(xs), np.concatenate(ys))
-
-
-def main_text(pages: DataFrame, model: BoostedTrees) -> DataFrame:
+    if pages is not None and sample:
+        usable = pages.where(F.length("html") <= SAMPLE_CHARS).select("html", F.xxhash64(F.lit("sample"), "page_id").alias("place"))
+        found += [Page(r["html"]) for r in usable.orderBy("place", "html").limit(sample).collect()]
+    known = [(page, y) for page in found if (y := _labels(page)) is not None and len(y) > 1]
+    # a page's tokens are judged by the other half of the pages
+    halves = [known[0::2], known[1::2]]
+    odds = [token_odds(*zip(*half)) if half else np.zeros(BUCKETS, np.float32) for half in halves]
+    rows = [(features(page, odds[1 - h])[1:], y[1:]) for h, half in enumerate(halves) for page, y in half]
+    return Model(BoostedTrees.fit(*(np.concatenate(x) for x in zip(*rows))), token_odds(*zip(*known)))
+
+
+def main_text(pages: DataFrame, model: Model) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
 
     def run(batches):
