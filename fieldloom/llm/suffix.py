@@ -19,8 +19,9 @@ doc_id, or in the same document at a smaller offset).
    boundary first shows tells a common prefix; the blocks left when ``length`` symbols are
    sorted are the repeated intervals.
    A key of very many differing texts, as of a line that a third of all documents hold, doesn't
-   become one group: each of its windows is dealt by its own text.  Of equal ones among
-   ``HELD_WINDOWS`` differing windows a task deals the earliest alone and marks the others.
+   become one group: each of its windows stands for itself.  Those whose hash no other of them has
+   are left out, as nothing equals them; the others are dealt by their own text.  Of equal ones
+   among ``HELD_WINDOWS`` differing windows a task deals the earliest alone and marks the others.
 4. The earliest window of each block stays, the others are marked, and marks meet the
    documents by doc_id.
 
@@ -43,6 +44,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,7 +58,7 @@ SHARDS = 2
 #: Busy keys (8 bytes each) that may be broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 1 << 20
 #: Differing pieces of one key that are merged as one group; of more, each window is a piece of its own, dealt by its text.
-GROUP_PIECES = 8_000
+GROUP_PIECES = 5_000
 #: Pieces that a task reduces before they are dealt, and the most texts of one key among them that are dealt by their key.
 FLUSH_PIECES, WIDE_TEXTS = 200_000, 16
 #: Differing windows of busy keys (100 bytes each) that a task holds to reduce equal ones.
@@ -300,16 +302,64 @@ def repeated_windows(doc: np.ndarray, start: np.ndarray, texts: list[bytes], len
     return docs_[later], offs[later]
 
 
-def _cutter(length: int, tasks: int, held_windows: int):
-    """Batches of (doc_id, base, text, asked) -> (task, doc_id, start, piece): texts of pieces and of windows of busy keys, and marked windows without a text."""
+def _task(keys: np.ndarray, tasks: int) -> np.ndarray:
+    return (mix(keys.view(np.uint64) ^ np.uint64(0x5DEECE66D)) % np.uint64(tasks)).astype(np.int64)
+
+
+def _cutter(length: int, tasks: int):
+    """Batches of (doc_id, base, text, asked) -> (task, busy, doc_id, start, piece): the texts of pieces."""
 
     def cut(batches):
-        held = {}  # of busy keys, window -> its earliest place so far
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                b = batch.slice(lo, 256)
+                rows = []
+                for doc_id, base, text, wanted in zip(*(b.column(c).to_pylist() for c in ("doc_id", "base", "text", "asked"))):
+                    raw = text.encode()
+                    for w in wanted:
+                        at = w["start"] - base
+                        rows.append((w["key"], w["busy"], doc_id, w["start"], raw[at : at + w["windows"] + length - 1]))
+                if rows:
+                    keys, busy, ids, starts, texts = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(_task(np.array(keys, np.int64), tasks)), pa.array(busy), pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(texts, pa.binary())], ["task", "busy", "doc_id", "start", "piece"])
+
+    return cut
+
+
+def _windows(length: int, texts: bool):
+    """Batches of pieces -> (hash[, doc_id, start, window]) of each window."""
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2000):
+                b = batch.slice(lo, 2000)
+                pieces_ = b.column("piece").cast(pa.large_binary())
+                data = np.frombuffer(b"".join(pieces_.to_pylist()), np.uint8)
+                sizes = pc.binary_length(pieces_).to_numpy()
+                n = sizes - length + 1
+                which = np.repeat(np.arange(len(n)), n)
+                inner = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+                at = np.repeat(np.cumsum(sizes) - sizes, n) + inner
+                hashes = pa.array(span_hashes(prefix_hashes(data), at, at + length).view(np.int64))
+                if not texts:
+                    yield pa.RecordBatch.from_arrays([hashes], ["hash"])
+                    continue
+                own = np.lib.stride_tricks.sliding_window_view(data, length)[at]
+                windows = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.arange(len(at) + 1, dtype=np.int32) * np.int32(length)), pa.py_buffer(own)])
+                yield pa.RecordBatch.from_arrays([hashes, b.column("doc_id").take(pa.array(which)), pa.array(b.column("start").to_numpy()[which] + inner), windows], ["hash", "doc_id", "start", "window"])
+
+    return run
+
+
+def _reducer(tasks: int, held_windows: int):
+    """Batches of windows -> (task, doc_id, start, piece): the earliest of equal ones, by their text, and the others as marks, without one."""
+
+    def run(batches):
+        held = {}  # window -> its earliest place so far
 
         def dealt(rows):
             keys, ids, starts, texts = zip(*rows)
-            task = (mix(np.array(keys, np.int64).view(np.uint64) ^ np.uint64(0x5DEECE66D)) % np.uint64(tasks)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(task), pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(texts, pa.binary())], ["task", "doc_id", "start", "piece"])
+            return pa.RecordBatch.from_arrays([pa.array(_task(np.array(keys, np.int64), tasks)), pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(texts, pa.binary())], ["task", "doc_id", "start", "piece"])
 
         def let_go():
             items = list(held.items())
@@ -317,32 +367,23 @@ def _cutter(length: int, tasks: int, held_windows: int):
             for lo in range(0, len(items), 20_000):
                 yield dealt([(int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little", signed=True), *place, t) for t, place in items[lo : lo + 20_000]])
 
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                b = batch.slice(lo, 256)
-                rows = []
-                for doc_id, base, text, wanted in zip(*(b.column(c).to_pylist() for c in ("doc_id", "base", "text", "asked"))):
-                    raw = text.encode()
-                    for w in wanted:
-                        at, key = w["start"] - base, w["key"]
-                        if w["busy"]:
-                            for i in range(at, at + w["windows"]):
-                                window, place = raw[i : i + length], (doc_id, base + i)
-                                first = held.setdefault(window, place)
-                                if first != place:
-                                    # the later one is marked: a row without a piece
-                                    held[window], later = min(first, place), max(first, place)
-                                    rows.append((later[0], *later, None))
-                            if len(held) >= held_windows:
-                                yield from let_go()
-                        else:
-                            rows.append((key, doc_id, base + at, raw[at : at + w["windows"] + length - 1]))
-                if rows:
-                    yield dealt(rows)
+        for b in batches:
+            rows = []
+            for *place, window in zip(*(b.column(c).to_pylist() for c in ("doc_id", "start", "window"))):
+                place = tuple(place)
+                first = held.setdefault(window, place)
+                if first != place:
+                    # the later one is marked
+                    held[window], later = min(first, place), max(first, place)
+                    rows.append((later[0] ^ later[1], *later, None))
+            if rows:
+                yield dealt(rows)
+            if len(held) >= held_windows:
+                yield from let_go()
         if held:
             yield from let_go()
 
-    return cut
+    return run
 
 
 #: A place is a byte's offset plus its text's number among the texts of its doc_id times this.
@@ -376,11 +417,8 @@ def marks(docs: DataFrame, size: int, length: int = LENGTH, task_pieces: int = T
     # keys of very many differing texts, fewer than one for each ``group_pieces`` pieces
     busy = stored(met.where("first").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_pieces).select("key", F.lit(True).alias("busy")), "busy")
     first = met.where("first").join(F.broadcast(busy) if busy.count() <= BROADCAST_KEYS else busy, "key", "left").withColumn("busy", F.coalesce("busy", F.lit(False)))
-    total = first.agg(F.coalesce(F.sum(F.when(F.col("busy"), F.col("windows") * length).otherwise(F.col("windows") + length - 1)), F.lit(0))).first()[0]
+    total = first.where("not busy").agg(F.coalesce(F.sum(F.col("windows") + length - 1), F.lit(0))).first()[0]
     covered = met.where("not first").select("doc_id", "start", "windows")
-    if not total:
-        return covered
-    tasks = max(1, math.ceil(total / group_bytes))
     base = F.shiftleft(F.shiftright("start", 32), 32).alias("base")
     asked = first.groupBy("doc_id", base).agg(F.collect_list(F.struct("start", "windows", "key", "busy")).alias("asked"))
 
@@ -397,9 +435,20 @@ def marks(docs: DataFrame, size: int, length: int = LENGTH, task_pieces: int = T
         heads = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)])) if len(doc) else np.zeros(0, np.int64)
         return pd.DataFrame({"doc_id": doc[heads], "start": at[heads], "windows": np.diff(np.append(heads, len(doc)))})
 
-    cuts = docs.join(asked, ["doc_id", "base"]).mapInArrow(_cutter(length, tasks, held_windows), "task long, doc_id long, start long, piece binary")
-    found = cuts.groupBy("task").applyInPandas(merged, "doc_id long, start long, windows long")
-    return covered.unionByName(found)
+    def found(pieces_):
+        return pieces_.groupBy("task").applyInPandas(merged, "doc_id long, start long, windows long")
+
+    cuts = docs.join(asked, ["doc_id", "base"]).mapInArrow(_cutter(length, max(1, math.ceil(total / group_bytes))), "task long, busy boolean, doc_id long, start long, piece binary")
+    if busy.isEmpty():
+        return covered.unionByName(found(cuts.drop("busy")))
+    cuts = stored(cuts, "cuts")
+    crowd = cuts.where("busy").select("doc_id", "start", "piece")
+    again = stored(crowd.mapInArrow(_windows(length, False), "hash long").groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "again")
+    n = again.count()
+    windows = crowd.mapInArrow(_windows(length, True), "hash long, doc_id long, start long, window binary")
+    windows = windows.join(F.broadcast(again) if n <= BROADCAST_KEYS else again, "hash", "left_semi")
+    windows = windows.select("doc_id", "start", "window").mapInArrow(_reducer(max(1, math.ceil(4 * n * length / group_bytes)), held_windows), "task long, doc_id long, start long, piece binary")
+    return covered.unionByName(found(cuts.where("not busy").drop("busy"))).unionByName(found(windows))
 
 
 def spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

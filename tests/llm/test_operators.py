@@ -191,11 +191,14 @@ def test_windows_of_busy_keys_are_reduced(spark, spread_passage):
     texts, expected = spread_passage
     for held in (1 << 20, 100):
         assert _passages(docs_of(spark, texts), group_pieces=3, held_windows=held) == expected
-    # a task deals one copy of a window that all its documents hold, in any order of theirs
-    ids = [5, 3, 9, 1]
-    asked = [[{"start": 2, "windows": 30, "key": 4, "busy": True}]] * len(ids)
-    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array([0] * len(ids)), pa.array([texts[1]] * len(ids)), pa.array(asked)], ["doc_id", "base", "text", "asked"])
-    rows = [r for b in suffix._cutter(100, 7, 1 << 20)([batch]) for r in b.to_pylist()]
+    # a task deals one copy of a window that all its documents hold, in any order of theirs, and marks the others
+    ids, text = [5, 3, 9, 1], texts[1].encode()[2:131]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array([2] * len(ids)), pa.array([text] * len(ids), pa.binary())], ["doc_id", "start", "piece"])
+    (windows,) = suffix._windows(100, True)([batch])
+    assert [(r["doc_id"], r["start"], r["window"]) for r in windows.to_pylist()] == [(d, 2 + i, text[i : i + 100]) for d in ids for i in range(30)]
+    (hashes,) = suffix._windows(100, False)([batch])
+    assert hashes.column("hash").equals(windows.column("hash")) and len(set(hashes.column("hash").to_pylist())) == 30
+    rows = [r for b in suffix._reducer(7, 1 << 20)([windows]) for r in b.to_pylist()]
     assert sorted((r["doc_id"], r["start"]) for r in rows if r["piece"]) == [(1, i) for i in range(2, 32)]
     assert sorted((r["doc_id"], r["start"]) for r in rows if not r["piece"]) == [(d, i) for d in (3, 5, 9) for i in range(2, 32)]
 
