@@ -6,10 +6,14 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.functions.grid import BLOCKS, Grid, near
+from fieldloom.operators import halo
 from fieldloom.operators.blocks import cells
+from fieldloom.operators.order import parted
+from fieldloom.sources.store import stored
 
 #: Pairs of corners along each dimension of a cell: the edges that are parallel to it.
 EDGES = {0: ((0, 4), (1, 5), (2, 6), (3, 7)), 1: ((0, 3), (1, 2), (4, 7), (5, 6)), 2: ((0, 1), (3, 2), (4, 5), (7, 6))}
@@ -17,13 +21,13 @@ EDGES = {0: ((0, 4), (1, 5), (2, 6), (3, 7)), 1: ((0, 3), (1, 2), (4, 7), (5, 6)
 TOP_SHARES = (1e-7, 1e-6, 1e-5, 1e-4, 1e-3, 1e-2, 5e-2, 1e-1)
 
 
-def _sum(columns: list[Column]) -> Column:
+def _sum(columns: list):
     return reduce(lambda a, b: a + b, columns)
 
 
-def cell_gradient(field: str, axis: int) -> Column:
+def cell_gradient(corners: list, axis: int):
     """The mean of a cell's four differences along a dimension."""
-    return _sum([F.col(f"{field}{b}") - F.col(f"{field}{a}") for a, b in EDGES[axis]]) / 4
+    return _sum([corners[b] - corners[a] for a, b in EDGES[axis]]) / 4
 
 
 def scatterplot(voxels: DataFrame, f_range: tuple[float, float], g_range: tuple[float, float], resolution: int = 256) -> DataFrame:
@@ -31,19 +35,31 @@ def scatterplot(voxels: DataFrame, f_range: tuple[float, float], g_range: tuple[
 
     Cells whose gradients are parallel are left out.  Means outside the ranges count in the border bins.
     """
-    c = cells(voxels, ("f", "g"))
-    for field, (lo, hi) in (("f", f_range), ("g", g_range)):
-        corners = [F.col(f"{field}{k}") for k in range(8)]
-        c = c.where((F.least(*corners) <= hi) & (F.greatest(*corners) >= lo))
-    c = c.select(*(cell_gradient(x, i).alias(f"{x}_{i}") for x in "fg" for i in range(3)), (_sum([F.col(f"f{k}") for k in range(8)]) / 8).alias("mf"), (_sum([F.col(f"g{k}") for k in range(8)]) / 8).alias("mg"))
-    cross = [F.col(f"f_{a}") * F.col(f"g_{b}") - F.col(f"f_{b}") * F.col(f"g_{a}") for a, b in ((1, 2), (2, 0), (0, 1))]
-    c = c.withColumn("size", F.sqrt(_sum([x * x for x in cross]))).where("size >= 1e-12")
+    return scatterplot_of_chunks(halo.chunks(voxels, ("f", "g")), f_range, g_range, resolution)
 
-    def place(x: str, lo: float, hi: float) -> Column:
-        inside = F.greatest(F.lit(lo), F.least(F.col(x), F.lit(hi)))
-        return F.least(F.floor((inside - lo) / ((hi - lo) / resolution)), F.lit(resolution - 1)).cast("int")
 
-    return c.groupBy(place("mf", *f_range).alias("bin_f"), place("mg", *g_range).alias("bin_g")).agg(F.sum(1 / F.col("size")).alias("density"))
+def scatterplot_of_chunks(parts: DataFrame, f_range: tuple[float, float], g_range: tuple[float, float], resolution: int = 256, size=halo.CHUNK) -> DataFrame:
+    """The scatterplot of chunks with a halo after them: a task sums its chunks' bins, of which at most resolution^2 leave it at a time."""
+
+    def kernel(dense: halo.Dense) -> dict[str, np.ndarray]:
+        corners = {x: dense.corners(x) for x in "fg"}
+        met = halo.whole(corners["f"]) & halo.whole(corners["g"])
+        for x, (lo, hi) in (("f", f_range), ("g", g_range)):
+            with np.errstate(invalid="ignore"):
+                met &= (np.minimum.reduce(corners[x]) <= hi) & (np.maximum.reduce(corners[x]) >= lo)
+        at = {x: [v[met] for v in c] for x, c in corners.items()}
+        (f0, f1, f2), (g0, g1, g2) = ([cell_gradient(at[x], i) for i in range(3)] for x in "fg")
+        area = np.sqrt((f1 * g2 - f2 * g1) ** 2 + (f2 * g0 - f0 * g2) ** 2 + (f0 * g1 - f1 * g0) ** 2)
+        full = area >= 1e-12
+        bins = []
+        for x, (lo, hi) in (("f", f_range), ("g", g_range)):
+            mean = np.clip(_sum(at[x])[full] / 8, lo, hi)
+            bins.append(np.minimum(np.floor((mean - lo) / ((hi - lo) / resolution)), resolution - 1).astype(np.int64))
+        which, own = np.unique(bins[0] * resolution + bins[1], return_inverse=True)
+        return {"bin_f": (which // resolution).astype(np.int32), "bin_g": (which % resolution).astype(np.int32), "density": np.bincount(own, 1 / area[full], len(which))}
+
+    found = halo.run(parts, kernel, "bin_f int, bin_g int, density double", ("f", "g"), size=size)
+    return found.groupBy("bin_f", "bin_g").agg(F.sum("density").alias("density"))
 
 
 #: A cell's division into five tetrahedra, by corners.
@@ -101,32 +117,23 @@ def pearson(pairs: DataFrame, a: str = "lo", b: str = "hi") -> DataFrame:
     return pairs.agg((F.covar_pop(a, b) / F.sqrt(F.var_pop(a) * F.var_pop(b) + 1e-10)).alias("r"))
 
 
-def top_thresholds(values: DataFrame, column: str = "f", shares: tuple[float, ...] = TOP_SHARES, buckets: int = 256) -> DataFrame:
+def top_thresholds(values: DataFrame, column: str = "f", shares: tuple[float, ...] = TOP_SHARES) -> DataFrame:
     """(share, rank, threshold): the value at place floor(share * n) from the top, exactly.
 
-    Approximate quantiles cut the values into buckets; their sizes tell the bucket that a place
-    is in, and only those buckets are ordered, each by itself.
+    Equal values are counted as one; ranges of the different ones, whose number grows with them,
+    are summed, and a range is ordered only if a place is in it.
     """
-    values = values.select(F.col(column).alias("v")).where("v is not null")
-    cuts = sorted(set(values.approxQuantile("v", [i / buckets for i in range(1, buckets)], 1 / buckets)))
-    if not cuts:
-        return values.sparkSession.createDataFrame([], "share double, rank long, threshold double")
-    # all equal values fall into one bucket; buckets count from the largest
-    placed = values.select("v", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c >= F.col("v"))).alias("bucket"))
-    sizes = {r["bucket"]: r["count"] for r in placed.groupBy("bucket").count().collect()}  # at most ``buckets`` rows
-    n, wanted, before = sum(sizes.values()), [], {}
-    at = 0
-    for b in sorted(sizes):
-        before[b], at = at, at + sizes[b]
-    for share in shares:
-        place = min(int(share * n), n - 1)
-        b = next(b for b in sorted(sizes) if before[b] + sizes[b] > place)
-        wanted.append((float(share), place, b, place - before[b] + 1))
-    asked = values.sparkSession.createDataFrame(wanted, "share double, rank long, bucket int, place long")
-    counted = placed.join(F.broadcast(asked.select("bucket").distinct()), "bucket", "left_semi").groupBy("bucket", "v").agg(F.count(F.lit(1)).alias("n"))
-    through = F.sum("n").over(Window.partitionBy("bucket").orderBy(F.desc("v")))
-    ends = counted.withColumn("through", through)
-    return ends.join(F.broadcast(asked), "bucket").where((F.col("place") <= F.col("through")) & (F.col("place") > F.col("through") - F.col("n"))).select("share", "rank", F.col("v").alias("threshold"))
+    counted = values.select(F.col(column).alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    parts = parted(counted, [], [F.desc("v")])
+    sums = parts.groupBy("part").agg(F.sum("n").alias("n"))
+    # one row for each range, and one for all
+    through = sums.withColumn("through", F.sum("n").over(Window.orderBy("part"))).crossJoin(F.broadcast(sums.agg(F.sum("n").alias("total"))))
+    asked = values.sparkSession.createDataFrame([(float(x),) for x in shares], "share double")
+    places = through.crossJoin(F.broadcast(asked)).withColumn("rank", F.least(F.floor(F.col("share") * F.col("total")), F.col("total") - 1).cast("long"))
+    places = places.where((F.col("rank") < F.col("through")) & (F.col("rank") >= F.col("through") - F.col("n")))
+    places = stored(places.select("share", "rank", "part", (F.col("rank") - F.col("through") + F.col("n")).alias("place")), "places")  # one row for each share
+    ends = parts.join(F.broadcast(places.select("part").distinct()), "part", "left_semi").withColumn("end", F.sum("n").over(Window.partitionBy("part").orderBy(F.desc("v"))))
+    return ends.join(F.broadcast(places), "part").where((F.col("place") < F.col("end")) & (F.col("place") >= F.col("end") - F.col("n"))).select("share", "rank", F.col("v").alias("threshold"))
 
 
 def isovalues(lo: float, hi: float, n: int) -> list[float]:
@@ -140,6 +147,30 @@ def log_uniform_isovalues(largest: float, n: int, seed: int = 42) -> list[float]
     return [float(x) for x in np.concatenate([sizes[:n], -sizes[n:]])]
 
 
+def spread_isovalues(largest: float, n: int, seed: int = 42) -> list[float]:
+    """Like ``log_uniform_isovalues``, from the places of a linear congruence, which any engine can work out."""
+    sizes = [largest * 10 ** (-6 * (((i + seed) * 1103515245 + 12345) % 2147483648) / 2147483648) for i in range(2 * n)]
+    return sizes[:n] + [-x for x in sizes[n:]]
+
+
+def _running(steps: DataFrame, values: list[float]) -> DataFrame:
+    """(i, isovalue, blocks) of (i, d), changes of the number of blocks at the i-th value; as many rows as values."""
+    steps = steps.groupBy("i").agg(F.sum("d").alias("d"))
+    rows = steps.sparkSession.createDataFrame(list(enumerate(values)), "i int, isovalue double").join(steps, "i", "left")
+    return rows.select("i", "isovalue", F.coalesce(F.sum("d").over(Window.orderBy("i")), F.lit(0)).cast("long").alias("blocks"))
+
+
+def _reach(zones: DataFrame, values: list[float]) -> DataFrame:
+    """``zones`` with a and b: they hold the values of the numbers from a to below b."""
+    table = F.array(*map(F.lit, values))
+    place = lambda x, after: F.size(F.filter(table, lambda v: (v <= x) if after else (v < x)))
+    return zones.withColumns({"a": place(F.col("lo"), False), "b": place(F.col("hi"), True)}).where("a < b")
+
+
+def _ends(reach: DataFrame) -> DataFrame:
+    return reach.select(F.explode(F.array(F.struct(F.col("a").alias("i"), F.lit(1).alias("d")), F.struct(F.col("b").alias("i"), F.lit(-1).alias("d")))).alias("s")).select("s.i", "s.d")
+
+
 def selectivity(zones: DataFrame, values: list[float]) -> DataFrame:
     """(i, isovalue, blocks): how many blocks' intervals hold each of the values.
 
@@ -147,14 +178,25 @@ def selectivity(zones: DataFrame, values: list[float]) -> DataFrame:
     takes one where they end, and a running sum over the values counts.
     """
     values = sorted(values)
-    table = F.array(*map(F.lit, values))
-    first = F.size(F.filter(table, lambda v: v < F.col("lo")))
-    after = F.size(F.filter(table, lambda v: v <= F.col("hi")))
-    steps = zones.select(first.alias("a"), after.alias("b")).where("a < b").select(F.explode(F.array(F.struct(F.col("a").alias("i"), F.lit(1).alias("d")), F.struct(F.col("b").alias("i"), F.lit(-1).alias("d")))).alias("s"))
-    steps = steps.groupBy(F.col("s.i").alias("i")).agg(F.sum("s.d").alias("d"))
-    rows = zones.sparkSession.createDataFrame(list(enumerate(values)), "i int, isovalue double").join(steps, "i", "left")
-    # as many rows as values
-    return rows.select("i", "isovalue", F.coalesce(F.sum("d").over(Window.orderBy("i")), F.lit(0)).cast("long").alias("blocks"))
+    return _running(_ends(_reach(zones, values)), values)
+
+
+def expanded_selectivity(zones: DataFrame, grid: Grid, values: list[float]) -> DataFrame:
+    """(i, isovalue, blocks, expanded): also how many blocks hold the value or have a neighbour that does.
+
+    Each block takes its reach of values to its 26 neighbours; where the reaches that meet at a
+    block overlap, each adds only what those before it in order leave.
+    """
+    values = sorted(values)
+    reach = _reach(zones, values).select("step", *BLOCKS, "a", "b")
+    wide = reach
+    for x, count in zip(BLOCKS, grid.counts):
+        wide = wide.withColumn(x, F.explode(near(F.col(x), count)))
+    # at most 27 rows in a window
+    earlier = F.coalesce(F.max("b").over(Window.partitionBy("step", *BLOCKS).orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    added = wide.withColumn("a", F.greatest(F.col("a"), earlier)).where("a < b")
+    expanded = _running(_ends(added), values).select("i", F.col("blocks").alias("expanded"))
+    return _running(_ends(reach), values).join(expanded, "i")
 
 
 def quality(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from itertools import product
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.grid import BLOCKS, DIMS, Grid, block_id, near, offset_in_block, quotient, with_blocks
+from fieldloom.operators import halo
+from fieldloom.operators.halo import CORNERS  # noqa: F401
 
 
 def to_blocks(voxels: DataFrame, grid: Grid, value: str = "f") -> DataFrame:
@@ -65,40 +65,17 @@ def expand_neighbours(blocks: DataFrame, grid: Grid) -> DataFrame:
     return out.distinct().withColumn("block_id", block_id(grid.counts))
 
 
-#: Corners of a cell as offsets of (d2, d1, d0), bottom ring then top ring.
-CORNERS = [(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1)]
-
-
 def cells(voxels: DataFrame, fields: tuple[str, ...] = ("f",)) -> DataFrame:
-    """(step, d0, d1, d2, f0..f7, ...): the corner values of every cell whose eight corners exist, named by its least corner.
-
-    A voxel is taken to the cells it is a corner of and meets the others in one grouped
-    aggregation, instead of an eightfold self-join.
-    """
-    places = F.array(*[F.struct(F.lit(k).alias("k"), *(F.lit(o).alias(d) for o, d in zip(reversed(c), DIMS))) for k, c in enumerate(CORNERS)])
-    spread = voxels.select("step", *DIMS, *fields, F.explode(places).alias("c"))
-    spread = spread.select("step", F.col("c.k").alias("k"), *((F.col(d) - F.col(f"c.{d}")).alias(d) for d in DIMS), *fields).where("d0 >= 0 and d1 >= 0 and d2 >= 0")
-    corner = [F.max(F.when(F.col("k") == k, F.col(f))).alias(f"{f}{k}") for f in fields for k in range(8)]
-    return spread.groupBy("step", *DIMS).agg(F.count(F.lit(1)).alias("corners"), *corner).where("corners = 8").drop("corners")
+    """(step, d0, d1, d2, f0..f7, ...): the corner values of every cell whose eight corners exist, named by its least corner."""
+    corner = ", ".join(f"{f}{k} double" for f in fields for k in range(8))
+    return halo.run(halo.chunks(voxels, fields), halo.corner_values(fields), f"{halo.PLACE}, {corner}", fields)
 
 
 def smoothed(voxels: DataFrame, sigma: float = 1.0, value: str = "f") -> DataFrame:
     """(step, d0, d1, d2, smooth): 3 x 3 x 3 Gaussian means, their weights renormalised over the neighbours that exist."""
-    offsets = [F.struct(*(F.lit(o).alias(d) for o, d in zip(at, DIMS)), F.lit(2.718281828459045 ** (-sum(o * o for o in at) / (2 * sigma**2))).alias("w")) for at in product((-1, 0, 1), repeat=3)]
-    spread = voxels.select("step", *DIMS, value, F.explode(F.array(*offsets)).alias("o"))
-    moved = spread.select("step", *((F.col(d) + F.col(f"o.{d}")).alias(d) for d in DIMS), (F.col(value) * F.col("o.w")).alias("v"), F.col("o.w").alias("w"), F.expr("o.d0 = 0 and o.d1 = 0 and o.d2 = 0").alias("own"))
-    grouped = moved.groupBy("step", *DIMS).agg(F.sum("v").alias("v"), F.sum("w").alias("w"), F.max("own").alias("own")).where("own")
-    return grouped.select("step", *DIMS, (F.col("v") / F.col("w")).alias("smooth"))
+    return halo.run(halo.chunks(voxels, (value,), 1, 1), halo.smoothing(sigma, value), f"{halo.PLACE}, smooth double", (value,), 1, 1)
 
 
 def gradients(voxels: DataFrame, value: str = "f") -> DataFrame:
     """(step, d0, d1, d2, g0, g1, g2): differences of the neighbours before and after along each dimension, halved; one-sided at the border."""
-    from pyspark.sql import Window
-
-    out = voxels.select("step", *DIMS, value)
-    for i, d in enumerate(DIMS):
-        line = Window.partitionBy("step", *(x for x in DIMS if x != d)).orderBy(d)
-        before, after = F.lag(value).over(line), F.lead(value).over(line)
-        both = before.isNotNull() & after.isNotNull()
-        out = out.withColumn(f"g{i}", F.when(both, (before - after) / 2).when(before.isNotNull(), before - F.col(value)).when(after.isNotNull(), F.col(value) - after).otherwise(0.0))
-    return out.drop(value)
+    return halo.run(halo.chunks(voxels, (value,), 1, 1), halo.gradients(value), f"{halo.PLACE}, g0 double, g1 double, g2 double", (value,), 1, 1)

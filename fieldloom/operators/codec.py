@@ -10,12 +10,12 @@ is decoded by a running sum.
 from __future__ import annotations
 
 import heapq
-import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fieldloom.functions.grid import quotient
 
@@ -46,52 +46,99 @@ def uniform_code(x: Column, bound: float) -> Column:
     return F.floor(x / (2 * bound) + 0.5).cast("long")
 
 
-def chain_codes(values: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of a chain and its reconstruction."""
-    codes, out = np.zeros(len(values), np.int32), np.array(values, np.float64)
-    last = None
-    for i, x in enumerate(values.tolist()):
-        if last is not None and bound > 0 and abs(x - last) < REACH * bound:
-            state = int(math.floor(abs(x - last) / bound) + 1) // 2
-            codes[i] = MIDDLE + (state if x >= last else -state)
-            last = last + 2 * bound * (codes[i] - MIDDLE)
-            out[i] = last
-        else:
-            last = x
-    return codes, out
-
-
-def quantize_chain(rows: DataFrame, keys: list[str], order: str, value: str, bound: float, segment: int = SEGMENT) -> DataFrame:
-    """(keys, segment, place, code, outlier) of ``value`` along ``order``, a whole number from 0 within ``keys``."""
-    placed = rows.select(*keys, quotient(F.col(order), segment).cast("long").alias("segment"), (F.col(order) % segment).cast("int").alias("place"), F.col(value).alias("value"))
-    types = dict(rows.dtypes)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place")
-        codes, _ = chain_codes(pdf["value"].to_numpy(), bound)
-        return pdf.assign(code=codes, outlier=np.where(codes == 0, pdf["value"], np.nan)).drop(columns="value")
-
-    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "segment long", "place int", "code int", "outlier double"])
-    out = placed.groupBy(*keys, "segment").applyInPandas(fold, schema)
-    return out.withColumn("outlier", F.when(F.col("code") == 0, F.col("outlier")))
-
-
-def dequantize_chain(codes: DataFrame, keys: list[str], bound: float) -> DataFrame:
-    """``codes`` with value: an outlier begins a run, and the steps after it add up."""
+def chain_codes(values: np.ndarray, bound: float, seed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and reconstruction of many chains at once, a chain in each row; NaN ends a row.
+
+    All chains' first values are coded, then all second ones, and so on.  ``seed`` has what a
+    chain's first value is predicted from, or NaN.
+    """
+    values = np.asarray(values, np.float64)
+    flat = values.ndim == 1
+    values = values[None] if flat else values
+    codes, out = np.zeros(values.shape, np.int32), values.copy()
+    last = np.full(len(values), np.nan) if seed is None else np.asarray(seed, np.float64).copy()
+    for i in range(values.shape[1]):
+        x = values[:, i]
+        with np.errstate(invalid="ignore", over="ignore"):
+            diff = x - last
+            coded = (np.abs(diff) < REACH * bound) & (bound > 0)
+            state = np.floor((np.floor(np.abs(diff) / bound if bound > 0 else diff) + 1) / 2)
+        signed = np.where(coded, np.where(diff < 0, -state, state), 0)
+        codes[:, i] = np.where(coded, MIDDLE + signed, 0)
+        last = np.where(coded, last + 2 * bound * signed, x)
+        out[:, i] = last
+    return (codes[0], out[0]) if flat else (codes, out)
+
+
+def padded(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Lists as the rows of a matrix, filled up with NaN, and their lengths."""
+    n = np.asarray(lists.value_lengths()).astype(np.int64)
+    inside = np.arange(n.max(initial=0)) < n[:, None]
+    out = np.full(inside.shape, np.nan)
+    out[inside] = np.asarray(lists.flatten())
+    return out, n
+
+
+def unpadded(matrix: np.ndarray, lengths: np.ndarray, missing: np.ndarray | None = None) -> pa.ListArray:
+    inside = np.arange(matrix.shape[1]) < lengths[:, None]
+    values = pa.array(matrix[inside], mask=None if missing is None else missing[inside])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), values)
+
+
+def quantize_chain(rows: DataFrame, keys: list[str], order: str, value: str, bound: float, segment: int = SEGMENT, seeds: DataFrame | None = None, carry: list[str] = []) -> DataFrame:
+    """(keys, segment, place, [carry,] code, outlier) of ``value`` along ``order``, a whole number from 0 within ``keys``.
+
+    A segment becomes one row, of bounded length, and a task codes all its segments side by side.
+    ``seeds`` (keys, seed) has what the first value of ``keys`` is predicted from.
+    """
+    placed = rows.select(*keys, quotient(F.col(order), segment).cast("long").alias("segment"), F.struct((F.col(order) % segment).cast("int").alias("place"), *carry, F.col(value).cast("double").alias("value")).alias("c"))
+    lines = placed.groupBy(*keys, "segment").agg(F.array_sort(F.collect_list("c")).alias("c"))
+    if seeds is None:
+        lines = lines.withColumn("seed", F.lit(None).cast("double"))
+    else:
+        first = seeds.select(*keys, F.lit(0).cast("long").alias("segment"), "seed")
+        lines = lines.join(first, [*keys, "segment"], "left")
+    lines = lines.select(*keys, "segment", "seed", F.col("c.place").alias("places"), *(F.col(f"c.{x}").alias(f"carry_{x}") for x in carry), F.col("c.value").alias("values"))
+    names = [*keys, "segment", "places", *(f"carry_{x}" for x in carry)]
+
+    def fold(batches):
+        for b in batches:
+            values, n = padded(b.column("values"))
+            codes, _ = chain_codes(values, bound, b.column("seed").to_numpy(zero_copy_only=False).astype(np.float64))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), unpadded(codes, n), unpadded(values, n, codes != 0)], [*names, "codes", "outliers"])
+
+    schema = StructType([*(f for f in lines.schema if f.name in names), *StructType.fromDDL("codes array<int>, outliers array<double>")])
+    zipped = F.arrays_zip("places", *(f"carry_{x}" for x in carry), "codes", "outliers")
+    out = lines.select(*names, "seed", "values").mapInArrow(fold, schema).select(*keys, "segment", F.explode(zipped).alias("z"))
+    return out.select(*keys, "segment", F.col("z.places").alias("place"), *(F.col(f"z.carry_{x}").alias(x) for x in carry), F.col("z.codes").alias("code"), F.col("z.outliers").alias("outlier"))
+
+
+def dequantize_chain(codes: DataFrame, keys: list[str], bound: float, seeds: DataFrame | None = None) -> DataFrame:
+    """``codes`` with value: an outlier, or a seed, begins a run, and the steps after it add up."""
     line = Window.partitionBy(*keys, "segment").orderBy("place")
     runs = codes.withColumn("run", F.sum(F.when(F.col("code") == 0, 1).otherwise(0)).over(line))
     run = Window.partitionBy(*keys, "segment", "run").orderBy("place")
     steps = F.sum(F.when(F.col("code") == 0, 0).otherwise(F.col("code") - MIDDLE)).over(run)
-    return runs.withColumn("value", F.first("outlier").over(run) + 2 * bound * steps).drop("run")
+    begins = F.first("outlier").over(run)
+    if seeds is not None:
+        runs = runs.join(seeds, keys, "left")
+        begins = F.coalesce(begins, F.col("seed"))
+    return runs.withColumn("value", begins + 2 * bound * steps).select(*codes.columns, "value")
+
 
+def bin_of(x: Column, first: Column, last: Column, bins: int) -> Column:
+    """The equal-width bin of a value; what lies outside counts in the border bins."""
+    return F.greatest(F.lit(0), F.least(F.floor((x - first) / (last - first) * bins), F.lit(bins - 1))).cast("int")
 
-def low_high_bins(zones: DataFrame, bins: int = 100) -> DataFrame:
-    """``zones`` with low_bin and high_bin: equal-width bins of lows and of highs over all blocks."""
+
+def low_high_bins(zones: DataFrame, bins: int = 100, edges: bool = False) -> DataFrame:
+    """``zones`` with low_bin and high_bin: equal-width bins of lows and of highs over all blocks; with ``edges``, l0 and l1 too."""
     stats = zones.agg(F.min("lo").alias("l0"), (F.max("lo") + 1e-6).alias("l1"), F.min("hi").alias("h0"), (F.max("hi") + 1e-6).alias("h1"))
-    place = lambda x, a, b: F.greatest(F.lit(0), F.least(F.floor((F.col(x) - F.col(a)) / (F.col(b) - F.col(a)) * bins), F.lit(bins - 1))).cast("int")
     # one row of four numbers
     out = zones.crossJoin(F.broadcast(stats))
-    return out.withColumns({"low_bin": place("lo", "l0", "l1"), "high_bin": place("hi", "h0", "h1"), "high_width": (F.col("h1") - F.col("h0")) / bins, "high_first": F.col("h0")}).drop("l0", "l1", "h0", "h1")
+    place = lambda x, a, b: bin_of(F.col(x), F.col(a), F.col(b), bins)
+    out = out.withColumns({"low_bin": place("lo", "l0", "l1"), "high_bin": place("hi", "h0", "h1"), "high_width": (F.col("h1") - F.col("h0")) / bins, "high_first": F.col("h0")})
+    return out.drop("h0", "h1") if edges else out.drop("l0", "l1", "h0", "h1")
 
 
 def bin_counts(binned: DataFrame) -> DataFrame:
@@ -150,30 +197,29 @@ def huffman_bits(codes: DataFrame, column: str = "code") -> DataFrame:
     return counts.join(F.broadcast(table), column)
 
 
-def encode_block(values: np.ndarray, bound: float) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """Bits, signs, magnitudes (0 marks a value kept as it is) and kept values of a block, each value predicted by the one before."""
-    n = len(values)
-    signs, sizes, kept, last = np.zeros(n, bool), np.zeros(n, np.int32), [], 0.0
-    for i, x in enumerate(values.tolist()):
-        state = int(math.floor(abs(x - last) / bound) + 1) // 2 if bound > 0 else BLOCK_RADIUS
-        if state < BLOCK_RADIUS - 1:
-            signs[i], sizes[i] = x < last, state + 1
-            last += 2 * bound * (-state if x < last else state)
-        else:
-            kept.append(x)
-            last = x
-    return int(sizes.max(initial=0)).bit_length(), signs, sizes, np.array(kept)
-
-
-def decode_block(signs: np.ndarray, sizes: np.ndarray, kept: np.ndarray, bound: float) -> np.ndarray:
-    out, last, at = np.zeros(len(sizes)), 0.0, 0
-    for i, size in enumerate(sizes.tolist()):
-        if size:
-            last += 2 * bound * (-(size - 1) if signs[i] else size - 1)
-        else:
-            last = float(kept[at])
-            at += 1
-        out[i] = last
+def encode_blocks(values: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signs, magnitudes (0 marks a value kept as it is) and bits of many blocks, a block in each row, each value predicted by the one before."""
+    signs, sizes, last = np.zeros(values.shape, bool), np.zeros(values.shape, np.int32), np.zeros(len(values))
+    for i in range(values.shape[1]):
+        x = values[:, i]
+        with np.errstate(invalid="ignore", over="ignore"):
+            state = np.floor((np.floor(np.abs(x - last) / bound) + 1) / 2) if bound > 0 else np.full(len(x), BLOCK_RADIUS)
+            coded = state < BLOCK_RADIUS - 1
+        state = np.where(coded, state, 0)
+        signs[:, i] = coded & (x < last)
+        sizes[:, i] = np.where(coded, state + 1, 0)
+        last = np.where(coded, last + 2 * bound * np.where(x < last, -state, state), x)
+    most = sizes.max(1, initial=0)
+    return signs, sizes, np.where(most > 0, np.floor(np.log2(np.maximum(most, 1))) + 1, 0).astype(np.int32)
+
+
+def decode_blocks(signs: np.ndarray, sizes: np.ndarray, kept: np.ndarray, bound: float) -> np.ndarray:
+    """The values of many blocks; ``kept`` has the kept values at their places."""
+    out, last = np.zeros(sizes.shape), np.zeros(len(sizes))
+    for i in range(sizes.shape[1]):
+        state = sizes[:, i] - 1
+        last = np.where(sizes[:, i] > 0, last + 2 * bound * np.where(signs[:, i], -state, state), kept[:, i])
+        out[:, i] = last
     return out
 
 
@@ -181,22 +227,32 @@ def compress_blocks(blocks: DataFrame, bound: float) -> DataFrame:
     """(step, block_id, bits, signs, sizes, kept) of (step, block_id, values)."""
 
     def run(batches):
-        for pdf in batches:
-            rows = [encode_block(np.asarray(v, np.float64), bound) for v in pdf["values"]]
-            yield pd.DataFrame({"step": pdf["step"], "block_id": pdf["block_id"], "bits": [r[0] for r in rows], "signs": [np.packbits(r[1]).tobytes() for r in rows], "sizes": [r[2] for r in rows], "kept": [r[3] for r in rows]})
+        for b in batches:
+            values, n = padded(b.column("values"))
+            signs, sizes, bits = encode_blocks(values, bound)
+            inside = np.arange(values.shape[1]) < n[:, None]
+            plain = (sizes == 0) & inside
+            kept = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(plain.sum(1))]), pa.int32()), pa.array(values[plain]))
+            yield pa.RecordBatch.from_arrays([b.column("step"), b.column("block_id"), pa.array(bits), pa.array([np.packbits(s[:m]).tobytes() for s, m in zip(signs, n.tolist())], pa.binary()), unpadded(sizes, n), kept], ["step", "block_id", "bits", "signs", "sizes", "kept"])
 
-    return blocks.select("step", "block_id", "values").mapInPandas(run, "step long, block_id long, bits int, signs binary, sizes array<int>, kept array<double>")
+    return blocks.select("step", "block_id", "values").mapInArrow(run, "step long, block_id long, bits int, signs binary, sizes array<int>, kept array<double>")
 
 
 def decompress_blocks(coded: DataFrame, bound: float) -> DataFrame:
     """(step, block_id, values)."""
 
     def run(batches):
-        for pdf in batches:
-            out = [decode_block(np.unpackbits(np.frombuffer(s, np.uint8), count=len(z)), z, k, bound) for s, z, k in zip(pdf["signs"], pdf["sizes"], pdf["kept"])]
-            yield pd.DataFrame({"step": pdf["step"], "block_id": pdf["block_id"], "values": out})
-
-    return coded.mapInPandas(run, "step long, block_id long, values array<double>")
+        for b in batches:
+            sizes, n = padded(b.column("sizes"))
+            inside = np.arange(sizes.shape[1]) < n[:, None]
+            sizes = np.where(inside, sizes, 1).astype(np.int32)
+            signs, kept = np.zeros(sizes.shape, bool), np.zeros(sizes.shape)
+            for row, m, raw in zip(signs, n.tolist(), b.column("signs")):
+                row[:m] = np.unpackbits(np.frombuffer(raw.as_py(), np.uint8), count=m)
+            kept[(sizes == 0) & inside] = np.asarray(b.column("kept").flatten())
+            yield pa.RecordBatch.from_arrays([b.column("step"), b.column("block_id"), unpadded(decode_blocks(signs, sizes, kept, bound), n)], ["step", "block_id", "values"])
+
+    return coded.select("step", "block_id", "signs", "sizes", "kept").mapInArrow(run, "step long, block_id long, values array<double>")
 
 
 def bit_width(largest: Column) -> Column:

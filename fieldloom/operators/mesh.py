@@ -11,12 +11,12 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.grid import DIMS
-from fieldloom.operators.blocks import CORNERS, cells
+from fieldloom.operators import halo
+from fieldloom.operators.halo import CORNERS
 
 #: The corners of each face in ring order, seen from outside.
 FACES = ((0, 3, 2, 1), (4, 5, 6, 7), (0, 1, 5, 4), (1, 2, 6, 5), (2, 3, 7, 6), (3, 0, 4, 7))
@@ -52,33 +52,74 @@ def case_triangles(case: int) -> tuple[tuple[int, int, int], ...]:
     return tuple(out)
 
 
-def case_id(iso: float, field: str = "f") -> Column:
-    out = F.lit(0)
-    for k in range(8):
-        out = out + F.when(F.col(f"{field}{k}") >= iso, 1 << k).otherwise(0)
-    return out
+def _cases(iso: float, field: str):
+    """Which cells the surface may cross, and their cases."""
 
+    def of(dense: halo.Dense) -> tuple[np.ndarray, np.ndarray]:
+        corners = dense.corners(field)
+        case = np.zeros(corners[0].shape, np.int32)
+        for k, v in enumerate(corners):
+            with np.errstate(invalid="ignore"):
+                case |= (v >= iso).astype(np.int32) << k
+        return halo.whole(corners), case
 
-def active_cells(voxels: DataFrame, iso: float) -> DataFrame:
-    """Cells, with corner values and case, that the surface crosses."""
-    return cells(voxels).withColumn("case_id", case_id(iso)).where("case_id not in (0, 255)")
+    return of
 
 
-def case_histogram(voxels: DataFrame, iso: float) -> DataFrame:
-    return cells(voxels).groupBy("step", case_id(iso).alias("case_id")).agg(F.count(F.lit(1)).alias("n"))
+def case_histogram(voxels: DataFrame, iso: float, field: str = "f") -> DataFrame:
+    """(step, case_id, n)"""
+    cases = _cases(iso, field)
 
+    def kernel(dense: halo.Dense) -> dict[str, np.ndarray]:
+        full, case = cases(dense)
+        which, n = np.unique(np.stack([np.broadcast_to(dense.step[:, None, None, None], full.shape)[full], case[full]]), axis=1, return_counts=True)
+        return {"step": which[0], "case_id": which[1].astype(np.int32), "n": n}
 
-def edge_vertices(voxels: DataFrame, iso: float, value: str = "f") -> DataFrame:
-    """(step, d0, d1, d2, axis, x0, x1, x2): where the surface crosses grid edges, named by their lower end and dimension.
+    found = halo.run(halo.chunks(voxels, (field,)), kernel, "step long, case_id int, n long", (field,))
+    return found.groupBy("step", "case_id").agg(F.sum("n").alias("n"))
 
-    Ends meet by their edge in one grouped aggregation.
+
+def active_cells(parts: DataFrame, iso: float, field: str = "f", size=halo.CHUNK) -> DataFrame:
+    """(step, d0, d1, d2, case_id): the cells of chunks that the surface crosses."""
+    cases = _cases(iso, field)
+
+    def kernel(dense: halo.Dense) -> dict[str, np.ndarray]:
+        full, case = cases(dense)
+        met = full & (case > 0) & (case < 255)
+        return dense.places(met) | {"case_id": case[met]}
+
+    return halo.run(parts, kernel, f"{halo.PLACE}, case_id int", (field,), size=size)
+
+
+def edge_vertices(voxels: DataFrame, iso: float, value: str = "f", normals: bool = False) -> DataFrame:
+    """(step, d0, d1, d2, axis, x0, x1, x2[, n0, n1, n2]): where the surface crosses grid edges, named by their lower end and dimension.
+
+    A vertex lies at w = (iso - v1) / (v2 - v1) between the ends; its normal is the gradient there,
+    between the gradients of the ends, not brought to length one.
     """
-    ends = F.array(*[F.struct(F.lit(axis).alias("axis"), F.lit(up).alias("up")) for axis in range(3) for up in (0, 1)])
-    spread = voxels.select("step", *DIMS, value, F.explode(ends).alias("e")).select("step", F.col("e.axis").alias("axis"), F.col("e.up").alias("up"), *((F.col(d) - F.when(F.col("e.axis") == i, F.col("e.up")).otherwise(0)).alias(d) for i, d in enumerate(DIMS)), value)
-    pairs = spread.groupBy("step", *DIMS, "axis").agg(F.max(F.when(F.col("up") == 0, F.col(value))).alias("v1"), F.max(F.when(F.col("up") == 1, F.col(value))).alias("v2"))
-    crossed = pairs.where(((F.col("v1") >= iso) & (F.col("v2") < iso)) | ((F.col("v1") < iso) & (F.col("v2") >= iso)))
-    w = (F.lit(iso) - F.col("v1")) / (F.col("v2") - F.col("v1"))
-    return crossed.select("step", *DIMS, "axis", *((F.col(d) + F.when(F.col("axis") == i, w).otherwise(0.0)).alias(f"x{i}") for i, d in enumerate(DIMS)))
+
+    def kernel(dense: halo.Dense) -> dict[str, np.ndarray]:
+        parts, v1 = [], dense.shifted(value)
+        for axis in range(3):
+            v2 = dense.shifted(value, halo.step_along(axis, 1))
+            crossed = np.isfinite(v1) & np.isfinite(v2)
+            with np.errstate(invalid="ignore"):
+                crossed &= (v1 >= iso) != (v2 >= iso)
+                w = ((iso - v1) / (v2 - v1))[crossed]
+            at = dense.places(crossed)
+            row = at | {"axis": np.full(len(w), axis, np.int32)} | {f"x{i}": at[d] + (w if i == axis else 0.0) for i, d in enumerate(DIMS)}
+            for i in range(3) if normals else ():
+                ends = []
+                for by in (0, 1):
+                    o = np.array(halo.step_along(axis, by))
+                    ends.append(halo.gradient(*(dense.shifted(value, tuple(o + halo.step_along(i, k))) for k in (-1, 0, 1)))[crossed])
+                row[f"n{i}"] = ends[0] + w * (ends[1] - ends[0])
+            parts.append(row)
+        return {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+
+    halos = (1, 2) if normals else (0, 1)
+    columns = ", ".join(f"{x}{i} double" for x in ("x", "n")[: 1 + normals] for i in range(3))
+    return halo.run(halo.chunks(voxels, (value,), *halos), kernel, f"{halo.PLACE}, axis int, {columns}", (value,), *halos)
 
 
 def case_table(spark) -> DataFrame:
@@ -94,25 +135,25 @@ def mesh_stats(voxels: DataFrame, iso: float) -> DataFrame:
     return counts.join(vertices, "step", "left")
 
 
+def triangle_table() -> list[tuple[int, int, list[tuple[int, int, int, int]]]]:
+    """(case, k, three edges as offsets of their lower end and their dimension), of all 256 cases: about 800 rows."""
+    ends = [(CORNERS[a], CORNERS[b]) for a, b in EDGE_ENDS]
+    edges = [(*(min(a[2 - i], b[2 - i]) for i in range(3)), next(i for i in range(3) if a[2 - i] != b[2 - i])) for a, b in ends]
+    return [(case, k, [edges[e] for e in tri]) for case in range(256) for k, tri in enumerate(case_triangles(case))]
+
+
 def triangles(voxels: DataFrame, iso: float) -> DataFrame:
-    """(step, d0, d1, d2, k, a, b, c): triangles of each cell by their vertices' grid edges, each a string ``d0,d1,d2,axis``.
+    """(step, d0, d1, d2, k, a, b, c): triangles of each cell by their vertices' grid edges, each a string ``d0,d1,d2,axis``."""
+    return triangles_of_cells(active_cells(halo.chunks(voxels), iso))
 
-    Only cells that the surface crosses reach Python.
-    """
-    ends = [(CORNERS[a], CORNERS[b]) for a, b in EDGE_ENDS]
-    # an edge's lower end as offsets of (d0, d1, d2), and its dimension
-    low = np.array([[min(a[2 - i], b[2 - i]) for i in range(3)] for a, b in ends])
-    axis = np.array([next(i for i in range(3) if a[2 - i] != b[2 - i]) for a, b in ends])
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for step, d0, d1, d2, case in zip(pdf["step"], pdf["d0"], pdf["d1"], pdf["d2"], pdf["case_id"]):
-                for k, tri in enumerate(case_triangles(int(case))):
-                    rows.append((step, d0, d1, d2, k, *(f"{d0 + low[e][0]},{d1 + low[e][1]},{d2 + low[e][2]},{axis[e]}" for e in tri)))
-            yield pd.DataFrame(rows, columns=["step", "d0", "d1", "d2", "k", "a", "b", "c"])
-
-    return active_cells(voxels, iso).select("step", *DIMS, "case_id").mapInPandas(run, "step long, d0 int, d1 int, d2 int, k int, a string, b string, c string")
+
+def triangles_of_cells(active: DataFrame) -> DataFrame:
+    """Cells' triangles, by a join with the table of cases."""
+    rows = [(case, k, *(x for e in tri for x in e)) for case, k, tri in triangle_table()]
+    names = [f"{v}{x}" for v in "abc" for x in ("0", "1", "2", "axis")]
+    table = active.sparkSession.createDataFrame(rows, "case_id int, k int, " + ", ".join(f"{n} int" for n in names))
+    vertex = [F.concat_ws(",", *(F.col(d) + F.col(f"{v}{i}") for i, d in enumerate(DIMS)), F.col(f"{v}axis")).alias(v) for v in "abc"]
+    return active.join(F.broadcast(table), "case_id").select("step", *DIMS, "k", *vertex)  # about 800 rows
 
 
 def boundary_edges(mesh: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.functions.grid import BLOCKS, DIMS, Grid, morton, quotient, with_blocks
+from fieldloom.functions.grid import BLOCKS, DIMS, Grid, block_id, block_index, morton, quotient, with_blocks
+from fieldloom.operators.order import before, parted, ranked
 
 KEYS = ["step", "block_id", *BLOCKS]
 
@@ -17,10 +18,11 @@ def zone_map(voxels: DataFrame, grid: Grid, tiling: str = "uniform", value: str
 
 def dual_zone_map(voxels: DataFrame, grid: Grid, value: str = "f") -> DataFrame:
     """The aligned and the shifted tiling in one pass: each voxel counts for two blocks."""
-    both = None
+    tilings = []
     for tiling in ("uniform", "stagger"):
-        one = with_blocks(voxels.select("step", *DIMS, value), grid, tiling).select(F.lit(tiling).alias("tiling"), *KEYS, value)
-        both = one if both is None else both.union(one)
+        b = [block_index(F.col(d), n, tiling) for d, n in zip(DIMS, grid.block)]
+        tilings.append(F.struct(F.lit(tiling).alias("tiling"), block_id(grid.block_counts(tiling), b).alias("block_id"), *(x.alias(name) for x, name in zip(b, BLOCKS))))
+    both = voxels.select("step", value, F.explode(F.array(*tilings)).alias("at")).select("step", "at.*", value)
     return both.groupBy("tiling", *KEYS).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(value).alias("n"))
 
 
@@ -77,24 +79,23 @@ def with_skip_reason(zones: DataFrame) -> DataFrame:
     return zones.withColumn("skip_reason", reason)
 
 
-def running_high(zones: DataFrame, buckets: int = 64) -> DataFrame:
+def running_high(zones: DataFrame) -> DataFrame:
     """``zones`` with max_high: the largest high among the step's intervals that are not above this one in (lo, block_id) order.
 
-    Lows are dealt to equal-width buckets, so no window orders a whole step: a small table has
-    the highs of the buckets before.
+    Steps are cut to ranges of that order, whose number grows with the blocks; a small table has the
+    highs of the ranges before.
     """
-    stats = step_stats(zones).select("step", F.col("lo").alias("first"), F.col("hi").alias("most"))
-    width = F.greatest((F.col("most") - F.col("first")) / buckets, F.lit(1e-300))
-    placed = zones.join(stats, "step").withColumn("bucket", F.least(F.floor((F.col("lo") - F.col("first")) / width), F.lit(buckets - 1)).cast("int")).drop("first", "most")
-    tops = placed.groupBy("step", "bucket").agg(F.max("hi").alias("top"))
-    before = Window.partitionBy("step").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select("step", "bucket", F.max("top").over(before).alias("before"))
-    within = Window.partitionBy("step", "bucket").orderBy("lo", "block_id").rowsBetween(Window.unboundedPreceding, 0)
-    out = placed.join(tops, ["step", "bucket"]).withColumn("max_high", F.greatest(F.max("hi").over(within), F.col("before")))
+    parts = parted(zones, ["step"], ["lo", "block_id"])
+    within = Window.partitionBy("step", "part").orderBy("lo", "block_id").rowsBetween(Window.unboundedPreceding, 0)
+    out = parts.join(before(parts, ["step"], F.max("hi"), "max"), ["step", "part"]).withColumn("max_high", F.greatest(F.max("hi").over(within), F.col("before")))
     return out.select(*zones.columns, "max_high")
 
 
 def level_positions(zones: DataFrame) -> DataFrame:
     """(step, block_id, rank, depth): where a block stands in its step by low, and the depth of that place in a balanced tree's level order."""
-    rank = F.row_number().over(Window.partitionBy("step").orderBy("lo", "block_id"))
-    return zones.withColumn("rank", rank.cast("long")).select("step", "block_id", "rank", F.floor(F.log2("rank")).cast("int").alias("depth"))
+    return ranked(zones.select("step", "block_id", "lo"), ["step"], ["lo", "block_id"]).select("step", "block_id", "rank", depth("rank").alias("depth"))
+
+
+def depth(rank: str) -> Column:
+    """The level of a rank in level order."""
+    return (F.length(F.bin(F.col(rank))) - 1).cast("int")

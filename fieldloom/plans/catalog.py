@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions import grid as G
-from fieldloom.operators import analytics, blocks, codec, mesh, zonemap
+from fieldloom.operators import analytics, blocks, codec, indexcodec, mesh, zonemap
 from fieldloom.plans import query
+from fieldloom.plans.index import FieldIndex, candidate_blocks
 from fieldloom.sources import fields
+from fieldloom.sources.store import shared_folder, stored
 
 #: Parameters of the registered queries.
 LO, HI, ISO, ERROR, RELATIVE = 250.0, 300.0, 100.0, 5.0, 1e-3
@@ -61,13 +65,13 @@ QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def register(name: str, *ctes: str, select: str | None = None):
+def register(name: str, *ctes: str, select: str | None = None, recursive: bool = False):
     """Registers a query and, with ``select``, its SQL over the named expressions."""
 
     def keep(function):
         QUERIES[name] = function
         if select:
-            ORACLE_SQL[name] = f"WITH {', '.join(ctes)} {select}" if ctes else select
+            ORACLE_SQL[name] = f"WITH {'RECURSIVE ' * recursive}{', '.join(ctes)} {select}" if ctes else select
         return function
 
     return keep
@@ -77,6 +81,18 @@ def _events(spark: SparkSession, sf_dir: str):
     return fields.event_field(spark, sf_dir)
 
 
+_BUILT: dict[tuple[str, str], FieldIndex] = {}
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> FieldIndex:
+    """The index of the event field, built once for a session's application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUILT:
+        voxels, grid = _events(spark, sf_dir)
+        _BUILT[key] = FieldIndex.build(voxels, grid, f"{shared_folder(spark)}/field-index-{uuid.uuid4().hex}", ("f", "g"))
+    return _BUILT[key]
+
+
 def _zone(spark: SparkSession, sf_dir: str, tiling: str = "uniform", value: str = "f"):
     voxels, grid = _events(spark, sf_dir)
     return zonemap.zone_map(voxels, grid, tiling, value), grid
@@ -92,8 +108,34 @@ def range_scan(spark, sf_dir):
 
 @register("range_indexed", _VOX, select=f"SELECT step, d0, d1, d2, f FROM vox WHERE f BETWEEN {LO} AND {HI}")
 def range_indexed(spark, sf_dir):
+    return stored_index(spark, sf_dir).values(LO, HI)
+
+
+@register("range_semi_join", _VOX, select=f"SELECT step, d0, d1, d2, f FROM vox WHERE f BETWEEN {LO} AND {HI}")
+def range_semi_join(spark, sf_dir):
+    voxels, grid = _events(spark, sf_dir)
+    return query.RangeQuery(voxels.drop("g"), grid, LO, HI, zones=stored_index(spark, sf_dir).zones()).values()
+
+
+@register("index_zones", _VOX, _ZU, select="SELECT * FROM zu")
+def index_zones(spark, sf_dir):
+    return stored_index(spark, sf_dir).zones()
+
+
+@register("index_steps", _VOX, select=f"SELECT step FROM vox GROUP BY step HAVING min(f) <= {F_RANGE[1]} AND max(f) >= {F_RANGE[0]} AND min(g) <= {G_RANGE[1]} AND max(g) >= {G_RANGE[0]}")
+def index_steps(spark, sf_dir):
+    return stored_index(spark, sf_dir).steps(f=F_RANGE, g=G_RANGE)
+
+
+@register("index_candidates", _VOX, _ZU, _ZGU, select=f"SELECT zu.step, zu.block_id FROM zu JOIN zgu ON zu.step = zgu.step AND zu.block_id = zgu.block_id WHERE zu.lo <= {F_RANGE[1]} AND zu.hi >= {F_RANGE[0]} AND zgu.lo <= {G_RANGE[1]} AND zgu.hi >= {G_RANGE[0]}")
+def index_candidates(spark, sf_dir):
+    return candidate_blocks(stored_index(spark, sf_dir), F_RANGE, G_RANGE)
+
+
+@register("candidate_steps", _VOX, select="SELECT step FROM vox GROUP BY step HAVING min(f) <= 560 AND max(f) >= 340 AND min(g) <= 50 AND max(g) >= 0")
+def candidate_steps(spark, sf_dir):
     voxels, grid = _events(spark, sf_dir)
-    return query.RangeQuery(voxels.drop("g"), grid, LO, HI).values()
+    return query.candidate_steps(query.RangeQuery(voxels, grid, 340.0, 560.0), query.RangeQuery(voxels, grid, 0.0, 50.0, value="g"))
 
 
 @register("step_prefilter", _VOX, _ZU, select=f"SELECT step FROM zu GROUP BY step HAVING min(lo) <= {HI} AND max(hi) >= {LO}")
@@ -151,6 +193,33 @@ def range_batch(spark, sf_dir):
     return query.batch_counts(_zone(spark, sf_dir)[0], ranges, 25.0)
 
 
+def _place(i: int) -> str:
+    return f"(((CAST(n_nationkey AS BIGINT) * 2 + {i}) * 1103515245 + 12345) % 2147483648 / CAST(2147483648 AS DOUBLE))"
+
+
+@register("random_ranges", _VOX, _ZU, f"q AS (SELECT CAST(n_nationkey AS BIGINT) AS query, 500 * {_place(1)} AS a, 500 * {_place(2)} AS b FROM nation)", select="SELECT q.query, count(zu.lo) AS n FROM q LEFT JOIN zu ON zu.lo <= greatest(a, b) AND zu.hi >= least(a, b) GROUP BY q.query")
+def random_ranges(spark, sf_dir):
+    return query.batch_counts(_zone(spark, sf_dir)[0], query.random_ranges(fields.table(spark, sf_dir, "nation"), "n_nationkey", 0.0, 500.0), 25.0)
+
+
+@register("random_share_ranges", _VOX, _ZU, f"q AS (SELECT CAST(n_nationkey AS BIGINT) AS query, 500 * {_place(1)} AS a FROM nation)", select="SELECT q.query, count(zu.lo) AS n FROM q LEFT JOIN zu ON zu.lo <= a + 50 AND zu.hi >= a GROUP BY q.query")
+def random_share_ranges(spark, sf_dir):
+    return query.batch_counts(_zone(spark, sf_dir)[0], query.random_ranges(fields.table(spark, sf_dir, "nation"), "n_nationkey", 0.0, 500.0, 0.1), 25.0)
+
+
+_WIDE = "wide AS (SELECT DISTINCT step, b0 + x AS b0, b1 + y AS b1, b2 + z AS b2 FROM core, s, (SELECT unnest([-1, 0, 1]) AS x) a, (SELECT unnest([-1, 0, 1]) AS y) b, (SELECT unnest([-1, 0, 1]) AS z) e WHERE b0 + x BETWEEN 0 AND c - 1 AND b1 + y BETWEEN 0 AND c - 1 AND b2 + z BETWEEN 0 AND c - 1)"
+
+
+@register("expansion_ratio", _VOX, _ZU, _ZS, f"core AS ({_core('zu', 'zs', 450.0, 1e9)})", _WIDE, select="SELECT h.n AS hit, w.n AS expanded, t.n AS blocks, round(100.0 * h.n / t.n, 6) AS hit_percent, round(100.0 * w.n / t.n, 6) AS expanded_percent FROM (SELECT count(*) AS n FROM core) h, (SELECT count(*) AS n FROM wide) w, (SELECT count(*) AS n FROM zu) t")
+def expansion_ratio(spark, sf_dir):
+    voxels, grid = _events(spark, sf_dir)
+    q = query.RangeQuery(voxels, grid, 450.0, 1e9)
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    # three rows of one number
+    out = count(q.core(), "hit").crossJoin(F.broadcast(count(q.expanded(), "expanded"))).crossJoin(F.broadcast(count(q.zones, "blocks")))
+    return out.select("*", *(F.round(100.0 * F.col(c) / F.col("blocks"), 6).alias(f"{c}_percent") for c in ("hit", "expanded")))
+
+
 @register("expansion_count", _VOX, _ZU, _ZS, f"core AS ({_core('zu', 'zs', 450.0, 1e9)})",
     "wide AS (SELECT DISTINCT step, b0 + x AS b0, b1 + y AS b1, b2 + z AS b2 FROM core, s, (SELECT unnest([-1, 0, 1]) AS x) a, (SELECT unnest([-1, 0, 1]) AS y) b, (SELECT unnest([-1, 0, 1]) AS z) e WHERE b0 + x BETWEEN 0 AND c - 1 AND b1 + y BETWEEN 0 AND c - 1 AND b2 + z BETWEEN 0 AND c - 1)",
     select="SELECT w.step, count(*) AS expanded, count(core.step) AS core, count(*) - count(core.step) AS added FROM wide w LEFT JOIN core USING (step, b0, b1, b2) GROUP BY w.step")
@@ -222,6 +291,15 @@ _GAP_B = [f"CASE WHEN o{i} = 2 THEN d{i} // 4 - 1 ELSE d{i} // 4 END" for i in r
 _GAP_OK = [f"(o{i} = 0 OR (o{i} = 1 AND d{i} % 4 = 3 AND d{i} // 4 + 1 < c) OR (o{i} = 2 AND d{i} % 4 = 0 AND d{i} >= 4))" for i in range(3)]
 
 
+_GAPS = f"gaps AS (SELECT step, CAST({_GAP_B[0]} + ({_GAP_B[1]}) * c + ({_GAP_B[2]}) * c * c AS BIGINT) AS block_id, CAST(CASE WHEN o0 > 0 THEN 1 ELSE 0 END + CASE WHEN o1 > 0 THEN 2 ELSE 0 END + CASE WHEN o2 > 0 THEN 4 ELSE 0 END AS INTEGER) AS mask, min(f) AS lo, max(f) AS hi FROM vox, s, {_PLACE} WHERE {' AND '.join(_GAP_OK)} AND o0 + o1 + o2 > 0 GROUP BY ALL)"
+
+
+@register("gap_union", _VOX, _ZU, _GAPS, select="SELECT step, block_id FROM zu WHERE lo <= 1e9 AND hi >= 400 UNION SELECT step, block_id FROM gaps WHERE lo <= 1e9 AND hi >= 400")
+def gap_union(spark, sf_dir):
+    voxels, grid = _events(spark, sf_dir)
+    return query.RangeQuery(voxels, grid, 400.0, 1e9).with_gaps()
+
+
 @register("gap_intervals", _VOX, select=f"SELECT step, CAST({_GAP_B[0]} + ({_GAP_B[1]}) * c + ({_GAP_B[2]}) * c * c AS BIGINT) AS block_id, CAST(CASE WHEN o0 > 0 THEN 1 ELSE 0 END + CASE WHEN o1 > 0 THEN 2 ELSE 0 END + CASE WHEN o2 > 0 THEN 4 ELSE 0 END AS INTEGER) AS mask, min(f) AS lo, max(f) AS hi, count(f) AS n FROM vox, s, {_PLACE} WHERE {' AND '.join(_GAP_OK)} AND o0 + o1 + o2 > 0 GROUP BY ALL")
 def gap_intervals(spark, sf_dir):
     return zonemap.gap_intervals(*_events(spark, sf_dir))
@@ -241,7 +319,25 @@ def morton_keys(spark, sf_dir):
     return keyed.select("*", *(c.alias(n) for c, n in zip(G.morton_decode(F.col("morton")), "xyz")))
 
 
-@register("hilbert_keys")
+def _hilbert_sql() -> list[str]:
+    """The steps of the curve's transposition, a table each, for grids of at most eight blocks a side."""
+    out = ["h0 AS (SELECT step, block_id, CASE WHEN c = 8 THEN 3 WHEN c = 4 THEN 2 ELSE 1 END AS bits, CAST(b0 AS BIGINT) AS v0, CAST(b1 AS BIGINT) AS v1, CAST(b2 AS BIGINT) AS v2 FROM zu, s)"]
+    for q in (2, 1):
+        low = (1 << q) - 1
+        for i in range(3):
+            swap = f"CASE WHEN bits <= {q} OR (v{i} >> {q}) & 1 = 1 THEN 0 ELSE xor(v0, v{i}) & {low} END"
+            new = [f"xor(v0, CASE WHEN bits > {q} AND (v{i} >> {q}) & 1 = 1 THEN {low} ELSE {swap} END) AS v0", *(f"xor(v{k}, {swap}) AS v{k}" if k == i else f"v{k}" for k in (1, 2))]
+            out.append(f"h{len(out)} AS (SELECT step, block_id, bits, {', '.join(new)} FROM h{len(out) - 1})")
+    out.append(f"h{len(out)} AS (SELECT step, block_id, bits, v0, xor(v1, v0) AS v1, xor(v2, xor(v1, v0)) AS v2 FROM h{len(out) - 1})")
+    flip = "xor(CASE WHEN bits > 2 AND (v2 >> 2) & 1 = 1 THEN 3 ELSE 0 END, CASE WHEN bits > 1 AND (v2 >> 1) & 1 = 1 THEN 1 ELSE 0 END)"
+    out.append(f"h AS (SELECT step, block_id, {', '.join(f'xor(v{k}, {flip}) AS v{k}' for k in range(3))} FROM h{len(out) - 1})")
+    return out
+
+
+_HILBERT = " + ".join(f"((v{i} >> {q}) & 1) * {1 << (3 * q + 2 - i)}" for q in range(3) for i in range(3))
+
+
+@register("hilbert_keys", _VOX, _ZU, *_hilbert_sql(), select=f"SELECT step, block_id, {_HILBERT} AS hilbert FROM h")
 def hilbert_keys(spark, sf_dir):
     zones, grid = _zone(spark, sf_dir)
     return zones.select("step", "block_id", G.hilbert(*(F.col(b) for b in G.BLOCKS), G.hilbert_bits(grid.counts)).alias("hilbert"))
@@ -425,7 +521,14 @@ def _chain(spark, sf_dir):
     return rows, codec.quantize_chain(rows, ["step"], "p", "f", 0.05)
 
 
-@register("quantize_chain")
+_LINE = "line AS (SELECT step, ((CAST(d0 AS BIGINT) * s + d1) * s + d2) // 4096 AS segment, CAST(((CAST(d0 AS BIGINT) * s + d1) * s + d2) % 4096 AS INTEGER) AS place, f FROM vox, s)"
+_STATE = "floor((floor(abs(l.f - r.last) / CAST(0.05 AS DOUBLE)) + 1) / 2)"
+_NEAR = f"abs(l.f - r.last) < {codec.REACH} * CAST(0.05 AS DOUBLE)"
+_SIGNED = f"CASE WHEN l.f - r.last < 0 THEN -{_STATE} ELSE {_STATE} END"
+_FOLD = f"r AS (SELECT step, segment, place, 0 AS code, f AS last FROM line WHERE place = 0 UNION ALL SELECT l.step, l.segment, l.place, CAST(CASE WHEN {_NEAR} THEN {codec.MIDDLE} + {_SIGNED} ELSE 0 END AS INTEGER), CASE WHEN {_NEAR} THEN r.last + CAST(0.1 AS DOUBLE) * ({_SIGNED}) ELSE l.f END FROM r JOIN line l ON l.step = r.step AND l.segment = r.segment AND l.place = r.place + 1)"
+
+
+@register("quantize_chain", _VOX, _LINE, _FOLD, select="SELECT step, segment, place, code, CASE WHEN code = 0 THEN last END AS outlier FROM r", recursive=True)
 def quantize_chain(spark, sf_dir):
     return _chain(spark, sf_dir)[1]
 
@@ -511,6 +614,53 @@ def id_bit_sizes(spark, sf_dir):
     return out.withColumn("bits", F.col("blocks") * F.col("width"))
 
 
+def _index_round_trip(name: str, order: str, highs: str) -> None:
+    @register(name, _VOX, _ZU, select="SELECT step, count(*) AS blocks, true AS within FROM zu GROUP BY step")
+    def round_trip(spark, sf_dir):
+        zones, grid = _zone(spark, sf_dir)
+        return _within(zones, indexcodec.decompress_index(indexcodec.compress_index(zones, 0.5, order, highs, grid, BINS), BINS))
+
+
+def _within(zones: DataFrame, restored: DataFrame) -> DataFrame:
+    """(step, blocks, within): whether both ends of all intervals are restored within the bound."""
+    back = restored.select("step", "block_id", F.col("lo").alias("l"), F.col("hi").alias("h"))
+    near = (F.abs(F.col("lo") - F.col("l")) <= 0.5000001) & (F.abs(F.col("hi") - F.col("h")) <= 0.5000001)
+    return zones.join(back, ["step", "block_id"], "left").groupBy("step").agg(F.count(F.lit(1)).alias("blocks"), F.bool_and(F.coalesce(near, F.lit(False))).alias("within"))
+
+
+for _name, _order, _highs in (("index_level_bins", "level", "bins"), ("index_level_chain", "level", "chain"), ("index_rows_bins", "rows", "bins"), ("index_hilbert_chain", "hilbert", "chain")):
+    _index_round_trip(_name, _order, _highs)
+
+
+@register("index_shifted", _VOX, _ZS, select="SELECT step, count(*) AS blocks, true AS within FROM zs GROUP BY step")
+def index_shifted(spark, sf_dir):
+    voxels, grid = _events(spark, sf_dir)
+    zones, shifted = zonemap.zone_map(voxels, grid), stored(zonemap.zone_map(voxels, grid, "stagger"), "shifted")
+    restored = indexcodec.decompress_index(indexcodec.compress_index(zones, 0.5, "hilbert", "chain", grid))
+    restored = stored(restored.select("step", *G.block_coordinates(F.col("block_id"), grid.counts), "lo", "hi"), "restored")
+    return _within(shifted, indexcodec.decompress_shifted(indexcodec.compress_shifted(shifted, restored, grid, 0.5), restored, grid, 0.5))
+
+
+@register("index_restored_query", _VOX, _ZU, select=f"SELECT step, block_id FROM zu WHERE lo <= {HI} AND hi >= {LO}")
+def index_restored_query(spark, sf_dir):
+    """Blocks by the coded index, widened by its bound, of which the true ones are told by the stored index."""
+    zones, grid = _zone(spark, sf_dir)
+    restored = indexcodec.decompress_index(indexcodec.compress_index(zones, 0.5, "level", "bins", grid, BINS), BINS)
+    near = restored.where(query.overlaps(LO, HI, 0.5000001)).select("step", "block_id")
+    return stored_index(spark, sf_dir).zones().where(query.overlaps(LO, HI)).join(near, ["step", "block_id"], "left_semi").select("step", "block_id")
+
+
+@register("coded_block_fetch", select="SELECT vec_id AS block_id, CAST(len(embedding) AS BIGINT) AS n, true AS within FROM embeddings WHERE list_max(embedding) >= 0.35")
+def coded_block_fetch(spark, sf_dir):
+    """Blocks are coded and stored beside their range; those that meet the query's are read and decoded."""
+    original = fields.embedding_blocks(spark, sf_dir)
+    coded = codec.compress_blocks(original, 1e-3).join(original.select("block_id", F.array_max("values").alias("hi")), "block_id")
+    kept = stored(coded.orderBy("hi"), "coded").where("hi >= cast(0.35 as float)")
+    back = codec.decompress_blocks(kept, 1e-3).select("block_id", F.col("values").alias("back"))
+    worst = F.array_max(F.transform(F.arrays_zip("values", "back"), lambda x: F.abs(x["values"] - x["back"])))
+    return original.join(back, "block_id").select("block_id", F.size("back").cast("long").alias("n"), (worst <= 1.000001e-3).alias("within"))
+
+
 @register("index_size", _VOX, _ZU, _ZS, select="SELECT v.data_bytes, z.index_bytes, z.index_bytes / v.data_bytes AS ratio FROM (SELECT count(*) * 8 AS data_bytes FROM vox) v, (SELECT count(*) * 24 AS index_bytes FROM (SELECT lo FROM zu UNION ALL SELECT lo FROM zs)) z")
 def index_size(spark, sf_dir):
     dual = zonemap.dual_zone_map(*_events(spark, sf_dir))
@@ -538,6 +688,19 @@ def selectivity_curve(spark, sf_dir):
     return analytics.selectivity(zones, analytics.isovalues(ends[0], ends[1], ISOVALUES))
 
 
+_LOG = "v AS (SELECT (SELECT max(hi) FROM zu) * pow(10, -6 * (((i + 42) * 1103515245 + 12345) % 2147483648) / CAST(2147483648 AS DOUBLE)) * CASE WHEN i < 500 THEN 1 ELSE -1 END AS isovalue FROM (SELECT unnest(range(0, 1000)) AS i))"
+_NUMBERED = "x AS (SELECT CAST(row_number() OVER (ORDER BY isovalue) - 1 AS INTEGER) AS i, isovalue FROM v)"
+
+
+@register("selectivity_log", _VOX, _ZU, _LOG, _NUMBERED, "m AS (SELECT i, step, b0, b1, b2 FROM x JOIN zu ON lo <= isovalue AND hi >= isovalue)",
+    "w AS (SELECT DISTINCT i, step, b0 + p AS b0, b1 + q AS b1, b2 + r AS b2 FROM m, s, (SELECT unnest([-1, 0, 1]) AS p) a, (SELECT unnest([-1, 0, 1]) AS q) b, (SELECT unnest([-1, 0, 1]) AS r) e WHERE b0 + p BETWEEN 0 AND c - 1 AND b1 + q BETWEEN 0 AND c - 1 AND b2 + r BETWEEN 0 AND c - 1)",
+    select="SELECT x.i, coalesce(k.n, 0) AS blocks, coalesce(j.n, 0) AS expanded FROM x LEFT JOIN (SELECT i, count(*) AS n FROM m GROUP BY i) k USING (i) LEFT JOIN (SELECT i, count(*) AS n FROM w GROUP BY i) j USING (i)")
+def selectivity_log(spark, sf_dir):
+    zones, grid = _zone(spark, sf_dir)
+    largest = zones.agg(F.max("hi")).first()[0]
+    return analytics.expanded_selectivity(zones, grid, analytics.spread_isovalues(largest, 500)).select("i", "blocks", "expanded")
+
+
 # scatterplots
 
 
@@ -557,6 +720,11 @@ def csp_raw(spark, sf_dir):
 
 @register("csp_indexed", _VOX, _corner_join("fg"), select=_csp(F_RANGE, G_RANGE, RESOLUTION))
 def csp_indexed(spark, sf_dir):
+    return stored_index(spark, sf_dir).scatterplot(F_RANGE, G_RANGE, RESOLUTION).withColumn("density", F.round("density", 6))
+
+
+@register("csp_semi_join", _VOX, _corner_join("fg"), select=_csp(F_RANGE, G_RANGE, RESOLUTION))
+def csp_semi_join(spark, sf_dir):
     voxels, grid = _events(spark, sf_dir)
     core = query.both(query.RangeQuery(voxels, grid, *F_RANGE), query.RangeQuery(voxels, grid, *G_RANGE, value="g"))
     needed = blocks.expand_neighbours(core, grid).select("step", "block_id")
@@ -590,29 +758,52 @@ def mc_edge_vertices(spark, sf_dir):
     return mesh.edge_vertices(_events(spark, sf_dir)[0], ISO)
 
 
-@register("mc_mesh_stats")
+_ACTIVE = f"active AS (SELECT step, d0, d1, d2, {_CASE} AS case_id FROM cells)"
+_TABLE = "tri(case_id, k, " + ", ".join(f"{v}{i}" for v in "abc" for i in range(4)) + ") AS (VALUES " + ", ".join(f"({case}, {k}, {', '.join(str(x) for e in edges for x in e)})" for case, k, edges in mesh.triangle_table()) + ")"
+_NAMES = ", ".join(f"concat_ws(',', d0 + {v}0, d1 + {v}1, d2 + {v}2, {v}3) AS {v}" for v in "abc")
+_MESH = f"mesh AS (SELECT step, d0, d1, d2, CAST(k AS INTEGER) AS k, {_NAMES} FROM active JOIN tri USING (case_id))"
+
+
+@register("mc_mesh_stats", _VOX, _corner_join(), _ACTIVE, _TABLE, _MESH, select="SELECT step, a.n AS cells, t.n AS triangles, u.n AS vertices FROM (SELECT step, count(*) AS n FROM active WHERE case_id NOT IN (0, 255) GROUP BY step) a JOIN (SELECT step, count(*) AS n FROM mesh GROUP BY step) t USING (step) JOIN (SELECT step, count(*) AS n FROM (" + " UNION ALL ".join(map(_vertex, range(3))) + ") GROUP BY step) u USING (step)")
 def mc_mesh_stats(spark, sf_dir):
     return mesh.mesh_stats(_events(spark, sf_dir)[0], ISO)
 
 
-@register("mc_triangles")
+@register("mc_triangles", _VOX, _corner_join(), _ACTIVE, _TABLE, _MESH, select="SELECT * FROM mesh")
 def mc_triangles(spark, sf_dir):
     return mesh.triangles(_events(spark, sf_dir)[0], ISO)
 
 
-@register("mc_triangles_indexed")
+@register("mc_triangles_indexed", _VOX, _corner_join(), _ACTIVE, _TABLE, _MESH, select="SELECT * FROM mesh")
 def mc_triangles_indexed(spark, sf_dir):
+    return stored_index(spark, sf_dir).triangles(ISO)
+
+
+@register("mc_triangles_semi_join", _VOX, _corner_join(), _ACTIVE, _TABLE, _MESH, select="SELECT * FROM mesh")
+def mc_triangles_semi_join(spark, sf_dir):
     voxels, grid = _events(spark, sf_dir)
     needed = query.RangeQuery(voxels, grid, ISO, ISO).expanded().select("step", "block_id")
     near = G.with_blocks(voxels, grid).join(needed, ["step", "block_id"], "left_semi").select(*voxels.columns)
     return mesh.triangles(near, ISO)
 
 
-@register("mesh_boundary_edges")
+@register("mesh_boundary_edges", _VOX, _corner_join(), _ACTIVE, _TABLE, _MESH, select="SELECT step, least(x, y) AS a, greatest(x, y) AS b FROM (SELECT step, a AS x, b AS y FROM mesh UNION ALL SELECT step, b, c FROM mesh UNION ALL SELECT step, c, a FROM mesh) GROUP BY 1, 2, 3 HAVING count(*) = 1")
 def mesh_boundary_edges(spark, sf_dir):
     return mesh.boundary_edges(mesh.triangles(_events(spark, sf_dir)[0], ISO))
 
 
+def _normal(i: int) -> str:
+    n = ", ".join(f"round(p.g{k} + (({ISO} - p.f) / (q.f - p.f)) * (q.g{k} - p.g{k}), 6) AS n{k}" for k in range(3))
+    on = " AND ".join(f"q.d{k} = p.d{k} + {int(k == i)}" for k in range(3))
+    return f"SELECT p.step, p.d0, p.d1, p.d2, CAST({i} AS INTEGER) AS axis, {n} FROM slopes p JOIN slopes q ON p.step = q.step AND {on} WHERE (p.f >= {ISO}) <> (q.f >= {ISO})"
+
+
+@register("mc_edge_normals", _VOX, f"slopes AS (SELECT step, d0, d1, d2, f, {', '.join(map(_gradient, range(3)))} FROM vox)", select=" UNION ALL ".join(map(_normal, range(3))))
+def mc_edge_normals(spark, sf_dir):
+    found = mesh.edge_vertices(_events(spark, sf_dir)[0], ISO, normals=True)
+    return found.select("step", *G.DIMS, "axis", *(F.round(f"n{i}", 6).alias(f"n{i}") for i in range(3)))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values within a range, by way of the zone map."""
     return range_indexed(spark, sf_dir)

@@ -12,10 +12,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions.grid import BLOCKS, Grid, block_id, stagger_to_uniform, with_blocks
 from fieldloom.operators.blocks import expand_neighbours
-from fieldloom.operators.zonemap import step_stats, zone_map
-
-#: Blocks (16 bytes each) that may be broadcast; more are joined by a shuffle.
-BROADCAST_BLOCKS = 1 << 20
+from fieldloom.operators.zonemap import gap_intervals, step_stats, zone_map
 
 
 def overlaps(lo, hi, error: float = 0.0) -> Column:
@@ -47,6 +44,11 @@ class RangeQuery:
         mapped = stagger_to_uniform(shifted, self.grid, tiling).select("step", *BLOCKS, "block_id")
         return self.blocks().union(mapped).distinct()
 
+    def with_gaps(self) -> DataFrame:
+        """(step, block_id): blocks that meet the range, and those beside whose gaps to the next do."""
+        gaps = gap_intervals(self.voxels, self.grid, self.value).where(overlaps(self.lo, self.hi, self.error)).select("step", "block_id")
+        return self.blocks().select("step", "block_id").union(gaps).distinct()
+
     def expanded(self, tiling: str = "stagger") -> DataFrame:
         """The core and its neighbours."""
         return expand_neighbours(self.core(tiling), self.grid)
@@ -58,6 +60,11 @@ class RangeQuery:
         return placed.join(hits, ["step", "block_id"], "left_semi").where(F.col(self.value).between(self.lo, self.hi)).select(*self.voxels.columns)
 
 
+def candidate_steps(f: RangeQuery, g: RangeQuery) -> DataFrame:
+    """Steps whose ranges meet both fields'."""
+    return f.steps().join(g.steps(), "step", "left_semi")
+
+
 def both(f: RangeQuery, g: RangeQuery) -> DataFrame:
     """Core blocks of a two-field query: those in both fields' cores."""
     return f.core().join(g.core().select("step", "block_id"), ["step", "block_id"], "left_semi").select("step", *BLOCKS, "block_id")
@@ -88,5 +95,17 @@ def batch_counts(zones: DataFrame, ranges: DataFrame, width: float) -> DataFrame
     return ranges.select("query").join(counts, "query", "left").select("query", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def random_ranges(rows: DataFrame, number: str, first: float, last: float, share: float | None = None) -> DataFrame:
+    """(query, qlo, qhi): a range for each row, random by its number: both ends, or the place of one of this share of all.
+
+    Places are those of a linear congruence, so a row's range is the same in every run.
+    """
+    place = lambda i: ((F.col(number).cast("long") * 2 + i) * 1103515245 + 12345) % 2147483648 / 2147483648.0
+    a, b = (F.lit(first) + place(i) * (last - first) for i in (1, 2))
+    if share is not None:
+        b = a + share * (last - first)
+    return rows.select(F.col(number).cast("long").alias("query"), F.least(a, b).alias("qlo"), F.greatest(a, b).alias("qhi"))
+
+
 def block_number(grid: Grid) -> Column:
     return block_id(grid.counts)

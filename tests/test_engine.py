@@ -1,13 +1,15 @@
 """Properties of the field engine that SQL doesn't show: inverses, bounds, odd shapes, files, streams."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.functions import grid as G
-from fieldloom.operators import analytics, blocks, codec, mesh, zonemap
+from fieldloom.operators import analytics, blocks, codec, halo, indexcodec, mesh, order, zonemap
 from fieldloom.plans import query
-from fieldloom.sources import raw, sinks
+from fieldloom.plans.index import FieldIndex
+from fieldloom.sources import fields, raw, sinks
 from fieldloom.streaming.ingest import index_stream
 
 SCHEMA = "step long, d0 int, d1 int, d2 int, f double, g double"
@@ -75,6 +77,145 @@ def test_indexed_queries_equal_scans(spark, shape):
     assert sorted(map(tuple, mesh.triangles(near, 0.3).collect())) == sorted(map(tuple, mesh.triangles(voxels, 0.3).collect()))
 
 
+@pytest.mark.parametrize("shape", [(30, 20, 17), (4, 4, 4), (5, 1, 9)])
+def test_stored_index_equals_scans(spark, tmp_path, shape):
+    """Values, surfaces and scatterplots from the stored index, on shapes that blocks don't divide, and what the plans push down."""
+    f, g = smooth_field(shape), smooth_field(shape, 1.0)
+    voxels = volume(spark, f, g).union(volume(spark, f + 9, g, step=1)).repartition(4)
+    index = FieldIndex.build(voxels, G.Grid(shape), f"{tmp_path}/index", ("f", "g"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for lo, hi in ((-0.2, 0.1), (0.7, 0.7), (50, 60), (-99, 99)):
+        assert rows(index.values(lo, hi)) == rows(voxels.where(F.col("f").between(lo, hi)).select("step", *G.DIMS, "f"))
+    assert rows(index.zones("g")) == rows(zonemap.zone_map(voxels, G.Grid(shape), value="g").select("step", "block_id", *G.BLOCKS, "lo", "hi", "n"))
+    assert rows(index.triangles(0.3)) == rows(mesh.triangles(voxels, 0.3))
+    mine, true = (df.select("bin_f", "bin_g", F.round("density", 6)) for df in (index.scatterplot((-1, 1), (-1, 1), 8), analytics.scatterplot(voxels, (-1, 1), (-1, 1), 8)))
+    assert rows(mine) == rows(true)
+    assert [r["step"] for r in index.steps(f=(8, 99), g=(-9, 9)).collect()] == [1]
+    plan = index.values(8, 99)._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(f_lo), IsNotNull(f_hi), LessThanOrEqual(f_lo,99" in plan and "dynamicpruning" in plan.lower() and "ReadSchema: struct<b0:int,b1:int,b2:int,offsets:array<int>,f:array<double>" in plan
+
+
+def test_halo_moves_few_values(spark):
+    """Values that move, as multiples of the voxels, for cells and for smoothing, in blocks of 4 and chunks of 16."""
+    n = 48
+    voxels = spark.range(n**3).select(F.lit(0).cast("long").alias("step"), *G.coordinates(F.col("id"), (n, n, n)), F.rand(1).alias("f"))
+    moved = lambda *a, **k: halo.chunks(voxels, ("f",), *a, **k).agg(F.sum(F.size("f"))).first()[0] / n**3
+    assert moved(0, 1, size=4) < 2 and moved(1, 1, size=4) < 3.4 and moved() < 1.2 and moved(1, 1) < 1.4
+
+
+def test_smoothing_and_gradients_of_ragged_chunks(spark):
+    """Against sums over neighbours, with gaps in the volume and across borders of chunks."""
+    values = np.random.default_rng(4).normal(size=(18, 17, 5))
+    values[3, 4, 2] = values[15, 16, 0] = np.nan
+    voxels = volume(spark, values).where(~F.isnan("f"))
+    got = {(r["d0"], r["d1"], r["d2"]): r["smooth"] for r in blocks.smoothed(voxels).collect()}
+    slopes = {(r["d0"], r["d1"], r["d2"]): (r["g0"], r["g1"], r["g2"]) for r in blocks.gradients(voxels).collect()}
+    at = lambda p: values[p] if all(0 <= x < n for x, n in zip(p, values.shape)) and np.isfinite(values[p]) else None
+    assert got.keys() == slopes.keys() == {p for p in np.ndindex(values.shape) if at(p) is not None}
+    for p in got:
+        near = [(at(tuple(np.add(p, o))), np.exp(-(np.array(o) ** 2).sum() / 2)) for o in np.ndindex(3, 3, 3) for o in [tuple(np.array(o) - 1)]]
+        near = [(v, w) for v, w in near if v is not None]
+        assert abs(got[p] - sum(v * w for v, w in near) / sum(w for _, w in near)) < 1e-9
+        for i in range(3):
+            a, b = (at(tuple(np.add(p, k * np.eye(3, dtype=int)[i]))) for k in (-1, 1))
+            expected = (a - b) / 2 if a is not None and b is not None else a - values[p] if a is not None else values[p] - b if b is not None else 0
+            assert abs(slopes[p][i] - expected) < 1e-12
+
+
+def test_normals_lie_between_the_gradients_of_the_ends(spark):
+    values = smooth_field((18, 6, 7))
+    voxels = volume(spark, values)
+    slopes = {(r["d0"], r["d1"], r["d2"]): np.array([r["g0"], r["g1"], r["g2"]]) for r in blocks.gradients(voxels).collect()}
+    found = mesh.edge_vertices(voxels, 0.2, normals=True).collect()
+    assert len(found) > 50
+    for r in found:
+        p = (r["d0"], r["d1"], r["d2"])
+        q = tuple(np.add(p, np.eye(3, dtype=int)[r["axis"]]))
+        w = (0.2 - values[p]) / (values[q] - values[p])
+        assert np.allclose([r["n0"], r["n1"], r["n2"]], slopes[p] * (1 - w) + slopes[q] * w)
+    assert mesh.edge_vertices(voxels, 0.2).count() == len(found)
+
+
+def test_ranks_and_running_highs_of_ranges(spark):
+    """Steps of many ranges, with ties."""
+    rng = np.random.default_rng(5)
+    rows = [(s, i, float(rng.integers(0, 40)), float(rng.normal())) for s in range(3) for i in range(400 * (s + 1))]
+    df = spark.createDataFrame(rows, "step long, block_id long, lo double, hi double").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranks = {(r["step"], r["block_id"]): r["rank"] for r in order.ranked(df, ["step"], ["lo", "block_id"]).collect()}
+        highs = {(r["step"], r["block_id"]): r["max_high"] for r in zonemap.running_high(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for s in range(3):
+        most = -np.inf
+        for k, (_, i, _, hi) in enumerate(sorted((r for r in rows if r[0] == s), key=lambda r: (r[2], r[1]))):
+            most = max(most, hi)
+            assert ranks[s, i] == k + 1 and highs[s, i] == most
+
+
+@pytest.mark.parametrize("kind", [("level", "bins"), ("level", "chain"), ("rows", "chain"), ("hilbert", "bins")])
+def test_index_codes(spark, kind):
+    """Lows are coded as a plain chain codes them, and all ends are restored within the bound, from the codes alone."""
+    grid = G.Grid((20, 12, 8))
+    zones = zonemap.zone_map(volume(spark, smooth_field((20, 12, 8))), grid)
+    coded = indexcodec.compress_index(zones, 0.01, *kind, grid, 20)
+    back = indexcodec.decompress_index(coded, 20).withColumnsRenamed({"lo": "l", "hi": "h"})
+    joined = zones.join(back, ["step", "block_id"])
+    assert joined.count() == 30 and joined.where((F.abs(F.col("lo") - F.col("l")) > 0.0100001) | (F.abs(F.col("hi") - F.col("h")) > 0.0100001)).isEmpty()
+    rows = sorted(indexcodec.ordered(zones, kind[0], grid).collect(), key=lambda r: (r["level"], r["p"]))
+    codes = {(r["level"], r["place"]): r["low_code"] for r in coded.codes.collect()}
+    seeds, first = {}, None
+    for level in sorted({r["level"] for r in rows}):
+        chain = [r["lo"] for r in rows if r["level"] == level]
+        expected, _ = codec.chain_codes(np.array([chain]), 0.01, np.array([np.nan if first is None else first]))
+        assert [codes[level, k] for k in range(len(chain))] == expected[0].tolist()
+        first = codec.chain_codes(np.array([chain[:1]]), 0.01, np.array([np.nan if first is None else first]))[1][0, 0]
+    assert indexcodec.outliers(coded.codes).first()["codes"] == 60 and not seeds
+
+
+def test_shifted_codes(spark):
+    grid, voxels = G.Grid((13, 9, 10)), volume(spark, smooth_field((13, 9, 10)))
+    shifted, zones = zonemap.zone_map(voxels, grid, "stagger"), zonemap.zone_map(voxels, grid)
+    coded = indexcodec.compress_shifted(shifted, zones, grid, 0.02)
+    back = indexcodec.decompress_shifted(coded, zones, grid, 0.02).withColumnsRenamed({"lo": "l", "hi": "h"})
+    joined = shifted.join(back, ["step", "block_id"])
+    assert joined.count() == shifted.count() and joined.where((F.abs(F.col("lo") - F.col("l")) > 0.0200001) | (F.abs(F.col("hi") - F.col("h")) > 0.0200001)).isEmpty()
+
+
+def test_names_of_fields(spark):
+    voxels = volume(spark, np.zeros((2, 2, 2)))
+    voxels.createOrReplaceTempView("pressure_test")
+    assert "pressure_test" in fields.list_variables(spark) and fields.safe_name("/data/fields/B/y") == "data_fields_B_y"
+    assert query.RangeQuery(voxels.limit(0), G.Grid((2, 2, 2)), 0.0, 1.0).core().isEmpty()
+
+
+def plain_raster(x, y, density, image):
+    """A triangle's density at each pixel whose middle it covers."""
+    cross = lambda a, b, p, q: (x[b] - x[a]) * (q - y[a]) - (y[b] - y[a]) * (p - x[a])
+    area = cross(0, 1, x[2], y[2])
+    for i in range(len(image)):
+        for j in range(len(image)):
+            if abs(area) > 2e-12 and all(cross(a, b, i + 0.5, j + 0.5) * np.sign(area) >= 0 for a, b in ((0, 1), (1, 2), (2, 0))):
+                image[i, j] += density
+
+
+def test_tetrahedra_against_a_plain_raster(spark):
+    f, g = np.random.default_rng(7).random((2, 3, 3, 3))
+    image, n = np.zeros((12, 12)), 12
+    for d in np.ndindex(2, 2, 2):
+        at = [tuple(np.add(d, (c[2], c[1], c[0]))) for c in halo.CORNERS]
+        for tet, share in zip(analytics.TETRAHEDRA, (1 / 6, 1 / 6, 1 / 6, 1 / 6, 1 / 3)):
+            faces = [[f[at[t]] * n for t in tet if t != s] for s in tet], [[g[at[t]] * n for t in tet if t != s] for s in tet]
+            total = sum(abs((x[1] - x[0]) * (y[2] - y[0]) - (x[2] - x[0]) * (y[1] - y[0])) / 2 for x, y in zip(*faces))
+            for x, y in zip(*faces):
+                plain_raster(x, y, share / total, image)
+    got = np.zeros((12, 12))
+    for r in analytics.scatterplot_by_tetrahedra(volume(spark, f, g), (0, 1), (0, 1), 12).collect():
+        got[r["bin_f"], r["bin_g"]] = r["density"]
+    assert np.allclose(got, image) and got.sum() > 1
+
+
 def test_widened_index_misses_nothing(spark):
     grid, voxels = G.Grid((12, 12, 12)), volume(spark, smooth_field((12, 12, 12)))
     zones = zonemap.zone_map(voxels, grid)
@@ -86,12 +227,31 @@ def test_widened_index_misses_nothing(spark):
     assert exact <= wide
 
 
+def plain_chain(values, bound, seed=None):
+    """Codes of a chain, value by value."""
+    out, last = [], seed
+    for x in values:
+        code = 0
+        if last is not None and bound > 0 and abs(x - last) < codec.REACH * bound:
+            state = int(abs(x - last) // bound + 1) // 2
+            code = codec.MIDDLE + (state if x >= last else -state)
+            last = last + 2 * bound * (code - codec.MIDDLE)
+        else:
+            last = x
+        out.append(code)
+    return out
+
+
 def test_chain_codes(spark):
     rng = np.random.default_rng(0)
-    for values in (rng.normal(size=500).cumsum(), np.array([0.0, 1e9, -1e9, 3, 3, 3]), np.full(10, 2.5), np.zeros(0)):
+    lists = [rng.normal(size=500).cumsum(), np.array([0.0, 1e9, -1e9, 3, 3, 3]), np.full(10, 2.5), np.zeros(0)]
+    for values in lists:
         codes, back = codec.chain_codes(values, 0.01)
-        assert (np.abs(back - values) <= 0.0100001).all() and (len(codes) == 0 or codes[0] == 0)
+        assert (np.abs(back - values) <= 0.0100001).all() and codes.tolist() == plain_chain(values.tolist(), 0.01)
     assert (codec.chain_codes(np.full(5, 1.0), 0.0)[0] == 0).all()
+    matrix, n = codec.padded(pa.array([x.tolist() for x in lists], pa.list_(pa.float64())))
+    codes, _ = codec.chain_codes(matrix, 0.01, np.array([0.5, np.nan, 2.4, np.nan]))
+    assert [c[:m].tolist() for c, m in zip(codes, n)] == [plain_chain(x.tolist(), 0.01, seed) for x, seed in zip(lists, (0.5, None, 2.4, None))]
     rows = spark.createDataFrame([(s, i, float(v)) for s in range(2) for i, v in enumerate(rng.normal(size=50).cumsum())], "step long, p long, f double")
     codes = codec.quantize_chain(rows, ["step"], "p", "f", 0.01, segment=16)
     back = codec.dequantize_chain(codes, ["step"], 0.01).select("step", (F.col("segment") * 16 + F.col("place")).alias("p"), "value")
@@ -100,12 +260,21 @@ def test_chain_codes(spark):
 
 
 @pytest.mark.parametrize("bound", [1e-3, 10.0, 0.0])
-def test_block_codes(bound):
+def test_block_codes(spark, bound):
     rng = np.random.default_rng(1)
-    for values in (rng.normal(size=64), np.concatenate([np.zeros(5), [1e12], rng.normal(size=10)]), np.zeros(0)):
-        bits, signs, sizes, kept = codec.encode_block(values, bound)
-        assert (np.abs(codec.decode_block(signs, sizes, kept, bound) - values) <= bound * 1.000001 + 1e-12).all()
-        assert int(sizes.max(initial=0)) < 1 << bits or not bits
+    lists = [rng.normal(size=64), np.concatenate([np.zeros(5), [1e12], rng.normal(size=10)]), np.zeros(0), np.array([-3.0, -3.0, 900.0])]
+    df = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(lists)], "step long, block_id long, values array<double>")
+    coded = codec.compress_blocks(df, bound)
+    for r in codec.decompress_blocks(coded, bound).collect():
+        values = lists[r["block_id"]]
+        assert len(r["values"]) == len(values) and (np.abs(np.array(r["values"]) - values) <= bound * 1.000001 + 1e-12).all()
+    for r in coded.collect():
+        last, kept = 0.0, list(r["kept"])
+        for x, size in zip(lists[r["block_id"]], r["sizes"]):
+            state = int(abs(x - last) // bound + 1) // 2 if bound > 0 else codec.BLOCK_RADIUS
+            assert size == (state + 1 if state < codec.BLOCK_RADIUS - 1 else 0)
+            last = last + 2 * bound * (-state if x < last else state) if size else kept.pop(0)
+        assert not kept and max(r["sizes"], default=0) < 1 << r["bits"] or not r["bits"]
 
 
 def test_bits_and_huffman():
@@ -163,7 +332,7 @@ def test_top_thresholds_with_ties(spark):
     values = [1.0] * 50 + [2.0] * 30 + [3.0] * 5 + list(np.linspace(4, 5, 40))
     df = spark.createDataFrame([(float(v),) for v in values], "f double")
     ordered = sorted(values, reverse=True)
-    for r in analytics.top_thresholds(df, shares=(1e-6, 0.1, 0.4, 0.7, 0.99), buckets=8).collect():
+    for r in analytics.top_thresholds(df, shares=(1e-6, 0.1, 0.4, 0.7, 0.99)).collect():
         assert r["threshold"] == ordered[min(int(r["share"] * len(values)), len(values) - 1)]
     assert analytics.top_thresholds(df.limit(0)).count() == 0
 
@@ -218,12 +387,27 @@ def test_exports(spark, tmp_path):
     sinks.write_vtk_volume(voxels, tmp_path / "v.vtk", (4, 5, 6))
     data = (tmp_path / "v.vtk").read_bytes()
     assert b"DIMENSIONS 6 5 4" in data and np.allclose(np.frombuffer(data[-480:], ">f4").reshape(4, 5, 6), smooth_field((4, 5, 6)), atol=1e-6)
+    sinks.write_raw(voxels, tmp_path / "v.bin", (4, 5, 6), ">f4")
+    assert np.allclose(np.fromfile(tmp_path / "v.bin", ">f4").reshape(4, 5, 6), smooth_field((4, 5, 6)), atol=1e-6)
+    back = raw.read_raw(spark, f"file://{tmp_path}/v.bin", (4, 5, 6), ">f4")
+    assert back.join(voxels.withColumnRenamed("f", "v"), list(G.DIMS)).where(F.abs(F.col("f") - F.col("v")) < 1e-6).count() == 120
+    sinks.write_vti(voxels.where("d0 <> 2"), tmp_path / "v.vti", (4, 5, 6))
+    import xml.etree.ElementTree as tree
+
+    data = tree.parse(tmp_path / "v.vti").getroot().find("ImageData")
+    numbers = np.array(data.find("Piece/PointData/DataArray").text.split(), float).reshape(4, 5, 6)
+    assert data.get("WholeExtent") == "0 5 0 4 0 3" and np.isnan(numbers[2]).all() and np.array_equal(numbers[3], smooth_field((4, 5, 6))[3])
     image = analytics.scatterplot(volume(spark, *[np.random.default_rng(i).random((4, 4, 4)) for i in (0, 1)]), (0, 1), (0, 1), 16)
     sinks.write_image(image, tmp_path / "i.bin", (16, 16))
     assert (tmp_path / "i.bin").stat().st_size == 16 + 8 * 256
     found = mesh.triangles(voxels, 0.2)
-    sinks.write_vtk_mesh(mesh.edge_vertices(voxels, 0.2), found, tmp_path / "m.vtk")
-    assert (tmp_path / "m.vtk").read_text().count("\n3 ") == found.count()
+    sinks.write_vtk_mesh(mesh.edge_vertices(voxels, 0.2, normals=True), found, tmp_path / "m.vtk")
+    text = (tmp_path / "m.vtk").read_text()
+    n = mesh.edge_vertices(voxels, 0.2).count()
+    assert text.count("\n3 ") == found.count() and f"POINTS {n} double" in text and len(text.split("NORMALS normals double\n")[1].splitlines()) == n
+    lines = text.splitlines()[5:]
+    corners = [tuple(map(int, x.split()[1:])) for x in lines[n + 1 : n + 1 + found.count()]]
+    assert {i for c in corners for i in c} == set(range(n))
 
 
 def test_stream_indexes_steps_as_they_come(spark, tmp_path):
