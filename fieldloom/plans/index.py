@@ -19,8 +19,8 @@ from fieldloom.operators import analytics, halo, mesh
 
 #: Bytes of a row group, and rows of a page.
 GROUP_BYTES, PAGE_ROWS = 4 << 20, 128
-#: Steps (some 50 bytes each) that may be broadcast to prune partitions.
-BROADCAST_STEPS = 1 << 18
+#: Steps whose ranges (some 50 bytes each) the driver may hold; those of more are joined, and prune partitions as the query runs.
+HELD_STEPS = 4096
 
 
 class FieldIndex:
@@ -28,6 +28,12 @@ class FieldIndex:
 
     def __init__(self, spark: SparkSession, path: str, grid: Grid, fields: tuple[str, ...] = ("f",)):
         self.spark, self.path, self.grid, self.fields = spark, path, grid, fields
+        self.schemas = {name: spark.read.parquet(f"{path}/{name}").schema for name in ("blocks", "steps")}
+        held = self._read("steps").limit(HELD_STEPS + 1).collect()
+        self.held = held if len(held) <= HELD_STEPS else None
+
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.schema(self.schemas[name]).parquet(f"{self.path}/{name}")
 
     @classmethod
     def build(cls, voxels: DataFrame, grid: Grid, path: str, fields: tuple[str, ...] = ("f",)) -> "FieldIndex":
@@ -42,18 +48,17 @@ class FieldIndex:
         out = out.where(F.col(f"{fields[0]}_n") > 0).withColumn("block_id", block_id(grid.counts)).withColumn("place", morton(*(F.col(x) for x in BLOCKS)))
         writer = out.repartitionByRange("step", "place").sortWithinPartitions("step", "place").write.mode("overwrite").partitionBy("step")
         writer.option("parquet.block.size", GROUP_BYTES).option("parquet.page.row.count.limit", PAGE_ROWS).option("compression", "zstd").parquet(f"{path}/blocks")
-        index = cls(voxels.sparkSession, path, grid, fields)
         ranges = [x for f in fields for x in (F.min(f"{f}_lo").alias(f"{f}_lo"), F.max(f"{f}_hi").alias(f"{f}_hi"), F.sum(f"{f}_n").alias(f"{f}_n"))]
-        index.blocks().groupBy("step").agg(*ranges).coalesce(1).write.mode("overwrite").parquet(f"{path}/steps")
-        return index
+        written = voxels.sparkSession.read.parquet(f"{path}/blocks").withColumn("step", F.col("step").cast("long"))
+        written.groupBy("step").agg(*ranges).coalesce(1).write.mode("overwrite").parquet(f"{path}/steps")
+        return cls(voxels.sparkSession, path, grid, fields)
 
     def blocks(self) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.path}/blocks")
-        return df.withColumn("step", F.col("step").cast("long"))
+        return self._read("blocks").withColumn("step", F.col("step").cast("long"))
 
     def steps(self, **ranges: tuple[float, float]) -> DataFrame:
         """Steps whose range meets every field's: candidates of all fields, by the stored table."""
-        out = self.spark.read.parquet(f"{self.path}/steps")
+        out = self._read("steps")
         for f, (lo, hi) in ranges.items():
             out = out.where((F.col(f"{f}_lo") <= hi) & (F.col(f"{f}_hi") >= lo))
         return out.select("step")
@@ -64,17 +69,19 @@ class FieldIndex:
 
     def candidates(self, met: Column, **ranges: tuple[float, float]) -> DataFrame:
         """Blocks that ``met`` holds for, of the steps that meet the ranges: partitions are pruned by the steps, row groups and pages by the intervals."""
-        steps = self.steps(**ranges)
-        out = self.spark.read.parquet(f"{self.path}/blocks").where(met)
-        small = self.spark.read.parquet(f"{self.path}/steps").limit(BROADCAST_STEPS + 1).count() <= BROADCAST_STEPS
-        steps = steps.select(F.col("step").cast(out.schema["step"].dataType).alias("step"))
-        return out.join(F.broadcast(steps) if small else steps, "step", "left_semi").withColumn("step", F.col("step").cast("long"))
+        out, kind = self._read("blocks").where(met), self.schemas["blocks"]["step"].dataType
+        if self.held is not None:
+            meets = lambda r: all(r[f"{f}_lo"] <= hi and r[f"{f}_hi"] >= lo for f, (lo, hi) in ranges.items())
+            out = out.where(F.col("step").isin([r["step"] for r in self.held if meets(r)]))
+        else:
+            out = out.join(self.steps(**ranges).select(F.col("step").cast(kind).alias("step")), "step", "left_semi")
+        return out.withColumn("step", F.col("step").cast("long"))
 
     def values(self, lo: float, hi: float, field: str = "f") -> DataFrame:
         """(step, d0, d1, d2, field): the voxels within the range."""
         hit = self.candidates((F.col(f"{field}_lo") <= hi) & (F.col(f"{field}_hi") >= lo), **{field: (lo, hi)})
         e1, e2 = (n + 1 for n in self.grid.block[1:])
-        cells = hit.select("step", *BLOCKS, F.inline(F.filter(F.arrays_zip("offsets", field), lambda c: c[field].between(lo, hi))))
+        cells = hit.select("step", *BLOCKS, F.inline(F.arrays_zip("offsets", field))).where(F.col(field).between(lo, hi))
         inner = [quotient(F.col("offsets"), e1 * e2), quotient(F.col("offsets"), e2) % e1, F.col("offsets") % e2]
         own = [o < n for o, n in zip(inner, self.grid.block)]
         return cells.where(own[0] & own[1] & own[2]).select("step", *((F.col(b) * n + o).cast("int").alias(d) for b, n, o, d in zip(BLOCKS, self.grid.block, inner, DIMS)), field)
