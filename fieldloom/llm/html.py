@@ -412,8 +412,11 @@ def fit(pages: DataFrame | None, sample: int = SAMPLE_PAGES, generated: int = GE
     """A model of generated pages and of at most ``sample`` of ``pages`` (those of the smallest hashes of their page_id)."""
     found = [Page(source, marked=True) for source in generated_pages(generated)]
     if pages is not None and sample:
-        usable = pages.where(F.length("html") <= SAMPLE_CHARS).select("html", F.xxhash64(F.lit("sample"), "page_id").alias("place"))
-        found += [Page(r["html"]) for r in usable.orderBy("place", "html").limit(sample).collect()]
+        usable = pages.where(F.length("html") <= SAMPLE_CHARS).withColumn("place", F.xxhash64(F.lit("sample"), "page_id"))
+        # places alone are ordered first, so pages beyond the sample don't reach the driver
+        last = usable.select("place").orderBy("place").limit(sample).agg(F.max("place")).first()[0]
+        part = usable.where(F.col("place") <= F.lit(last)).orderBy("place", F.xxhash64("html")).limit(sample) if last is not None else usable.limit(0)
+        found += [Page(r["html"]) for r in part.select("html").collect()]
     known = [(page, y) for page in found if (y := _labels(page)) is not None and len(y) > 1]
     # a page's tokens are judged by the other half of the pages
     halves = [known[0::2], known[1::2]]
