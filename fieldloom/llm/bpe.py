@@ -5,8 +5,11 @@ they stand.  Tier two, for the others: bytes as a linked list, and a heap of adj
 rank and place; the best pair merges until none is left.  Results equal the greedy lowest-rank
 merge of public byte-level BPE libraries.
 
-Null texts encode to no ids, as do empty ones.  Each document is encoded whole.  A memo in
-front of both tiers keeps what a worker has resolved, up to a bound.
+Null texts encode to no ids, as do empty ones.  Each document is encoded whole, a long one by one
+task; of pairs of one rank the leftmost merges first.  Repeated rows are encoded each, as are those
+without a doc_id.  Extra columns are kept, but for those named as results, which are replaced;
+``round_trip`` ignores them.  An empty table gives an empty table.  A memo in front of both tiers
+keeps what a worker has resolved, up to a bound.
 """
 
 from __future__ import annotations

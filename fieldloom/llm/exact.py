@@ -5,9 +5,10 @@ for each slice of the fingerprint space.  The filters of a slice are merged by t
 remainders, with no loss: a quotient and its remainder give the fingerprint back.
 Fingerprints counted more than once route their documents to a comparison of whole texts.
 
-Null texts count as empty; empty texts are equal to each other.  Any further columns of the
-input are ignored.  An empty table gives an empty result.  Rows that repeat a doc_id are
-rows of their own.
+Null texts count as empty; empty texts are equal to each other.  Of equal texts the smallest
+doc_id stays, in every row that it has; rows without a doc_id are counted, and stay.  Rows that repeat a doc_id are rows of their own.  Long texts are
+normalised and compared whole, by the JVM.  Extra columns of any name are ignored.  An empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,6 +30,15 @@ SLICE_ROWS = 250_000
 BROADCAST_FINGERPRINTS = 1 << 20
 
 
+def _merged(keys: np.ndarray, counts: np.ndarray, more: np.ndarray, more_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted runs of distinct keys as one: nothing is sorted again."""
+    at = np.searchsorted(keys, more)
+    same = keys[np.minimum(at, len(keys) - 1)] == more if len(keys) else np.zeros(len(more), bool)
+    counts = counts.copy()
+    counts[at[same]] += more_counts[same]
+    return np.insert(keys, at[~same], more[~same]), np.insert(counts, at[~same], more_counts[~same])
+
+
 class CountingQuotientFilter:
     """Counts of fingerprints that share their ``prefix`` upper bits.
 
@@ -64,13 +74,11 @@ class CountingQuotientFilter:
 
     @classmethod
     def merge(cls, filters: list["CountingQuotientFilter"]) -> "CountingQuotientFilter":
-        """Merges sorted runs; counts of equal remainders under one quotient add up."""
-        keys = np.concatenate([f.fingerprints() for f in filters])
-        counts = np.concatenate([f.counts for f in filters])
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-        return cls.build(keys[heads], np.add.reduceat(counts, heads) if len(heads) else counts, filters[0].prefix, filters[0].slice_id)
+        """Merges runs of sorted remainders, two filters at a time; counts of equal remainders under one quotient add up."""
+        runs = [(f.fingerprints(), f.counts) for f in filters]
+        while len(runs) > 1:
+            runs = [_merged(*runs[i], *runs[i + 1]) if i + 1 < len(runs) else runs[i] for i in range(0, len(runs), 2)]
+        return cls.build(*runs[0], filters[0].prefix, filters[0].slice_id)
 
     def to_bytes(self) -> bytes:
         width = (self.r + 7) // 8
