@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from fieldloom.functions.grid import DIMS
 from fieldloom.operators import halo
 from fieldloom.operators.halo import CORNERS
+from fieldloom.sources.store import stored
 
 #: The corners of each face in ring order, seen from outside.
 FACES = ((0, 3, 2, 1), (4, 5, 6, 7), (0, 1, 5, 4), (1, 2, 6, 5), (2, 3, 7, 6), (3, 0, 4, 7))
@@ -163,6 +164,57 @@ def boundary_edges(mesh: DataFrame) -> DataFrame:
     return used.where("n = 1").drop("n")
 
 
+#: Rounds of hole filling, and how much farther a third vertex may be looked for when no near one is left.
+ROUNDS, WIDER = 200, 5.0
+
+
+def fill_holes(mesh: DataFrame, vertices: DataFrame, cell: float = 2.0, rounds: int = ROUNDS) -> DataFrame:
+    """(step, a, b, c): triangles that close a surface's holes, from sides that one triangle alone has.
+
+    In each round a side takes the nearest vertex of another such side within twice its length or
+    two cells, which meets it in a join by cubes of space; triangles that claim the same side, or
+    a side that two triangles have by then, give way to the one of smallest (distance, names).
+    Surfaces of ``triangles`` have no holes but at the volume's rim: this is for others' meshes.
+    """
+    at = stored(vertices.select("step", F.concat_ws(",", *DIMS, "axis").alias("v"), "x0", "x1", "x2"), "hole-vertices")
+    sides, added = stored(boundary_edges(mesh), "sides"), None
+    wider = 1.0
+    for _ in range(rounds):
+        if sides.isEmpty():
+            break
+        reach = cell * 4 * wider  # no side of a cell is longer than its diagonal
+        ends = sides
+        for v in "ab":
+            ends = ends.join(at.select("step", F.col("v").alias(v), *(F.col(f"x{i}").alias(f"{v}{i}") for i in range(3))), ["step", v])
+        middle = [((F.col(f"a{i}") + F.col(f"b{i}")) / 2).alias(f"m{i}") for i in range(3)]
+        length = F.sqrt(sum(((F.col(f"a{i}") - F.col(f"b{i}")) ** 2 for i in range(3)), F.lit(0.0)))
+        ends = ends.select("step", "a", "b", *middle, F.least(F.greatest(length * 2, F.lit(cell * 2)) * wider, F.lit(reach)).alias("near"))
+        rim = sides.select("step", F.explode(F.array("a", "b")).alias("v")).distinct().join(at, ["step", "v"])
+        cube = lambda x: F.floor(F.col(x) / reach)
+        asking = ends
+        for i in range(3):
+            asking = asking.withColumn(f"q{i}", F.explode(F.sequence(cube(f"m{i}") - 1, cube(f"m{i}") + 1)))
+        asked = rim.select("step", "v", "x0", "x1", "x2", *(cube(f"x{i}").alias(f"q{i}") for i in range(3)))
+        far = F.sqrt(sum(((F.col(f"m{i}") - F.col(f"x{i}")) ** 2 for i in range(3)), F.lit(0.0)))
+        pairs = asking.join(asked, ["step", "q0", "q1", "q2"]).where((F.col("v") != F.col("a")) & (F.col("v") != F.col("b"))).withColumn("far", far).where(F.col("far") <= F.col("near"))
+        best = pairs.groupBy("step", "a", "b").agg(F.min(F.struct("far", "v")).alias("m")).select("step", "a", "b", "m.far", "m.v")
+        best = best.select("step", "far", F.array_sort(F.array("a", "b", "v")).alias("t")).groupBy("step", "t").agg(F.min("far").alias("far"))
+        claims = best.select("step", "t", "far", F.explode(F.array(*[F.struct(F.col("t")[i].alias("a"), F.col("t")[j].alias("b")) for i, j in ((0, 1), (1, 2), (0, 2))])).alias("s"))
+        winners = claims.groupBy("step", "s").agg(F.min(F.struct("far", "t")).alias("m"))
+        fit = claims.join(winners, ["step", "s"]).groupBy("step", "t").agg(F.bool_and(F.col("t") == F.col("m.t")).alias("fit")).where("fit")
+        fit = stored(fit.select("step", F.col("t")[0].alias("a"), F.col("t")[1].alias("b"), F.col("t")[2].alias("c")), "filled")
+        if fit.isEmpty():
+            if wider > 1:
+                break
+            wider = WIDER
+            continue
+        added = fit if added is None else added.union(fit)
+        # sides of the new triangles count with those that are open: what then has two is closed
+        new = fit.select("step", F.explode(F.array(*[F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")) for x, y in (("a", "b"), ("b", "c"), ("c", "a"))])).alias("s")).select("step", "s.a", "s.b")
+        sides = stored(sides.union(new).groupBy("step", "a", "b").agg(F.count(F.lit(1)).alias("n")).where("n = 1").drop("n"), "sides")
+    return added if added is not None else mesh.select("step", "a", "b", "c").limit(0)
+
+
 def degenerate(mesh: DataFrame) -> DataFrame:
     """Triangles two of whose vertices are one."""
     return mesh.where("a = b or b = c or c = a")

@@ -20,7 +20,7 @@ F_RANGE, G_RANGE, RESOLUTION, BINS = (100.0, 300.0), (20.0, 400.0), 64, 100
 ISOVALUES = 50
 
 _VOX = """
-    s AS (SELECT CASE WHEN count(*) >= 65536 THEN 32 WHEN count(*) >= 8192 THEN 16 ELSE 8 END AS s, CASE WHEN count(*) >= 65536 THEN 8 WHEN count(*) >= 8192 THEN 4 ELSE 2 END AS c FROM events),
+    s AS (SELECT max(k) AS s, CAST(max(k) // 4 AS INTEGER) AS c FROM (SELECT unnest([8, 16, 32, 64, 128, 256, 512, 1024]) AS k) sides, (SELECT count(*) AS n FROM events) WHERE k = 8 OR CAST(k AS BIGINT) * k * k * 2 <= n),
     vox AS (SELECT event_id // (s * s * s) AS step, CAST(event_id // (s * s) % s AS INTEGER) AS d0, CAST(event_id // s % s AS INTEGER) AS d1, CAST(event_id % s AS INTEGER) AS d2, value AS f, CAST(user_id AS DOUBLE) AS g FROM events, s)"""
 
 

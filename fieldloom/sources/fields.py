@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions.grid import Grid, coordinates, quotient
 
-#: Side of a step by the number of events.
-SIDES = ((65536, 32), (8192, 16), (0, 8))
+#: The least side of a step of events, and how many steps there are at least beyond that.
+LEAST_SIDE, LEAST_STEPS = 8, 2
 #: Block of the order-line field, whose shape is neither cubic nor divisible.
 LINE_GRID = Grid((50, 11, 9))
 
@@ -18,8 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def event_grid(spark: SparkSession, sf_dir: str) -> Grid:
-    n = table(spark, sf_dir, "events").count()
-    side = next(s for least, s in SIDES if n >= least)
+    """A cube whose side is the largest power of two that gives ``LEAST_STEPS`` steps, at any number of events."""
+    n, side = table(spark, sf_dir, "events").count(), LEAST_SIDE
+    while (2 * side) ** 3 * LEAST_STEPS <= n:
+        side *= 2
     return Grid((side,) * 3)
 
 

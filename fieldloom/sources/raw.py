@@ -41,23 +41,34 @@ def read_numbers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_hdf5(spark: SparkSession, path: str, dataset: str) -> DataFrame:
-    """A three-dimensional dataset; needs h5py on the executors, one task for each plane of the first dimension."""
-    try:
-        import h5py
-    except ImportError as error:
-        raise NotImplementedError("h5py isn't installed") from error
-    with h5py.File(path) as f:
-        shape = f[dataset].shape
+    """A three-dimensional dataset, one task for each plane of the first dimension; needs h5py and the file's path on the executors.
+
+    The driver opens nothing: a task tells the number of planes.
+    """
+
+    def planes_of(batches):
+        for pdf in batches:
+            with _h5py().File(path) as f:
+                yield pd.DataFrame({"n": [f[dataset].shape[0]] * len(pdf)})
 
     def planes(batches):
-        with h5py.File(path) as f:
-            for pdf in batches:
+        for pdf in batches:
+            with _h5py().File(path) as f:
                 for d0 in pdf["id"]:
-                    plane = f[dataset][int(d0)]
+                    plane = np.asarray(f[dataset][int(d0)])
                     d1, d2 = np.indices(plane.shape)
                     yield pd.DataFrame({"step": 0, "d0": int(d0), "d1": d1.ravel(), "d2": d2.ravel(), "f": plane.ravel().astype(float)})
 
-    return spark.range(shape[0], numPartitions=shape[0]).mapInPandas(planes, "step long, d0 int, d1 int, d2 int, f double")
+    n = spark.range(1, numPartitions=1).mapInPandas(planes_of, "n long").first()["n"]
+    return spark.range(n, numPartitions=max(1, n)).mapInPandas(planes, "step long, d0 int, d1 int, d2 int, f double")
+
+
+def _h5py():
+    try:
+        import h5py
+    except ImportError as error:
+        raise NotImplementedError("h5py isn't installed") from error
+    return h5py
 
 
 def read_steps(spark: SparkSession, path: str, steps: list[int] | None = None, begin: int | None = None, end: int | None = None) -> DataFrame:

@@ -187,6 +187,34 @@ def test_shifted_codes(spark):
     assert joined.count() == shifted.count() and joined.where((F.abs(F.col("lo") - F.col("l")) > 0.0200001) | (F.abs(F.col("hi") - F.col("h")) > 0.0200001)).isEmpty()
 
 
+def test_holes_are_filled(spark):
+    """A surface without some of its triangles: no side is left that one triangle alone has."""
+    values = np.full((9, 9, 9), -5.0)
+    values[2:7, 2:7, 2:7] = 1.0
+    voxels = volume(spark, values)
+    whole = mesh.triangles(voxels, 0.0)
+    torn = whole.where("not (d0 = 6 and d1 = 4 and d2 = 4 and k = 0) and not (d0 = 1 and d1 between 3 and 4 and d2 = 3)")
+    lost = whole.count() - torn.count()
+    assert lost > 2 and not mesh.boundary_edges(torn).isEmpty()
+    vertices = mesh.edge_vertices(voxels, 0.0)
+    added = mesh.fill_holes(torn, vertices)
+    assert 0 < added.count() <= 2 * lost
+    assert mesh.boundary_edges(torn.select("step", "a", "b", "c").union(added)).isEmpty()
+    assert mesh.fill_holes(whole, vertices).isEmpty()
+
+
+def test_hdf5_by_planes(spark, tmp_path):
+    """With a stand-in for h5py, which isn't installed: planes are read by tasks, and without it the reader says so."""
+    values = smooth_field((3, 4, 5)).astype("f4")
+    np.save(tmp_path / "a.npy", values)
+    with pytest.raises(Exception, match="h5py isn't installed"):
+        raw.read_hdf5(spark, f"{tmp_path}/a.npy", "group/x").collect()
+    (tmp_path / "h5py.py").write_text("import numpy as np\nclass File(dict):\n    def __init__(self, path):\n        self['group/x'] = np.load(path)\n    def __enter__(self):\n        return self\n    def __exit__(self, *a):\n        pass\n")
+    spark.sparkContext.addPyFile(str(tmp_path / "h5py.py"))
+    got = raw.read_hdf5(spark, f"{tmp_path}/a.npy", "group/x").collect()
+    assert len(got) == 60 and all(np.float32(r["f"]) == values[r["d0"], r["d1"], r["d2"]] for r in got)
+
+
 def test_names_of_fields(spark):
     voxels = volume(spark, np.zeros((2, 2, 2)))
     voxels.createOrReplaceTempView("pressure_test")
