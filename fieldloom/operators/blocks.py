@@ -45,6 +45,37 @@ def extrapolated(v1: Column, v2: Column) -> Column:
     return 2 * v1 - v2
 
 
+def clamped_values(points: DataFrame, blocks: DataFrame, grid: Grid) -> DataFrame:
+    """``points`` with the value there, or for points outside the volume that of the nearest place inside."""
+    inside = points.withColumns({f"_{d}": F.col(d) for d in DIMS} | {d: clamped(F.col(d), n) for d, n in zip(DIMS, grid.shape)})
+    found = point_values(inside, blocks, grid)
+    return found.select(*(F.col(f"_{c}").alias(c) if c in DIMS else c for c in points.columns), "value")
+
+
+def extrapolated_values(points: DataFrame, blocks: DataFrame, grid: Grid) -> DataFrame:
+    """``points`` with the value there, or for points outside, how many steps ever along a dimension, on the line through the two nearest places inside.
+
+    Where several coordinates are outside, the changes along their dimensions add up.  Each point
+    asks for four places, which meet the blocks in one join.
+    """
+    near = [clamped(F.col(d), n) for d, n in zip(DIMS, grid.shape)]
+    beyond = [F.col(d) - c for d, c in zip(DIMS, near)]
+    number = F.monotonically_increasing_id()
+    # towards the middle: one step back from the side that the point is beyond
+    asked = [F.struct(*(c.alias(d) for c, d in zip(near, DIMS)), F.lit(1.0).alias("w"))]
+    for i, (c, far, n) in enumerate(zip(near, beyond, grid.shape)):
+        if n > 1:
+            by = F.abs(far).cast("double")
+            asked.append(F.when(far != 0, F.struct(*((c - F.signum(far).cast("int") if k == i else near[k]).alias(d) for k, d in enumerate(DIMS)), (-by).alias("w"))))
+            asked.append(F.when(far != 0, F.struct(*(near[k].alias(d) for k, d in enumerate(DIMS)), by.alias("w"))))
+    numbered = points.withColumn("_n", number)
+    spread = numbered.withColumn("_p", F.explode(F.filter(F.array(*asked), lambda x: x.isNotNull())))
+    spread = spread.select(*(F.col(c).alias(f"_{c}") for c in points.columns), "_n", "step", *(F.col(f"_p.{d}").alias(d) for d in DIMS), F.col("_p.w").alias("_w"))
+    found = point_values(spread, blocks, grid)
+    summed = found.groupBy("_n", *(f"_{c}" for c in points.columns)).agg(F.sum(F.col("value") * F.col("_w")).alias("value"), F.count(F.lit(1)).alias("asked"), F.count("value").alias("there"))
+    return summed.select(*(F.col(f"_{c}").alias(c) for c in points.columns), F.when(F.col("asked") == F.col("there"), F.col("value")).alias("value"))
+
+
 def log10_floored(values: Column, floor: float = 1e-6) -> Column:
     """Base-10 logarithms of an array's values, those below ``floor`` counting as it."""
     return F.transform(values, lambda v: F.log10(F.greatest(v, F.lit(floor))))

@@ -11,7 +11,7 @@ from fieldloom.functions import grid as G
 from fieldloom.operators import analytics, blocks, codec, indexcodec, mesh, zonemap
 from fieldloom.plans import query
 from fieldloom.plans.index import FieldIndex, candidate_blocks
-from fieldloom.sources import fields
+from fieldloom.sources import fields, raw, sinks
 from fieldloom.sources.store import shared_folder, stored
 
 #: Parameters of the registered queries.
@@ -438,6 +438,71 @@ def point_lookup(spark, sf_dir):
     return blocks.point_values(points, blocks.to_blocks(voxels, grid), grid)
 
 
+_OUTSIDE = "points AS (SELECT o_orderkey, o_orderkey % 3 AS step, CAST(o_orderkey % 37 % (s + 4) - 2 AS INTEGER) AS d0, CAST(o_orderkey % 41 % (s + 4) - 2 AS INTEGER) AS d1, CAST(o_orderkey % 43 % (s + 4) - 2 AS INTEGER) AS d2 FROM orders, s)"
+_CLAMP = "greatest(0, least(p.d{i}, s - 1))"
+
+
+def _outside(spark, sf_dir, grid):
+    key, side = F.col("o_orderkey"), grid.shape[0]
+    return fields.table(spark, sf_dir, "orders").select("o_orderkey", (key % 3).alias("step"), *((key % m % (side + 4) - 2).cast("int").alias(d) for m, d in zip((37, 41, 43), G.DIMS)))
+
+
+@register("point_lookup_clamped", _VOX, _OUTSIDE, select=f"SELECT p.*, vox.f AS value FROM points p CROSS JOIN s LEFT JOIN vox ON vox.step = p.step AND {' AND '.join(f'vox.d{i} = {_CLAMP.format(i=i)}' for i in range(3))}")
+def point_lookup_clamped(spark, sf_dir):
+    voxels, grid = _events(spark, sf_dir)
+    return blocks.clamped_values(_outside(spark, sf_dir, grid), blocks.to_blocks(voxels, grid), grid)
+
+
+def _beyond(i: int) -> str:
+    """What a coordinate outside adds along its dimension."""
+    c, sign = _CLAMP.format(i=i), f"sign(p.d{i} - {_CLAMP.format(i=i)})"
+    on = " AND ".join(f"w.d{k} = {_CLAMP.format(i=k)}" + (f" - {sign}" if k == i else "") for k in range(3))
+    return f"CASE WHEN p.d{i} = {c} THEN 0.0 ELSE abs(p.d{i} - {c}) * (v.f - (SELECT w.f FROM vox w WHERE w.step = p.step AND {on})) END"
+
+
+@register("point_lookup_extrapolated", _VOX, _OUTSIDE, select=f"SELECT p.*, round(v.f + {' + '.join(map(_beyond, range(3)))}, 6) AS value FROM points p CROSS JOIN s LEFT JOIN vox v ON v.step = p.step AND {' AND '.join(f'v.d{i} = {_CLAMP.format(i=i)}' for i in range(3))}")
+def point_lookup_extrapolated(spark, sf_dir):
+    voxels, grid = _events(spark, sf_dir)
+    return blocks.extrapolated_values(_outside(spark, sf_dir, grid), blocks.to_blocks(voxels, grid), grid).withColumn("value", F.round("value", 6))
+
+
+@register("positions_first_fastest", _VOX, select="SELECT event_id, CAST(event_id % (s * s * s) % s AS INTEGER) AS d0, CAST(event_id % (s * s * s) // s % s AS INTEGER) AS d1, CAST(event_id % (s * s * s) // (s * s) AS INTEGER) AS d2 FROM events, s")
+def positions_first_fastest(spark, sf_dir):
+    _, grid = _events(spark, sf_dir)
+    return fields.table(spark, sf_dir, "events").select("event_id", *G.coordinates_first_fastest(F.col("event_id") % grid.volume, grid.shape))
+
+
+def _kept(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@register("stored_steps", _VOX, select="SELECT step, d0, d1, d2, f FROM vox WHERE step BETWEEN 1 AND 2")
+def stored_steps(spark, sf_dir):
+    """A field stored by step, of which some steps are read."""
+    voxels, grid = _events(spark, sf_dir)
+    sinks.write_field(G.with_blocks(voxels, grid), path := _kept(spark, "field"))
+    return raw.read_steps(spark, path, begin=1, end=2).select(F.col("step").cast("long").alias("step"), *G.DIMS, "f")
+
+
+@register("intervals_text", _VOX, _ZU, select="SELECT lo AS low, hi AS high FROM zu")
+def intervals_text(spark, sf_dir):
+    sinks.write_intervals(_zone(spark, sf_dir)[0], path := _kept(spark, "intervals"))
+    return raw.read_intervals(spark, path)
+
+
+@register("numbers_text", _VOX, select="SELECT f AS value FROM vox")
+def numbers_text(spark, sf_dir):
+    sinks.write_numbers(_events(spark, sf_dir)[0], path := _kept(spark, "numbers"))
+    return raw.read_numbers(spark, path)
+
+
+@register("empty_index", _VOX, _ZU, select="SELECT step, block_id FROM zu WHERE false")
+def empty_index(spark, sf_dir):
+    """A query of a field without voxels finds nothing."""
+    voxels, grid = _events(spark, sf_dir)
+    return query.RangeQuery(voxels.where("f < -1e300"), grid, LO, HI).core().select("step", "block_id")
+
+
 @register("block_range_filter", _VOX, _ZU, select=f"SELECT step, CAST(b0 + b1 * c + b2 * c * c AS BIGINT) AS block_id, count(*) AS n, min(f) AS lo, max(f) AS hi FROM zu_b, s WHERE f BETWEEN {LO} AND {HI} GROUP BY ALL")
 def block_range_filter(spark, sf_dir):
     kept = blocks.range_filtered(blocks.to_blocks(*_events(spark, sf_dir)), LO, HI)
@@ -787,6 +852,13 @@ def mc_triangles_semi_join(spark, sf_dir):
     return mesh.triangles(near, ISO)
 
 
+@register("mc_degenerate", _VOX, _corner_join(), _ACTIVE, _TABLE, _MESH, select="SELECT step, count(*) AS triangles, count(*) FILTER (a = b OR b = c OR c = a) AS degenerate FROM mesh GROUP BY step")
+def mc_degenerate(spark, sf_dir):
+    found = stored(mesh.triangles(_events(spark, sf_dir)[0], ISO), "triangles")
+    lost = mesh.degenerate(found).groupBy("step").agg(F.count(F.lit(1)).alias("d"))
+    return found.groupBy("step").agg(F.count(F.lit(1)).alias("triangles")).join(lost, "step", "left").select("step", "triangles", F.coalesce("d", F.lit(0)).alias("degenerate"))
+
+
 @register("mesh_boundary_edges", _VOX, _corner_join(), _ACTIVE, _TABLE, _MESH, select="SELECT step, least(x, y) AS a, greatest(x, y) AS b FROM (SELECT step, a AS x, b AS y FROM mesh UNION ALL SELECT step, b, c FROM mesh UNION ALL SELECT step, c, a FROM mesh) GROUP BY 1, 2, 3 HAVING count(*) = 1")
 def mesh_boundary_edges(spark, sf_dir):
     return mesh.boundary_edges(mesh.triangles(_events(spark, sf_dir)[0], ISO))
