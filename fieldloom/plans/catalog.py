@@ -12,7 +12,7 @@ from fieldloom.operators import analytics, blocks, codec, indexcodec, mesh, zone
 from fieldloom.plans import query
 from fieldloom.plans.index import FieldIndex, candidate_blocks
 from fieldloom.sources import fields, raw, sinks
-from fieldloom.sources.store import shared_folder, stored
+from fieldloom.sources.store import exists, shared_folder, stored
 
 #: Parameters of the registered queries.
 LO, HI, ISO, ERROR, RELATIVE = 250.0, 300.0, 100.0, 5.0, 1e-3
@@ -87,7 +87,7 @@ _BUILT: dict[tuple[str, str], FieldIndex] = {}
 def stored_index(spark: SparkSession, sf_dir: str) -> FieldIndex:
     """The index of the event field, built once for a session's application."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _BUILT:
+    if key not in _BUILT or not exists(spark, f"{_BUILT[key].path}/steps/_SUCCESS"):
         voxels, grid = _events(spark, sf_dir)
         _BUILT[key] = FieldIndex.build(voxels, grid, f"{shared_folder(spark)}/field-index-{uuid.uuid4().hex}", ("f", "g"))
     return _BUILT[key]
