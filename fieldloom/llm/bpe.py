@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ from fieldloom.llm.mph import PerfectHash
 
 #: Pre-tokens that a worker remembers; ``round_trip`` forgets them with each task.
 MEMO = 600_000
+#: Characters of a text whose pre-tokens aren't held all at once.
+LONG_CHARS = 4 << 20
 _LOADED: dict[tuple[str, str], "BytePairCodec"] = {}
 
 
@@ -104,7 +107,19 @@ class BytePairCodec:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, as little-endian 32-bit integers."""
-        split = [self.pattern.findall(t) if t else [] for t in texts]
+        if any(t and len(t) > LONG_CHARS for t in texts):
+            return [self._long(t) if t and len(t) > LONG_CHARS else self.encode([t])[0] for t in texts]
+        return self._joined([self.pattern.findall(t) if t else [] for t in texts])
+
+    def _long(self, text: str) -> bytes:
+        """Ids of a long text, of which some pre-tokens at a time are held."""
+        found, out = (m[0] for m in self.pattern.finditer(text)), []
+        while part := list(islice(found, LONG_CHARS // 4)):
+            out += self._joined([part])
+        return b"".join(out)
+
+    def _joined(self, split: list[list[str]]) -> list[bytes]:
+        """Ids of texts given by their pre-tokens."""
         if len(self.memo) > MEMO:
             self.memo.clear()
         fresh = list(set().union(*split).difference(self.memo))

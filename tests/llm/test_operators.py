@@ -84,6 +84,14 @@ def test_bpe_equals_library(spark, table):
         assert codec.decode(ids) == (t or "").encode()
 
 
+def test_bpe_of_long_texts(monkeypatch):
+    """A text is encoded alike whether its pre-tokens are held at once or not."""
+    codec, texts = bpe.BytePairCodec.load(PATH, P.PATTERN), [None, "some words, 123 and\n  more " * 30, "é" * 99, ""]
+    whole = codec.encode(texts)
+    monkeypatch.setattr(bpe, "LONG_CHARS", 40)
+    assert codec.encode(texts) == whole
+
+
 def test_bpe_columns(spark):
     df = docs_of(spark, ODD)
     back = bpe.decode(bpe.encode(df, PATH, P.PATTERN), PATH, P.PATTERN).select("doc_id", "decoded", "key").collect()
