@@ -22,7 +22,7 @@ from fieldloom.functions.grid import DIMS, quotient
 CHUNK = 16
 CHUNKS = ("c0", "c1", "c2")
 #: Values that a kernel holds at a time, of each field.
-HELD_VALUES = 1 << 20
+HELD_VALUES = 1 << 18
 #: Corners of a cell as offsets of (d2, d1, d0), bottom ring then top ring.
 CORNERS = [(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1)]
 Shape = tuple[int, int, int]
