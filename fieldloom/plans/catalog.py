@@ -667,7 +667,14 @@ def block_codec_round_trip(spark, sf_dir):
     return joined.select("block_id", F.size("back").cast("long").alias("n"), (worst <= 1.000001e-3).alias("within"))
 
 
-@register("block_codec_sizes")
+_BLOCK_LINE = "e AS (SELECT vec_id, embedding FROM embeddings)"
+_BLOCK_FOLD = f"""r AS (SELECT vec_id, 0 AS i, CAST(0 AS DOUBLE) AS last, CAST(0 AS BIGINT) AS size FROM e UNION ALL
+        SELECT vec_id, i + 1, CASE WHEN state < {codec.BLOCK_RADIUS - 1} THEN last + CAST(0.002 AS DOUBLE) * CASE WHEN x < last THEN -state ELSE state END ELSE x END, CASE WHEN state < {codec.BLOCK_RADIUS - 1} THEN CAST(state AS BIGINT) + 1 ELSE 0 END
+        FROM (SELECT vec_id, i, last, CAST(embedding[i + 1] AS DOUBLE) AS x, floor((floor(abs(CAST(embedding[i + 1] AS DOUBLE) - last) / CAST(0.001 AS DOUBLE)) + 1) / 2) AS state FROM r JOIN e USING (vec_id) WHERE i < len(embedding)))"""
+_BLOCK_SIZES = "b AS (SELECT vec_id, CASE WHEN max(size) = 0 THEN 0 ELSE CAST(floor(log2(max(size))) AS INTEGER) + 1 END AS bits, count(*) AS n, count(*) FILTER (size = 0) AS kept FROM r WHERE i > 0 GROUP BY vec_id)"
+
+
+@register("block_codec_sizes", _BLOCK_LINE, _BLOCK_FOLD, _BLOCK_SIZES, select="SELECT CAST(bits AS INTEGER) AS bits, count(*) AS blocks, CAST(sum(kept) AS BIGINT) AS kept, CAST(sum(bits * n + n + 64 * kept) AS BIGINT) AS total_bits FROM b GROUP BY bits", recursive=True)
 def block_codec_sizes(spark, sf_dir):
     coded = codec.compress_blocks(fields.embedding_blocks(spark, sf_dir), 1e-3)
     return coded.groupBy("bits").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.size("kept")).alias("kept"), F.sum(F.col("bits") * F.size("sizes") + F.size("sizes") + 64 * F.size("kept")).alias("total_bits"))
@@ -797,11 +804,27 @@ def csp_semi_join(spark, sf_dir):
     return analytics.scatterplot(near, F_RANGE, G_RANGE, RESOLUTION).withColumn("density", F.round("density", 6))
 
 
-@register("csp_tetrahedra")
+_PIXELS = 32
+_FACES = ", ".join(f"({t}, CAST({1 if t < 4 else 2} AS DOUBLE) / 6, {', '.join(str(tet[i] + 1) for i in range(4) if i != skip)})" for t, tet in enumerate(analytics.TETRAHEDRA) for skip in range(4))
+_SCALED = ", ".join(f"[{', '.join(f'({x}{k} - {x}_lo) / ({x}_hi - {x}_lo) * {_PIXELS}' for k in range(8))}] AS {x}s" for x in "fg")
+_CROSS = lambda j, k: f"((x{k} - x{j}) * (py + 0.5 :: DOUBLE - y{j}) - (y{k} - y{j}) * (px + 0.5 :: DOUBLE - x{j})) * sign(area) >= 0"
+
+
+@register(
+    "csp_tetrahedra", _VOX, _corner_join("fg"), "ends AS (SELECT min(f) AS f_lo, max(f) AS f_hi, min(g) AS g_lo, max(g) AS g_hi FROM vox)",
+    f"scaled AS (SELECT row_number() OVER () AS cell, {_SCALED} FROM cells, ends)",
+    f"faces(tet, share, a, b, c) AS (VALUES {_FACES})",
+    "parts AS (SELECT cell, tet, share, fs[a] AS x0, fs[b] AS x1, fs[c] AS x2, gs[a] AS y0, gs[b] AS y1, gs[c] AS y2 FROM scaled, faces)",
+    "sized AS (SELECT *, ((x1 - x0) * (y2 - y0) - (x2 - x0) * (y1 - y0)) / 2 AS area FROM parts)",
+    "dense AS (SELECT *, share / greatest(sum(abs(area)) OVER (PARTITION BY cell, tet), 1e-12) AS density FROM sized)",
+    f"columns AS (SELECT *, unnest(range(CAST(greatest(0, ceil(least(x0, x1, x2) - 0.5 :: DOUBLE)) AS BIGINT), CAST(least({_PIXELS - 1}, floor(greatest(x0, x1, x2) - 0.5 :: DOUBLE)) AS BIGINT) + 1)) AS px FROM dense WHERE abs(area) > 1e-12)",
+    f"pixels AS (SELECT *, unnest(range(CAST(greatest(0, ceil(least(y0, y1, y2) - 0.5 :: DOUBLE)) AS BIGINT), CAST(least({_PIXELS - 1}, floor(greatest(y0, y1, y2) - 0.5 :: DOUBLE)) AS BIGINT) + 1)) AS py FROM columns)",
+    select=f"SELECT CAST(px AS INTEGER) AS bin_f, CAST(py AS INTEGER) AS bin_g, round(sum(density), 6) AS density FROM pixels WHERE {_CROSS(0, 1)} AND {_CROSS(1, 2)} AND {_CROSS(2, 0)} GROUP BY px, py",
+)
 def csp_tetrahedra(spark, sf_dir):
     voxels = _events(spark, sf_dir)[0]
     f0, f1, g0, g1 = voxels.agg(F.min("f"), F.max("f"), F.min("g"), F.max("g")).first()
-    return analytics.scatterplot_by_tetrahedra(voxels, (f0, f1), (g0, g1), 32)
+    return analytics.scatterplot_by_tetrahedra(voxels, (f0, f1), (g0, g1), _PIXELS).withColumn("density", F.round("density", 6))
 
 
 # surfaces
