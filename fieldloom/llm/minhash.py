@@ -371,4 +371,18 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_minhash_near_dedup": op2_minhash_near_dedup}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op2_minhash_near_dedup": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS x FROM d),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        f AS (SELECT x, count(*) AS f FROM s GROUP BY x),
+        -- of two sets that are alike enough, the rarest shingles share one
+        p AS (SELECT doc_id, x, n, row_number() OVER (PARTITION BY doc_id ORDER BY f, x) AS k FROM s JOIN f USING (x) JOIN n USING (doc_id)),
+        q AS (SELECT doc_id, x, n FROM p WHERE k <= n - (n * 80 + 99) // 100 + 1),
+        c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb FROM q a JOIN q b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+        e AS (SELECT a, b FROM c JOIN s u ON u.doc_id = a JOIN s v ON v.doc_id = b AND v.x = u.x GROUP BY a, b, na, nb HAVING 100 * count(*) >= 80 * (na + nb - count(*))),
+        r(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, g.b FROM r JOIN (SELECT a, b FROM e UNION ALL SELECT b, a FROM e) g ON g.a = r.b)
+        SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS component_id, min(r.b) = d.doc_id AS kept FROM d JOIN r ON r.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+    """
+}

@@ -500,4 +500,19 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_suffix_dedup": op3_suffix_dedup}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    # windows are told by a 64-bit hash here
+    "op3_suffix_dedup": r"""
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        w AS (SELECT doc_id, start, hash(substr(h, 2 * start + 1, 200)) AS x FROM (SELECT doc_id, h, unnest(range(0, CAST(greatest(0, length(h) // 2 - 99) AS BIGINT))) AS start FROM d)),
+        again AS (SELECT doc_id, start FROM (SELECT doc_id, start, row_number() OVER (PARTITION BY x ORDER BY doc_id, start) AS k FROM w) WHERE k > 1),
+        -- runs of repeated windows that touch or overlap are one span
+        g AS (SELECT doc_id, start, CASE WHEN start <= lag(start) OVER (PARTITION BY doc_id ORDER BY start) + 100 THEN 0 ELSE 1 END AS fresh FROM again),
+        spans AS (SELECT doc_id, run, min(start) AS a, max(start) + 100 AS b FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY start) AS run FROM g) GROUP BY doc_id, run),
+        -- what is kept lies between spans
+        k AS (SELECT doc_id, a, b, lead(a) OVER (PARTITION BY doc_id ORDER BY a, b) AS following FROM (SELECT doc_id, 0 AS a, 0 AS b FROM d UNION ALL SELECT doc_id, a, b FROM spans)),
+        kept AS (SELECT k.doc_id, string_agg(substr(h, 2 * k.b + 1, 2 * (coalesce(following, length(h) // 2) - k.b)), '' ORDER BY k.b) AS x FROM k JOIN d USING (doc_id) GROUP BY k.doc_id)
+        SELECT d.doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(s.removed, 0) AS BIGINT) AS n_removed, coalesce(s.n, 0) AS n_spans, sha256(unhex(kept.x)) AS kept_sha256
+        FROM d JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, sum(b - a) AS removed, count(*) AS n FROM spans GROUP BY doc_id) s USING (doc_id)
+    """
+}
