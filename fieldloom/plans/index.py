@@ -1,7 +1,7 @@
 """A stored index: blocks with a halo beside the intervals of their values, which queries read by pushed filters.
 
-A block is a row: its number, its values and those of the planes after it as arrays, the interval
-of its own values (``f_lo``, ``f_hi``) and that of the cells it owns (``f_cell_lo``, ``f_cell_hi``).
+A block is a row: its number, its own values as an array, these and those of the planes after it as
+another, the interval of its own values (``f_lo``, ``f_hi``) and that of the cells it owns (``f_cell_lo``, ``f_cell_hi``).
 Blocks lie in Morton order within files that are partitioned by step, in small row groups and
 pages, so a filter on an interval skips files, row groups and pages by their statistics, and
 arrays are read of blocks that are left.  Ranges of steps are a table of their own, which prunes
@@ -41,10 +41,16 @@ class FieldIndex:
         e1, e2 = (n + 1 for n in grid.block[1:])
         b = [F.col(c).alias(x) for c, x in zip(halo.CHUNKS, BLOCKS)]
         out = halo.chunks(voxels, fields, 0, 1, grid.block).select("step", *b, "offsets", *fields)
+        _, n1, n2 = grid.block
+        inner = lambda o: (quotient(o, e1 * e2) < grid.block[0]) & (quotient(o, e2) % e1 < n1) & (o % e2 < n2)
+        own = F.array_sort(F.filter(F.arrays_zip("offsets", *fields), lambda c: inner(c["offsets"])))
+        place = lambda o: ((quotient(o, e1 * e2) * n1 + quotient(o, e2) % e1) * n2 + o % e2).cast("int")
+        # a block's own values stand in order of place, so places are kept of blocks alone that lack some
+        out = out.withColumn("own", own).withColumn("own_places", F.when(F.size("own") < n1 * n2 * grid.block[0], F.transform("own.offsets", place)))
         for f in fields:
-            inner = lambda o: (quotient(o, e1 * e2) < grid.block[0]) & (quotient(o, e2) % e1 < grid.block[1]) & (o % e2 < grid.block[2])
-            own = F.transform(F.filter(F.arrays_zip("offsets", f), lambda c: inner(c["offsets"])), lambda c: c[f])
-            out = out.withColumns({f"{f}_lo": F.array_min(own), f"{f}_hi": F.array_max(own), f"{f}_n": F.size(own).cast("long"), f"{f}_cell_lo": F.array_min(f), f"{f}_cell_hi": F.array_max(f)})
+            out = out.withColumn(f"{f}_own", F.col(f"own.{f}"))
+            out = out.withColumns({f"{f}_lo": F.array_min(f"{f}_own"), f"{f}_hi": F.array_max(f"{f}_own"), f"{f}_n": F.size(f"{f}_own").cast("long"), f"{f}_cell_lo": F.array_min(f), f"{f}_cell_hi": F.array_max(f)})
+        out = out.drop("own")
         out = out.where(F.col(f"{fields[0]}_n") > 0).withColumn("block_id", block_id(grid.counts)).withColumn("place", morton(*(F.col(x) for x in BLOCKS)))
         writer = out.repartitionByRange("step", "place").sortWithinPartitions("step", "place").write.mode("overwrite").partitionBy("step")
         writer.option("parquet.block.size", GROUP_BYTES).option("parquet.page.row.count.limit", PAGE_ROWS).option("compression", "zstd").parquet(f"{path}/blocks")
@@ -80,11 +86,12 @@ class FieldIndex:
     def values(self, lo: float, hi: float, field: str = "f") -> DataFrame:
         """(step, d0, d1, d2, field): the voxels within the range."""
         hit = self.candidates((F.col(f"{field}_lo") <= hi) & (F.col(f"{field}_hi") >= lo), **{field: (lo, hi)})
-        e1, e2 = (n + 1 for n in self.grid.block[1:])
-        cells = hit.select("step", *BLOCKS, F.inline(F.arrays_zip("offsets", field))).where(F.col(field).between(lo, hi))
-        inner = [quotient(F.col("offsets"), e1 * e2), quotient(F.col("offsets"), e2) % e1, F.col("offsets") % e2]
-        own = [o < n for o, n in zip(inner, self.grid.block)]
-        return cells.where(own[0] & own[1] & own[2]).select("step", *((F.col(b) * n + o).cast("int").alias(d) for b, n, o, d in zip(BLOCKS, self.grid.block, inner, DIMS)), field)
+        _, n1, n2 = self.grid.block
+        cells = hit.select("step", *BLOCKS, "own_places", F.posexplode(f"{field}_own").alias("k", field)).where(F.col(field).between(lo, hi))
+        place = F.coalesce(F.element_at("own_places", F.col("k") + 1), "k")
+        cells = cells.select("step", *BLOCKS, place.alias("place"), field)
+        inner = [quotient(F.col("place"), n1 * n2), quotient(F.col("place"), n2) % n1, F.col("place") % n2]
+        return cells.select("step", *((F.col(b) * n + o).cast("int").alias(d) for b, n, o, d in zip(BLOCKS, self.grid.block, inner, DIMS)), field)
 
     def _chunks(self, hit: DataFrame, fields: tuple[str, ...]) -> DataFrame:
         return hit.select("step", *(F.col(x).alias(c) for x, c in zip(BLOCKS, halo.CHUNKS)), "offsets", *fields)

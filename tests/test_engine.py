@@ -92,7 +92,7 @@ def test_stored_index_equals_scans(spark, tmp_path, shape):
     assert rows(mine) == rows(true)
     assert [r["step"] for r in index.steps(f=(8, 99), g=(-9, 9)).collect()] == [1]
     plan = index.values(8, 99)._jdf.queryExecution().toString()
-    assert "LessThanOrEqual(f_lo,99" in plan and "GreaterThanOrEqual(f_hi,8" in plan and "ReadSchema: struct<b0:int,b1:int,b2:int,offsets:array<int>,f:array<double>" in plan
+    assert "LessThanOrEqual(f_lo,99" in plan and "GreaterThanOrEqual(f_hi,8" in plan and "ReadSchema: struct<b0:int,b1:int,b2:int,own_places:array<int>,f_own:array<double>" in plan
     assert "PartitionFilters: []" not in plan and "PartitionFilters" in plan
     held, index.held = index.held, None  # as of very many steps
     plan = index.values(8, 99)._jdf.queryExecution().toString()
