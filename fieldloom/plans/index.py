@@ -1,12 +1,12 @@
 """A stored index: blocks with a halo beside the intervals of their values, which queries read by pushed filters.
 
 A block is a row: its number, its own values as an array, these and those of the planes after it as
-another, the interval of its own values (``f_lo``, ``f_hi``) and that of the cells it owns (``f_cell_lo``, ``f_cell_hi``).
-Blocks lie in Morton order within files that are partitioned by step, in small row groups and
-pages, so a filter on an interval skips files, row groups and pages by their statistics, and
-arrays are read of blocks that are left.  Ranges of steps are a table of their own, which prunes
-partitions before.  As a block's halo has all its cells, what is computed from cells needs no
-neighbours and no shuffle of values.
+another, the interval of its own values (``f_lo``, ``f_hi``) and that of the cells it owns
+(``f_cell_lo``, ``f_cell_hi``).  Blocks lie in the order of the first field's lows within files that
+are partitioned by step, in small row groups and pages.  A filter on an interval skips files, row
+groups and pages by their statistics, and arrays are read of blocks that are left.  Ranges of
+steps are a table of their own, which prunes partitions before.  As a block's halo has all its
+cells, what is computed from cells needs no neighbours and no shuffle of values.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.functions.grid import BLOCKS, DIMS, Grid, block_id, morton, quotient
+from fieldloom.functions.grid import BLOCKS, DIMS, Grid, block_id, quotient
 from fieldloom.operators import analytics, halo, mesh
 
 #: Bytes of a row group, and rows of a page.
@@ -51,8 +51,9 @@ class FieldIndex:
             out = out.withColumn(f"{f}_own", F.col(f"own.{f}"))
             out = out.withColumns({f"{f}_lo": F.array_min(f"{f}_own"), f"{f}_hi": F.array_max(f"{f}_own"), f"{f}_n": F.size(f"{f}_own").cast("long"), f"{f}_cell_lo": F.array_min(f), f"{f}_cell_hi": F.array_max(f)})
         out = out.drop("own")
-        out = out.where(F.col(f"{fields[0]}_n") > 0).withColumn("block_id", block_id(grid.counts)).withColumn("place", morton(*(F.col(x) for x in BLOCKS)))
-        writer = out.repartitionByRange("step", "place").sortWithinPartitions("step", "place").write.mode("overwrite").partitionBy("step")
+        out = out.where(F.col(f"{fields[0]}_n") > 0).withColumn("block_id", block_id(grid.counts))
+        by = ["step", f"{fields[0]}_lo", "block_id"]
+        writer = out.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").partitionBy("step")
         writer.option("parquet.block.size", GROUP_BYTES).option("parquet.page.row.count.limit", PAGE_ROWS).option("compression", "zstd").parquet(f"{path}/blocks")
         ranges = [x for f in fields for x in (F.min(f"{f}_lo").alias(f"{f}_lo"), F.max(f"{f}_hi").alias(f"{f}_hi"), F.sum(f"{f}_n").alias(f"{f}_n"))]
         written = voxels.sparkSession.read.parquet(f"{path}/blocks").withColumn("step", F.col("step").cast("long"))
