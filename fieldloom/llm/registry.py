@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import bpe, exact, html, langid, lines, minhash, packing, quality, suffix, warc
+from fieldloom.llm import bpe, exact, html, jaccard, langid, lines, minhash, packing, quality, spelling, suffix, warc, whitening
 
-_MODULES = (bpe, minhash, suffix, exact, packing, lines, html, warc, quality, langid)
+_MODULES = (bpe, minhash, suffix, exact, packing, lines, html, warc, quality, langid, whitening, jaccard, spelling)
 
 
 def queries() -> dict:
