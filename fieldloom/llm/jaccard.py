@@ -124,7 +124,7 @@ def light_sizes(counts: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[in
     rare = np.searchsorted(np.cumsum(ordered), ordered.sum() * (100 - percent) / 100)
     met = (ordered[: rare + 1] ** 2).sum() / max(1.0, ordered[: rare + 1].sum())
     first = int(np.argmax(least_overlap(n, percent) >= SUBSET))
-    gain = np.where(over > 0, sizes * ((over + 1) * (1 + SCAN_COST * met) - subsets), 0.0)
+    gain = np.where((over > 0) | (100 * n // percent > n), sizes * ((over + 1) * (1 + SCAN_COST * met) - subsets), 0.0)
     gain[:first] = 0
     total = np.cumsum(gain)
     best = int(np.argmax(total))
@@ -132,10 +132,10 @@ def light_sizes(counts: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[in
 
 
 def _keys(s: np.ndarray, counts: np.ndarray, percent: int, first: int, last: int) -> np.ndarray:
-    """The keys of a set: its lists, its subsets or both.  Sets that link with equal ones alone have none."""
+    """The keys of a set: its lists, its subsets or both.  Sets of a size that links with equal ones alone have none."""
     n = len(s)
     over = n - least_overlap(n, percent)
-    if not over:
+    if not over and 100 * n // percent == n:
         return np.zeros(0, np.uint64)
     ordered = s[np.lexsort((s, counts[(s >> _SHIFT).astype(np.int64)]))[: over + SUBSET]]
     lists = ordered[: over + 1]

