@@ -19,10 +19,13 @@ size; any order gives right results, and this one keeps what many documents shar
 Partial tables are added up by slices, and the sum, 4 bytes a cell, is collected and broadcast.
 
 Links need not be listed to find their classes: equal sets become one representative first, then
-every member of a key meets the key's smallest, and keys that still span several classes are
-compared in tiles of two blocks of about a thousand members, first by a bound that a folded set
-gives (a set's parity bits, whose differences can't outnumber the sets'), then on full sets.  What
-leaves a tile is one link for each member and class.  No pair of different classes is left out.
+every member of a key meets the key's smallest, and of keys that still span several classes all pairs
+of different classes are compared.  A short list gives its pairs, each once whatever the number of
+keys that have it; long ones are compared in tiles of two blocks of about a thousand members.  A bound
+that a folded set gives (a set's parity bits, whose differences can't outnumber the sets') leaves few
+pairs for full sets.  A tile gives those as pairs too, at most ``PAIRS_EACH`` for each of its rows;
+where more are left, all are compared there and what leaves the tile is one link for each member and
+class.  No pair of different classes is left out.
 
 Sets are of 64-bit hashes of n-grams, and equal sets are told by a 128-bit digest.
 
@@ -55,8 +58,12 @@ CELL_BITS, SLICES = 22, 64
 LIGHT_LIMIT = 64
 #: What it costs to meet a member of a list, in keys written.
 SCAN_COST = 0.2
-#: Bits of a folded set.
+#: Bits of a folded set, at least; sets of more items have more bits than items.
 FOLD_BITS = 2048
+#: Members of a list whose pairs are listed, and pairs of a tile for each of its rows.
+SHORT_LIST, PAIRS_EACH = 8, 8
+
+_FOLD_BYTES = FOLD_BITS // 8
 
 _CELLS = 1 << CELL_BITS
 _SHIFT = np.uint64(64 - CELL_BITS)
@@ -150,7 +157,13 @@ def _keys(s: np.ndarray, counts: np.ndarray, percent: int, first: int, last: int
 
 def _folded(s: np.ndarray) -> bytes:
     """A bit for each residue of the hashes: whether an odd number of items has it."""
-    return np.packbits((np.bincount((s & np.uint64(FOLD_BITS - 1)).astype(np.int64), minlength=FOLD_BITS) & 1).astype(bool)).tobytes()
+    bits = max(FOLD_BITS, 1 << (len(s) - 1).bit_length())
+    return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool)).tobytes()
+
+
+def _at_size(sig: bytes, size: int) -> np.ndarray:
+    """A folded set folded further."""
+    return np.bitwise_xor.reduce(np.frombuffer(sig, np.uint8).reshape(-1, size), axis=0)
 
 
 def _sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -174,12 +187,17 @@ def _sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, sig binary, bands array<long>")
 
 
-def _fits(a: np.ndarray, b: np.ndarray, na, nb, percent: int) -> np.ndarray:
-    """Whether folded sets (rows of bytes) of these sizes may link: their differences don't outnumber what a link allows."""
-    differing = np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
+def _may_link(differing, na, nb, percent: int):
+    """Whether sets of these sizes that differ in so many items at least may link."""
     return ((100 + percent) * differing <= (100 - percent) * (na + nb)) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
 
 
+def _differing(x: bytes, y: bytes) -> int:
+    """Items in which two folded sets differ at least, by as many bits as both have."""
+    size = min(len(x), len(y))
+    return int(np.bitwise_count(_at_size(x, size) ^ _at_size(y, size)).sum(dtype=np.int64))
+
+
 def _pairs_that_fit(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     """(a, b, n_differing) of the pairs whose folded sets don't rule a link out."""
     both = pairs
@@ -188,29 +206,47 @@ def _pairs_that_fit(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFram
 
     def run(batches):
         for t in batches:
-            a, b = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(t.num_rows, FOLD_BITS // 8) for c in ("sa", "sb"))
-            keep = pa.array(np.flatnonzero(_fits(a, b, t.column("na").to_numpy(), t.column("nb").to_numpy(), percent)))
-            yield pa.RecordBatch.from_arrays([t.column("a").take(keep), t.column("b").take(keep), pa.array(np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)).take(keep)], ["a", "b", "n_differing"])
+            differing = np.array([_differing(x, y) for x, y in zip(t.column("sa").to_pylist(), t.column("sb").to_pylist())], np.int64)
+            keep = pa.array(np.flatnonzero(_may_link(differing, t.column("na").to_numpy(), t.column("nb").to_numpy(), percent)))
+            yield pa.RecordBatch.from_arrays([t.column("a").take(keep), t.column("b").take(keep), pa.array(differing).take(keep)], ["a", "b", "n_differing"])
 
     return both.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a long, b long, n_differing long")
 
 
+def _short_pairs(lists: DataFrame) -> DataFrame:
+    """(a, b): the pairs of different classes of lists (key, id, label) of bounded length, each once."""
+    members = lists.groupBy("key").agg(F.collect_list(F.struct("id", "label")).alias("c"))
+    others = lambda x: F.transform(F.filter("c", lambda y: (y["id"] > x["id"]) & (y["label"] != x["label"])), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))
+    return members.select(F.explode(F.flatten(F.transform("c", others))).alias("p")).select("p.a", "p.b").distinct()
+
+
 def _tiles_that_fit(mixed: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """The rows of tiles that have a partner of another class which folded sets don't rule out."""
+    """The pairs of tiles' rows of different classes that folded sets don't rule out (id, partner); of tiles with many of them their rows, without a partner."""
 
     def compare(part):
         ids, labels, _, asks, asked = _columns(part)
-        sig, n = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1), part.column("n").to_numpy()
-        found = np.zeros(len(ids), bool)
+        full, n = part.column("sig").to_pylist(), part.column("n").to_numpy()
+        sig = np.array([_at_size(x, _FOLD_BYTES) for x in full])
+        found, pairs = np.zeros(len(ids), bool), []
         for i in np.flatnonzero(asks).tolist():
             there = np.flatnonzero(asked & (labels != labels[i]))
-            near = there[_fits(sig[there], sig[i], n[there], n[i], percent)]
+            near = there[_may_link(np.bitwise_count(sig[there] ^ sig[i]).sum(1, dtype=np.int64), n[there], n[i], percent)]
+            if len(full[i]) > _FOLD_BYTES:
+                near = near[[bool(_may_link(_differing(full[i], full[j]), n[i], n[j], percent)) for j in near.tolist()]] if len(near) else near
             found[near] = True
             found[i] |= len(near) > 0
-        if found.any():
-            return part.filter(pa.array(found)).select(_TILED).to_batches()[0]
+            if len(pairs) <= PAIRS_EACH * len(ids):
+                pairs += [(i, j) for j in near.tolist()]
+        if not pairs:
+            return None
+        rows = part.select(_TILED)
+        if len(pairs) > PAIRS_EACH * len(ids):
+            rows = rows.filter(pa.array(found))
+            return rows.append_column("partner", pa.nulls(rows.num_rows, pa.int64())).combine_chunks().to_batches()[0]
+        i, j = (pa.array([p[k] for p in pairs]) for k in (0, 1))
+        return rows.take(i).append_column("partner", part.column("id").take(j)).combine_chunks().to_batches()[0]
 
-    return _grouped(mixed.join(sigs, "id"), compare, "key long, block long, id long, label long, minor boolean, asks boolean, asked boolean")
+    return _grouped(mixed.join(sigs, "id"), compare, "key long, block long, id long, label long, minor boolean, asks boolean, asked boolean, partner long")
 
 
 def ngram_jaccard_classes(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -232,8 +268,14 @@ def ngram_jaccard_classes(docs: DataFrame, shingle_words: int = 5, percent: int
     stars = bands.where(F.col("id") != F.col("first.id")).where(fits).select(F.col("first.id").alias("a"), F.col("id").alias("b")).distinct()
     best = _pairs_that_fit(stars, sigs, percent).groupBy("b").agg(F.min_by("a", F.struct("n_differing", "a")).alias("a"))
     links = _confirmed(best, docs, shingle_words, percent).union(_of_one_document(named, classes))
-    mixed = _mixed(bands.select("key", "id"), components(links.where("linked")))
-    links = links.union(_links_across(_tiles_that_fit(mixed, sigs, percent), docs, shingle_words, percent))
+    labels = components(links.where("linked"))
+    labelled = stored(bands.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")), "labelled")
+    spans = stored(labelled.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key", "members"), "spans")
+    pairs = _pairs_that_fit(_short_pairs(labelled.join(spans.where(F.col("members") <= SHORT_LIST), "key", "left_semi")), sigs, percent).select("a", "b")
+    long = labelled.join(spans.where(F.col("members") > SHORT_LIST), "key", "left_semi").select("key", "id")
+    tiles = stored(_tiles_that_fit(_mixed(long, labels), sigs, percent), "tiles")
+    pairs = pairs.union(tiles.where("partner is not null").select(F.least("id", "partner"), F.greatest("id", "partner")))
+    links = links.union(_confirmed(pairs, docs, shingle_words, percent)).union(_links_across(tiles.where("partner is null").drop("partner"), docs, shingle_words, percent))
     labels = components(links.where("linked"))
     own = sketches.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2"], "left").join(labels, "id", "left")
     component = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("label", "id")).otherwise(F.col("doc_id"))
