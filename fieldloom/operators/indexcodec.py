@@ -5,22 +5,28 @@ restored.  Highs are predicted from what the decoder has too: a chain of their o
 highs that is expected of the restored low's bin.  Shifted blocks can be predicted from the restored
 aligned blocks that they touch.  A restored end is off by the error bound at most, so queries on
 restored zone maps widen by it.
+
+Codes can stay: ``save`` publishes them with what decoding needs, and a later session opens them and
+answers from them alone.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions.grid import BLOCKS, Grid, hilbert, hilbert_bits, related_uniform
 from fieldloom.operators import codec
 from fieldloom.operators.order import ranked
 from fieldloom.operators.zonemap import depth
-from fieldloom.sources.store import stored
+from fieldloom.sources.store import exists, fingerprint, new_build, publish, published, stored
 
 KEYS = ["step", "level"]
+#: Of the manifest of saved codes.
+VERSION = 1
 
 
 @dataclass
@@ -31,6 +37,39 @@ class CodedIndex:
     bound: float
     order: str
     bins: DataFrame | None = None
+    bin_count: int = 100
+
+    def save(self, folder: str, source: str = "") -> None:
+        """Writes codes (two bytes each, a partition for each step, in order of place) and the bins, and publishes them; ``source`` tells the table they were made from."""
+        spark, into = self.codes.sparkSession, new_build(folder)
+        short = lambda c: F.col(c).cast("short").alias(c)
+        codes = self.codes.select(*KEYS, "segment", "place", "block_id", short("low_code"), "low_outlier", short("high_code"), "high_outlier")
+        codes.repartition("step", "level", "segment").sortWithinPartitions("step", "level", "segment", "place").write.partitionBy("step").option("compression", "zstd").parquet(f"{into}/codes")
+        if self.bins is not None:
+            self.bins.write.parquet(f"{into}/bins")
+        publish(spark, folder, {"version": VERSION, "build": into, "source": source, "bound": self.bound, "order": self.order, "binned": self.bins is not None, "bin_count": self.bin_count})
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> "CodedIndex":
+        """The codes that ``folder`` has now."""
+        m = published(spark, folder)
+        if m is None or m["version"] != VERSION:
+            raise ValueError(f"no codes of this version in {folder}")
+        codes = spark.read.parquet(f"{m['build']}/codes").select(F.col("step").cast("long").alias("step"), "level", "segment", "place", "block_id", F.col("low_code").cast("int").alias("low_code"), "low_outlier", F.col("high_code").cast("int").alias("high_code"), "high_outlier")
+        return cls(codes, m["bound"], m["order"], spark.read.parquet(f"{m['build']}/bins") if m["binned"] else None, m["bin_count"])
+
+    @classmethod
+    def current(cls, spark: SparkSession, folder: str, tables: list[str], make: Callable[[], "CodedIndex"]) -> "CodedIndex":
+        """The codes in ``folder`` of these tables as they are now: made where there are none, or those of other files."""
+        seen, m = fingerprint(spark, *tables), published(spark, folder)
+        if m is None or m["version"] != VERSION or m["source"] != seen or not exists(spark, f"{m['build']}/codes/_SUCCESS"):
+            make().save(folder, seen)
+        return cls.open(spark, folder)
+
+    def blocks(self, lo: float, hi: float) -> DataFrame:
+        """(step, block_id) of the blocks that may meet [lo, hi], from the codes alone: restored intervals, widened by the bound."""
+        wide = self.bound * (1 + 1e-7)
+        return decompress_index(self).where((F.col("lo") - wide <= hi) & (F.col("hi") + wide >= lo)).select("step", "block_id")
 
 
 def ordered(zones: DataFrame, order: str, grid: Grid | None = None) -> DataFrame:
@@ -91,11 +130,12 @@ def compress_index(zones: DataFrame, bound: float, order: str = "level", highs:
     table = stored(_expected(binned), "bins")
     own = binned.join(F.broadcast(table.select("low_bin", "predicted")), "low_bin", "left").withColumn("high_code", codec.code(F.col("hi"), F.col("predicted"), bound))  # a row for each bin
     own = own.select("step", "block_id", "high_code", F.when(F.col("high_code") == 0, F.col("hi")).alias("high_outlier"))
-    return CodedIndex(stored(lows.join(own, ["step", "block_id"]).select(*place, "low_code", "low_outlier", "high_code", "high_outlier"), "codes"), bound, order, table)
+    return CodedIndex(stored(lows.join(own, ["step", "block_id"]).select(*place, "low_code", "low_outlier", "high_code", "high_outlier"), "codes"), bound, order, table, bins)
 
 
-def decompress_index(coded: CodedIndex, bins: int = 100) -> DataFrame:
+def decompress_index(coded: CodedIndex, bins: int | None = None) -> DataFrame:
     """(step, block_id, lo, hi) from the codes."""
+    bins = bins or coded.bin_count
     place = [*KEYS, "segment", "place", "block_id"]
     lows = _unchained(coded.codes.select(*place, F.col("low_code").alias("code"), F.col("low_outlier").alias("outlier"), "high_code", "high_outlier"), coded.bound).withColumnRenamed("value", "lo")
     if coded.bins is None:

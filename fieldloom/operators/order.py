@@ -7,11 +7,25 @@ from pyspark.sql import functions as F
 
 from fieldloom.sources.store import stored
 
+#: Rows of a range, about.
+RANGE_ROWS = 1 << 18
+
+
+def ranges_of(spark, n: int) -> int:
+    """How many ranges ``n`` rows are cut into: a task for each thread that queries use, and more as rows call for them."""
+    return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 1024 + 1), -(-n // RANGE_ROWS))
+
 
 def parted(rows: DataFrame, keys: list[str], by: list[str | Column]) -> DataFrame:
-    """``rows`` with ``part``, a number of ranges of (keys, by) that ascends with them; their number grows with the rows."""
+    """``rows`` with ``part``, a number of ranges of (keys, by) that ascends with them; their number grows with the rows.
+
+    Rows are written once before, so that what counts them, what samples them for the ranges and
+    what deals them out doesn't compute them three times.
+    """
     by = [F.col(b) if isinstance(b, str) else b for b in by]
-    return stored(rows.repartitionByRange(*(F.col(k) for k in keys), *by).withColumn("part", F.spark_partition_id()), "parts")
+    held = stored(rows, "rows")
+    dealt = held.repartitionByRange(ranges_of(rows.sparkSession, held.count()), *(F.col(k) for k in keys), *by)
+    return stored(dealt.withColumn("part", F.spark_partition_id()), "parts")
 
 
 def before(parts: DataFrame, keys: list[str], total: Column, of: str) -> DataFrame:

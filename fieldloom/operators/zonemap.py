@@ -73,10 +73,16 @@ def octree(zones: DataFrame, grid: Grid) -> DataFrame:
 
 
 def with_skip_reason(zones: DataFrame) -> DataFrame:
-    """``zones`` with why an ordered index would keep a block in its side list: its low is zero, or an earlier block of the step has the same low."""
-    rank = F.row_number().over(Window.partitionBy("step", "lo").orderBy("block_id"))
-    reason = F.when(F.col("lo") == 0, "zero_low").when(rank > 1, "duplicate_low")
-    return zones.withColumn("skip_reason", reason)
+    """``zones`` with why an ordered index would keep a block in its side list: its low is zero, or an earlier block of the step has the same low.
+
+    Zero lows, which may be most of a field's, need no comparison; of the other lows, those that
+    stand twice are found by an aggregation, and only they are joined back.
+    """
+    reason = lambda c: c.cast("string").alias("skip_reason")
+    zero, rest = zones.where("lo = 0").select("*", reason(F.lit("zero_low"))), zones.where("lo is null or lo <> 0")
+    twice = rest.groupBy("step", "lo").agg(F.min("block_id").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("step", "lo", "first")
+    listed = rest.join(twice, ["step", "lo"], "left").select(*zones.columns, reason(F.when(F.col("block_id") > F.col("first"), "duplicate_low")))
+    return zero.union(listed)
 
 
 def running_high(zones: DataFrame) -> DataFrame:

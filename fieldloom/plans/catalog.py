@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from fieldloom.operators import analytics, blocks, codec, indexcodec, mesh, zone
 from fieldloom.plans import query
 from fieldloom.plans.index import FieldIndex, candidate_blocks
 from fieldloom.sources import fields, raw, sinks
-from fieldloom.sources.store import exists, shared_folder, stored
+from fieldloom.sources.store import shared_folder, stored
 
 #: Parameters of the registered queries.
 LO, HI, ISO, ERROR, RELATIVE = 250.0, 300.0, 100.0, 5.0, 1e-3
@@ -81,16 +81,10 @@ def _events(spark: SparkSession, sf_dir: str):
     return fields.event_field(spark, sf_dir)
 
 
-_BUILT: dict[tuple[str, str], FieldIndex] = {}
-
-
 def stored_index(spark: SparkSession, sf_dir: str) -> FieldIndex:
-    """The index of the event field, built once for a session's application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _BUILT or not exists(spark, f"{_BUILT[key].path}/steps/_SUCCESS"):
-        voxels, grid = _events(spark, sf_dir)
-        _BUILT[key] = FieldIndex.build(voxels, grid, f"{shared_folder(spark)}/field-index-{uuid.uuid4().hex}", ("f", "g"))
-    return _BUILT[key]
+    """The index of the event field in the shared folder: built when there is none, or one of a table that has been rewritten since."""
+    place = f"{shared_folder(spark)}/field-index-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    return FieldIndex.current(spark, place, [f"{sf_dir}/events.parquet"], lambda: (*_events(spark, sf_dir), ("f", "g")))
 
 
 def _zone(spark: SparkSession, sf_dir: str, tiling: str = "uniform", value: str = "f"):
@@ -158,14 +152,12 @@ def overlap_blocks_widened(spark, sf_dir):
 
 @register("dual_index_core", _VOX, _ZU, _ZS, select=_core("zu", "zs", LO, HI))
 def dual_index_core(spark, sf_dir):
-    voxels, grid = _events(spark, sf_dir)
-    return query.RangeQuery(voxels, grid, LO, HI).core()
+    return query.RangeQuery.of_index(stored_index(spark, sf_dir), LO, HI).core()
 
 
 @register("iso_core", _VOX, _ZU, _ZS, select=_core("zu", "zs", ISO, ISO))
 def iso_core(spark, sf_dir):
-    voxels, grid = _events(spark, sf_dir)
-    return query.RangeQuery(voxels, grid, ISO, ISO).core()
+    return query.RangeQuery.of_index(stored_index(spark, sf_dir), ISO, ISO).core()
 
 
 @register(
@@ -179,8 +171,8 @@ def neighbor_expand(spark, sf_dir):
 
 @register("bivariate_core", _VOX, _ZU, _ZS, _ZGU, _ZGS, f"cf AS ({_core('zu', 'zs', *F_RANGE)})", f"cg AS ({_core('zgu', 'zgs', *G_RANGE)})", select="SELECT cf.* FROM cf SEMI JOIN cg ON cf.step = cg.step AND cf.block_id = cg.block_id")
 def bivariate_core(spark, sf_dir):
-    voxels, grid = _events(spark, sf_dir)
-    return query.both(query.RangeQuery(voxels, grid, *F_RANGE), query.RangeQuery(voxels, grid, *G_RANGE, value="g"))
+    index = stored_index(spark, sf_dir)
+    return query.both(query.RangeQuery.of_index(index, *F_RANGE), query.RangeQuery.of_index(index, *G_RANGE, value="g"))
 
 
 _NATIONS = "SELECT CAST(n_nationkey AS BIGINT) AS query, n_nationkey * 20.0 AS qlo, n_nationkey * 20.0 + 10 + n_regionkey AS qhi FROM nation"
@@ -190,7 +182,7 @@ _NATIONS = "SELECT CAST(n_nationkey AS BIGINT) AS query, n_nationkey * 20.0 AS q
 def range_batch(spark, sf_dir):
     nations = fields.table(spark, sf_dir, "nation")
     ranges = nations.select(F.col("n_nationkey").cast("long").alias("query"), (F.col("n_nationkey") * 20.0).alias("qlo"), (F.col("n_nationkey") * 20.0 + 10 + F.col("n_regionkey")).alias("qhi"))
-    return query.batch_counts(_zone(spark, sf_dir)[0], ranges, 25.0)
+    return query.batch_counts(stored_index(spark, sf_dir).zones(), ranges)
 
 
 def _place(i: int) -> str:
@@ -199,12 +191,12 @@ def _place(i: int) -> str:
 
 @register("random_ranges", _VOX, _ZU, f"q AS (SELECT CAST(n_nationkey AS BIGINT) AS query, 500 * {_place(1)} AS a, 500 * {_place(2)} AS b FROM nation)", select="SELECT q.query, count(zu.lo) AS n FROM q LEFT JOIN zu ON zu.lo <= greatest(a, b) AND zu.hi >= least(a, b) GROUP BY q.query")
 def random_ranges(spark, sf_dir):
-    return query.batch_counts(_zone(spark, sf_dir)[0], query.random_ranges(fields.table(spark, sf_dir, "nation"), "n_nationkey", 0.0, 500.0), 25.0)
+    return query.batch_counts(stored_index(spark, sf_dir).zones(), query.random_ranges(fields.table(spark, sf_dir, "nation"), "n_nationkey", 0.0, 500.0))
 
 
 @register("random_share_ranges", _VOX, _ZU, f"q AS (SELECT CAST(n_nationkey AS BIGINT) AS query, 500 * {_place(1)} AS a FROM nation)", select="SELECT q.query, count(zu.lo) AS n FROM q LEFT JOIN zu ON zu.lo <= a + 50 AND zu.hi >= a GROUP BY q.query")
 def random_share_ranges(spark, sf_dir):
-    return query.batch_counts(_zone(spark, sf_dir)[0], query.random_ranges(fields.table(spark, sf_dir, "nation"), "n_nationkey", 0.0, 500.0, 0.1), 25.0)
+    return query.batch_counts(stored_index(spark, sf_dir).zones(), query.random_ranges(fields.table(spark, sf_dir, "nation"), "n_nationkey", 0.0, 500.0, 0.1))
 
 
 _WIDE = "wide AS (SELECT DISTINCT step, b0 + x AS b0, b1 + y AS b1, b2 + z AS b2 FROM core, s, (SELECT unnest([-1, 0, 1]) AS x) a, (SELECT unnest([-1, 0, 1]) AS y) b, (SELECT unnest([-1, 0, 1]) AS z) e WHERE b0 + x BETWEEN 0 AND c - 1 AND b1 + y BETWEEN 0 AND c - 1 AND b2 + z BETWEEN 0 AND c - 1)"
@@ -212,8 +204,7 @@ _WIDE = "wide AS (SELECT DISTINCT step, b0 + x AS b0, b1 + y AS b1, b2 + z AS b2
 
 @register("expansion_ratio", _VOX, _ZU, _ZS, f"core AS ({_core('zu', 'zs', 450.0, 1e9)})", _WIDE, select="SELECT h.n AS hit, w.n AS expanded, t.n AS blocks, round(100.0 * h.n / t.n, 6) AS hit_percent, round(100.0 * w.n / t.n, 6) AS expanded_percent FROM (SELECT count(*) AS n FROM core) h, (SELECT count(*) AS n FROM wide) w, (SELECT count(*) AS n FROM zu) t")
 def expansion_ratio(spark, sf_dir):
-    voxels, grid = _events(spark, sf_dir)
-    q = query.RangeQuery(voxels, grid, 450.0, 1e9)
+    q = query.RangeQuery.of_index(stored_index(spark, sf_dir), 450.0, 1e9)
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
     # three rows of one number
     out = count(q.core(), "hit").crossJoin(F.broadcast(count(q.expanded(), "expanded"))).crossJoin(F.broadcast(count(q.zones, "blocks")))
@@ -224,8 +215,7 @@ def expansion_ratio(spark, sf_dir):
     "wide AS (SELECT DISTINCT step, b0 + x AS b0, b1 + y AS b1, b2 + z AS b2 FROM core, s, (SELECT unnest([-1, 0, 1]) AS x) a, (SELECT unnest([-1, 0, 1]) AS y) b, (SELECT unnest([-1, 0, 1]) AS z) e WHERE b0 + x BETWEEN 0 AND c - 1 AND b1 + y BETWEEN 0 AND c - 1 AND b2 + z BETWEEN 0 AND c - 1)",
     select="SELECT w.step, count(*) AS expanded, count(core.step) AS core, count(*) - count(core.step) AS added FROM wide w LEFT JOIN core USING (step, b0, b1, b2) GROUP BY w.step")
 def expansion_count(spark, sf_dir):
-    voxels, grid = _events(spark, sf_dir)
-    q = query.RangeQuery(voxels, grid, 450.0, 1e9)
+    q = query.RangeQuery.of_index(stored_index(spark, sf_dir), 450.0, 1e9)
     core = q.core().select("step", "block_id", F.lit(1).alias("own"))
     wide = q.expanded().join(core, ["step", "block_id"], "left").groupBy("step").agg(F.count(F.lit(1)).alias("expanded"), F.count("own").alias("core"))
     return wide.withColumn("added", F.col("expanded") - F.col("core"))
@@ -356,7 +346,7 @@ def octree_query(spark, sf_dir):
 
 @register("skipped_intervals", _VOX, _ZU, select="SELECT *, CASE WHEN lo = 0 THEN 'zero_low' WHEN row_number() OVER (PARTITION BY step, lo ORDER BY block_id) > 1 THEN 'duplicate_low' END AS skip_reason FROM zu")
 def skipped_intervals(spark, sf_dir):
-    return zonemap.with_skip_reason(_zone(spark, sf_dir)[0])
+    return zonemap.with_skip_reason(stored_index(spark, sf_dir).zones())
 
 
 @register("max_high", _VOX, _ZU, select="SELECT *, max(hi) OVER (PARTITION BY step ORDER BY lo, block_id ROWS UNBOUNDED PRECEDING) AS max_high FROM zu")
@@ -378,7 +368,7 @@ def overlap_by_depth(spark, sf_dir):
 
 @register("skipped_overlap", _VOX, _ZU, "k AS (SELECT *, CASE WHEN lo = 0 THEN 'zero_low' WHEN row_number() OVER (PARTITION BY step, lo ORDER BY block_id) > 1 THEN 'duplicate_low' END AS skip_reason FROM zu)", select=f"SELECT coalesce(skip_reason, 'none') AS reason, count(*) AS n FROM k WHERE lo - {ERROR} <= {HI} AND hi + {ERROR} >= {LO} GROUP BY ALL")
 def skipped_overlap(spark, sf_dir):
-    listed = zonemap.with_skip_reason(_zone(spark, sf_dir)[0]).where(query.overlaps(LO, HI, ERROR))
+    listed = zonemap.with_skip_reason(stored_index(spark, sf_dir).zones()).where(query.overlaps(LO, HI, ERROR))
     return listed.groupBy(F.coalesce("skip_reason", F.lit("none")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 

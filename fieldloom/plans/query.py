@@ -7,11 +7,12 @@ half a block; together they hold the owner of every cell that the range crosses.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions.grid import BLOCKS, Grid, block_id, stagger_to_uniform, with_blocks
 from fieldloom.operators.blocks import expand_neighbours
+from fieldloom.operators.order import before, parted
 from fieldloom.operators.zonemap import gap_intervals, step_stats, zone_map
 
 
@@ -23,13 +24,19 @@ def overlaps(lo, hi, error: float = 0.0) -> Column:
 class RangeQuery:
     """Values within [lo, hi]; an isovalue is the range [v, v].
 
-    ``error`` widens a zone map that was stored with a bounded error.
+    ``error`` widens a zone map that was stored with a bounded error.  ``zones`` and ``shifted`` are
+    stored intervals of the aligned and of the shifted blocks; without them they are made from all voxels.
     """
 
-    def __init__(self, voxels: DataFrame, grid: Grid, lo: float, hi: float, value: str = "f", error: float = 0.0, zones: DataFrame | None = None):
-        self.voxels, self.grid, self.lo, self.hi, self.value, self.error = voxels, grid, lo, hi, value, error
+    def __init__(self, voxels: DataFrame | None, grid: Grid, lo: float, hi: float, value: str = "f", error: float = 0.0, zones: DataFrame | None = None, shifted: DataFrame | None = None):
+        self.voxels, self.grid, self.lo, self.hi, self.value, self.error, self.shifted = voxels, grid, lo, hi, value, error, shifted
         self.zones = zone_map(voxels, grid, "uniform", value) if zones is None else zones
 
+    @classmethod
+    def of_index(cls, index, lo: float, hi: float, value: str = "f", voxels: DataFrame | None = None) -> "RangeQuery":
+        """The query by a stored index's intervals of both tilings: no voxel is read for choosing blocks."""
+        return cls(voxels, index.grid, lo, hi, value, zones=index.zones(value), shifted=index.zones(value, "stagger"))
+
     def steps(self) -> DataFrame:
         """Steps whose range meets the query's; step ranges are exact, so they aren't widened."""
         return step_stats(self.zones).where(overlaps(self.lo, self.hi)).select("step")
@@ -40,7 +47,8 @@ class RangeQuery:
 
     def core(self, tiling: str = "stagger") -> DataFrame:
         """Aligned blocks that meet the range, and those under shifted blocks that do."""
-        shifted = zone_map(self.voxels, self.grid, tiling, self.value).where(overlaps(self.lo, self.hi, self.error))
+        stored = self.shifted if tiling == "stagger" else None
+        shifted = (zone_map(self.voxels, self.grid, tiling, self.value) if stored is None else stored).where(overlaps(self.lo, self.hi, self.error))
         mapped = stagger_to_uniform(shifted, self.grid, tiling).select("step", *BLOCKS, "block_id")
         return self.blocks().union(mapped).distinct()
 
@@ -81,18 +89,28 @@ def octree_blocks(tree: DataFrame, grid: Grid, lo: float, hi: float) -> DataFram
     return hits
 
 
-def batch_counts(zones: DataFrame, ranges: DataFrame, width: float) -> DataFrame:
-    """(query, n) blocks that meet each of the ranges (query, qlo, qhi).
+def batch_counts(zones: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(query, n) blocks that meet each of the ranges (query, qlo, qhi), whose ends aren't reversed.
 
-    A range join by value bins of ``width``: an interval stands in the bins it touches, pairs
-    that meet in a bin are compared, and each counts only in its first common bin.
+    A block misses a range if it ends before the range begins, or begins after it ends, and no block
+    does both.  So those that meet it are the blocks with low <= qhi less those with high < qlo: two
+    ranks, for which lows and highs (each different one a row, with its count) and the ranges' ends
+    stand in one order, cut into ranges of rows.  No block is paired with a range.
     """
-    bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width).cast("long"), F.floor(F.col(b) / width).cast("long"))).alias("bin")
-    left = zones.select("lo", "hi", bins("lo", "hi"))
-    right = ranges.select("query", "qlo", "qhi", bins("qlo", "qhi"))
-    met = left.join(right, "bin").where("lo <= qhi and hi >= qlo").where(F.col("bin") == F.floor(F.greatest("lo", "qlo") / width))
-    counts = met.groupBy("query").agg(F.count(F.lit(1)).alias("n"))
-    return ranges.select("query").join(counts, "query", "left").select("query", F.coalesce("n", F.lit(0)).alias("n"))
+    at = lambda which, v, tie, query, n: (F.lit(which).alias("which"), v.cast("double").alias("v"), F.lit(tie).alias("tie"), query.cast("long").alias("query"), n.cast("long").alias("n"))
+    none, one = F.lit(None), F.count(F.lit(1))
+    # an end that equals the range's counts in the first rank and not in the second
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("lo").alias("v"), F.lit(0).alias("tie")), F.struct(F.lit(1).alias("which"), F.col("hi").alias("v"), F.lit(1).alias("tie"))))
+    rows = zones.where("lo is not null and hi is not null").select(ends.alias("end")).groupBy("end").agg(one.alias("n"))
+    rows = rows.select("end.which", F.col("end.v").cast("double").alias("v"), "end.tie", none.cast("long").alias("query"), "n")
+    for which, v, tie in ((0, "qhi", 1), (1, "qlo", 0)):
+        rows = rows.union(ranges.select(*at(which, F.col(v), tie, F.col("query"), F.lit(0))))
+    order = ["v", "tie", "query"]
+    parts = parted(rows, ["which"], order)
+    within = F.sum("n").over(Window.partitionBy("which", "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    ranks = parts.withColumn("rank", within).where("query is not null").join(before(parts, ["which"], F.sum("n"), "sum"), ["which", "part"])
+    rank = F.col("rank") + F.col("before")
+    return ranks.groupBy("query").agg(F.sum(F.when(F.col("which") == 0, rank).otherwise(-rank)).cast("long").alias("n"))
 
 
 def random_ranges(rows: DataFrame, number: str, first: float, last: float, share: float | None = None) -> DataFrame:
