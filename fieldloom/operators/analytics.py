@@ -6,13 +6,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions.grid import BLOCKS, Grid, near
 from fieldloom.operators import halo
 from fieldloom.operators.blocks import cells
-from fieldloom.operators.order import parted
+from fieldloom.operators.order import before, parted
 from fieldloom.sources.store import stored
 
 #: Pairs of corners along each dimension of a cell: the edges that are parallel to it.
@@ -117,12 +117,50 @@ def pearson(pairs: DataFrame, a: str = "lo", b: str = "hi") -> DataFrame:
     return pairs.agg((F.covar_pop(a, b) / F.sqrt(F.var_pop(a) * F.var_pop(b) + 1e-10)).alias("r"))
 
 
+#: Size parameter of the quantile sketch, and by how much of all rows a place may lie beside where the sketch has it:
+#: several times the sketch's error, so that a second look is rare.
+SKETCH_K, SKETCH_SLACK = 1024, 0.01
+
+
 def top_thresholds(values: DataFrame, column: str = "f", shares: tuple[float, ...] = TOP_SHARES) -> DataFrame:
     """(share, rank, threshold): the value at place floor(share * n) from the top, exactly.
 
-    Equal values are counted as one; ranges of the different ones, whose number grows with them,
-    are summed, and a range is ordered only if a place is in it.
+    A mergeable sketch of quantiles, made in one pass with the count, narrows each place to a range
+    of values; a second pass counts what lies above each range and keeps the different values
+    within them, about 2 * ``SKETCH_SLACK`` of all for each share, of which the place is picked.
+    Where a sketch was off by more, which the counts tell, the place is looked for among all values.
     """
+    v = values.select(F.col(column).cast("double").alias("v")).where("v is not null")
+    sketch = F.kll_sketch_agg_double("v", F.lit(SKETCH_K))
+    first = v.where("not isnan(v)").agg(sketch.alias("s"), F.count(F.lit(1)).alias("numbers")).crossJoin(F.broadcast(v.agg(F.count(F.lit(1)).alias("n"))))  # one row each
+    first = stored(first, "sketch")
+    counts = first.select("numbers", "n").first()
+    n, numbers = counts["n"], counts["numbers"]
+    if not n:
+        return values.sparkSession.createDataFrame([], "share double, rank long, threshold double")
+    ranks = [min(int(np.floor(x * n)), n - 1) for x in shares]
+    if not numbers:
+        return _ordered_thresholds(v, "v", shares)
+    # NaN is above all numbers; places are from the top
+    at = [1 - (r - (n - numbers) + 0.5) / numbers for r in ranks]
+    ends = [(min(1.0, max(0.0, p - SKETCH_SLACK)), min(1.0, max(0.0, p + SKETCH_SLACK))) for p in at]
+    found = first.select(*(F.kll_sketch_get_quantile_double("s", F.lit(float(e))).alias(f"q{i}{j}") for i, pair in enumerate(ends) for j, e in enumerate(pair))).first()
+    within = [(F.col("v") >= float(found[f"q{i}0"]) if e[0] > 0 else F.lit(True)) & (F.col("v") <= float(found[f"q{i}1"]) if e[1] < 1 else F.lit(True)) for i, e in enumerate(ends)]
+    above = [F.count(F.when(F.col("v") > float(found[f"q{i}1"]), 1)) if e[1] < 1 else F.count(F.when(F.lit(False), 1)) for i, e in enumerate(ends)]
+    seen = Observation()
+    some = v.observe(seen, *(x.alias(f"above{i}") for i, x in enumerate(above)), *(F.count(F.when(x, 1)).alias(f"within{i}") for i, x in enumerate(within)))
+    labels = F.array_compact(F.array(*(F.when(x, F.lit(i)) for i, x in enumerate(within))))
+    kept = stored(some.where(reduce(lambda a, b: a | b, within)).groupBy("v").agg(F.count(F.lit(1)).alias("n")).withColumn("i", F.explode(labels)), "within")
+    missed = [i for i, r in enumerate(ranks) if not seen.get[f"above{i}"] <= r < seen.get[f"above{i}"] + seen.get[f"within{i}"]]
+    asked = values.sparkSession.createDataFrame([(i, float(x), r, r - seen.get[f"above{i}"]) for i, (x, r) in enumerate(zip(shares, ranks)) if i not in missed], "i int, share double, rank long, place long")
+    parts = parted(kept, ["i"], [F.desc("v")])
+    ends_of = parts.join(before(parts, ["i"], F.sum("n"), "sum"), ["i", "part"]).withColumn("end", F.col("before") + F.sum("n").over(Window.partitionBy("i", "part").orderBy(F.desc("v"))))
+    out = ends_of.join(F.broadcast(asked), "i").where((F.col("place") < F.col("end")) & (F.col("place") >= F.col("end") - F.col("n"))).select("share", "rank", F.col("v").alias("threshold"))  # a row for each share
+    return out.union(_ordered_thresholds(v, "v", tuple(shares[i] for i in missed))) if missed else out
+
+
+def _ordered_thresholds(values: DataFrame, column: str, shares: tuple[float, ...]) -> DataFrame:
+    """The same from all different values, cut into ranges whose number grows with them, of which one is ordered only if a place is in it."""
     counted = values.select(F.col(column).alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
     parts = parted(counted, [], [F.desc("v")])
     sums = parts.groupBy("part").agg(F.sum("n").alias("n"))

@@ -340,8 +340,15 @@ def octree_levels(spark, sf_dir):
 
 @register("octree_query", _VOX, _ZU, select=f"SELECT step, {_MORTON} AS morton FROM zu WHERE lo <= {HI} AND hi >= {LO}")
 def octree_query(spark, sf_dir):
-    zones, grid = _zone(spark, sf_dir)
-    return query.octree_blocks(zonemap.octree(zones, grid), grid, LO, HI)
+    return stored_index(spark, sf_dir).octree_blocks(LO, HI)
+
+
+@register("octree_descent", _VOX, _ZU, select=f"SELECT step, {_MORTON} AS morton FROM zu WHERE lo <= {HI} AND hi >= {LO}")
+def octree_descent(spark, sf_dir):
+    """As ``octree_query``, by joins from level to level: the way for trees of any number of roots."""
+    index = stored_index(spark, sf_dir)
+    tree = index._read("octree").select("step", "level", "morton", F.col("f_lo").alias("lo"), F.col("f_hi").alias("hi"))
+    return query.octree_blocks(tree, index.grid, LO, HI)
 
 
 @register("skipped_intervals", _VOX, _ZU, select="SELECT *, CASE WHEN lo = 0 THEN 'zero_low' WHEN row_number() OVER (PARTITION BY step, lo ORDER BY block_id) > 1 THEN 'duplicate_low' END AS skip_reason FROM zu")

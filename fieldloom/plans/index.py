@@ -7,8 +7,9 @@ interval's length (a power of two) and then by low: intervals of one class and o
 have about one high too, so both ends of a range prune, whatever the lengths that a field mixes.  Row
 groups and pages are small; a filter on an interval skips files, row groups and pages by their
 statistics, and arrays are read of blocks that are left.  Intervals of the tiling shifted by half a
-block are a table beside it, in the same order.  Ranges of steps are a table of their own, which
-prunes partitions before.  As a block's halo has all its cells, what is computed from cells needs no
+block are a table beside it, in the same order, and an octree over the blocks is a table with a
+partition for each level, in the order of Morton keys, so a node's blocks are a run of keys.  Ranges
+of steps are a table of their own, which prunes partitions before.  As a block's halo has all its cells, what is computed from cells needs no
 neighbours and no shuffle of values.
 
 An index stays: its folder has a manifest with the grid, the fields and what tells the table that it
@@ -20,24 +21,26 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from fieldloom.functions.grid import BLOCKS, DIMS, Grid, block_id, quotient, with_blocks
+from fieldloom.functions.grid import BLOCKS, DIMS, Grid, block_id, morton, quotient, with_blocks
 from fieldloom.operators import analytics, halo, mesh
 from fieldloom.sources.store import exists, fingerprint, new_build, publish, published
 
 #: Of the manifest and the tables' layout.
-VERSION = 2
+VERSION = 3
 #: Bytes of a row group, and rows of a page.
 GROUP_BYTES, PAGE_ROWS = 4 << 20, 128
 #: Blocks of a file, about.
 FILE_BLOCKS = 1 << 16
 #: Steps whose ranges (some 50 bytes each) the manifest has and the driver may hold; those of more are joined, and prune partitions as the query runs.
 HELD_STEPS = 4096
+#: Nodes of an octree's level that the driver may hold, and runs of keys that a filter may name.
+HELD_NODES, RUNS = 4096, 64
 
-_TABLES = ("blocks", "shifted", "steps")
+_TABLES = ("blocks", "shifted", "octree", "steps")
 
 
 def length_class(lo: Column, hi: Column) -> Column:
@@ -53,6 +56,20 @@ def _laid_out(rows: DataFrame, blocks: int, first: str, path: str) -> None:
     writer.option("parquet.block.size", GROUP_BYTES).option("parquet.page.row.count.limit", PAGE_ROWS).option("compression", "zstd").parquet(path)
 
 
+def runs_of(nodes: list[tuple[int, int]], most: int = RUNS) -> list[tuple[int, int, int]]:
+    """(step, first, last): neighbouring keys of a step as runs, at most so many: the runs with the smallest gaps between them are put together."""
+    runs: list[list[int]] = []
+    for step, key in sorted(nodes):
+        if runs and runs[-1][0] == step and runs[-1][2] + 1 >= key:
+            runs[-1][2] = key
+        else:
+            runs.append([step, key, key])
+    gaps = sorted((b[1] - a[2], i) for i, (a, b) in enumerate(zip(runs, runs[1:])) if a[0] == b[0])
+    for i in sorted((i for _, i in gaps[: max(0, len(runs) - most)]), reverse=True):
+        runs[i][2] = runs.pop(i + 1)[2]
+    return [tuple(r) for r in runs]
+
+
 class FieldIndex:
     """The stored index of a field in a folder."""
 
@@ -107,10 +124,17 @@ class FieldIndex:
         _laid_out(shifted, blocks, fields[0], f"{into}/shifted")
         ranges = [x for f in fields for x in (F.min(f"{f}_lo").alias(f"{f}_lo"), F.max(f"{f}_hi").alias(f"{f}_hi"), F.sum(f"{f}_n").alias(f"{f}_n"))]
         written = spark.read.parquet(f"{into}/blocks").withColumn("step", F.col("step").cast("long"))
+        levels = max(1, max(grid.counts) - 1).bit_length()
+        keyed = written.select("step", morton(*(F.col(x) for x in BLOCKS)).alias("key"), F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"), *(f"{f}_{x}" for f in fields for x in ("lo", "hi", "n")))
+        tree = keyed.groupBy("level", "step", F.expr("shiftright(key, 3 * level)").alias("morton")).agg(*ranges)
+        by = ["level", "step", "morton"]
+        writer = tree.repartitionByRange(max(1, -(-blocks // FILE_BLOCKS)), *by).sortWithinPartitions(*by).write.partitionBy("level")
+        writer.option("parquet.block.size", GROUP_BYTES).option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{into}/octree")
         written.groupBy("step").agg(*ranges).coalesce(1).write.parquet(f"{into}/steps")
         tables = {name: spark.read.parquet(f"{into}/{name}") for name in _TABLES}
         steps = [r.asDict() for r in tables["steps"].limit(HELD_STEPS + 1).collect()]
-        manifest = {"version": VERSION, "build": into, "source": source, "shape": grid.shape, "block": grid.block, "fields": fields, "steps": steps if len(steps) <= HELD_STEPS else None}
+        nodes = {str(r["level"]): r["n"] for r in tables["octree"].groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}
+        manifest = {"version": VERSION, "nodes": nodes, "build": into, "source": source, "shape": grid.shape, "block": grid.block, "fields": fields, "steps": steps if len(steps) <= HELD_STEPS else None}
         publish(spark, path, manifest | {"schemas": {name: json.loads(t.schema.json()) for name, t in tables.items()}})
         return cls(spark, path)
 
@@ -156,6 +180,35 @@ class FieldIndex:
         inner = [quotient(F.col("place"), n1 * n2), quotient(F.col("place"), n2) % n1, F.col("place") % n2]
         return cells.select("step", *((F.col(b) * n + o).cast("int").alias(d) for b, n, o, d in zip(BLOCKS, self.grid.block, inner, DIMS)), field)
 
+    def octree_nodes(self, level: int, lo: float, hi: float, field: str = "f") -> DataFrame:
+        """(step, morton) of a level's nodes that meet the range; other levels' files aren't listed for it."""
+        met = (F.col("level") == level) & (F.col(f"{field}_lo") <= hi) & (F.col(f"{field}_hi") >= lo)
+        return self._read("octree").where(met).select("step", "morton")
+
+    def octree_blocks(self, lo: float, hi: float, field: str = "f") -> DataFrame:
+        """(step, morton) of the blocks that meet the range, by the stored tree.
+
+        The lowest level whose nodes the driver may hold gives the nodes that meet the range, and
+        those give runs of keys, which are pushed down to the blocks: pages beside the runs aren't
+        read.  Where even the roots are too many, or their runs are, intervals alone prune.
+        """
+        level = min((int(k) for k, n in self.manifest["nodes"].items() if n <= HELD_NODES), default=None)
+        out = self.octree_nodes(0, lo, hi, field)
+        if not level:
+            return out
+        runs = runs_of([tuple(r) for r in self.octree_nodes(level, lo, hi, field).collect()])
+        if len(runs) > RUNS:
+            return out
+        within = F.lit(False)
+        for step, first, last in runs:
+            within = within | ((F.col("step") == step) & (F.col("morton") >= first << (3 * level)) & (F.col("morton") < (last + 1) << (3 * level)))
+        return out.where(within)
+
+    def observed_values(self, lo: float, hi: float, field: str = "f") -> tuple[DataFrame, Observation]:
+        """``values`` with an observation, which has the number of blocks that met the range once the rows have been read."""
+        seen = Observation()
+        return self.values_of(self.meeting(lo, hi, field).observe(seen, F.count(F.lit(1)).alias("blocks_hit")), lo, hi, field), seen
+
     def _chunks(self, hit: DataFrame, fields: tuple[str, ...]) -> DataFrame:
         """Blocks as chunks with a plane of halo: own values and those beside them in one array."""
         n0, n1, n2 = self.grid.block

@@ -5,12 +5,14 @@ from __future__ import annotations
 import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fieldloom.functions import grid as G
 from fieldloom.operators import codec, indexcodec
-from fieldloom.plans import catalog
+from fieldloom.plans import catalog, query
 from fieldloom.plans.catalog import BINS, HI, LO, register, stored_index
-from fieldloom.sources.store import shared_folder, stored
+from fieldloom.sources import footers, volumes
+from fieldloom.sources.store import fingerprint, new_build, publish, published, shared_folder, stored
 
 #: Error bound of the registered codes.
 BOUND = 0.5
@@ -121,3 +123,60 @@ def saved_codes_query(spark, sf_dir):
     near = saved_codes(spark, sf_dir).blocks(LO, HI)
     index = stored_index(spark, sf_dir)
     return index.values_of(index.meeting(LO, HI).join(near, ["step", "block_id"], "left_semi"), LO, HI)
+
+
+# volumes in files
+
+
+def raw_volumes(spark: SparkSession, sf_dir: str, dtype: str) -> tuple[str, G.Grid]:
+    """The folder of the event field's steps as headerless files, written again when the table has been rewritten, and its grid."""
+    place, seen = standing_folder(spark, sf_dir, f"volumes-{dtype.strip('<>')}"), fingerprint(spark, f"{sf_dir}/events.parquet")
+    voxels, grid = catalog._events(spark, sf_dir)
+    old = published(spark, place)
+    if old is None or old["source"] != seen:
+        build = new_build(place)
+        files = volumes.write(voxels, build, grid.shape, dtype).count()
+        publish(spark, place, {"build": build, "source": seen, "files": files})
+    return published(spark, place)["build"], grid
+
+
+@register("volume_scan", catalog._VOX, select="SELECT step, d0, d1, d2, f FROM vox WHERE step >= 1 AND d0 BETWEEN 2 AND 5 AND f > 10")
+def volume_scan(spark, sf_dir):
+    """Files of double precision: steps and planes are chosen before bytes are read, values afterwards."""
+    path, grid = raw_volumes(spark, sf_dir, "<f8")
+    return volumes.read(spark, path, grid.shape).where("step >= 1 and d0 between 2 and 5 and f > 10 and not isnan(f)")
+
+
+@register("volume_scan_single", catalog._VOX, select="SELECT step, d0, d1, d2, CAST(CAST(f AS FLOAT) AS DOUBLE) AS f FROM vox WHERE step IN (0, 2)")
+def volume_scan_single(spark, sf_dir):
+    """Files of big-endian single precision."""
+    path, grid = raw_volumes(spark, sf_dir, ">f4")
+    return volumes.read(spark, path, grid.shape, ">f4").where("step in (0, 2) and not isnan(f)")
+
+
+# metadata and observations
+
+
+@register("footer_steps", catalog._VOX, select=f"SELECT step, min(f) AS lo, max(f) AS hi FROM vox GROUP BY step HAVING min(f) <= {HI} AND max(f) >= {LO}")
+def footer_steps(spark, sf_dir):
+    """Steps that meet a range, from the footers of the index's files alone."""
+    found = footers.zones(spark, f"{stored_index(spark, sf_dir).build_path}/blocks", ["f_lo", "f_hi"])
+    step = F.regexp_extract("path", r"/step=(-?\d+)/", 1).cast("long").alias("step")
+    ranges = found.groupBy(step).agg(F.min(F.when(F.col("column") == "f_lo", F.col("lo"))).alias("lo"), F.max(F.when(F.col("column") == "f_hi", F.col("hi"))).alias("hi"))
+    return ranges.where(query.overlaps(LO, HI))
+
+
+@register("footer_rows", catalog._VOX, catalog._ZU, select="SELECT step, count(*) AS n, CAST(0 AS BIGINT) AS nulls FROM zu GROUP BY step")
+def footer_rows(spark, sf_dir):
+    """Rows and nulls of each step's blocks, from footers."""
+    found = footers.zones(spark, f"{stored_index(spark, sf_dir).build_path}/blocks", ["f_lo"])
+    return found.groupBy(F.regexp_extract("path", r"/step=(-?\d+)/", 1).cast("long").alias("step")).agg(F.sum("rows").alias("n"), F.sum("nulls").alias("nulls"))
+
+
+@register("observed_range", catalog._VOX, catalog._ZU, select=f"SELECT (SELECT count(*) FROM zu) AS blocks, (SELECT count(*) FROM zu WHERE lo <= {HI} AND hi >= {LO}) AS blocks_hit, (SELECT count(*) FROM vox WHERE f BETWEEN {LO} AND {HI}) AS n_values")
+def observed_range(spark, sf_dir):
+    """How many blocks a range query touched, as observed while it ran, and how many values it gave."""
+    index = stored_index(spark, sf_dir)
+    found, seen = index.observed_values(LO, HI)
+    n = found.count()
+    return index._read("blocks").agg(F.count(F.lit(1)).alias("blocks")).select("blocks", F.lit(seen.get["blocks_hit"]).alias("blocks_hit"), F.lit(n).cast("long").alias("n_values"))

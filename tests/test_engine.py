@@ -10,7 +10,7 @@ from fieldloom.operators import analytics, blocks, codec, halo, indexcodec, mesh
 from fieldloom.plans import query
 from fieldloom.plans.index import FieldIndex
 from fieldloom.sources import fields, raw, sinks
-from fieldloom.streaming.ingest import index_stream
+from fieldloom.streaming.ingest import compact, index_stream, indexed, merged, pieces
 
 SCHEMA = "step long, d0 int, d1 int, d2 int, f double, g double"
 
@@ -369,6 +369,20 @@ def test_top_thresholds_with_ties(spark):
     assert analytics.top_thresholds(df.limit(0)).count() == 0
 
 
+def test_top_thresholds_by_sketch(spark, monkeypatch):
+    """Ties, NaN, nulls, few rows, and sketches that are off, which a look at all values makes up for."""
+    rng = np.random.default_rng(4)
+    kinds = {"many": rng.normal(size=30_000), "ties": rng.integers(0, 4, 5000).astype(float), "nan": np.where(rng.random(3000) < 0.02, np.nan, rng.random(3000)), "one": np.array([2.5]), "all nan": np.array([np.nan] * 3)}
+    for slack in (analytics.SKETCH_SLACK, 0.0):
+        monkeypatch.setattr(analytics, "SKETCH_SLACK", slack)
+        for name, x in kinds.items():
+            df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "f double")
+            top = sorted(x, key=lambda v: (not np.isnan(v), -v if not np.isnan(v) else 0))
+            got = {r["share"]: (r["rank"], repr(r["threshold"])) for r in analytics.top_thresholds(df).collect()}
+            assert got == {s: (k := min(int(np.floor(s * len(x))), len(x) - 1), repr(float(top[k]))) for s in analytics.TOP_SHARES}, (name, slack)
+    assert analytics.top_thresholds(spark.createDataFrame([], "f double")).count() == 0
+
+
 def test_constant_and_negative_fields(spark):
     grid = G.Grid((8, 8, 8))
     constant = volume(spark, np.full((8, 8, 8), -2.5))
@@ -442,11 +456,30 @@ def test_exports(spark, tmp_path):
     assert {i for c in corners for i in c} == set(range(n))
 
 
-def test_stream_indexes_steps_as_they_come(spark, tmp_path):
-    grid = G.Grid((8, 8, 8))
-    for step in range(2):
-        volume(spark, smooth_field((8, 8, 8), step), step=step).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        index_stream(spark, f"{tmp_path}/in", SCHEMA, grid, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
-    got = spark.read.parquet(f"{tmp_path}/out").drop("batch")
-    whole = zonemap.dual_zone_map(volume(spark, smooth_field((8, 8, 8))).union(volume(spark, smooth_field((8, 8, 8), 1), step=1)), grid)
-    assert sorted(map(tuple, got.select(*whole.columns).collect())) == sorted(map(tuple, whole.collect()))
+def test_stream_indexes_pieces_as_they_come(spark, tmp_path):
+    """One step over three batches, one file of which comes again under another name, and a late voxel that widens its block."""
+    grid, values = G.Grid((8, 8, 8)), smooth_field((8, 8, 8))
+    whole, other = volume(spark, values), volume(spark, values + 3, step=1)
+    thirds = [whole.where(F.pmod(F.xxhash64("d0", "d1", "d2"), F.lit(3)) == k).coalesce(1) for k in range(3)]
+    late = spark.createDataFrame([(1, 0, 0, 0, -50.0, 0.0)], SCHEMA)
+    out = f"{tmp_path}/out"
+    for k, part in enumerate([thirds[0].union(other.where("d0 > 0 or d1 > 0 or d2 > 0")), thirds[1], thirds[2].union(thirds[0]), late]):
+        part.write.mode("append").parquet(f"{tmp_path}/in")
+        index_stream(spark, f"{tmp_path}/in", SCHEMA, grid, out, f"{tmp_path}/cp").awaitTermination()
+        if k == 1:
+            compact(spark, out)
+    all_of = zonemap.dual_zone_map(whole.union(other.where("d0 > 0 or d1 > 0 or d2 > 0")).union(late), grid)
+    rows = lambda df: sorted(map(tuple, df.select(*all_of.columns).collect()))
+    assert rows(indexed(spark, out)) == rows(all_of)
+    before = [p for p in (tmp_path / "out").iterdir() if p.name.startswith("batch=")]
+    compact(spark, out)
+    assert rows(indexed(spark, out)) == rows(all_of) and len(before) == 4
+
+
+def test_blocks_of_many_places(spark):
+    """A block of more places than a number has bits."""
+    grid, values = G.Grid((8, 8, 8), (8, 8, 8)), smooth_field((8, 8, 8))
+    parts = [pieces(volume(spark, values).where(f"d0 % 3 = {k}"), grid) for k in (0, 1, 1)]
+    got = merged(parts[0].union(parts[1]).union(parts[2])).where("tiling = 'uniform'").agg(F.min("lo"), F.max("hi"), F.sum(F.bit_count("seen")), F.count(F.lit(1))).first()
+    kept = values[[i for i in range(8) if i % 3 < 2]]
+    assert tuple(got) == (kept.min(), kept.max(), kept.size, 6)

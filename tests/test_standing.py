@@ -11,7 +11,7 @@ from fieldloom.operators import indexcodec, order, zonemap
 from fieldloom.plans import catalog, query, standing
 from fieldloom.plans import index as plans_index
 from fieldloom.plans.index import FieldIndex, length_class
-from fieldloom.sources import store
+from fieldloom.sources import footers, store, volumes
 
 
 def rows(df):
@@ -132,3 +132,99 @@ def test_side_list_of_equal_lows(spark):
     zones = spark.createDataFrame(data, "step long, block_id long, lo double, hi double")
     got = {(r["step"], r["block_id"]): r["skip_reason"] for r in zonemap.with_skip_reason(zones).collect()}
     assert got == {(s, b): "zero_low" if v == 0 else "duplicate_low" if b in (4, 6) and s < 2 else None for s, b, v, _ in data}
+
+
+@pytest.mark.parametrize("dtype", ["<f8", ">f4", "<f4"])
+def test_volumes_in_files(spark, tmp_path, monkeypatch, dtype):
+    """Several files of several steps; only the steps and planes asked for are read, and files of other steps aren't even looked at."""
+    shape, path = (7, 5, 6), f"{tmp_path}/v"
+    f = [smooth_field(shape, k).astype(dtype).astype(float) for k in range(3)]
+    voxels = volume(spark, f[0]).union(volume(spark, f[1], step=1)).union(volume(spark, f[2], step=12)).where("step <> 1 or d0 <> 3 or d1 <> 2")
+    monkeypatch.setattr(volumes, "SLAB_BYTES", 3 * 30 * np.dtype(dtype).itemsize)
+    files = volumes.write(voxels, path, shape, dtype).collect()
+    assert sorted((r["step"], r["first"]) for r in files) == [(s, p) for s in (0, 1, 12) for p in (0, 3, 6)]
+    read = lambda: volumes.read(spark, path, shape, dtype)
+    assert rows(read().where("not isnan(f)")) == rows(voxels.select("step", *G.DIMS, "f")) and read().where("isnan(f)").count() == 6
+    (tmp_path / "v" / "1.planes-0.raw").write_bytes(b"short")
+    for where in ("step = 12", "step > 1", "step in (0, 12) and d0 between 2 and 3", "step >= 12 and d0 = 6 and f > 0 and d2 <> 1", "step <= 0 and d0 < 1", "step = 5"):
+        found = read().where(where)
+        assert rows(found) == rows(voxels.where(where).select("step", *G.DIMS, "f")), where
+    with pytest.raises(Exception, match="no whole planes"):
+        read().count()
+    # a file of a whole step, by a name of the user's own
+    f[0].astype(dtype).tofile(tmp_path / "pressure-40.bin")
+    assert rows(volumes.read(spark, f"{tmp_path}/pressure-40.bin", shape, dtype)) == rows(volume(spark, f[0], step=40).select("step", *G.DIMS, "f"))
+
+
+def test_slabs_hold_what_filters_leave(tmp_path):
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In, LessThan
+
+    for step in (1, 2, 3):
+        np.zeros((10, 4, 4)).tofile(tmp_path / f"{step}.raw")
+    reader = volumes.VolumeReader({"path": str(tmp_path), "shape": "10,4,4"})
+    left = list(reader.pushFilters([In(("step",), (1, 3)), GreaterThanOrEqual(("d0",), 4), LessThan(("d0",), 7), EqualTo(("d1",), 2), EqualTo(("f",), 0.0)]))
+    assert len(left) == 2 and [(s.step, s.first, s.last) for s in reader.partitions()] == [(1, 4, 7), (3, 4, 7)]
+    assert sum(b.num_rows for b in reader.read(reader.partitions()[0])) == 48
+
+
+def test_hdf5_source(spark, tmp_path, monkeypatch):
+    """A stand-in for h5py, which isn't installed, tells what is opened."""
+    class File(dict):
+        def __init__(self, path):
+            super().__init__(d=np.load(path))
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            pass
+
+    monkeypatch.setattr(volumes, "_h5py", lambda: type("h5py", (), {"File": File}))
+    values = smooth_field((4, 3, 5))
+    np.save(tmp_path / "6.npy", values)
+    reader = volumes.VolumeReader({"path": str(tmp_path), "dataset": "d"})
+    assert list(reader.pushFilters([])) == []
+    batches = [b for s in reader.partitions() for b in reader.read(s)]
+    got = sorted(r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(5))))
+    assert got == rows(volume(spark, values, step=6).select("step", *G.DIMS, "f"))
+
+
+def test_footers_tell_the_intervals(spark, tmp_path):
+    df = spark.range(1000).select((F.col("id") % 3).alias("step"), F.when(F.col("id") % 5 > 0, F.col("id") / 7).alias("v"), F.lit(None).cast("double").alias("none"), F.col("id").cast("int").alias("i"))
+    df.repartition(4).write.partitionBy("step").parquet(f"{tmp_path}/t")
+    got = footers.zones(spark, f"{tmp_path}/t", ["v", "none", "i", "missing"]).cache()
+    assert {r["column"] for r in got.where("lo is null").collect()} == {"none", "missing"}
+    ends = got.groupBy("column").agg(F.min("lo"), F.max("hi"), F.sum("rows"), F.sum("nulls")).collect()
+    true = df.agg(F.min("v"), F.max("v")).first()
+    assert {r[0]: tuple(r[1:]) for r in ends if r[0] in "vi"} == {"v": (*true, 1000, 200), "i": (0.0, 999.0, 1000, 0)}
+
+
+def test_octree_reads_pages_of_hit_runs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(plans_index, "PAGE_ROWS", 16)
+    monkeypatch.setattr(plans_index, "HELD_NODES", 200)
+    side = 64
+    z, y, x = np.indices((side,) * 3)
+    f = np.exp(-((z - 20.0) ** 2 + (y - 40.0) ** 2 + (x - 10.0) ** 2) / 60)
+    index = FieldIndex.build(volume(spark, f).union(volume(spark, f / 4, step=1)), G.Grid((side,) * 3), f"{tmp_path}/index")
+    assert index.manifest["nodes"] == {str(k): 2 * 8 ** (4 - k) for k in range(5)}
+    for lo, hi in ((0.5, 0.9), (0.2, 0.24), (7, 8), (-1, 2)):
+        true = index.zones().where(query.overlaps(lo, hi)).select("step", G.morton(*(F.col(b) for b in G.BLOCKS)).alias("morton"))
+        found = index.octree_blocks(lo, hi)
+        assert rows(found) == rows(true)
+    assert scanned(index.octree_blocks(0.5, 0.9)) < 400 < index.zones().count() / 10
+    monkeypatch.setattr(plans_index, "HELD_NODES", 0)
+    assert rows(index.octree_blocks(0.2, 0.24)) == rows(index.zones().where(query.overlaps(0.2, 0.24)).select("step", G.morton(*(F.col(b) for b in G.BLOCKS)).alias("morton")))
+
+
+def test_runs_of_keys():
+    assert plans_index.runs_of([(0, 5), (0, 4), (1, 6), (0, 9), (0, 6)]) == [(0, 4, 6), (0, 9, 9), (1, 6, 6)]
+    many = [(0, 10 * k) for k in range(9)] + [(0, 83), (1, 0)]
+    merged = plans_index.runs_of(many, 4)
+    assert len(merged) == 4 and all(any(s == a and lo <= k <= hi for a, lo, hi in merged) for s, k in many) and (0, 80, 83) in [(s, max(a, 80), b) for s, a, b in merged]
+
+
+def test_observed_blocks(spark, own_tables):
+    index = catalog.stored_index(spark, own_tables)
+    found, seen = index.observed_values(catalog.LO, catalog.HI)
+    n = found.count()
+    assert n == catalog.range_scan(spark, own_tables).count() and seen.get["blocks_hit"] == index.zones().where(query.overlaps(catalog.LO, catalog.HI)).count()
