@@ -27,6 +27,7 @@ import html as _html
 import random
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -44,7 +45,7 @@ SAMPLE_CHARS, BUCKETS = 1 << 17, 1 << 16
 #: Pages that a token must stand on to be learned.
 TOKEN_PAGES = 5
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+_NAME_END, _SPECIAL = re.compile(r"[\s/>]"), re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|data-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACES = re.compile(r"[\x20\x09-\x0D]+")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -53,7 +54,7 @@ _KIND = {t: i for i, t in enumerate(_BLOCKS)}
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _RAW = frozenset("script style template textarea title select option head button".split())
 _TO_THE_END = frozenset("script style template textarea title".split())
-_RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in _RAW}
+_RAW_END = {t: re.compile(rf"</{t}\b", re.I) for t in _RAW}
 _VOID = frozenset("br img input hr meta link area base col embed source track wbr param".split())
 _CLOSED_BY = {"p": frozenset(_BLOCKS) - {"#text", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
 #: Attribute and tag tokens by what they tell of a block.
@@ -92,6 +93,79 @@ def _mask(value: str) -> int:
     return out
 
 
+class Tokens:
+    """The tags of a page, one after the other, in time that grows with the page alone, whatever it leaves open.
+
+    A tag ends at the first ">" outside quotes, or with the page; a "<" whose tag has a quote without an
+    end is text.  Where a scan has been, no other goes: ends of names, the next quote or ">" and what
+    comes after a quoted value are remembered.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.size = source, len(source)
+        self._last = {q: source.rfind(q) for q in "\"'>"}
+        self._next = {_NAME_END: (0, -1), _SPECIAL: (0, -1)}
+        self._after: dict[int, int] = {}
+        self._without: dict[str, int] = {}
+
+    def _find(self, pattern: re.Pattern, at: int) -> int:
+        """The next place of one of the characters, or the page's end."""
+        begin, place = self._next[pattern]
+        if not begin <= at <= place:
+            m = pattern.search(self.source, at)
+            place = m.start() if m else self.size
+            self._next[pattern] = at, place
+        return place
+
+    def _tag_end(self, at: int) -> int:
+        """Where the tag whose attributes begin at ``at`` ends; -1 if it doesn't."""
+        passed, end = [], None
+        while end is None:
+            p = self._find(_SPECIAL, at)
+            if p == self.size:
+                end = p
+            elif self.source[p] == ">":
+                end = p + 1
+            elif p >= self._last[self.source[p]]:
+                end = -1
+            else:
+                at = self.source.find(self.source[p], p + 1) + 1
+                end = self._after.get(at)
+                passed.append(at)
+        self._after |= dict.fromkeys(passed, end)
+        return end
+
+    def following(self, at: int) -> tuple[int, int, bool, str | None, str]:
+        """Begin and end of the next tag, comment or declaration, whether it closes, its name in lower case (None for the latter two) and its attributes; begin is -1 where none is left."""
+        source = self.source
+        while (at := source.find("<", at)) >= 0:
+            if source.startswith("<!--", at):
+                end = source.find("-->", at + 4)
+                return at, end + 3 if end >= 0 else self.size, False, None, ""
+            if source[at + 1 : at + 2] in ("!", "?"):
+                end = source.find(">", at + 2)
+                return at, end + 1 if end >= 0 else self.size, False, None, ""
+            closes = source[at + 1 : at + 2] == "/"
+            name = at + 1 + closes
+            if name < self.size and source[name].isascii() and source[name].isalpha():
+                name_end = self._find(_NAME_END, name)
+                end = self._tag_end(name_end)
+                if end >= 0:
+                    return at, end, closes, source[name:name_end].lower(), source[name_end : end - 1 if source[end - 1] == ">" else end]
+            at += 1
+        return -1, self.size, False, None, ""
+
+    def raw_end(self, tag: str, at: int) -> int:
+        """Where the raw element that begins at ``at`` ends, with its end tag; -1 if there is none."""
+        if self._without.get(tag, self.size) <= at:
+            return -1
+        m = _RAW_END[tag].search(self.source, at)
+        if m is None or m.end() > self._last[">"]:
+            self._without[tag] = at
+            return -1
+        return self.source.find(">", m.end()) + 1
+
+
 class Page:
     """The block tree of a page, its nodes in page order.
 
@@ -134,30 +208,27 @@ class Page:
     def _close(self) -> None:
         self._flush()
         i = self._stack.pop()
+        self._standing[self.tags[i]] -= 1
         self.end[i] = len(self.tags)
 
     def _parse(self, source: str) -> None:
         self._stack, self._run, self._linked, self._inline, link, at = [0], [], 0, 0, 0, 0
-        size = len(source)
-        find = _TOKEN.search
+        self._standing = Counter(["body"])
+        size, tokens_of = len(source), Tokens(source)
         while at < size:
-            m = find(source, at)
-            text = source[at : m.start() if m else size]
+            begin, end, closes, tag, attributes = tokens_of.following(at)
+            text = source[at : begin if begin >= 0 else size]
             if text:
                 text = _html.unescape(text) if "&" in text else text
                 self._run.append(text)
                 if link:
                     self._linked += len(text.strip())
-            if not m:
-                break
-            at = m.end()
-            tag = m[2]
+            at = end
             if tag is None:
                 continue
-            tag = tag.lower()
-            if m[1]:
+            if closes:
                 if tag in _KIND:
-                    if tag != "body" and tag in [self.tags[i] for i in self._stack]:
+                    if tag != "body" and self._standing[tag]:
                         while self.tags[self._stack[-1]] != tag:
                             self._close()
                         self._close()
@@ -168,13 +239,13 @@ class Page:
                 if tag == "head":
                     # what may stand in a head is raw itself; a head without an end is no reason to lose the page
                     continue
-                e = _RAW_END[tag].search(source, at)
+                e = tokens_of.raw_end(tag, at)
                 # without an end, the parser's own raw elements take the rest of the page, the others nothing
-                at = e.end() if e else size if tag in _TO_THE_END else at
+                at = e if e >= 0 else size if tag in _TO_THE_END else at
                 continue
             if tag in _KIND and tag != "#text":
                 if tag == "body":
-                    self.mask[0] |= _mask_of(m[3])[0]
+                    self.mask[0] |= _mask_of(attributes)[0]
                     continue
                 self._flush()
                 while len(self._stack) > 1 and tag in _CLOSED_BY.get(self.tags[self._stack[-1]], ()):
@@ -182,8 +253,9 @@ class Page:
                 link = 0
                 if tag == "hr":
                     continue
-                mask, label, tokens = _mask_of(m[3])
+                mask, label, tokens = _mask_of(attributes)
                 label = label if self._marked else None
+                self._standing[tag] += 1
                 self._stack.append(self._open(tag, mask | _TAG_MASK.get(tag, 0), label, (zlib.crc32(tag.encode()) % BUCKETS, *tokens)))
             elif tag == "br":
                 self._run.append(" ")
@@ -196,7 +268,7 @@ class Page:
 
 
 def _mask_of(attributes: str) -> tuple[int, str | None, tuple[int, ...]]:
-    mask, label, tokens = 0, None, ()
+    mask, label, tokens = 0, None, []
     if "=" in attributes:
         for m in _ATTRIBUTE.finditer(attributes):
             value = m[2] or m[3] or m[4] or ""
@@ -205,7 +277,7 @@ def _mask_of(attributes: str) -> tuple[int, str | None, tuple[int, ...]]:
             else:
                 mask |= _mask(value)
                 tokens += _buckets(value)
-    return mask, label, tokens
+    return mask, label, tuple(tokens)
 
 
 def token_odds(pages: list["Page"], labels: list[np.ndarray]) -> np.ndarray:

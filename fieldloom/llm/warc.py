@@ -40,8 +40,8 @@ from fieldloom.llm.common import stored
 
 #: Bytes of compressed records in one row of archives, and of records in one batch.
 ARCHIVE_BYTES, BATCH_BYTES = 2 << 20, 4 << 20
-#: Revisits (about 50 bytes each) that may be broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 1 << 19
+#: Revisits (about 200 bytes each) that may be broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1 << 17
 #: The names of the ARC fields, in order: fixed values of the format.
 ARC_FIELDS = {
     1: ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"],
@@ -67,6 +67,11 @@ class WarcRecord:
         return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + self.block + b"\r\n\r\n"
 
 
+#: A revisit's header for the length of the payload that it hasn't.
+_LENGTH = "WARC-Payload-Length"
+_EMPTY_LINE = re.compile(rb"\r?\n\r?\n")
+
+
 def digest(payload: bytes) -> str:
     """Base32 of the SHA-1."""
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
@@ -77,12 +82,19 @@ def record_id(key: str) -> str:
 
 
 def split_http(block: bytes) -> tuple[bytes, dict[bytes, bytes], bytes]:
-    """Status line, headers and payload of an HTTP response; a block of another kind is all payload."""
+    """Status line, headers (names as they are written, values without white space around) and payload of an HTTP response; a block of another kind is all payload.
+
+    The head ends at the first empty line, and lines end at a line feed, with or without a carriage
+    return before it, as both stand in archives.  A head without an empty line has an empty payload.
+    Transfer and content codings are left as they are: the payload is what was sent.
+    """
     if not block.startswith(b"HTTP/"):
         return b"", {}, block
-    head, _, payload = block.partition(b"\r\n\r\n")
-    status, *lines = head.split(b"\r\n")
-    return status, dict(x.split(b": ", 1) for x in lines if b": " in x), payload
+    end = _EMPTY_LINE.search(block)
+    head, payload = (block[: end.start()], block[end.end() :]) if end else (block, b"")
+    status, *lines = (x.rstrip(b"\r") for x in head.split(b"\n"))
+    pairs = (x.split(b":", 1) for x in lines if b":" in x)
+    return status, {k.strip(): v.strip() for k, v in pairs}, payload
 
 
 # ARC
@@ -156,9 +168,10 @@ def to_warc(arc: ArcRecord) -> WarcRecord:
 
 
 def as_revisit(record: WarcRecord, refers_to: str) -> WarcRecord:
-    """The record without its payload, which ``refers_to`` (a record identifier) has."""
-    head = record.block.partition(b"\r\n\r\n")[0] + b"\r\n\r\n"
-    more = {"WARC-Type": "revisit", "WARC-Refers-To": refers_to, "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Block-Digest": f"sha1:{digest(head)}"}
+    """The record without its payload, which ``refers_to`` (a record identifier) has; the payload's length stays as a header."""
+    payload = split_http(record.block)[2]
+    head = record.block[: len(record.block) - len(payload)]
+    more = {"WARC-Type": "revisit", _LENGTH: str(len(payload)), "WARC-Refers-To": refers_to, "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Block-Digest": f"sha1:{digest(head)}"}
     return WarcRecord(record.headers | more, head)
 
 
@@ -238,7 +251,7 @@ def write_arc(pages: DataFrame, date: str = "20240101000000", version: int | Non
 
 
 def _converted(raw: bytes) -> Iterator[tuple[WarcRecord, int | None, int, str]]:
-    """Records of an ARC archive as WARC, but for its version block: with page_id, size and digest of the payload."""
+    """Records of an ARC archive as WARC, but for its version block: with page_id (if its head has one), size and digest of the payload."""
     for arc in parse_arc(raw):
         record = to_warc(arc)
         if record.headers["WARC-Type"] != "warcinfo":
@@ -246,33 +259,39 @@ def _converted(raw: bytes) -> Iterator[tuple[WarcRecord, int | None, int, str]]:
             yield record, int(http[_PAGE]) if _PAGE in http else None, len(payload), record.headers["WARC-Payload-Digest"]
 
 
-def revisit_table(archives: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(page_id, digest, refers_to): records whose payload a record with a larger page_id has.  Payloads stay in their task."""
+def revisit_table(archives: DataFrame, min_bytes: int = 0, unnumbered: bool = False) -> DataFrame:
+    """(record_id, digest, refers_to): responses whose payload a later one has, and that one's identifier.
+
+    The later of two is that with the larger page_id.  Responses without one, as in archives from
+    elsewhere, take part where ``unnumbered`` says so: they come before all that have one, and
+    among them the later date and then the greater identifier counts.  Payloads stay in their task.
+    """
+    names = ["record_id", "page_id", "date", "size", "digest"]
 
     def run(batches):
         for b in batches:
             for raw in b.column("archive"):
-                rows = [(page, size, d) for _, page, size, d in _converted(raw.as_py())]
+                rows = [(r.headers["WARC-Record-ID"], page, r.headers["WARC-Date"], size, d) for r, page, size, d in _converted(raw.as_py()) if r.headers["WARC-Type"] == "response"]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string()))], ["page_id", "size", "digest"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()))], names)
 
-    keys = stored(archives.mapInArrow(run, "page_id long, size long, digest string").where(F.col("page_id").isNotNull() & (F.col("size") >= min_bytes)).distinct(), "digests")
-    last = keys.groupBy("digest", "size").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return keys.join(last, ["digest", "size"]).where("page_id <> refers_to").select("page_id", "digest", "refers_to")
+    keys = stored(archives.mapInArrow(run, "record_id string, page_id long, date string, size long, digest string").where((F.lit(unnumbered) | F.col("page_id").isNotNull()) & (F.col("size") >= min_bytes)).distinct(), "digests")
+    last = keys.groupBy("digest", "size").agg(F.max(F.struct("page_id", "date", "record_id"))["record_id"].alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return keys.join(last, ["digest", "size"]).where("record_id <> refers_to").select("record_id", "digest", "refers_to").distinct()
 
 
-def convert(archives: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(archive): ARC archives as WARC archives, repeated payloads as revisits."""
-    refers = stored(revisit_table(archives, min_bytes), "revisits")
+def convert(archives: DataFrame, min_bytes: int = 0, unnumbered: bool = False) -> DataFrame:
+    """(archive): ARC archives as WARC archives, repeated payloads as revisits, also those of responses without a page number where ``unnumbered`` says so."""
+    refers = stored(revisit_table(archives, min_bytes, unnumbered), "revisits")
 
     def rows(batches):
         """The records, some megabytes to a batch."""
-        names = ["page_id", "digest", "head", "block"]
+        names = ["record_id", "digest", "head", "block"]
         held, size = [], 0
         for b in batches:
             for raw in b.column("archive"):
-                for record, page, _, d in _converted(raw.as_py()):
-                    held.append((page, d, json.dumps(record.headers), record.block))
+                for record, _, _, d in _converted(raw.as_py()):
+                    held.append((record.headers["WARC-Record-ID"], d, json.dumps(record.headers), record.block))
                     size += len(record.block)
                     if size >= BATCH_BYTES:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names)
@@ -280,7 +299,7 @@ def convert(archives: DataFrame, min_bytes: int = 0) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names)
 
-    types = (pa.int64(), pa.string(), pa.string(), pa.binary())
+    types = (pa.string(), pa.string(), pa.string(), pa.binary())
 
     def write(batches):
         def records():
@@ -288,13 +307,13 @@ def convert(archives: DataFrame, min_bytes: int = 0) -> DataFrame:
                 for head, block, last in zip(*(b.column(c) for c in ("head", "block", "refers_to"))):
                     record = WarcRecord(json.loads(head.as_py()), block.as_py())
                     if last.is_valid:
-                        record = as_revisit(record, record_id(f"page:{last.as_py()}"))
+                        record = as_revisit(record, last.as_py())
                     yield gzip.compress(record.to_bytes(), 1, mtime=0)
 
         yield from _archives(records())
 
-    found = archives.mapInArrow(rows, "page_id long, digest string, head string, block binary")
-    joined = found.join(F.broadcast(refers) if refers.count() <= BROADCAST_IDS else refers, ["page_id", "digest"], "left")
+    found = archives.mapInArrow(rows, "record_id string, digest string, head string, block binary")
+    joined = found.join(F.broadcast(refers) if refers.count() <= BROADCAST_IDS else refers, ["record_id", "digest"], "left")
     return joined.select("head", "block", "refers_to").mapInArrow(write, "archive binary")
 
 
@@ -312,7 +331,7 @@ def read_archives(archives: DataFrame, column: str = "archive") -> DataFrame:
                     for r in parse_warc(member):
                         _, http, payload = split_http(r.block)
                         kind, page = r.headers["WARC-Type"], http.get(_PAGE)
-                        size = int(http.get(b"Content-Length", b"0")) if kind == "revisit" else len(payload)
+                        size = int(r.headers.get(_LENGTH) or http.get(b"Content-Length", b"0")) if kind == "revisit" else len(payload)
                         rows.append((r.headers["WARC-Record-ID"], kind, r.headers.get("WARC-Refers-To"), r.headers.get("WARC-Target-URI"), r.headers["WARC-Date"], int(page) if page else None, size, r.headers.get("WARC-Payload-Digest", "").removeprefix("sha1:")))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
@@ -324,9 +343,13 @@ def revisits(pages: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to of pages, by way of ARC archives and their conversion."""
     archives = stored(convert(stored(write_arc(pages), "arc")), "warc")
     records = stored(read_archives(archives), "records")
-    responses = records.where("record_type = 'response'").join(records.where("record_type = 'revisit'").select(F.col("refers_to_id").alias("record_id")), "record_id", "left_semi")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    again = records.where("record_type = 'revisit'")
+    responses = records.where("record_type = 'response'").join(again.select(F.col("refers_to_id").alias("record_id")), "record_id", "left_semi")
     responses = responses.select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to")).distinct()
-    return records.join(responses, "refers_to_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    # responses refer to nothing, so they take no part in the join
+    own = records.where("record_type <> 'revisit'").withColumn("refers_to", F.lit(None).cast("long"))
+    return own.select(columns).union(again.join(responses, "refers_to_id", "left").select(columns))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
