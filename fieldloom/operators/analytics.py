@@ -62,8 +62,9 @@ def scatterplot_of_chunks(parts: DataFrame, f_range: tuple[float, float], g_rang
     return found.groupBy("bin_f", "bin_g").agg(F.sum("density").alias("density"))
 
 
-#: A cell's division into five tetrahedra, by corners.
-TETRAHEDRA = ((0, 1, 3, 4), (1, 2, 3, 6), (1, 4, 5, 6), (3, 4, 6, 7), (1, 3, 4, 6))
+_ODD = [sum(c) % 2 == 1 for c in halo.CORNERS]
+#: A cell's division into five tetrahedra, by corners: each corner of even parity with its three neighbours, and the four of odd parity.
+TETRAHEDRA = tuple(tuple(k for k, c in enumerate(halo.CORNERS) if sum(a != b for a, b in zip(c, even)) <= 1) for even, odd in zip(halo.CORNERS, _ODD) if not odd) + (tuple(k for k, odd in enumerate(_ODD) if odd),)
 
 
 def _areas(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -112,6 +113,74 @@ def scatterplot_by_tetrahedra(voxels: DataFrame, f_range: tuple[float, float], g
     return spread.groupBy("bin_f", "bin_g").agg(F.sum("density").alias("density"))
 
 
+#: Below which the cross product of the gradients, a face's image and a triangle's image count as nothing, and how far beside a triangle a pixel's middle may lie: fixed values of the depth-weighted image.
+FLAT, FLAT_IMAGE, BESIDE = 1e-12, 1e-10, 1e-6
+
+
+def _fill_linear(image: np.ndarray, x: np.ndarray, y: np.ndarray, d: np.ndarray) -> None:
+    """Adds to each pixel whose middle a triangle covers what its corners' numbers give there, where that is positive."""
+    area = 2 * _areas(x, y)
+    left = np.abs(area) >= FLAT_IMAGE
+    x, y, d, area = x[left], y[left], d[left], area[left]
+    x0, y0 = (np.maximum(0, np.floor(z.min(1))).astype(int) for z in (x, y))
+    x1, y1 = (np.minimum(len(image) - 1, np.ceil(z.max(1))).astype(int) for z in (x, y))
+    for dx in range(int((x1 - x0).max(initial=-1)) + 1):
+        wide = np.flatnonzero(x0 + dx <= x1)
+        for dy in range(int((y1 - y0)[wide].max(initial=-1)) + 1):
+            on = wide[y0[wide] + dy <= y1[wide]]
+            u, v, own = x0[on] + dx + 0.5, y0[on] + dy + 0.5, (x[on], y[on])
+            w = [((own[0][:, j] - u) * (own[1][:, k] - v) - (own[0][:, k] - u) * (own[1][:, j] - v)) / area[on] for j, k in ((1, 2), (2, 0))]
+            w.append(1 - w[0] - w[1])
+            depth = w[0] * d[on, 0] + w[1] * d[on, 1] + w[2] * d[on, 2]
+            inside = (np.minimum.reduce(w) >= -BESIDE) & (depth > 0)
+            np.add.at(image, (x0[on][inside] + dx, y0[on][inside] + dy), depth[inside])
+
+
+def depth_scatterplot(voxels: DataFrame, f_range: tuple[float, float], g_range: tuple[float, float], resolution: int = 256) -> DataFrame:
+    """(bin_f, bin_g, density): the image of each cell's tetrahedra, weighed by how deep they are where f and g are constant, over the size of grad f x grad g.
+
+    Where both fields vary linearly, the depth of a tetrahedron from a corner to the face across,
+    along grad f x grad g, over that product's size, is its sixfold volume over the doubled area of
+    the face's image; so a corner's weight comes from areas in (f, g) alone.  A corner whose face
+    has no image has no weight.  Corners are moved into the ranges before they are drawn, as two
+    triangles that begin at the corner of least f.
+    """
+    (f0, f1), (g0, g1) = f_range, g_range
+    at = np.array([(c[2], c[1], c[0]) for c in halo.CORNERS], float)
+
+    def kernel(dense: halo.Dense) -> dict[str, np.ndarray]:
+        corners = {x: dense.corners(x) for x in "fg"}
+        met = halo.whole(corners["f"]) & halo.whole(corners["g"])
+        cell = {x: np.stack([v[met] for v in c], 1) for x, c in corners.items()}
+        image = np.zeros((resolution, resolution))
+        for tet in TETRAHEDRA:
+            f, g = cell["f"][:, tet], cell["g"][:, tet]
+            hit = (f.max(1) >= f0) & (f.min(1) <= f1) & (g.max(1) >= g0) & (g.min(1) <= g1)
+            f, g = f[hit], g[hit]
+            e = at[list(tet[1:])] - at[tet[0]]
+            volume = abs(np.linalg.det(e))
+            df, dg = f[:, 1:] - f[:, :1], g[:, 1:] - g[:, :1]
+            pair = lambda i, j: df[:, i] * dg[:, j] - df[:, j] * dg[:, i]
+            normal = (pair(0, 1)[:, None] * e[2] + pair(1, 2)[:, None] * e[0] + pair(2, 0)[:, None] * e[1]) / volume
+            cross = np.sqrt((normal * normal).sum(1))
+            weight = np.zeros(f.shape)
+            for i in range(4):
+                a, b, c = (k for k in range(4) if k != i)
+                face = np.abs((f[:, b] - f[:, a]) * (g[:, c] - g[:, a]) - (f[:, c] - f[:, a]) * (g[:, b] - g[:, a]))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    weight[:, i] = np.where(face < FLAT * cross, 0.0, volume / face)
+            full = cross >= FLAT
+            order = np.argsort(f[full], axis=1, kind="stable")
+            x, y, d = (np.take_along_axis(v[full], order, 1) for v in ((np.clip(f, f0, f1) - f0) / ((f1 - f0) / resolution), (np.clip(g, g0, g1) - g0) / ((g1 - g0) / resolution), weight))
+            for corner in ([0, 1, 2], [0, 2, 3]):
+                _fill_linear(image, x[:, corner], y[:, corner], d[:, corner])
+        which = np.nonzero(image)
+        return {"bin_f": which[0].astype(np.int32), "bin_g": which[1].astype(np.int32), "density": image[which]}
+
+    found = halo.run(halo.chunks(voxels, ("f", "g")), kernel, "bin_f int, bin_g int, density double", ("f", "g"))
+    return found.groupBy("bin_f", "bin_g").agg(F.sum("density").alias("density"))
+
+
 def pearson(pairs: DataFrame, a: str = "lo", b: str = "hi") -> DataFrame:
     """One row: the correlation of two columns, its denominator kept from zero by 1e-10."""
     return pairs.agg((F.covar_pop(a, b) / F.sqrt(F.var_pop(a) * F.var_pop(b) + 1e-10)).alias("r"))

@@ -10,6 +10,7 @@ is decoded by a running sum.
 from __future__ import annotations
 
 import heapq
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -255,6 +256,94 @@ def decompress_blocks(coded: DataFrame, bound: float) -> DataFrame:
     return coded.select("step", "block_id", "signs", "sizes", "kept").mapInArrow(run, "step long, block_id long, values array<double>")
 
 
+#: The neighbours of a place that its prediction takes, as steps back along each dimension, and their signs.
+NEIGHBOURS = [(back, 1 if sum(back) % 2 else -1) for back in product((0, 1), repeat=3) if sum(back)]
+
+
+def _diagonals(shape: tuple[int, int, int]) -> list[tuple[np.ndarray, ...]]:
+    """Places of a block by the sum of their coordinates: those of one sum need only those of smaller ones."""
+    at = np.indices(shape).reshape(3, -1)
+    return [tuple(at[:, at.sum(0) == k]) for k in range(sum(shape) - 2)]
+
+
+def _cube_prediction(restored: np.ndarray, places: tuple[np.ndarray, ...]) -> np.ndarray:
+    """What the restored neighbours before some places give there, in many blocks: exact where a block is a sum of functions of two coordinates.  ``restored`` has a plane of zeros before each dimension."""
+    out = 0.0
+    for back, sign in NEIGHBOURS:
+        out = out + sign * restored[(slice(None), *(x + 1 - b for x, b in zip(places, back)))]
+    return out
+
+
+def encode_cubes(values: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and restored values of blocks (block, i, j, k): each value against its up to seven restored neighbours, a diagonal of all blocks at a time.
+
+    A code is ``BLOCK_RADIUS`` and so many double bounds; 0 is an outlier, kept as it is.  What isn't
+    a number counts as 0 for its neighbours.
+    """
+    shape = values.shape[1:]
+    restored, codes, out = np.zeros((len(values), *(n + 1 for n in shape))), np.zeros(values.shape, np.int32), values.copy()
+    for places in _diagonals(shape):
+        x, predicted = values[(slice(None), *places)], _cube_prediction(restored, places)
+        with np.errstate(invalid="ignore", over="ignore", divide="ignore"):
+            steps = np.floor((x - predicted) / (2 * bound) + 0.5) if bound > 0 else np.full(x.shape, np.inf)
+            back = predicted + 2 * bound * steps
+            coded = (np.abs(steps) < BLOCK_RADIUS) & (np.abs(back - x) <= bound)
+        codes[(slice(None), *places)] = np.where(coded, BLOCK_RADIUS + np.where(coded, steps, 0), 0)
+        out[(slice(None), *places)] = back = np.where(coded, back, x)
+        restored[(slice(None), *(p + 1 for p in places))] = np.where(np.isfinite(back), back, 0.0)
+    return codes, out
+
+
+def decode_cubes(codes: np.ndarray, kept: np.ndarray, bound: float) -> np.ndarray:
+    """Blocks from their codes; ``kept`` has the outliers in their places."""
+    shape = codes.shape[1:]
+    restored, out = np.zeros((len(codes), *(n + 1 for n in shape))), np.zeros(codes.shape)
+    for places in _diagonals(shape):
+        c, k = codes[(slice(None), *places)], kept[(slice(None), *places)]
+        back = np.where(c == 0, k, _cube_prediction(restored, places) + 2 * bound * (c - BLOCK_RADIUS))
+        out[(slice(None), *places)] = back
+        restored[(slice(None), *(p + 1 for p in places))] = np.where(np.isfinite(back), back, 0.0)
+    return out
+
+
+def _of_shape(lists: pa.ListArray, shape: tuple[int, int, int], null) -> tuple[np.ndarray, np.ndarray]:
+    """Which lists fill a block of this shape, and their values."""
+    right = np.flatnonzero(lists.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) == int(np.prod(shape)))
+    return right, np.array(lists.take(pa.array(right)).flatten().fill_null(null).to_numpy(zero_copy_only=False)).reshape(len(right), *shape)
+
+
+def compress_cubes(blocks: DataFrame, bound: float, shape: tuple[int, int, int] = (4, 4, 4)) -> DataFrame:
+    """(step, block_id, codes, kept) of (step, block_id, values), last dimension fastest.  Blocks that don't fill the shape are kept as they are, without codes; a null value is NaN."""
+
+    def run(batches):
+        for b in batches:
+            right, values = _of_shape(b.column("values"), shape, np.nan)
+            codes, _ = encode_cubes(values.astype(np.float64), bound)
+            flat, raw = (x.reshape(len(right), int(np.prod(shape))) for x in (codes, values))
+            kept, found = [None if v is None else [float("nan") if x is None else x for x in v] for v in b.column("values").to_pylist()], [None] * b.num_rows
+            for i, c, v in zip(right.tolist(), flat, raw):
+                found[i], kept[i] = c, v[c == 0]
+            yield pa.RecordBatch.from_arrays([b.column("step"), b.column("block_id"), pa.array(found, pa.list_(pa.int32())), pa.array(kept, pa.list_(pa.float64()))], ["step", "block_id", "codes", "kept"])
+
+    return blocks.select("step", "block_id", F.col("values").cast("array<double>").alias("values")).mapInArrow(run, "step long, block_id long, codes array<int>, kept array<double>")
+
+
+def decompress_cubes(coded: DataFrame, bound: float, shape: tuple[int, int, int] = (4, 4, 4)) -> DataFrame:
+    """(step, block_id, values)"""
+
+    def run(batches):
+        for b in batches:
+            right, codes = _of_shape(b.column("codes"), shape, 0)
+            kept, out = np.zeros(codes.shape), b.column("kept").to_pylist()
+            at = pa.array(right)
+            kept[codes == 0] = b.column("kept").take(at).flatten().to_numpy(zero_copy_only=False)
+            for i, v in zip(right.tolist(), decode_cubes(codes, kept, bound).reshape(len(right), int(np.prod(shape)))):
+                out[i] = v
+            yield pa.RecordBatch.from_arrays([b.column("step"), b.column("block_id"), pa.array(out, pa.list_(pa.float64()))], ["step", "block_id", "values"])
+
+    return coded.select("step", "block_id", "codes", "kept").mapInArrow(run, "step long, block_id long, values array<double>")
+
+
 def bit_width(largest: Column) -> Column:
     """Bits that numbers up to ``largest`` take."""
     return F.greatest(F.lit(1), F.ceil(F.log2(largest + 1))).cast("int")

@@ -164,24 +164,27 @@ def boundary_edges(mesh: DataFrame) -> DataFrame:
     return used.where("n = 1").drop("n")
 
 
-#: Rounds of hole filling, and how much farther a third vertex may be looked for when no near one is left.
-ROUNDS, WIDER = 200, 5.0
+#: How much farther a third vertex may be looked for when no near one is left.
+WIDER = 5.0
 
 
-def fill_holes(mesh: DataFrame, vertices: DataFrame, cell: float = 2.0, rounds: int = ROUNDS) -> DataFrame:
+def fill_holes(mesh: DataFrame, vertices: DataFrame, cell: float = 2.0, rounds: int | None = None) -> DataFrame:
     """(step, a, b, c): triangles that close a surface's holes, from sides that one triangle alone has.
 
     In each round a side takes the nearest vertex of another such side within twice its length or
     two cells, which meets it in a join by cubes of space; triangles that claim the same side, or
     a side that two triangles have by then, give way to the one of smallest (distance, names).
-    Surfaces of ``triangles`` have no holes but at the volume's rim: this is for others' meshes.
+    Rounds go on until no side finds a triangle that isn't there yet; as no triangle comes twice, they
+    end.  ``rounds`` stops before that, where a caller wants a part: ``fill_report`` tells what is
+    left open.  Surfaces of ``triangles`` have no holes but at the volume's rim: this is for others'
+    meshes.
     """
+    there = stored(mesh.select("step", F.array_sort(F.array("a", "b", "c")).alias("t")).distinct(), "triangles")
     at = stored(vertices.select("step", F.concat_ws(",", *DIMS, "axis").alias("v"), "x0", "x1", "x2"), "hole-vertices")
     sides, added = stored(boundary_edges(mesh), "sides"), None
-    wider = 1.0
-    for _ in range(rounds):
-        if sides.isEmpty():
-            break
+    wider, done = 1.0, 0
+    while not sides.isEmpty() and (rounds is None or done < rounds):
+        done += 1
         reach = cell * 4 * wider  # no side of a cell is longer than its diagonal
         ends = sides
         for v in "ab":
@@ -199,6 +202,7 @@ def fill_holes(mesh: DataFrame, vertices: DataFrame, cell: float = 2.0, rounds:
         pairs = asking.join(asked, ["step", "q0", "q1", "q2"]).where((F.col("v") != F.col("a")) & (F.col("v") != F.col("b"))).withColumn("far", far).where(F.col("far") <= F.col("near"))
         best = pairs.groupBy("step", "a", "b").agg(F.min(F.struct("far", "v")).alias("m")).select("step", "a", "b", "m.far", "m.v")
         best = best.select("step", "far", F.array_sort(F.array("a", "b", "v")).alias("t")).groupBy("step", "t").agg(F.min("far").alias("far"))
+        best = best.join(there, ["step", "t"], "left_anti")
         claims = best.select("step", "t", "far", F.explode(F.array(*[F.struct(F.col("t")[i].alias("a"), F.col("t")[j].alias("b")) for i, j in ((0, 1), (1, 2), (0, 2))])).alias("s"))
         winners = claims.groupBy("step", "s").agg(F.min(F.struct("far", "t")).alias("m"))
         fit = claims.join(winners, ["step", "s"]).groupBy("step", "t").agg(F.bool_and(F.col("t") == F.col("m.t")).alias("fit")).where("fit")
@@ -209,12 +213,24 @@ def fill_holes(mesh: DataFrame, vertices: DataFrame, cell: float = 2.0, rounds:
             wider = WIDER
             continue
         added = fit if added is None else added.union(fit)
+        there = there.union(fit.select("step", F.array("a", "b", "c").alias("t")))
         # sides of the new triangles count with those that are open: what then has two is closed
         new = fit.select("step", F.explode(F.array(*[F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")) for x, y in (("a", "b"), ("b", "c"), ("c", "a"))])).alias("s")).select("step", "s.a", "s.b")
         sides = stored(sides.union(new).groupBy("step", "a", "b").agg(F.count(F.lit(1)).alias("n")).where("n = 1").drop("n"), "sides")
     return added if added is not None else mesh.select("step", "a", "b", "c").limit(0)
 
 
+def fill_report(mesh: DataFrame, vertices: DataFrame, cell: float = 2.0, rounds: int | None = None) -> DataFrame:
+    """(step, triangles, open_sides, filled, left_open): what filling did, and the sides that one triangle alone has before and after it."""
+    filled = stored(fill_holes(mesh, vertices, cell, rounds).select("step", "a", "b", "c"), "filling")
+    whole = mesh.select("step", "a", "b", "c")
+    count = lambda df, name: df.groupBy("step").agg(F.count(F.lit(1)).alias(name))
+    out = count(whole, "triangles")
+    for df, name in ((boundary_edges(whole), "open_sides"), (filled, "filled"), (boundary_edges(whole.union(filled)), "left_open")):
+        out = out.join(count(df, name), "step", "left")
+    return out.na.fill(0)
+
+
 def degenerate(mesh: DataFrame) -> DataFrame:
     """Triangles two of whose vertices are one."""
     return mesh.where("a = b or b = c or c = a")

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions import grid as G
-from fieldloom.operators import codec, indexcodec
+from fieldloom.operators import analytics, codec, halo, indexcodec, mesh
 from fieldloom.plans import catalog, query
 from fieldloom.plans.catalog import BINS, HI, LO, register, stored_index
-from fieldloom.sources import footers, volumes
+from fieldloom.sources import fields, footers, volumes
 from fieldloom.sources.store import fingerprint, new_build, publish, published, shared_folder, stored
 
 #: Error bound of the registered codes.
@@ -180,3 +180,78 @@ def observed_range(spark, sf_dir):
     found, seen = index.observed_values(LO, HI)
     n = found.count()
     return index._read("blocks").agg(F.count(F.lit(1)).alias("blocks")).select("blocks", F.lit(seen.get["blocks_hit"]).alias("blocks_hit"), F.lit(n).cast("long").alias("n_values"))
+
+
+# scatterplots weighed by depth
+
+_DEPTH_PIXELS = 24
+_TETS = ", ".join(f"({t}, {', '.join(str(k + 1) for k in tet)})" for t, tet in enumerate(analytics.TETRAHEDRA))
+_EDGE = "[{}]".format(", ".join(f"[{', '.join(str(float(c)) for c in reversed(corner))}]" for corner in halo.CORNERS))
+
+
+def _depth_sql(f_range: tuple[float, float], g_range: tuple[float, float], n: int) -> tuple[list[str], str]:
+    """SQL of ``depth_scatterplot``: a row for each tetrahedron, then for each of its two triangles, then for each pixel of their boxes."""
+    (f0, f1), (g0, g1) = ((f"CAST({a} AS DOUBLE)", f"CAST({b} AS DOUBLE)") for a, b in (f_range, g_range))
+    pair = lambda i, j: f"((f{i} - f0) * (g{j} - g0) - (f{j} - f0) * (g{i} - g0))"
+    side = lambda i, a: f"(p[k{i}][{a}] - p[k0][{a}])"
+    normal = [f"({pair(1, 2)} * {side(3, a)} + {pair(2, 3)} * {side(1, a)} + {pair(3, 1)} * {side(2, a)}) / volume" for a in (1, 2, 3)]
+    face = lambda a, b, c: f"abs((f{b} - f{a}) * (g{c} - g{a}) - (f{c} - f{a}) * (g{b} - g{a}))"
+    faces = [face(*(k for k in range(4) if k != i)) for i in range(4)]
+    weight = [f"CASE WHEN {x} < {analytics.FLAT} * size THEN 0 ELSE volume / {x} END" for x in faces]
+    scaled = lambda x, lo, hi: f"(greatest({lo}, least({hi}, {x})) - {lo}) / (({hi} - {lo}) / {n})"
+    corner = ", ".join(f"{{'f': f{i}, 'i': {i}, 'x': {scaled(f'f{i}', f0, f1)}, 'y': {scaled(f'g{i}', g0, g1)}, 'd': {weight[i]}}}" for i in range(4))
+    w = lambda j, k: f"((x{j} - px - 0.5 :: DOUBLE) * (y{k} - py - 0.5 :: DOUBLE) - (x{k} - px - 0.5 :: DOUBLE) * (y{j} - py - 0.5 :: DOUBLE)) / area"
+    box = lambda x: f"unnest(range(CAST(greatest(0, floor(least({x}0, {x}1, {x}2))) AS BIGINT), CAST(least({n - 1}, ceil(greatest({x}0, {x}1, {x}2))) AS BIGINT) + 1)) AS p{x}"
+    ctes = [
+        f"tets(tet, k0, k1, k2, k3) AS (VALUES {_TETS})",
+        f"lists AS (SELECT [{', '.join(f'f{k}' for k in range(8))}] AS fs, [{', '.join(f'g{k}' for k in range(8))}] AS gs, {_EDGE} AS p FROM cells)",
+        f"t0 AS (SELECT p, CAST(CASE WHEN tet < 4 THEN 1 ELSE 2 END AS DOUBLE) AS volume, k0, k1, k2, k3, {', '.join(f'{x}s[k{i}] AS {x}{i}' for x in 'fg' for i in range(4))} FROM lists, tets)",
+        f"t1 AS (SELECT *, sqrt(pow({normal[0]}, 2) + pow({normal[1]}, 2) + pow({normal[2]}, 2)) AS size FROM t0 WHERE greatest(f0, f1, f2, f3) >= {f0} AND least(f0, f1, f2, f3) <= {f1} AND greatest(g0, g1, g2, g3) >= {g0} AND least(g0, g1, g2, g3) <= {g1})",
+        f"t2 AS (SELECT list_sort([{corner}]) AS c FROM t1 WHERE size >= {analytics.FLAT})",
+        f"t3 AS (SELECT {', '.join(f'c[CASE WHEN part = 0 THEN {a} ELSE {b} END].{v} AS {v}{i}' for i, (a, b) in enumerate(((1, 1), (2, 3), (3, 4))) for v in 'xyd')} FROM t2, (SELECT unnest([0, 1]) AS part))",
+        f"t4 AS (SELECT *, {box('x')} FROM (SELECT *, (x1 - x0) * (y2 - y0) - (x2 - x0) * (y1 - y0) AS area FROM t3) WHERE abs(area) >= {analytics.FLAT_IMAGE})",
+        f"t5 AS (SELECT *, {box('y')} FROM t4)",
+        f"t6 AS (SELECT px, py, d0, d1, d2, {w(1, 2)} AS w0, {w(2, 0)} AS w1 FROM t5)",
+    ]
+    inside = f"w0 >= -{analytics.BESIDE} AND w1 >= -{analytics.BESIDE} AND 1 - w0 - w1 >= -{analytics.BESIDE} AND w0 * d0 + w1 * d1 + (1 - w0 - w1) * d2 > 0"
+    return ctes, f"SELECT CAST(px AS INTEGER) AS bin_f, CAST(py AS INTEGER) AS bin_g, round(sum(w0 * d0 + w1 * d1 + (1 - w0 - w1) * d2), 6) AS density FROM t6 WHERE {inside} GROUP BY px, py"
+
+
+_DEPTH = _depth_sql(catalog.F_RANGE, catalog.G_RANGE, _DEPTH_PIXELS)
+
+
+@register("csp_depth", catalog._VOX, catalog._corner_join("fg"), *_DEPTH[0], select=_DEPTH[1])
+def csp_depth(spark, sf_dir):
+    return analytics.depth_scatterplot(catalog._events(spark, sf_dir)[0], catalog.F_RANGE, catalog.G_RANGE, _DEPTH_PIXELS).withColumn("density", F.round("density", 6))
+
+
+# blocks coded in three dimensions
+
+_CUBE_BOUND = 1e-3
+_AT = lambda back: f"restored[i + 1 - {16 * back[0] + 4 * back[1] + back[2]}]"
+_HAS = lambda back: " AND ".join(f"{x} > 0" for x, b in zip(("i // 16", "i // 4 % 4", "i % 4"), back) if b)
+_CUBE_PREDICTED = " + ".join(f"{sign} * CASE WHEN {_HAS(back)} THEN {_AT(back)} ELSE 0 END" for back, sign in codec.NEIGHBOURS)
+_CUBE_FOLD = f"""r AS (SELECT vec_id, 0 AS i, CAST([] AS DOUBLE[]) AS restored, CAST([] AS INTEGER[]) AS codes FROM embeddings UNION ALL
+        SELECT vec_id, i + 1, list_append(restored, CASE WHEN coded THEN back ELSE x END), list_append(codes, CAST(CASE WHEN coded THEN {codec.BLOCK_RADIUS} + steps ELSE 0 END AS INTEGER))
+        FROM (SELECT *, abs(steps) < {codec.BLOCK_RADIUS} AND abs(back - x) <= {_CUBE_BOUND}::DOUBLE AS coded FROM (SELECT *, predicted + {2 * _CUBE_BOUND}::DOUBLE * steps AS back FROM (SELECT *, floor((x - predicted) / {2 * _CUBE_BOUND}::DOUBLE + 0.5::DOUBLE) AS steps
+        FROM (SELECT vec_id, i, restored, codes, CAST(embedding[i + 1] AS DOUBLE) AS x, CAST({_CUBE_PREDICTED} AS DOUBLE) AS predicted FROM r JOIN embeddings USING (vec_id) WHERE i < len(embedding))))))"""
+
+
+@register("cube_codes", _CUBE_FOLD, select="SELECT vec_id AS block_id, unnest(range(0, 64)) AS place, unnest(codes) AS code, round(unnest(restored), 9) + 0 AS restored FROM r WHERE i = 64", recursive=True)
+def cube_codes(spark, sf_dir):
+    """Codes of blocks against up to seven neighbours of each value, and the blocks restored from them."""
+    coded = stored(codec.compress_cubes(fields.embedding_blocks(spark, sf_dir), _CUBE_BOUND), "cubes")
+    back = codec.decompress_cubes(coded, _CUBE_BOUND).select("block_id", "values")
+    both = coded.join(back, "block_id").select("block_id", F.posexplode(F.arrays_zip("codes", "values")).alias("place", "c"))
+    return both.select("block_id", F.col("place").cast("long").alias("place"), F.col("c.codes").alias("code"), (F.round("c.values", 9) + 0.0).alias("restored"))
+
+
+# meshes with holes
+
+
+@register("mesh_fill_report")
+def mesh_fill_report(spark, sf_dir):
+    """The event field's surface without a triangle of each cell on its diagonal: how many triangles fill its holes, and what stays open.  A greedy choice, round by round, is beyond SQL; tests hold it on small meshes."""
+    voxels, _ = catalog._events(spark, sf_dir)
+    surface = mesh.triangles(voxels, catalog.ISO).where("not (d0 = d1 and k = 0)")
+    return mesh.fill_report(stored(surface.select("step", "a", "b", "c"), "holed"), mesh.edge_vertices(voxels, catalog.ISO))

@@ -203,6 +203,22 @@ def test_holes_are_filled(spark):
     assert mesh.fill_holes(whole, vertices).isEmpty()
 
 
+def test_filling_ends_and_tells_what_is_left(spark):
+    """A plane of squares without some: filling ends by itself, and a stop before that is reported."""
+    name = lambda i, j: f"{i},{j},0,0"
+    at = [(0, i, j, 0, 0, float(i), float(j), 0.0) for i in range(7) for j in range(7)]
+    vertices = spark.createDataFrame(at, "step long, d0 int, d1 int, d2 int, axis int, x0 double, x1 double, x2 double")
+    gone = {(1, 1), (1, 2), (3, 3), (4, 3), (4, 4), (2, 5)}
+    faces = [(0, name(i, j), *rest) for i in range(6) for j in range(6) if (i, j) not in gone for rest in ((name(i + 1, j), name(i, j + 1)),)]
+    faces += [(0, name(i + 1, j), name(i + 1, j + 1), name(i, j + 1)) for i in range(6) for j in range(6) if (i, j) not in gone]
+    mesh_ = spark.createDataFrame(faces, "step long, a string, b string, c string")
+    whole = mesh.fill_report(mesh_, vertices, 1.0).first()
+    part = mesh.fill_report(mesh_, vertices, 1.0, rounds=1).first()
+    assert whole["triangles"] == len(faces) and whole["open_sides"] > 24 and whole["filled"] >= part["filled"] > 0 and part["left_open"] > 0
+    added = [tuple(sorted(r[1:])) for r in mesh.fill_holes(mesh_, vertices, 1.0).collect()]
+    assert len(added) == len(set(added)) and not set(added) & {tuple(sorted(x[1:])) for x in faces}
+
+
 def test_hdf5_by_planes(spark, tmp_path):
     """With a stand-in for h5py, which isn't installed: planes are read by tasks, and without it the reader says so."""
     values = smooth_field((3, 4, 5)).astype("f4")
@@ -343,6 +359,69 @@ def test_surfaces_have_no_gaps(spark):
     assert used == stats["vertices"]
 
 
+def test_depth_weighted_image_by_geometry(spark):
+    """Depths by rays from corners to the planes across, along the cross product of the gradients, drawn pixel by pixel."""
+    f, g = np.random.default_rng(11).random((2, 3, 3, 4))
+    n, (f0, f1), (g0, g1) = 9, (0.2, 0.9), (-0.1, 0.8)
+    image = np.zeros((n, n))
+    for d in np.ndindex(2, 2, 3):
+        at = [tuple(np.add(d, (c[2], c[1], c[0]))) for c in halo.CORNERS]
+        for tet in analytics.TETRAHEDRA:
+            p, u, v = np.array([at[k] for k in tet], float), np.array([f[at[k]] for k in tet]), np.array([g[at[k]] for k in tet])
+            if u.max() < f0 or u.min() > f1 or v.max() < g0 or v.min() > g1:
+                continue
+            slopes = [np.linalg.solve(p[1:] - p[0], x[1:] - x[0]) for x in (u, v)]
+            normal = np.cross(*slopes)
+            size = np.linalg.norm(normal)
+            depth = []
+            for i in range(4):
+                a, b, c = np.delete(p, i, 0)
+                plane = np.cross(b - a, c - a)
+                depth.append(abs((a - p[i]) @ plane / (normal / size @ plane)))
+            x, y = (np.clip(u, f0, f1) - f0) / (f1 - f0) * n, (np.clip(v, g0, g1) - g0) / (g1 - g0) * n
+            order = np.argsort(u, kind="stable")
+            for tri in (order[[0, 1, 2]], order[[0, 2, 3]]):
+                m = np.array([x[tri], y[tri], np.ones(3)])
+                if abs(np.linalg.det(m)) < 1e-10:
+                    continue
+                for i, j in np.ndindex(n, n):
+                    w = np.linalg.solve(m, [i + 0.5, j + 0.5, 1])
+                    if w.min() >= -1e-6 and w @ np.array(depth)[tri] > 0:
+                        image[i, j] += w @ np.array(depth)[tri] / size
+    got = np.zeros((n, n))
+    for r in analytics.depth_scatterplot(volume(spark, f, g), (f0, f1), (g0, g1), n).collect():
+        got[r["bin_f"], r["bin_g"]] = r["density"]
+    assert np.allclose(got, image, rtol=1e-6) and (got > 0).sum() > 40
+
+
+@pytest.mark.parametrize("shape", [(4, 4, 4), (3, 5, 2)])
+def test_cubes(spark, shape):
+    """Blocks in three dimensions come back within the bound, outliers and what isn't a number as they are; blocks of other sizes too."""
+    rng, size = np.random.default_rng(8), int(np.prod(shape))
+    wild = rng.normal(size=size) * np.where(rng.random(size) < 0.2, 1e6, 0.01)
+    rows = [(0, 0, list(map(float, wild))), (0, 1, [float(x) for x in np.where(rng.random(size) < 0.2, np.nan, rng.random(size))]), (0, 2, [1.0, 2.0]), (0, 3, []), (0, 4, None), (0, 5, [7.0] * size), (0, 6, [None if k == 3 else float("inf") if k == 5 else 0.5 for k in range(size)])]
+    df = spark.createDataFrame(rows, "step long, block_id long, values array<double>")
+    coded = codec.compress_cubes(df, 1e-3, shape)
+    back = {r["block_id"]: r["values"] for r in codec.decompress_cubes(coded, 1e-3, shape).collect()}
+    for _, i, v in rows:
+        if v is None:
+            assert back[i] is None
+        else:
+            assert np.allclose(np.array(v, float), np.array(back[i], float), rtol=0, atol=1.0000001e-3, equal_nan=True) and len(v) == len(back[i])
+    kept = {r["block_id"]: r["kept"] for r in coded.collect()}
+    assert len(kept[5]) == 1 and len(kept[2]) == 2 and len(kept[0]) > 5
+    assert all(c == 0 for r in codec.compress_cubes(df, 0.0, shape).where("codes is not null").collect() for c in r["codes"])
+
+
+def test_cubes_of_a_smooth_field_take_fewer_codes(spark):
+    shape = (16, 16, 16)
+    blocks_ = blocks.to_blocks(volume(spark, smooth_field(shape)), G.Grid(shape)).select("step", "block_id", "values")
+    bound = 1e-3
+    cubes = {c for r in codec.compress_cubes(blocks_, bound).collect() for c in r["codes"]}
+    lines = {(s, bool(b)) for r in codec.compress_blocks(blocks_, bound).collect() for s, b in zip(r["sizes"], np.unpackbits(np.frombuffer(r["signs"], np.uint8)))}
+    assert len(cubes) < 0.6 * len(lines)
+
+
 def test_tetrahedra_spread_all_volume(spark):
     """Where f and g vary alone, all the volume lands in the image."""
     x, y, _ = np.indices((5, 5, 5)).astype(float)
