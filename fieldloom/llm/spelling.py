@@ -46,7 +46,7 @@ MANGLED = 97
 #: Words of a leaf of the trees that Spark lays, and how many leaves there are at most.
 LEAF, MAX_LEAVES = 16384, 1 << 14
 #: Words of a leaf of the lower levels, within a task.
-LOW_LEAF = 32
+LOW_LEAF = 256
 #: Words of this length or more stand in one tree.
 LONGEST = 64
 #: Distinct words that a task counts before it hands them on.
@@ -168,6 +168,20 @@ class Words:
         return np.where(inside, self.codes[np.minimum(at, max(0, len(self.codes) - 1))], 255) if len(self.codes) else np.full((len(i), width), 255)
 
 
+    def sets(self) -> np.ndarray:
+        """64 bits of the letters that a word has, and of those that it has twice; an edit changes two at most."""
+        k = np.arange(LETTERS, dtype=np.uint64)
+        once, twice = np.where(k < 26, k, 26 + k % 12), 38 + k % 26
+        bits = lambda has, at: np.bitwise_or.reduce(np.where(has, np.uint64(1) << at.astype(np.uint64), np.uint64(0)), axis=1)
+        return bits(self.counts > 0, once) | bits(self.counts > 1, twice)
+
+    def halves(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the first and of the last ``n`` letters of each word, of which none is shorter."""
+        powers = np.cumprod(np.full(n, 0x9E3779B97F4A7C15, np.uint64))
+        hashed = lambda at: ((self.codes[at[:, None] + np.arange(n)].astype(np.uint64) + np.uint64(1)) * powers).sum(1, dtype=np.uint64)
+        return hashed(self.heads), hashed(self.heads + self.length - n)
+
+
 #: A cut: (letter, highest count of the left side, left child, right child); letter -1 cuts by a bit of the word's hash.
 Cut = tuple[int, int, int, int]
 
@@ -318,6 +332,10 @@ def _searched(members: Words, askers: Words):
     # letters that no member has can only be taken away, so one column holds them all
     narrow = lambda w: np.hstack([w.counts[:, used], np.minimum(w.counts.sum(1, dtype=np.int64) - w.counts[:, used].sum(1, dtype=np.int64), 127).astype(np.int8)[:, None]])
     m, q = narrow(members), narrow(askers)
+    m_set, q_set = members.sets(), askers.sets()
+    # an edit stands in one half of a word at most: of two that are near, the first or the last so many letters are the same
+    half = (int(members.length.min()) - 1) // 2
+    (m_first, m_last), (q_first, q_last) = members.halves(half), askers.halves(half)
     todo = [(np.arange(len(m)), np.arange(len(q)))]
     while todo:
         own, asking = todo.pop()
@@ -341,10 +359,12 @@ def _searched(members: Words, askers: Words):
             some = own[at : at + LOW_LEAF]
             for lo in range(0, len(asking), 8192):
                 part = asking[lo : lo + 8192]
-                by = m[some][None] - q[part][:, None]
-                near = (np.maximum(by, 0).sum(2, dtype=np.int16) <= 1) & (np.minimum(by, 0).sum(2, dtype=np.int16) >= -1)
-                i, j = np.nonzero(near)
+                alike = (m_first[some][None] == q_first[part][:, None]) | (m_last[some][None] == q_last[part][:, None])
+                i, j = np.nonzero(alike & (np.bitwise_count(m_set[some][None] ^ q_set[part][:, None]) <= 2))
                 i, j = part[i], some[j]
+                by = m[j] - q[i]
+                keep = (np.maximum(by, 0).sum(1, dtype=np.int64) <= 1) & (np.minimum(by, 0).sum(1, dtype=np.int64) >= -1)
+                i, j = i[keep], j[keep]
                 keep = np.abs(askers.length[i] - members.length[j]) <= 1
                 i, j = i[keep], j[keep]
                 step = max(1, (1 << 23) // int(max(members.length.max(), askers.length.max()) + 1))
