@@ -260,6 +260,12 @@ def spread_isovalues(largest: float, n: int, seed: int = 42) -> list[float]:
     return sizes[:n] + [-x for x in sizes[n:]]
 
 
+def even_isovalues(largest: float, n: int) -> list[float]:
+    """``n`` values of each sign, their logarithms evenly spaced from 1e-6 of the largest to the largest."""
+    sizes = [largest * 10 ** (-6 * (1 - i / max(1, n - 1))) for i in range(n)]
+    return sizes + [-x for x in sizes]
+
+
 def _running(steps: DataFrame, values: list[float]) -> DataFrame:
     """(i, isovalue, blocks) of (i, d), changes of the number of blocks at the i-th value; as many rows as values."""
     steps = steps.groupBy("i").agg(F.sum("d").alias("d"))

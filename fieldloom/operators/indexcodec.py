@@ -38,6 +38,7 @@ class CodedIndex:
     order: str
     bins: DataFrame | None = None
     bin_count: int = 100
+    path: str | None = None
 
     def save(self, folder: str, source: str = "") -> None:
         """Writes codes (two bytes each, a partition for each step, in order of place) and the bins, and publishes them; ``source`` tells the table they were made from."""
@@ -56,7 +57,7 @@ class CodedIndex:
         if m is None or m["version"] != VERSION:
             raise ValueError(f"no codes of this version in {folder}")
         codes = spark.read.parquet(f"{m['build']}/codes").select(F.col("step").cast("long").alias("step"), "level", "segment", "place", "block_id", F.col("low_code").cast("int").alias("low_code"), "low_outlier", F.col("high_code").cast("int").alias("high_code"), "high_outlier")
-        return cls(codes, m["bound"], m["order"], spark.read.parquet(f"{m['build']}/bins") if m["binned"] else None, m["bin_count"])
+        return cls(codes, m["bound"], m["order"], spark.read.parquet(f"{m['build']}/bins") if m["binned"] else None, m["bin_count"], m["build"])
 
     @classmethod
     def current(cls, spark: SparkSession, folder: str, tables: list[str], make: Callable[[], "CodedIndex"]) -> "CodedIndex":

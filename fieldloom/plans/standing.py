@@ -12,7 +12,7 @@ from fieldloom.operators import analytics, codec, halo, indexcodec, mesh
 from fieldloom.plans import catalog, query
 from fieldloom.plans.catalog import BINS, HI, LO, register, stored_index
 from fieldloom.sources import fields, footers, volumes
-from fieldloom.sources.store import fingerprint, new_build, publish, published, shared_folder, stored
+from fieldloom.sources.store import fingerprint, new_build, publish, published, shared_folder, stored, stored_bytes
 
 #: Error bound of the registered codes.
 BOUND = 0.5
@@ -125,6 +125,19 @@ def saved_codes_query(spark, sf_dir):
     return index.values_of(index.meeting(LO, HI).join(near, ["step", "block_id"], "left_semi"), LO, HI)
 
 
+@register("stored_sizes")
+def stored_sizes(spark, sf_dir):
+    """(name, files, bytes, percent): what the index's tables and the saved codes take on disk, and as a share of the events' files.  SQL doesn't see files."""
+    index, codes = stored_index(spark, sf_dir), saved_codes(spark, sf_dir)
+    tables = {name: f"{index.build_path}/{name}" for name in index.schemas} | {"codes": f"{codes.path}/codes"}
+    whole = stored_bytes(spark, f"{sf_dir}/events.parquet").select(F.col("bytes").alias("whole"))
+    rows = None
+    for name, path in tables.items():
+        row = stored_bytes(spark, path).select(F.lit(name).alias("name"), "files", "bytes")
+        rows = row if rows is None else rows.union(row)
+    return rows.crossJoin(F.broadcast(whole)).select("name", "files", "bytes", F.round(100.0 * F.col("bytes") / F.col("whole"), 3).alias("percent"))  # one row
+
+
 # volumes in files
 
 
@@ -255,3 +268,18 @@ def mesh_fill_report(spark, sf_dir):
     voxels, _ = catalog._events(spark, sf_dir)
     surface = mesh.triangles(voxels, catalog.ISO).where("not (d0 = d1 and k = 0)")
     return mesh.fill_report(stored(surface.select("step", "a", "b", "c"), "holed"), mesh.edge_vertices(voxels, catalog.ISO))
+
+
+# selectivity of isovalues evenly spaced by logarithm
+
+_EVEN = "v AS (SELECT (SELECT greatest(max(abs(lo)), max(abs(hi))) FROM zu) * pow(10, -6 * (1 - (i % 500) / CAST(499 AS DOUBLE))) * CASE WHEN i < 500 THEN 1 ELSE -1 END AS isovalue FROM (SELECT unnest(range(0, 1000)) AS i))"
+
+
+@register("selectivity_even", catalog._VOX, catalog._ZU, _EVEN, catalog._NUMBERED, "m AS (SELECT i, step, b0, b1, b2 FROM x JOIN zu ON lo <= isovalue AND hi >= isovalue)",
+    "w AS (SELECT DISTINCT i, step, b0 + p AS b0, b1 + q AS b1, b2 + r AS b2 FROM m, s, (SELECT unnest([-1, 0, 1]) AS p) a, (SELECT unnest([-1, 0, 1]) AS q) b, (SELECT unnest([-1, 0, 1]) AS r) e WHERE b0 + p BETWEEN 0 AND c - 1 AND b1 + q BETWEEN 0 AND c - 1 AND b2 + r BETWEEN 0 AND c - 1)",
+    select="SELECT x.i, coalesce(k.n, 0) AS blocks, coalesce(j.n, 0) AS expanded FROM x LEFT JOIN (SELECT i, count(*) AS n FROM m GROUP BY i) k USING (i) LEFT JOIN (SELECT i, count(*) AS n FROM w GROUP BY i) j USING (i)")
+def selectivity_even(spark, sf_dir):
+    index = stored_index(spark, sf_dir)
+    zones = index.zones()
+    largest = zones.agg(F.greatest(F.max(F.abs("lo")), F.max(F.abs("hi")))).first()[0]
+    return analytics.expanded_selectivity(zones, index.grid, analytics.even_isovalues(largest, 500)).select("i", "blocks", "expanded")

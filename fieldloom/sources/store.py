@@ -56,6 +56,12 @@ def fingerprint(spark: SparkSession, *tables: str) -> str:
     return "-".join(str(x) for x in files.agg(F.count(F.lit(1)), F.coalesce(F.sum(one), F.lit(0))).first())
 
 
+def stored_bytes(spark: SparkSession, path: str) -> DataFrame:
+    """(files, bytes): how many files stand below ``path``, and their bytes; none is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+
+
 def new_build(folder: str) -> str:
     """The name of a build in ``folder``, not yet published."""
     return f"{folder.rstrip('/')}/build-{uuid.uuid4().hex}"

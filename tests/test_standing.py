@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from test_engine import smooth_field, volume
 
 from fieldloom.functions import grid as G
-from fieldloom.operators import indexcodec, order, zonemap
+from fieldloom.operators import analytics, indexcodec, order, zonemap
 from fieldloom.plans import catalog, query, standing
 from fieldloom.plans import index as plans_index
 from fieldloom.plans.index import FieldIndex, length_class
@@ -228,3 +228,16 @@ def test_observed_blocks(spark, own_tables):
     found, seen = index.observed_values(catalog.LO, catalog.HI)
     n = found.count()
     assert n == catalog.range_scan(spark, own_tables).count() and seen.get["blocks_hit"] == index.zones().where(query.overlaps(catalog.LO, catalog.HI)).count()
+
+
+def test_stored_sizes(spark, own_tables):
+    """Bytes are those of the files, and codes take fewer than the intervals that they stand for."""
+    got = {r["name"]: r for r in standing.stored_sizes(spark, own_tables).collect()}
+    assert set(got) == {"blocks", "shifted", "octree", "steps", "codes"} and all(r["bytes"] > 0 and r["files"] > 0 for r in got.values())
+    files = [f for f in (spark.sparkContext._jvm.java.io.File(catalog.stored_index(spark, own_tables).build_path.removeprefix("file:") + "/steps").listFiles()) if f.getName().endswith(".parquet")]
+    assert got["steps"]["bytes"] == sum(f.length() for f in files)
+
+
+def test_even_isovalues():
+    got = analytics.even_isovalues(100.0, 7)
+    assert np.allclose(got[:7], [1e-4, 1e-3, 1e-2, 0.1, 1, 10, 100]) and got[6] == 100.0 and got[7:] == [-x for x in got[:7]] and analytics.even_isovalues(3.0, 1)[1] == -analytics.even_isovalues(3.0, 1)[0]
