@@ -33,8 +33,8 @@ from fieldloom.sources.store import exists, fingerprint, new_build, publish, pub
 VERSION = 3
 #: Bytes of a row group, and rows of a page.
 GROUP_BYTES, PAGE_ROWS = 4 << 20, 128
-#: Blocks of a file, about.
-FILE_BLOCKS = 1 << 16
+#: Blocks of a file, at most and (where there are threads for more files) at least, about.
+FILE_BLOCKS, LEAST_BLOCKS = 1 << 16, 1 << 12
 #: Steps whose ranges (some 50 bytes each) the manifest has and the driver may hold; those of more are joined, and prune partitions as the query runs.
 HELD_STEPS = 4096
 #: Nodes of an octree's level that the driver may hold, and runs of keys that a filter may name.
@@ -48,11 +48,16 @@ def length_class(lo: Column, hi: Column) -> Column:
     return F.when(hi > lo, F.floor(F.log2(hi - lo))).otherwise(-2000).cast("int")
 
 
+def _files(spark: SparkSession, blocks: int) -> int:
+    """How many ranges so many blocks are written in: as many as their number calls for, and no fewer than threads if they aren't tiny."""
+    return max(1, -(-blocks // FILE_BLOCKS), min(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks // LEAST_BLOCKS))
+
+
 def _laid_out(rows: DataFrame, blocks: int, first: str, path: str) -> None:
     """Writes rows by step, class of length and low, in as many files as their number calls for."""
     by = ["step", f"{first}_class", f"{first}_lo", "block_id"]
     rows = rows.withColumn(f"{first}_class", length_class(F.col(f"{first}_lo"), F.col(f"{first}_hi")))
-    writer = rows.repartitionByRange(max(1, -(-blocks // FILE_BLOCKS)), *by).sortWithinPartitions(*by).write.partitionBy("step")
+    writer = rows.repartitionByRange(_files(rows.sparkSession, blocks), *by).sortWithinPartitions(*by).write.partitionBy("step")
     writer.option("parquet.block.size", GROUP_BYTES).option("parquet.page.row.count.limit", PAGE_ROWS).option("compression", "zstd").parquet(path)
 
 
@@ -128,7 +133,7 @@ class FieldIndex:
         keyed = written.select("step", morton(*(F.col(x) for x in BLOCKS)).alias("key"), F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"), *(f"{f}_{x}" for f in fields for x in ("lo", "hi", "n")))
         tree = keyed.groupBy("level", "step", F.expr("shiftright(key, 3 * level)").alias("morton")).agg(*ranges)
         by = ["level", "step", "morton"]
-        writer = tree.repartitionByRange(max(1, -(-blocks // FILE_BLOCKS)), *by).sortWithinPartitions(*by).write.partitionBy("level")
+        writer = tree.repartitionByRange(_files(spark, blocks), *by).sortWithinPartitions(*by).write.partitionBy("level")
         writer.option("parquet.block.size", GROUP_BYTES).option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{into}/octree")
         written.groupBy("step").agg(*ranges).coalesce(1).write.parquet(f"{into}/steps")
         tables = {name: spark.read.parquet(f"{into}/{name}") for name in _TABLES}

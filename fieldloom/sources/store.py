@@ -7,6 +7,7 @@ sees a whole build or none, and one that still reads the build before isn't dist
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import tempfile
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Builds of a structure that stay: the current one and those that readers may still hold.
 KEPT_BUILDS = 2
+#: Files of a table that the driver lists to tell it from a rewritten one.
+LISTED_FILES = 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -50,7 +53,20 @@ def _place(spark: SparkSession, path: str):
 
 
 def fingerprint(spark: SparkSession, *tables: str) -> str:
-    """What tells these folders or files from rewritten ones: names, sizes and times of all their files, which aren't opened."""
+    """What tells these folders or files from rewritten ones: names, sizes and times of all their files, which aren't opened.
+
+    The driver lists up to ``LISTED_FILES``; Spark lists more.
+    """
+    if sum(_place(spark, t)[0].getContentSummary(_place(spark, t)[1]).getFileCount() for t in tables) <= LISTED_FILES:
+        found, todo = [], [_place(spark, t)[1] for t in tables]
+        while todo:
+            place = todo.pop()
+            for x in place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(place):
+                if x.isDirectory():
+                    todo.append(x.getPath())
+                else:
+                    found.append(f"{x.getPath()} {x.getLen()} {x.getModificationTime()}")
+        return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(tables))
     one = F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")
     return "-".join(str(x) for x in files.agg(F.count(F.lit(1)), F.coalesce(F.sum(one), F.lit(0))).first())
@@ -103,4 +119,9 @@ def _numbers(spark: SparkSession, folder: str) -> list[int]:
 
 
 def _manifest(spark: SparkSession, path: str) -> dict:
-    return json.loads("".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
+    fs, place = _place(spark, path)
+    stream = fs.open(place)
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()

@@ -241,3 +241,16 @@ def test_stored_sizes(spark, own_tables):
 def test_even_isovalues():
     got = analytics.even_isovalues(100.0, 7)
     assert np.allclose(got[:7], [1e-4, 1e-3, 1e-2, 0.1, 1, 10, 100]) and got[6] == 100.0 and got[7:] == [-x for x in got[:7]] and analytics.even_isovalues(3.0, 1)[1] == -analytics.even_isovalues(3.0, 1)[0]
+
+
+@pytest.mark.parametrize("listed", [0, 1000])
+def test_fingerprints(spark, own_tables, monkeypatch, listed):
+    """The driver's listing and Spark's both tell a rewritten table, an added file and another table."""
+    monkeypatch.setattr(store, "LISTED_FILES", listed)
+    path = f"{own_tables}/events.parquet"
+    first = store.fingerprint(spark, path)
+    assert store.fingerprint(spark, path) == first
+    spark.range(5).write.mode("append").parquet(path)
+    second = store.fingerprint(spark, path)
+    spark.range(5).write.mode("overwrite").parquet(path)
+    assert len({first, second, store.fingerprint(spark, path), store.fingerprint(spark, path, f"{catalog.stored_index(spark, '/root/testdata/sf0.001').build_path}/steps")}) == 4
