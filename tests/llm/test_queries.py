@@ -1,6 +1,9 @@
 """Registered queries against their SQL, and the pipeline against plain versions of its stages."""
 
+import zlib
+
 import brute
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -25,8 +28,10 @@ def test_pipeline(spark, sf_dir):
     texts = [(i, t) for i, t in texts if groups[i][1] == i]
     texts = {i: x[3].decode("utf-8", "ignore") for i, x in brute.passages(texts).items()}
     own = packing.WordTokenizer.load(public_tokenizers.path("word_bpe_49k.json"))
-    expected = {i: len(own.encode(pa.array([t]))[0]) + 1 for i, t in texts.items()}
+    ids = {i: np.append(own.encode(pa.array([t]))[0], 2).astype("<u4") for i, t in texts.items()}
+    expected = {i: len(x) for i, x in ids.items()}
     got = corpus_pipeline.run(spark, sf_dir).collect()
+    assert all(r["ids_crc32"] == zlib.crc32(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes()) for r in got)
     assert {r["doc_id"]: r["doc_tokens"] for r in got} == expected
     assert sum(r["length"] for r in got) == sum(expected.values())
 
