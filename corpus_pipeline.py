@@ -41,19 +41,29 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: five-word shingles, similarity 0.8.
 
-    Rows of the document that stays all stay, repeated ones too, as do rows without a doc_id.
+    Rows of the document that stays all stay, repeated ones too, as do rows without a doc_id.  Null and
+    empty texts and texts without words are copies of nothing and stay.  A long text is compared whole.
     """
     dropped = stored(minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct(), "dropped")
     return docs.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of at least a hundred bytes that stand earlier in the corpus go."""
+    """Passages of at least a hundred bytes that stand earlier in the corpus go.
+
+    A null text stays null and an empty one empty; a document that loses all its text stays, with an
+    empty one.  Repeated rows are one document and lose what it loses; rows without a doc_id lose
+    nothing.  A character of which a passage takes a part goes with it.  Long texts are cut whole.
+    """
     return _with_text(suffix.remove_repeats(set_aside(docs)), docs, "kept_text", "n_removed > 0")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' tokens, placed in sequences."""
+    """Pieces of the documents' tokens, placed in sequences.
+
+    Null and empty texts have the end token alone.  Every row is packed, repeated ones and those without
+    a doc_id too; texts longer than a sequence are cut into pieces.
+    """
     import public_tokenizers
 
     return packing.pack(stored(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")), "pieces"))
