@@ -45,6 +45,8 @@ SAMPLE_CHARS, BUCKETS = 1 << 17, 1 << 16
 #: Pages that a token must stand on to be learned.
 TOKEN_PAGES = 5
 
+#: A tag with no "<" up to its end and no quote left open: what most tags are.
+_SIMPLE = re.compile(r"<(/?)([a-zA-Z][^\s/>\"'<]*+)(?=[\s/>])((?:[^>\"'<]++|\"[^\"<>]*+\"|'[^'<>]*+')*+)>")
 _NAME_END, _SPECIAL = re.compile(r"[\s/>]"), re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|data-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACES = re.compile(r"[\x20\x09-\x0D]+")
@@ -139,6 +141,8 @@ class Tokens:
         """Begin and end of the next tag, comment or declaration, whether it closes, its name in lower case (None for the latter two) and its attributes; begin is -1 where none is left."""
         source = self.source
         while (at := source.find("<", at)) >= 0:
+            if m := _SIMPLE.match(source, at):
+                return at, m.end(), m[1] == "/", m[2].lower(), m[3]
             if source.startswith("<!--", at):
                 end = source.find("-->", at + 4)
                 return at, end + 3 if end >= 0 else self.size, False, None, ""
