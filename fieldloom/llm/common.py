@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -12,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-#: Text bytes that one NumPy step works on; a longer document is a step of its own.
-STEP_BYTES = 1 << 20
+#: Text bytes that one NumPy step works on, in arrays of some forty times its size; a longer document is a step of its own.
+STEP_BYTES = 1 << 18
 #: The white space of every word and line rule here.
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -59,6 +60,27 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Returns to the system what Arrow and the C library have freed but hold, and the powers of a text longer than a step."""
+    for i, p in enumerate(_POWERS):
+        _POWERS[i] = p[: STEP_BYTES + 1].copy() if len(p) > STEP_BYTES + 1 else p
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def giving_back(run):
+    """``run``, for mapInArrow, whose worker keeps nothing of a task: workers serve other tasks and stages later, and what they hold counts as the executor's memory."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (one more than rows) of a string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):

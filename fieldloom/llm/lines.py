@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import SPACE, own_columns, schema_of, stored
+from fieldloom.llm.common import SPACE, giving_back, own_columns, schema_of, stored
 from fieldloom.llm.mph import PerfectHash
 
 #: Distinct lines of a shard, on average; lines that one task probes.
@@ -140,7 +140,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, shard
                     yield pa.RecordBatch.from_arrays([pa.array(ids[drop]), pa.array(h1[drop]), pa.array(h2[drop])], ["doc_id", "h1", "h2"])
 
     dealt = blobs.unionByName(probes).repartition(n, "shard", "copy").sortWithinPartitions("shard", "copy", "kind")
-    marks = dealt.mapInArrow(probe, "doc_id long, h1 long, h2 long")
+    marks = dealt.mapInArrow(giving_back(probe), "doc_id long, h1 long, h2 long")
     return marks.groupBy("doc_id").agg(F.flatten(F.collect_list(F.array("h1", "h2"))).alias("hashes"))
 
 
@@ -174,7 +174,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3,
                 digests.append(hashlib.sha256((text or "").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(texts, pa.string()), b.column("n_lines"), pa.array(dropped, pa.int64()), pa.array(digests, pa.string())], [*columns, "text", *RESULTS])
 
-    return marked.mapInArrow(rebuild, schema_of(docs, columns, "text string, n_lines long, n_dropped long, kept_sha256 string"))
+    return marked.mapInArrow(giving_back(rebuild), schema_of(docs, columns, "text string, n_lines long, n_dropped long, kept_sha256 string"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

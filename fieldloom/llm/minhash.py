@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import mix, prefix_hashes, span_hashes, steps, stored, utf8, words
+from fieldloom.llm.common import giving_back, mix, prefix_hashes, span_hashes, steps, stored, utf8, words
 from fieldloom.llm.components import components
 
 PERCENT = 80
@@ -132,7 +132,7 @@ def _sketches(docs: DataFrame, size: int) -> DataFrame:
                         marks[i] = np.frombuffer(hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(giving_back(run), schema)
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -145,7 +145,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
                 sets = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "items"])
 
-    return docs.mapInArrow(run, "id long, items binary")
+    return docs.mapInArrow(giving_back(run), "id long, items binary")
 
 
 def _same(a: bytes, b: bytes) -> int:
@@ -187,7 +187,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
                 linked.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
-    return stored(both.select("a", "b", "ia", "ib").mapInArrow(run, "a long, b long, linked boolean"), "confirmed")
+    return stored(both.select("a", "b", "ia", "ib").mapInArrow(giving_back(run), "a long, b long, linked boolean"), "confirmed")
 
 
 def _grouped(rows: DataFrame, compare, schema: str) -> DataFrame:
@@ -219,7 +219,7 @@ def _grouped(rows: DataFrame, compare, schema: str) -> DataFrame:
         if left is not None:
             yield from done(left.combine_chunks())
 
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(giving_back(run), schema)
 
 
 _TILED = ["key", "block", "id", "label", "minor", "asks", "asked"]

@@ -31,11 +31,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import steps, stored, utf8
+from fieldloom.llm.common import giving_back, steps, stored, utf8
 
 SEQUENCE, END = 4096, 2
 #: Bytes of text whose distinct words are tokenised together, and words of one call of the library.
-GROUP_BYTES, CALL_WORDS = 16 << 20, 4096
+GROUP_BYTES, CALL_WORDS = 8 << 20, 4096
 #: Pieces that one task ranks.
 RANK_ROWS = 100_000
 #: Rules under which words beside white space have ids of their own: fixed values of the tokenizer's file.
@@ -59,7 +59,9 @@ _LOADED: dict[str, "WordTokenizer"] = {}
 def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The runs of ``values`` that begin at ``starts``, end to end."""
     ends = np.cumsum(lengths)
-    return values[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+    at = np.repeat(starts - (ends - lengths), lengths)
+    at += np.arange(len(at))
+    return values[at]
 
 
 class WordTokenizer:
@@ -138,12 +140,13 @@ class WordTokenizer:
         words = pc.ascii_split_whitespace(texts)
         bounds, flat = np.asarray(words.offsets).astype(np.int64), words.flatten()
         filled = np.asarray(pc.not_equal(flat, ""))  # white space at an end leaves an empty word
-        kept = np.concatenate([[0], np.cumsum(filled)])
+        kept = np.concatenate([[0], np.cumsum(filled)])[bounds - bounds[0]]
         coded = flat.filter(pa.array(filled)).dictionary_encode()
+        del words, flat, filled  # as large as the texts and more
         ids, starts, sizes = self._words(coded.dictionary)
         at = np.asarray(coded.indices)
         each = sizes[at]
-        return ragged(ids, starts[at], each), np.concatenate([[0], np.cumsum(each)])[kept[bounds - bounds[0]]]
+        return ragged(ids, starts[at], each), np.concatenate([[0], np.cumsum(each)])[kept]
 
 
 def _chunks(texts: pa.Array, limit: int) -> tuple[pa.Array, np.ndarray]:
@@ -210,7 +213,7 @@ def pieces(docs: DataFrame, path: str, size: int = SEQUENCE, end: int = END, ids
             yield done()
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(giving_back(run), schema)
 
 
 def pack_histogram(histogram: dict[int, int], size: int = SEQUENCE) -> list[tuple[int, list[int]]]:

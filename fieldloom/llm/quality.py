@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import mix, own_columns, prefix_hashes, schema_of, span_hashes, steps, stored, utf8, words
+from fieldloom.llm.common import giving_back, mix, own_columns, prefix_hashes, schema_of, span_hashes, steps, stored, utf8, words
 
 #: A line is shared when more documents of its host hold it.
 LINE_DOCS = 20
@@ -122,7 +122,7 @@ def measured(docs: DataFrame, host: str = "source") -> DataFrame:
 
     host_ = F.col(host).cast("string")
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), host_.alias("host"), _content(F.col("text"), host_).alias("content"), "text")
-    return given.mapInArrow(run, "doc_id long, host string, content long, " + ", ".join(f"{c} long" for c in COUNTS) + ", lines array<struct<h: bigint, w: bigint>>")
+    return given.mapInArrow(giving_back(run), "doc_id long, host string, content long, " + ", ".join(f"{c} long" for c in COUNTS) + ", lines array<struct<h: bigint, w: bigint>>")
 
 
 def _judged(docs: DataFrame, host: str, line_docs: int, left_percent: int) -> DataFrame:
@@ -167,7 +167,7 @@ def cleaned(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, l
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(texts, pa.string()), *(b.column(f"_fl_{c}") for c in RESULTS)], [*columns, "text", *RESULTS])
 
     types = dict(verdicts.dtypes)
-    return joined.mapInArrow(run, schema_of(docs, columns, "text string, " + ", ".join(f"{c} {types[f'_fl_{c}']}" for c in RESULTS)))
+    return joined.mapInArrow(giving_back(run), schema_of(docs, columns, "text string, " + ", ".join(f"{c} {types[f'_fl_{c}']}" for c in RESULTS)))
 
 
 def without_lines(text: str, gone: set[int]) -> str:

@@ -48,7 +48,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import mix, own_columns, powers, prefix_hashes, schema_of, span_hashes, steps, stored, utf8
+from fieldloom.llm.common import giving_back, mix, own_columns, powers, prefix_hashes, schema_of, span_hashes, steps, stored, utf8
 
 LENGTH, GRAM = 100, 32
 #: Pieces that one task matches, and bytes of differing pieces whose transforms are merged as one: few enough
@@ -160,7 +160,7 @@ def _dealt(docs: DataFrame, parts: int, length: int, flush_pieces: int, wide_tex
         if held:
             yield flush(held)
 
-    return docs.mapInArrow(run, "part long, blob binary")
+    return docs.mapInArrow(giving_back(run), "part long, blob binary")
 
 
 def _unpacked(blobs) -> list[np.ndarray]:
@@ -438,7 +438,7 @@ def marks(docs: DataFrame, size: int, length: int = LENGTH, task_pieces: int = T
     def found(pieces_):
         return pieces_.groupBy("task").applyInPandas(merged, "doc_id long, start long, windows long")
 
-    cuts = docs.join(asked, ["doc_id", "base"]).mapInArrow(_cutter(length, max(1, math.ceil(total / group_bytes))), "task long, busy boolean, doc_id long, start long, piece binary")
+    cuts = docs.join(asked, ["doc_id", "base"]).mapInArrow(giving_back(_cutter(length, max(1, math.ceil(total / group_bytes)))), "task long, busy boolean, doc_id long, start long, piece binary")
     if busy.isEmpty():
         return covered.unionByName(found(cuts.drop("busy")))
     cuts = stored(cuts, "cuts")
@@ -491,7 +491,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, **sizes) -> DataFrame:
                 types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], [*columns, *RESULTS])
 
-    return joined.mapInArrow(run, schema_of(docs, columns, "kept_text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+    return joined.mapInArrow(giving_back(run), schema_of(docs, columns, "kept_text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
