@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-#: Text bytes that one NumPy step works on, in arrays of some forty times its size; a longer document is a step of its own.
+#: Text bytes that one NumPy step works on, in arrays many times its size; a longer document is a step of its own.
 STEP_BYTES = 1 << 18
 #: The white space of every word and line rule here.
 SPACE = " \t\n\x0b\x0c\r"
