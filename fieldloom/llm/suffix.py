@@ -21,7 +21,8 @@ doc_id, or in the same document at a smaller offset).
    A key of very many differing texts, as of a line that a third of all documents hold, doesn't
    become one group: each of its windows stands for itself.  Those whose hash no other of them has
    are left out, as nothing equals them; the others are dealt by their own text.  Of equal ones
-   among ``HELD_WINDOWS`` differing windows a task deals the earliest alone and marks the others.
+   among ``HELD_WINDOWS`` differing windows a task deals the earliest alone and marks the others;
+   marks meet by their place, in as many groups as their number asks for, not with the few texts.
 4. The earliest window of each block stays, the others are marked, and marks meet the
    documents by doc_id.
 
@@ -48,7 +49,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import giving_back, mix, own_columns, powers, prefix_hashes, schema_of, span_hashes, steps, stored, utf8
+from fieldloom.llm.common import STEP_BYTES, give_back, giving_back, mix, own_columns, powers, prefix_hashes, schema_of, span_hashes, steps, stored, utf8
 
 LENGTH, GRAM = 100, 32
 #: Pieces that one task matches, and bytes of differing pieces whose transforms are merged as one: few enough
@@ -63,6 +64,8 @@ GROUP_PIECES = 5_000
 FLUSH_PIECES, WIDE_TEXTS = 200_000, 16
 #: Differing windows of busy keys (100 bytes each) that a task holds to reduce equal ones.
 HELD_WINDOWS = 100_000
+#: Marks of busy keys that one task makes runs of, and the bits of a place within a stretch whose marks meet.
+TASK_MARKS, STRETCH_BITS = 10_000, 12
 _MOST = np.uint64((1 << 64) - 1)
 
 
@@ -206,39 +209,42 @@ class Shard:
         self.starts = self.ends - sizes
         self.symbols = raw.astype(np.int16) + 1
         self.symbols[self.ends] = 0
-        self.text = np.repeat(np.arange(len(texts)), sizes + 1)
+        self.text = np.repeat(np.arange(len(texts), dtype=np.int32), sizes + 1)
         self.order = self._sorted(depth)
-        before = np.concatenate([[0], self.symbols[:-1]])
+        before, further = np.zeros_like(self.symbols), np.zeros_like(self.symbols)
+        before[1:] = self.symbols[:-1]
         before[self.starts] = 0
         # the symbol before that: a text's start is preceded by its end
-        further = np.concatenate([[0, 0], self.symbols[:-2]])[: len(before)]
+        further[2:] = self.symbols[:-2]
         further[self.starts] = self.symbols[np.maximum(self.ends - 1, self.starts)]
         further[np.minimum(self.starts + 1, self.ends)] = np.where(self.ends > self.starts, 0, further[self.ends])
-        self.transform = np.stack([before, further], 1)[self.order]
+        self.transform = np.stack([before[self.order], further[self.order]], 1)
 
     def _sorted(self, depth: int) -> np.ndarray:
         n = len(self.symbols)
-        left = self.ends[self.text] - np.arange(n)  # symbols up to the end of the text
+        left = (self.ends[self.text] - np.arange(n)).astype(np.int32)  # symbols up to the end of the text
         known = 7
-        packed = np.zeros(n, np.uint64)
+        keys = np.zeros(n, np.uint64)
         for k in range(known):
-            ahead = np.zeros(n, np.uint64)
-            ahead[: n - k] = self.symbols[k:]
-            packed = packed << np.uint64(9) | np.where(left >= k, ahead, np.uint64(0))
-        order, rank = self._ranked(packed)
+            keys <<= np.uint64(9)
+            keys[: n - k] |= np.where(left[: n - k] >= k, self.symbols[k:], 0).astype(np.uint64)
+        order, rank = self._ranked(keys)
         while known < depth:
             step = min(known, depth - known)
-            ahead = np.zeros(n, np.uint64)
-            ahead[: n - step] = rank[step:] + np.uint64(1)
-            order, rank = self._ranked(rank << np.uint64(32) | np.where(left >= step, ahead, np.uint64(0)))
+            np.left_shift(rank, np.uint64(32), out=keys, dtype=np.uint64)
+            keys[: n - step] |= np.where(left[: n - step] >= step, rank[step:] + np.uint32(1), np.uint32(0))
+            order, rank = self._ranked(keys)
             known += step
         return order
 
     @staticmethod
     def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(keys, kind="stable")
-        rank = np.empty(len(keys), np.uint64)
-        rank[order] = np.concatenate([[0], np.cumsum(keys[order[1:]] != keys[order[:-1]])]).astype(np.uint64)
+        order = np.argsort(keys)  # equal keys in any order: their ranks are equal, and the merge counts them alone
+        inner = keys[order]
+        fresh = np.zeros(len(keys), bool)
+        np.not_equal(inner[1:], inner[:-1], out=fresh[1:])
+        rank = np.empty(len(keys), np.uint32)
+        rank[order] = np.cumsum(fresh, dtype=np.uint32)
         return order, rank
 
 
@@ -250,12 +256,14 @@ def interleave(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np
     The i-th place of a shard is the shard's i-th suffix.
     """
     both = np.concatenate(transforms)
-    kinds, dense = np.unique(both, return_inverse=True)
-    near, further = dense.reshape(both.shape).T.astype(np.uint32)
-    pairs = further * np.uint32(len(kinds)) + near
-    if len(kinds) <= 256:  # numbers of two bytes, which stable sorts go through by radix
-        near, pairs = near.astype(np.uint16), pairs.astype(np.uint16)
+    kinds = np.flatnonzero(np.bincount(both[:, 0], minlength=257) + np.bincount(both[:, 1], minlength=257))
+    # with at most 256 kinds, numbers of two bytes, which stable sorts go through by radix
+    dense = np.zeros(257, np.uint16 if len(kinds) <= 256 else np.uint32)
+    dense[kinds] = np.arange(len(kinds))
+    near = dense[both[:, 0]]
+    pairs = dense[both[:, 1]] * dense.dtype.type(len(kinds)) + near
     n = len(both)
+    del both
     shard = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t) for t in transforms])
     source = np.arange(n)  # place in the shards' transforms, end to end
     block, ordinal = np.zeros(n, np.int32), np.arange(n)
@@ -266,13 +274,14 @@ def interleave(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np
         shard, moved, c = shard[move], block[move], c[move]
         np.not_equal(c[1:], c[:-1], out=fresh[1:])
         fresh[1:] |= moved[1:] != moved[:-1]
-        common += step * ~fresh
+        common += (~fresh).view(np.int8) * np.int8(step)
         block = np.cumsum(fresh, dtype=np.int32)
         if block[-1] == n:
             break
         if len(transforms) == 2:
-            second = np.cumsum(shard, dtype=np.int64)
-            source = np.where(shard, second + (len(transforms[0]) - 1), ordinal - second)
+            second = shard.view(bool)
+            source[np.flatnonzero(~second)] = ordinal[: len(transforms[0])]
+            source[np.flatnonzero(second)] = ordinal[len(transforms[0]) :]
         else:
             source[np.argsort(shard, kind="stable")] = ordinal
     return shard, common
@@ -351,21 +360,24 @@ def _windows(length: int, texts: bool):
     return run
 
 
-def _reducer(tasks: int, held_windows: int):
-    """Batches of windows -> (task, doc_id, start, piece): the earliest of equal ones, by their text, and the others as marks, without one."""
+def _reducer(tasks: int, held_windows: int, mark_tasks: int = 1):
+    """Batches of windows -> (task, doc_id, start, piece): the earliest of equal ones, by their text, and the others as marks, without one.
+
+    Marks have tasks of their own, as many as there are marks for, and those of one stretch of a document the same.
+    """
 
     def run(batches):
         held = {}  # window -> its earliest place so far
 
-        def dealt(rows):
+        def dealt(rows, first, n):
             keys, ids, starts, texts = zip(*rows)
-            return pa.RecordBatch.from_arrays([pa.array(_task(np.array(keys, np.int64), tasks)), pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(texts, pa.binary())], ["task", "doc_id", "start", "piece"])
+            return pa.RecordBatch.from_arrays([pa.array(first + _task(np.array(keys, np.int64), n)), pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(texts, pa.binary())], ["task", "doc_id", "start", "piece"])
 
         def let_go():
             items = list(held.items())
             held.clear()
             for lo in range(0, len(items), 20_000):
-                yield dealt([(int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little", signed=True), *place, t) for t, place in items[lo : lo + 20_000]])
+                yield dealt([(int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little", signed=True), *place, t) for t, place in items[lo : lo + 20_000]], 0, tasks)
 
         for b in batches:
             rows = []
@@ -375,9 +387,9 @@ def _reducer(tasks: int, held_windows: int):
                 if first != place:
                     # the later one is marked
                     held[window], later = min(first, place), max(first, place)
-                    rows.append((later[0] ^ later[1], *later, None))
+                    rows.append((later[0] ^ later[1] >> STRETCH_BITS, *later, None))
             if rows:
-                yield dealt(rows)
+                yield dealt(rows, tasks, mark_tasks)
             if len(held) >= held_windows:
                 yield from let_go()
         if held:
@@ -427,8 +439,10 @@ def marks(docs: DataFrame, size: int, length: int = LENGTH, task_pieces: int = T
         given = pdf["piece"].notna().to_numpy()
         marked = doc[~given], at[~given]
         if given.any():
-            found = repeated_windows(doc[given], at[given], list(pdf["piece"][given]), length)
-            marked = [np.concatenate(c) for c in zip(marked, found)]
+            texts = list(pdf["piece"][given])
+            marked = [np.concatenate(c) for c in zip(marked, repeated_windows(doc[given], at[given], texts, length))]
+            if sum(map(len, texts)) > STEP_BYTES:
+                give_back()
         doc, at = marked
         order = np.lexsort((at, doc))
         doc, at = doc[order], at[order]
@@ -436,19 +450,22 @@ def marks(docs: DataFrame, size: int, length: int = LENGTH, task_pieces: int = T
         return pd.DataFrame({"doc_id": doc[heads], "start": at[heads], "windows": np.diff(np.append(heads, len(doc)))})
 
     def found(pieces_):
-        return pieces_.groupBy("task").applyInPandas(merged, "doc_id long, start long, windows long")
+        return covered.unionByName(pieces_.groupBy("task").applyInPandas(merged, "doc_id long, start long, windows long"))
 
-    cuts = docs.join(asked, ["doc_id", "base"]).mapInArrow(giving_back(_cutter(length, max(1, math.ceil(total / group_bytes)))), "task long, busy boolean, doc_id long, start long, piece binary")
+    tasks = max(1, math.ceil(total / group_bytes))
+    cuts = docs.join(asked, ["doc_id", "base"]).mapInArrow(giving_back(_cutter(length, tasks)), "task long, busy boolean, doc_id long, start long, piece binary")
     if busy.isEmpty():
-        return covered.unionByName(found(cuts.drop("busy")))
+        return found(cuts.drop("busy"))
     cuts = stored(cuts, "cuts")
     crowd = cuts.where("busy").select("doc_id", "start", "piece")
-    again = stored(crowd.mapInArrow(_windows(length, False), "hash long").groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "again")
-    n = again.count()
-    windows = crowd.mapInArrow(_windows(length, True), "hash long, doc_id long, start long, window binary")
-    windows = windows.join(F.broadcast(again) if n <= BROADCAST_KEYS else again, "hash", "left_semi")
-    windows = windows.select("doc_id", "start", "window").mapInArrow(_reducer(max(1, math.ceil(4 * n * length / group_bytes)), held_windows), "task long, doc_id long, start long, piece binary")
-    return covered.unionByName(found(cuts.where("not busy").drop("busy"))).unionByName(found(windows))
+    again = stored(crowd.mapInArrow(giving_back(_windows(length, False)), "hash long").groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "again")
+    n, most = again.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    windows = crowd.mapInArrow(giving_back(_windows(length, True)), "hash long, doc_id long, start long, window binary")
+    windows = windows.join(F.broadcast(again.select("hash")) if n <= BROADCAST_KEYS else again, "hash", "left_semi")
+    reducer = _reducer(max(1, math.ceil(4 * n * length / group_bytes)), held_windows, max(1, math.ceil(most / TASK_MARKS)))
+    windows = windows.select("doc_id", "start", "window").mapInArrow(giving_back(reducer), "task long, doc_id long, start long, piece binary")
+    # no window of a busy key equals one of another, so their tasks follow the others' in one shuffle
+    return found(cuts.where("not busy").drop("busy").unionByName(windows.withColumn("task", F.col("task") + tasks)))
 
 
 def spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

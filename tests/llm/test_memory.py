@@ -2,8 +2,13 @@
 
 import subprocess
 import sys
+import tracemalloc
 from pathlib import Path
 
+import numpy as np
+
+from fieldloom.llm import suffix
+
 WORKER = """
 import re
 import numpy as np
@@ -42,3 +47,15 @@ def test_a_worker_gives_back_what_a_task_held():
     megabytes, powers = map(float, out.stdout.split())
     assert megabytes < 40, megabytes
     assert powers <= 1 << 20
+
+
+def test_transforms_of_a_group_take_few_bytes():
+    # as many pieces as one key may have, each with an end in common with others
+    rng = np.random.default_rng(2)
+    shared = rng.integers(97, 123, 110, np.uint8).tobytes()
+    texts = [rng.integers(97, 123, 25, np.uint8).tobytes() + shared[: 90 + i % 20] for i in range(suffix.GROUP_PIECES)]
+    tracemalloc.start()
+    doc, _ = suffix.repeated_windows(np.arange(len(texts)), np.zeros(len(texts), np.int64), texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(doc) and most < 110 * sum(map(len, texts)), most / sum(map(len, texts))

@@ -211,6 +211,18 @@ def test_windows_of_busy_keys_are_reduced(spark, spread_passage):
     assert sorted((r["doc_id"], r["start"]) for r in rows if not r["piece"]) == [(d, i) for d in (3, 5, 9) for i in range(2, 32)]
 
 
+def test_marks_of_few_busy_windows_are_spread():
+    # a passage of thirty windows that very many documents hold: few texts, many marks
+    n, text = 3000, np.random.default_rng(4).integers(97, 123, 129, np.uint8).tobytes()
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([7] * n), pa.array([text] * n, pa.binary())], ["doc_id", "start", "piece"])
+    rows = [r for b in suffix._reducer(1, 1 << 20, 16)(suffix._windows(100, True)([batch])) for r in b.to_pylist()]
+    assert sum(r["piece"] is not None for r in rows) == 30 and len(rows) == 30 * n
+    tasks = collections.Counter(r["task"] for r in rows)
+    assert tasks[0] == 30 and len(tasks) == 17 and max(tasks.values()) < len(rows) / 8
+    # one task makes runs of a document's marks
+    assert len({(r["doc_id"], r["task"]) for r in rows if r["piece"] is None}) == n - 1
+
+
 def test_interleave_sorts_all_suffixes():
     rng = np.random.default_rng(1)
     texts = [bytes(rng.integers(97, 99, int(n)).astype(np.uint8)) for n in rng.integers(0, 40, 30)]
